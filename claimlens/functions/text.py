@@ -77,3 +77,19 @@ def truncate_display(c: str | Column, n: int = 100) -> Column:
 def sql_list(words: Iterable[str]) -> str:
     """Render a lexicon as a SQL list literal (for oracle SQL)."""
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+def english_stop_words() -> list[str]:
+    """Spark ML's default English stop-word list, read from the Spark ML jar (no JVM needed),
+    so Spark code and SQL oracles use the identical list."""
+    import glob
+    import os
+    import zipfile
+
+    import pyspark
+    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
+    if not jars:
+        raise FileNotFoundError("spark-mllib jar not found")
+    with zipfile.ZipFile(jars[0]) as z:
+        words = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8").split()
+    return words
