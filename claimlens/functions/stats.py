@@ -89,3 +89,27 @@ def pearson(a: str, b: str):
     sa = F.stddev_samp(F.when(both, F.col(a)))
     sb = F.stddev_samp(F.when(both, F.col(b)))
     return F.try_divide(F.covar_samp(a, b), sa * sb)
+
+
+def prefix_sums(df: DataFrame, order_col: str, cols: Sequence[str], descending: bool = False,
+                partitions: int | None = None) -> DataFrame:
+    """Inclusive running sums ``cum_<c>`` of ``cols`` along a global order of the unique ``order_col``.
+
+    Distributed: range-partition by the order, checkpoint (so partition ids are
+    fixed), total each partition (P rows), prefix the P totals (a bounded window),
+    then run a window *within* each range partition and add its offset.
+    """
+    from claimlens.session import checkpoint_dir
+    spark = df.sparkSession
+    p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    checkpoint_dir(spark)
+    ranged = df.repartitionByRange(p, order).withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
+    totals = ranged.groupBy("_pid").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}")
+                                      for c in cols])
+    within = Window.partitionBy("_pid").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.join(F.broadcast(offsets), "_pid")  # one row per partition: bounded
+    out = out.withColumns({f"cum_{c}": F.col(f"_o_{c}") + F.sum(c).over(within) for c in cols})
+    return out.drop("_pid", *[f"_o_{c}" for c in cols])
