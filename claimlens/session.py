@@ -51,3 +51,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d
+
+
+def materialize(df):
+    """Write ``df`` to the shared checkpoint folder and continue from the written copy.
+
+    Used before iterative algorithms (each ML pass would otherwise recompute the
+    whole lineage); survives executor loss, unlike a local checkpoint.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
