@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimlens.session import ship_package
+
 SENTENCE_END = ".!?"
 RECURSIVE_SEPARATORS = ["\n\n", "\n", " ", ""]
 
@@ -107,6 +109,8 @@ def split_recursive(text: str, size: int = 1000, overlap: int = 200,
 
 
 def sentence_chunks(text: str | Column, size: int = 1000, overlap: int = 200) -> Column:
+    ship_package()
+
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def _udf(s: pd.Series) -> pd.Series:
         return s.map(lambda x: split_sentences(x, size, overlap))
@@ -114,6 +118,8 @@ def sentence_chunks(text: str | Column, size: int = 1000, overlap: int = 200) ->
 
 
 def recursive_chunks(text: str | Column, size: int = 1000, overlap: int = 200) -> Column:
+    ship_package()
+
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def _udf(s: pd.Series) -> pd.Series:
         return s.map(lambda x: split_recursive(x, size, overlap))

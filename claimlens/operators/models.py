@@ -215,6 +215,8 @@ def svd_projection(df: DataFrame, vec_col: str, k: int, id_col: str) -> DataFram
     signs = np.sign(v[np.abs(v).argmax(axis=0), range(v.shape[1])])
     v = v * np.where(signs == 0, 1, signs)
     bv = df.sparkSession.sparkContext.broadcast(v)
+    from claimlens.session import ship_package
+    ship_package(df.sparkSession)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def project(col: pd.Series) -> pd.Series:
