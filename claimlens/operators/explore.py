@@ -61,15 +61,15 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pairwise-complete Pearson correlations, tall form (a, b, corr), one scan."""
     cols = list(cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    row = df.agg(*[pearson(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    # one scan: the pairwise correlations and the per-column deviations together
+    row = df.agg(*[pearson(a, b).alias(f"{a}|{b}") for a, b in pairs],
+                 *[F.stddev_samp(c).alias(f"sd|{c}") for c in cols])
     entries = []
     for a, b in pairs:
         v = r6(F.col(f"`{a}|{b}`"))
         entries += [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), v.alias("corr")),
                     F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), v.alias("corr"))]
     # the diagonal is 1 where the column has variance; pandas gives NaN for a constant column
-    var = df.agg(*[F.stddev_samp(c).alias(f"sd|{c}") for c in cols])
-    row = row.crossJoin(var)
     for c in cols:
         one = F.when(F.col(f"`sd|{c}`") > 0, F.lit(1.0))
         entries.append(F.struct(F.lit(c).alias("col_a"), F.lit(c).alias("col_b"), one.alias("corr")))

@@ -69,8 +69,13 @@ def terms(df: DataFrame, id_col: str, text: str, p: TfidfParams) -> DataFrame:
 
 def fit_idf(corpus: DataFrame, id_col: str, text: str, p: TfidfParams) -> DataFrame:
     """Vocabulary with smoothed idf: ``(term, idf)``, at most ``max_features`` rows."""
-    n_docs = corpus.agg(F.count(F.lit(1)).alias("_n"))
     tf = terms(corpus, id_col, text, p).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return vocabulary(tf, corpus.agg(F.count(F.lit(1)).alias("_n")), id_col, p)
+
+
+def vocabulary(tf: DataFrame, n_docs: DataFrame, id_col: str, p: TfidfParams) -> DataFrame:
+    """Vocabulary from term counts ``(id, term, tf)``: document-frequency filters, then the top
+    ``max_features`` terms by total count (ties by term), with idf ``ln((1+n)/(1+df)) + 1``."""
     st = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
     st = st.crossJoin(F.broadcast(n_docs))
     max_dc = F.lit(p.max_df) if isinstance(p.max_df, int) and p.max_df > 1 else F.col("_n") * p.max_df
@@ -97,11 +102,20 @@ def vectorize(df: DataFrame, id_col: str, text: str, vocab: DataFrame, p: TfidfP
     return _weights(tf.select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w")), id_col)
 
 
-def corpus_vectors(chunks: DataFrame, p: TfidfParams, id_col: str = "chunk_uid", text: str = "text"):
-    """Fit the vocabulary on the chunk table and vectorise it; returns ``(vocab, vectors)``."""
-    vocab = fit_idf(chunks, id_col, text, p)
-    vecs = vectorize(chunks, id_col, text, vocab, p)
-    return vocab, vecs
+def corpus_vectors(chunks: DataFrame, p: TfidfParams, id_col: str = "chunk_uid", text: str = "text",
+                   partitions: int | None = None):
+    """Fit the vocabulary on the corpus and vectorise it; returns ``(vocab, vectors)``.
+
+    The corpus is hash-partitioned by id once: the per-(id, term) counts and the
+    per-id norms then need no further exchange, and the same term counts feed both
+    the vocabulary and the weights (the partitioning exchange is reused).
+    """
+    docs = chunks.select(id_col, text)
+    docs = docs.repartition(partitions, id_col) if partitions else docs.repartition(id_col)
+    tf = terms(docs, id_col, text, p).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    vocab = vocabulary(tf, chunks.agg(F.count(F.lit(1)).alias("_n")), id_col, p)
+    w = tf.join(F.broadcast(vocab), "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    return vocab, _weights(w, id_col)
 
 
 def _maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

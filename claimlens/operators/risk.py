@@ -21,6 +21,16 @@ from claimlens.functions.text import has_digit, truncate_display, word_count
 
 
 
+LOWER = "_lower_text"
+
+
+def with_lower(df: DataFrame, text: str) -> DataFrame:
+    """Add ``lower(text)`` once as its own column; Catalyst keeps it in a separate projection
+    (an expensive expression used many times is not inlined), so whole texts are lower-cased
+    once per row instead of once per keyword."""
+    return df.withColumn(LOWER, F.lower(F.col(text)))
+
+
 def _c(c):
     return F.col(c) if isinstance(c, str) else c
 
@@ -40,20 +50,21 @@ def _guard(text: Column, value: Column) -> Column:
     return F.when(text.isNotNull(), value)
 
 
-def keyword_risk_v1(text, high: Sequence[str] = L.V1_HIGH, vague: Sequence[str] = L.V1_VAGUE) -> Column:
+def keyword_risk_v1(text, high: Sequence[str] = L.V1_HIGH, vague: Sequence[str] = L.V1_VAGUE,
+                    lt: Column | None = None) -> Column:
     """H1: +0.3 per high-risk word present, +0.1 per vague word present, cap 1."""
     text = _c(text)
-    t = F.lower(text)
+    t = lt if lt is not None else F.lower(text)
     s = _fold([F.when(_has(t, w), F.lit(0.3)).otherwise(F.lit(0.0)) for w in high]
               + [F.when(_has(t, w), F.lit(0.1)).otherwise(F.lit(0.0)) for w in vague])
     return _guard(text, F.least(F.lit(1.0), s))
 
 
 def keyword_risk_v2(text, extreme: Sequence[str] = L.V2_EXTREME, high: Sequence[str] = L.V2_HIGH,
-                    vague: Sequence[str] = L.V2_VAGUE) -> Column:
+                    vague: Sequence[str] = L.V2_VAGUE, lt: Column | None = None) -> Column:
     """H2: +0.4 once if any extreme phrase, +0.2 per high word, +0.1 per vague word, cap 1."""
     text = _c(text)
-    t = F.lower(text)
+    t = lt if lt is not None else F.lower(text)
     any_extreme = F.lit(False)
     for w in extreme:
         any_extreme = any_extreme | _has(t, w)
@@ -98,10 +109,10 @@ def rag_risk(claim, n_sources, avg_source_score, analysis,
     return _guard(claim, F.greatest(F.lit(0.0), F.least(F.lit(1.0), r)))
 
 
-def text_indicators(text) -> Column:
+def text_indicators(text, lt: Column | None = None) -> Column:
     """H4: ordered indicator labels present in the text (array<string>)."""
     text = _c(text)
-    t = F.lower(text)
+    t = lt if lt is not None else F.lower(text)
     conds = [_has(text, "100%") | _has(t, "fully"),
              _has(t, "net zero") | _has(t, "net-zero"),
              _has(t, "sustainable") & _has(t, "committed"),
@@ -112,10 +123,10 @@ def text_indicators(text) -> Column:
     return _guard(text, F.array_compact(arr))
 
 
-def text_risk(text) -> Column:
+def text_risk(text, lt: Column | None = None, indicators: Column | None = None) -> Column:
     """H4 score: min(1, 0.1 * #indicators + 0.2 * [raw text contains '100%'])."""
     text = _c(text)
-    n = F.size(text_indicators(text))
+    n = F.size(indicators if indicators is not None else text_indicators(text, lt))
     s = n * F.lit(0.1) + F.when(_has(text, "100%"), F.lit(0.2)).otherwise(F.lit(0.0))
     return _guard(text, F.least(s, F.lit(1.0)))
 
@@ -124,9 +135,10 @@ def text_analysis(df: DataFrame, text: str = "esg_claim_text") -> DataFrame:
     """H4 as columns: indicators, text risk, length, words, average word length."""
     t = F.col(text)
     wc = word_count(t)
-    return df.withColumns({
-        "risk_indicators": text_indicators(t),
-        "text_risk_score": text_risk(t),
+    lt = F.col(LOWER) if LOWER in df.columns else None
+    out = df.withColumn("risk_indicators", text_indicators(t, lt))
+    return out.withColumns({
+        "text_risk_score": text_risk(t, indicators=F.col("risk_indicators")),
         "avg_word_length": _guard(t, F.when(wc > 0, F.length(F.replace(t, F.lit(" "), F.lit(""))) / wc)
                                   .otherwise(F.lit(0.0))),
     })
@@ -175,19 +187,21 @@ def agent_recommendations(level, indicators=None, intended: bool = False) -> Col
     return F.when(level.isNull(), F.lit(None)).when(F.size(recs) == 0, F.array(F.lit(R["none"]))).otherwise(recs)
 
 
-def keyword_counts(text, families: dict[str, Sequence[str]] = L.ESG_KEYWORDS) -> Column:
+def keyword_counts(text, families: dict[str, Sequence[str]] = L.ESG_KEYWORDS,
+                   lt: Column | None = None) -> Column:
     """H9 counts: number of family words present, per family (struct)."""
     text = _c(text)
-    t = F.lower(text)
+    t = lt if lt is not None else F.lower(text)
     return _guard(text, F.struct(*[sum((_has(t, w).cast("int") for w in ws), F.lit(0)).alias(k)
                                    for k, ws in families.items()]))
 
 
 def keyword_issues(text, families: dict[str, Sequence[str]] = L.ESG_KEYWORDS,
-                   vague_env: Sequence[str] = L.VAGUE_ENV, superlatives: Sequence[str] = L.SUPERLATIVES) -> Column:
+                   vague_env: Sequence[str] = L.VAGUE_ENV, superlatives: Sequence[str] = L.SUPERLATIVES,
+                   lt: Column | None = None) -> Column:
     """H9 issues (array<string>, in rule order)."""
     text = _c(text)
-    t = F.lower(text)
+    t = lt if lt is not None else F.lower(text)
     gw = sum((_has(t, w).cast("int") for w in families["greenwashing_indicators"]), F.lit(0))
     vague = sum((_has(t, w).cast("int") for w in vague_env), F.lit(0))
     sup = sum((_has(t, w).cast("int") for w in superlatives), F.lit(0))
@@ -259,10 +273,11 @@ def analyze_claims(df: DataFrame, text: str = "esg_claim_text", gb: str | None =
     """
     t = F.col(text)
     lex = v2_lexicon or {}
-    out = text_analysis(df, text)
+    out = text_analysis(df if LOWER in df.columns else with_lower(df, text), text)
+    lt = F.col(LOWER)
     gb_c = F.col(gb) if gb else F.lit(None).cast("double")
     lr_c = F.col(lr) if lr else F.lit(None).cast("double")
-    kw = keyword_risk_v2(t, **lex)
+    kw = keyword_risk_v2(t, **lex, lt=lt)
     rag_c = F.col(rag) if rag else kw
     out = out.withColumns({
         "greenwashing_risk_gb": F.coalesce(gb_c, F.lit(0.0)),
@@ -275,7 +290,8 @@ def analyze_claims(df: DataFrame, text: str = "esg_claim_text", gb: str | None =
                                                             "text_risk_score", "rag_risk_score", use_rag))
     out = out.withColumn("risk_level", risk_level("overall_risk_score"))
     out = out.withColumn("fraud_alert", alert_text("risk_level"))
-    return out.withColumn("recommendations", agent_recommendations("risk_level", "risk_indicators", intended))
+    return out.withColumn("recommendations", agent_recommendations("risk_level", "risk_indicators", intended)) \
+        .drop(LOWER)
 
 
 def batch_defaults(df: DataFrame) -> DataFrame:
@@ -297,9 +313,9 @@ def batch_analysis(df: DataFrame, text: str = "esg_claim_text", id_col: str = "c
     ``ERROR`` row.  With ``prob`` + ``threshold`` the calibrated path (H12) is used,
     otherwise the agent path (H14) whose ``fraud_alert`` holds the alert sentence."""
     t = F.col(text)
-    base = batch_defaults(df.where(t.isNull() | (t != "")))
+    base = with_lower(batch_defaults(df.where(t.isNull() | (t != ""))), text)
     lex = v2_lexicon or {}
-    kw = keyword_risk_v2(t, **lex)
+    kw = keyword_risk_v2(t, **lex, lt=F.col(LOWER))
     err = t.isNull()
     if prob is not None:
         thr = F.lit(float(threshold)) if isinstance(threshold, (int, float)) else F.col(threshold)

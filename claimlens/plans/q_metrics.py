@@ -20,9 +20,9 @@ DATA_LEX = {"extreme": L.DATA_V2_EXTREME, "high": L.DATA_V2_HIGH, "vague": L.DAT
 
 
 def scored_txt(spark, sf):
-    c = claims_txt(spark, sf).where(F.col("greenwashing_flag").isNotNull())
+    c = RK.with_lower(claims_txt(spark, sf).where(F.col("greenwashing_flag").isNotNull()), "esg_claim_text")
     s = c.select("claim_id", F.col("greenwashing_flag").alias("label"),
-                 RK.keyword_risk_v2("esg_claim_text", **DATA_LEX).alias("score"))
+                 RK.keyword_risk_v2("esg_claim_text", **DATA_LEX, lt=F.col(RK.LOWER)).alias("score"))
     return s.withColumn("pred", (F.col("score") > 0.5).cast("int"))
 
 

@@ -67,6 +67,15 @@ def sql_text_risk(t="esg_claim_text"):
     return _guard(t, f"least({n} * 0.1{D} + CASE WHEN {contains(t, '100%')} THEN 0.2{D} ELSE 0.0{D} END, 1.0{D})")
 
 
+def lowered(spark, sf):
+    """Document claims with ``lower(text)`` computed once (see ``risk.with_lower``)."""
+    return RK.with_lower(claims_txt(spark, sf), "esg_claim_text")
+
+
+def _lt():
+    return F.col(RK.LOWER)
+
+
 def _count(lt, ws):
     return "(" + " + ".join(f"CAST({contains(lt, w)} AS INTEGER)" for w in ws) + ")"
 
@@ -74,20 +83,20 @@ def _count(lt, ws):
 # ---------------------------------------------------------------- H1, H2
 register("keyword_risk_v1", TXT + f"""
 SELECT claim_id, round({sql_v1()}, 6) AS keyword_risk FROM claims""")(
-    lambda spark, sf: claims_txt(spark, sf).select(
-        "claim_id", F.round(RK.keyword_risk_v1("esg_claim_text"), 6).alias("keyword_risk")))
+    lambda spark, sf: lowered(spark, sf).select(
+        "claim_id", F.round(RK.keyword_risk_v1("esg_claim_text", lt=_lt()), 6).alias("keyword_risk")))
 
 register("keyword_risk_v2", TXT + f"""
 SELECT claim_id, round(s, 6) AS rag_risk_score, {sql_v2_analysis('s')} AS analysis
 FROM (SELECT claim_id, {sql_v2()} AS s FROM claims)""")(
-    lambda spark, sf: claims_txt(spark, sf).select("claim_id", RK.keyword_risk_v2("esg_claim_text").alias("s"))
+    lambda spark, sf: lowered(spark, sf).select("claim_id", RK.keyword_risk_v2("esg_claim_text", lt=_lt()).alias("s"))
     .select("claim_id", F.round("s", 6).alias("rag_risk_score"), RK.v2_analysis("s").alias("analysis")))
 
 register("keyword_risk_v2_data", TXT + f"""
 SELECT claim_id, round(s, 6) AS rag_risk_score, {sql_v2_analysis('s')} AS analysis
 FROM (SELECT claim_id, {sql_v2('esg_claim_text', L.DATA_V2_EXTREME, L.DATA_V2_HIGH, L.DATA_V2_VAGUE)} AS s FROM claims)""")(
-    lambda spark, sf: claims_txt(spark, sf).select("claim_id", RK.keyword_risk_v2("esg_claim_text", **DATA_LEX)
-                                                  .alias("s"))
+    lambda spark, sf: lowered(spark, sf).select("claim_id", RK.keyword_risk_v2("esg_claim_text", **DATA_LEX, lt=_lt())
+                                               .alias("s"))
     .select("claim_id", F.round("s", 6).alias("rag_risk_score"), RK.v2_analysis("s").alias("analysis")))
 
 # ---------------------------------------------------------------- H4
@@ -95,10 +104,10 @@ register("text_indicators", TXT + f"""
 SELECT claim_id, array_to_string({sql_indicators()}, '|') AS risk_indicators,
        CAST(len({sql_indicators()}) AS INTEGER) AS n_indicators, round({sql_text_risk()}, 6) AS text_risk_score
 FROM claims""")(
-    lambda spark, sf: claims_txt(spark, sf).select(
-        "claim_id", F.concat_ws("|", RK.text_indicators("esg_claim_text")).alias("risk_indicators"),
-        F.size(RK.text_indicators("esg_claim_text")).alias("n_indicators"),
-        F.round(RK.text_risk("esg_claim_text"), 6).alias("text_risk_score")))
+    lambda spark, sf: lowered(spark, sf).select(
+        "claim_id", "esg_claim_text", RK.text_indicators("esg_claim_text", lt=_lt()).alias("ind")).select(
+        "claim_id", F.concat_ws("|", "ind").alias("risk_indicators"), F.size("ind").alias("n_indicators"),
+        F.round(RK.text_risk("esg_claim_text", indicators=F.col("ind")), 6).alias("text_risk_score")))
 
 # ---------------------------------------------------------------- H9
 _LT = "lower(esg_claim_text)"
@@ -116,9 +125,9 @@ SELECT claim_id, {_count(_LT, _FAM['environmental'])} AS environmental, {_count(
        array_to_string({_ISSUES_SQL}, '|') AS issues, CAST(len({_ISSUES_SQL}) AS INTEGER) AS n_issues,
        {_count(_LT, _FAM['environmental'])} + {_count(_LT, _FAM['social'])} + {_count(_LT, _FAM['governance'])} AS total_esg_keywords
 FROM claims WHERE esg_claim_text IS NOT NULL""")(
-    lambda spark, sf: claims_txt(spark, sf).where(F.col("esg_claim_text").isNotNull())
-    .select("claim_id", RK.keyword_counts("esg_claim_text").alias("k"),
-            RK.keyword_issues("esg_claim_text").alias("i"))
+    lambda spark, sf: lowered(spark, sf).where(F.col("esg_claim_text").isNotNull())
+    .select("claim_id", RK.keyword_counts("esg_claim_text", lt=_lt()).alias("k"),
+            RK.keyword_issues("esg_claim_text", lt=_lt()).alias("i"))
     .select("claim_id", "k.environmental", "k.social", "k.governance", "k.greenwashing_indicators",
             F.concat_ws("|", "i").alias("issues"), F.size("i").alias("n_issues"),
             (F.col("k.environmental") + F.col("k.social") + F.col("k.governance")).alias("total_esg_keywords")))
@@ -131,7 +140,8 @@ def _overall(spark, sf):
     cat = c.groupBy("claim_category").agg(F.avg("greenwashing_flag").alias("lr"))
     j = c.join(org, "organization_name", "left").join(cat, "claim_category", "left")
     t = F.col("esg_claim_text")
-    j = j.where(t.isNotNull()).withColumns({"text_risk": RK.text_risk(t), "rag": RK.keyword_risk_v2(t)})
+    j = RK.with_lower(j.where(t.isNotNull()), "esg_claim_text")
+    j = j.withColumns({"text_risk": RK.text_risk(t, lt=_lt()), "rag": RK.keyword_risk_v2(t, lt=_lt())})
     j = j.withColumn("overall", RK.overall_risk("gb", "lr", "text_risk", "rag", True))
     j = j.withColumn("level", RK.risk_level("overall"))
     return j.select("claim_id", F.round(RK.model_ensemble("gb", "lr"), 6).alias("greenwashing_risk"),
