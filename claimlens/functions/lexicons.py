@@ -93,3 +93,8 @@ VERDICT_LABELS = {"detector": ("GREEN-WASH", "Clean"), "fraud": ("Greenwashing (
 DATA_V2_VAGUE = ["the", "and", "ing", "tion", "ment", "que", "eux", "ent", "ers", "ion", "ich", "con"]
 DATA_V2_HIGH = ["with", "for", "that", "les", "une", "der", "und", "los", "las", "this", "nt."]
 DATA_V2_EXTREME = ["the the", "de la", "in the", "und die", "of the", "en el"]
+
+# Data polarity lexicon: words of the driver's prose with illustrative polarities (the
+# sentiment lexicon is a user parameter; this one exercises the operator on the test tables).
+DATA_POLARITY = {"the": 0.1, "and": 0.2, "with": 0.3, "le": -0.1, "la": -0.2, "des": -0.3,
+                 "der": 0.4, "die": -0.4, "el": 0.5, "los": -0.5}

@@ -140,3 +140,27 @@ register("svd_features")(_svd)
 register("training_summary")(_summary)
 
 __all__ = ["lru_cache"]
+
+
+# ---------------------------------------------------------------- I8 SMOTE on the embedding table
+def _smote(spark, sf):
+    from claimlens.operators.balance import smote
+    from claimlens.sources.tables import table
+    e = table(spark, sf, "embeddings").withColumn("is_zero", (F.col("label") == 0).cast("int"))
+    return smote(e, "vec_id", "embedding", "is_zero", minority=1, k=5, seed=42)
+
+
+register("smote")(_smote)
+
+
+# ---------------------------------------------------------------- C24 importance distribution
+def _importance_dist(spark, sf):
+    d = labelled(spark, sf).where(F.col("split") == "train")
+    m = M.fit_pipeline(d, stages(), M.logistic(weight_col="weight"))
+    coef = M.coefficients(m, d, 1 << 30)
+    return coef.agg(F.count_if(F.abs("coefficient") > 0).alias("n_nonzero"),
+                    F.round(F.avg(F.abs("coefficient")), 6).alias("mean_abs"),
+                    F.round(F.max(F.abs("coefficient")), 6).alias("max_abs"))
+
+
+register("importance_distribution")(_importance_dist)

@@ -274,3 +274,35 @@ def _chunks(method):
 
 register("chunk_sentence")(_chunks("sentence"))
 register("chunk_recursive")(_chunks("recursive"))
+
+
+# ---------------------------------------------------------------- J24 retrieval risk as a classifier on a 50-claim sample
+def _retrieval_eval(spark, sf):
+    from claimlens.operators import curves as CV
+    c = claims_txt(spark, sf).where(F.col("greenwashing_flag").isNotNull())
+    sample = (c.select("claim_id", F.col("greenwashing_flag").alias("label"))
+              .orderBy(F.md5(F.concat(F.col("claim_id").cast("string"), F.lit("-42"))), "claim_id").limit(50))
+    ra = _rag_analysis(spark, sf).select("claim_id", "risk_score")
+    s = sample.join(ra, "claim_id").withColumn("pred", (F.col("risk_score") > 0.5).cast("int"))
+    return CV.binary_metrics(s).withColumn("n", F.lit(50).cast("bigint"))
+
+
+def _retrieval_eval_sql():
+    base = _rag_analysis_sql()
+    head, tail = base.rsplit("\nSELECT claim_id, round(risk, 6) AS risk_score", 1)
+    ra = "SELECT claim_id, round(risk, 6) AS risk_score" + tail
+    return head + f""",
+ra AS ({ra}),
+smp AS (SELECT claim_id, greenwashing_flag AS label FROM claims WHERE greenwashing_flag IS NOT NULL
+        ORDER BY md5(CAST(claim_id AS VARCHAR) || '-42'), claim_id LIMIT 50),
+sp AS (SELECT s.label, CAST(ra.risk_score > 0.5 AS INTEGER) AS pred FROM smp s JOIN ra USING (claim_id)),
+cf AS (SELECT count_if(label = 0 AND pred = 0) AS tn, count_if(label = 0 AND pred = 1) AS fp,
+              count_if(label = 1 AND pred = 0) AS fn, count_if(label = 1 AND pred = 1) AS tp FROM sp)
+SELECT round(coalesce((tp + tn) / nullif(CAST(tp + tn + fp + fn AS DOUBLE), 0), 0.0), 6) AS accuracy,
+       round(coalesce(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 0.0), 6) AS precision,
+       round(coalesce(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 0.0), 6) AS recall,
+       round(coalesce(2.0 * tp / nullif(CAST(2 * tp + fp + fn AS DOUBLE), 0), 0.0), 6) AS f1,
+       CAST(50 AS BIGINT) AS n FROM cf"""
+
+
+register("retrieval_eval", _retrieval_eval_sql())(_retrieval_eval)
