@@ -236,3 +236,57 @@ def load_model(path: str) -> PipelineModel:
 
 
 __all__ = ["IndexToString", "VectorUDT", "SparkSession", "stratified_kfold", "with_class_weight", "GBTClassifier"]
+
+
+def tuning_grids(n: int) -> dict:
+    """Per-model grids in Spark terms (C -> regParam = 1/(C n); penalty -> elasticNet;
+    min_samples_split s -> minInstancesPerNode s // 2; an unbounded depth -> 30, Spark's maximum)."""
+    # The per-model grids of the tuning step.
+    lr_c, lr_pen = [0.1, 1, 10], ["l1", "l2"]
+    rf_trees, rf_depth, rf_split = [50, 100, 200], [3, 5, 7, None], [2, 5, 10]
+    gb_iter, gb_rate, gb_depth, gb_sub = [50, 100, 200], [0.01, 0.1, 0.2], [3, 5, 7], [0.8, 0.9, 1.0]
+    svm_c = [0.1, 1, 10]
+    c = classifiers()
+    lr, rf, gb, svm = c["LogisticRegression"], c["RandomForest"], c["GradientBoosting"], c["SVM"]
+    return {
+        "LogisticRegression": [{lr.regParam: c_to_reg(x, n), lr.elasticNetParam: 1.0 if p == "l1" else 0.0}
+                               for x in lr_c for p in lr_pen],
+        "RandomForest": [{rf.numTrees: t, rf.maxDepth: d or 30, rf.minInstancesPerNode: max(1, s // 2)}
+                         for t in rf_trees for d in rf_depth for s in rf_split],
+        "GradientBoosting": [{gb.maxIter: t, gb.stepSize: r, gb.maxDepth: d, gb.subsamplingRate: u}
+                             for t in gb_iter for r in gb_rate for d in gb_depth for u in gb_sub],
+        "SVM": [{svm.regParam: c_to_reg(x, n)} for x in svm_c],
+    }, c
+
+
+def tune_winner(train: DataFrame, test: DataFrame, stages: list, id_col: str,
+                candidates: Sequence[str] | None = None, folds: int = 5, fast_mode: bool = False) -> DataFrame:
+    """D7 + J7 + J8 + J26: compare the candidates, take the best by test ROC-AUC, tune it with its
+    grid by cross-validated ROC-AUC (``fold`` column), and report untuned/tuned metrics and the delta
+    in one tall experiment table ``(model, metric, untuned, tuned, delta, best_params)``."""
+    cmp = compare_models(train, test, stages, id_col, candidates)
+    best = cmp.orderBy(F.desc("roc_auc"), "model").first()["model"]  # one row of a bounded table
+    n = train.count()
+    grids, ests = tuning_grids(n)
+    est = ests[best]
+    params = "default"
+    if fast_mode:
+        tuned_metrics = cmp.where(F.col("model") == best)
+    else:
+        pipe_grid = grids[best]
+        cv = CrossValidator(estimator=Pipeline(stages=[*stages, est]), estimatorParamMaps=pipe_grid,
+                            evaluator=BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC"),
+                            foldCol="fold", numFolds=folds, parallelism=4)
+        model = cv.fit(train)
+        bi = max(range(len(model.avgMetrics)), key=lambda i: model.avgMetrics[i])
+        params = ", ".join(f"{p.name}={v}" for p, v in pipe_grid[bi].items())
+        s = scored(model.bestModel.transform(test), id_col)
+        tuned_metrics = CV.binary_metrics(s, score="score").withColumn("model", F.lit(best))
+    metrics = ["accuracy", "precision", "recall", "f1", "roc_auc"]
+    tall = lambda d, name: d.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias(name))
+                                                        for m in metrics])).alias("e")).select("e.*")
+    u = tall(cmp.where(F.col("model") == best), "untuned")
+    t = tall(tuned_metrics, "tuned")
+    return (u.join(t, "metric").select(F.lit(best).alias("model"), "metric", "untuned", "tuned",
+                                       F.round(F.col("tuned") - F.col("untuned"), 6).alias("delta"),
+                                       F.lit(params).alias("best_params")))

@@ -164,3 +164,39 @@ def _importance_dist(spark, sf):
 
 
 register("importance_distribution")(_importance_dist)
+
+
+# ---------------------------------------------------------------- D7 + J7 + J8 + J26
+def _tune(spark, sf):
+    d = labelled(spark, sf)
+    train, test = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
+    return M.tune_winner(train, test, stages(), "claim_id", candidates=["LogisticRegression", "SVM"])
+
+
+register("tune_winner")(_tune)
+
+
+# ---------------------------------------------------------------- I6/I7/J12: embedding vector + scaled numerics
+def _embedding_lr(spark, sf):
+    """Precomputed embeddings as the text representation (binary target: label 0 vs rest); the
+    feature type falls back to TF-IDF when no embedding column is present (I7)."""
+    from pyspark.ml.functions import array_to_vector
+    from claimlens.sources.tables import table
+    e = table(spark, sf, "embeddings")
+    has_vec = "embedding" in e.columns
+    d = e.select("vec_id", (F.col("label") == 0).cast("double").alias("label"),
+                 F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x)
+                 .alias("sq_norm"),
+                 array_to_vector(F.col("embedding").cast("array<double>")).alias("emb"))
+    d = materialize(with_class_weight(d, "label"))
+    r = rank_within(d, "vec_id", "label", 42)
+    d = r.withColumn("split", F.when(F.col("_rank") <= ((F.col("_n") * 20 + 99) / 100).cast("long"), F.lit("test"))
+                     .otherwise(F.lit("train"))).drop("_rank", "_n")
+    st = M.feature_stages(None, [], ["sq_norm"], embedding="emb" if has_vec else None)
+    m = M.fit_pipeline(d.where(F.col("split") == "train"), st, M.logistic(weight_col="weight"))
+    s = M.scored(m.transform(d.where(F.col("split") == "test")), "vec_id")
+    return CV.binary_metrics(s, score="score").withColumn(
+        "feature_type", F.lit("embedding" if has_vec else "tfidf"))
+
+
+register("embedding_lr")(_embedding_lr)
