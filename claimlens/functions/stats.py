@@ -113,3 +113,41 @@ def prefix_sums(df: DataFrame, order_col: str, cols: Sequence[str], descending:
     out = ranged.join(F.broadcast(offsets), "_pid")  # one row per partition: bounded
     out = out.withColumns({f"cum_{c}": F.col(f"_o_{c}") + F.sum(c).over(within) for c in cols})
     return out.drop("_pid", *[f"_o_{c}" for c in cols])
+
+
+def pearson_table(df: DataFrame, pairs: Sequence[tuple[str, str]], singles: Sequence[str] = ()) -> DataFrame:
+    """One-row table of pairwise-complete Pearson correlations ``"a|b"`` (NULL when a side is constant)
+    and, for ``singles``, the centred sum of squares ``"ss|c"``.
+
+    Two scans of plain sums (partial aggregation friendly): the pairwise-complete means, then the
+    centred cross-products with the means attached as one broadcast row - numerically stable and
+    much cheaper than central-moment aggregates.
+    """
+    both = {p: F.col(p[0]).isNotNull() & F.col(p[1]).isNotNull() for p in pairs}
+    m = []
+    for i, (a, b) in enumerate(pairs):
+        w = both[(a, b)]
+        m += [F.count_if(w).alias(f"n{i}"), F.sum(F.when(w, F.col(a))).alias(f"sa{i}"),
+              F.sum(F.when(w, F.col(b))).alias(f"sb{i}")]
+    for j, c in enumerate(singles):
+        m += [F.count(c).alias(f"nc{j}"), F.sum(c).alias(f"sc{j}")]
+    means = df.agg(*m).select(
+        *[(F.col(f"sa{i}") / F.col(f"n{i}")).alias(f"ma{i}") for i in range(len(pairs))],
+        *[(F.col(f"sb{i}") / F.col(f"n{i}")).alias(f"mb{i}") for i in range(len(pairs))],
+        *[(F.col(f"sc{j}") / F.col(f"nc{j}")).alias(f"mc{j}") for j in range(len(singles))])
+    j = df.crossJoin(F.broadcast(means))
+    s = []
+    for i, (a, b) in enumerate(pairs):
+        w = both[(a, b)]
+        da, db = F.col(a) - F.col(f"ma{i}"), F.col(b) - F.col(f"mb{i}")
+        s += [F.sum(F.when(w, da * db)).alias(f"cab{i}"), F.sum(F.when(w, da * da)).alias(f"caa{i}"),
+              F.sum(F.when(w, db * db)).alias(f"cbb{i}")]
+    for k, c in enumerate(singles):
+        d = F.col(c) - F.col(f"mc{k}")
+        s.append(F.sum(d * d).alias(f"cc{k}"))
+    sums = j.agg(*s)
+    out = [F.when((F.col(f"caa{i}") > 0) & (F.col(f"cbb{i}") > 0),
+                  F.col(f"cab{i}") / F.sqrt(F.col(f"caa{i}") * F.col(f"cbb{i}"))).alias(f"{a}|{b}")
+           for i, (a, b) in enumerate(pairs)]
+    out += [F.col(f"cc{k}").alias(f"ss|{c}") for k, c in enumerate(singles)]
+    return sums.select(*out)

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimlens.functions.stats import pearson, quantiles_wide
+from claimlens.functions.stats import pearson_table, quantiles_wide
 
 R = 6
 FLAG = "greenwashing_flag"
@@ -61,9 +61,8 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pairwise-complete Pearson correlations, tall form (a, b, corr), one scan."""
     cols = list(cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    # one scan: the pairwise correlations and the per-column deviations together
-    row = df.agg(*[pearson(a, b).alias(f"{a}|{b}") for a, b in pairs],
-                 *[F.stddev_samp(c).alias(f"sd|{c}") for c in cols])
+    # two scans of plain sums: the pairwise correlations and the per-column spread together
+    row = pearson_table(df, pairs, cols)
     entries = []
     for a, b in pairs:
         v = r6(F.col(f"`{a}|{b}`"))
@@ -71,16 +70,16 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                     F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), v.alias("corr"))]
     # the diagonal is 1 where the column has variance; pandas gives NaN for a constant column
     for c in cols:
-        one = F.when(F.col(f"`sd|{c}`") > 0, F.lit(1.0))
+        one = F.when(F.col(f"`ss|{c}`") > 0, F.lit(1.0))
         entries.append(F.struct(F.lit(c).alias("col_a"), F.lit(c).alias("col_b"), one.alias("corr")))
     return row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
 
 def corr_with_flag(df: DataFrame, cols: Sequence[str], flag: str = FLAG) -> DataFrame:
     """Correlation of each column with the flag, ranked descending (signed)."""
-    row = df.agg(*[pearson(c, flag).alias(c) for c in cols])
+    row = pearson_table(df, [(c, flag) for c in cols])
     tall = row.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), r6(F.col(c)).alias("corr")) for c in cols])).alias("e")).select("e.*")
+        F.struct(F.lit(c).alias("feature"), r6(F.col(f"`{c}|{flag}`")).alias("corr")) for c in cols])).alias("e")).select("e.*")
     # tall has one row per column: a bounded window
     return tall.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("corr"), "feature")))
 
