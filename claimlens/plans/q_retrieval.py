@@ -272,7 +272,6 @@ def _chunks(method):
     return q
 
 
-register("chunk_sentence")(_chunks("sentence"))
 register("chunk_recursive")(_chunks("recursive"))
 
 
@@ -306,3 +305,35 @@ SELECT round(coalesce((tp + tn) / nullif(CAST(tp + tn + fp + fn AS DOUBLE), 0),
 
 
 register("retrieval_eval", _retrieval_eval_sql())(_retrieval_eval)
+
+
+def _sentence_chunks_sql(size: int = 1000, overlap: int = 200, back: int = 100) -> str:
+    """The windowed sentence chunker as a recursive CTE (oracle for ``chunk_sentence``)."""
+    from claimlens.functions.text import WS
+
+    def end_expr(start):
+        lo = f"greatest({start}, {start} + {size - back})"
+        w = f"substr(d.text, {lo} + 2, {start} + {size} - {lo})"
+        pos = [f"coalesce(nullif(strpos(reverse({w}), '{c}'), 0), 1000000000)" for c in ".!?"]
+        r = f"least({', '.join(pos)})"
+        return (f"CASE WHEN {start} + {size} >= d.n THEN {start} + {size} "
+                f"WHEN {r} < 1000000000 THEN {lo} + 1 + (length({w}) - {r}) + 1 ELSE {start} + {size} END")
+
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents),
+steps(doc_id, start, e) AS (
+  SELECT d.doc_id, 0, {end_expr('0')} FROM d WHERE d.n > {size}
+  UNION ALL
+  SELECT d.doc_id, s.e - {overlap}, {end_expr(f's.e - {overlap}')}
+  FROM steps s JOIN d ON s.doc_id = d.doc_id WHERE s.e - {overlap} < d.n),
+pieces AS (SELECT s.doc_id, s.start,
+                  regexp_replace(substr(d.text, s.start + 1, s.e - s.start), '^{WS}+|{WS}+$', '', 'g') AS piece
+           FROM steps s JOIN d ON s.doc_id = d.doc_id),
+kept AS (SELECT doc_id, piece, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS chunk_id
+         FROM pieces WHERE piece <> ''
+         UNION ALL SELECT doc_id, text, 0 FROM d WHERE n <= {size})
+SELECT doc_id, CAST(chunk_id AS INTEGER) AS chunk_id, CAST(length(piece) AS INTEGER) AS chunk_size,
+       CAST(doc_id AS VARCHAR) || ':' || CAST(chunk_id AS VARCHAR) AS chunk_uid
+FROM kept"""
+
+
+register("chunk_sentence", _sentence_chunks_sql())(_chunks("sentence"))
