@@ -58,6 +58,13 @@ def terms(df: DataFrame, id_col: str, text: str, p: TfidfParams) -> DataFrame:
     for n in range(lo, hi + 1):
         if n == 1:
             grams.append(F.col("_tok"))
+        elif n == 2:
+            # adjacent pairs: zip the token array with itself shifted by one
+            m = F.size("_tok") - 1
+            grams.append(F.when(m > 0, F.zip_with(F.slice("_tok", 1, F.greatest(m, F.lit(1))),
+                                                  F.slice("_tok", 2, F.greatest(m, F.lit(1))),
+                                                  lambda a, b: F.concat(a, F.lit(" "), b)))
+                         .otherwise(F.array().cast("array<string>")))
         else:
             k = F.size("_tok") - n + 1
             grams.append(F.when(k > 0, F.transform(
