@@ -131,7 +131,15 @@ def chunk_table(docs: DataFrame, id_col: str, text: str, method: str = "sentence
     """Chunk table ``(id, *keep, chunk_id, chunk_size, chunk_uid, text)``; ``chunk_uid`` = ``id:chunk_id``."""
     fn = sentence_chunks if method == "sentence" else recursive_chunks
     keep = keep or []
-    arr = docs.select(id_col, *keep, fn(text, size, overlap).alias("_chunks"))
+    if method == "sentence":
+        # a text no longer than one chunk is its own single chunk: only longer texts reach Python
+        t = F.col(text)
+        short = docs.where(F.length(t) <= size).select(id_col, *keep, F.array(t).alias("_chunks"))
+        long_ = docs.where(~(F.length(t) <= size) | t.isNull()).select(id_col, *keep, fn(text, size, overlap)
+                                                                        .alias("_chunks"))
+        arr = short.unionByName(long_)
+    else:
+        arr = docs.select(id_col, *keep, fn(text, size, overlap).alias("_chunks"))
     ex = arr.select(id_col, *keep, F.posexplode("_chunks").alias("chunk_id", "text"))
     return ex.select(id_col, *keep, "chunk_id", F.length("text").alias("chunk_size"),
                      F.concat_ws(":", F.col(id_col).cast("string"), F.col("chunk_id").cast("string")).alias("chunk_uid"),
