@@ -30,7 +30,7 @@ def rank_within(df: DataFrame, id_col: str, by: str, seed: int = 42) -> DataFram
     # offsets of each label: rows of smaller labels (one row per label value: a bounded window)
     offs = sizes.select(by, "_n", F.coalesce(F.sum("_n").over(
         Window.orderBy(F.col(by).cast("string")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    out = cum.join(F.broadcast(offs), by)
+    out = cum.join(offs, by)  # one row per label value; AQE broadcasts it after measuring
     return out.withColumn("_rank", F.col("cum__one") - F.col("_off")).drop("_key", "_one", "cum__one", "_off")
 
 
@@ -56,9 +56,10 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """Attach the balanced weight of each row's class (a join on the small class table)."""
+    """Attach the balanced weight of each row's class (a join on the class table; AQE broadcasts
+    it once its measured size is known to be small)."""
     w = class_weights(df, label).select(label, F.col("weight").alias(out))
-    return df.join(F.broadcast(w), label, "left")
+    return df.join(w, label, "left")
 
 
 def group_folds(df: DataFrame, group: str, label: str, k: int = 4, seed: int = 42,

@@ -104,7 +104,8 @@ def vectorize(df: DataFrame, id_col: str, text: str, vocab: DataFrame, p: TfidfP
 
     ``vocab`` has at most ``max_features`` rows, so it is broadcast.
     """
-    t = terms(df, id_col, text, p).join(F.broadcast(vocab), "term")
+    vb = F.broadcast(vocab) if p.max_features else vocab  # hint only when capped by max_features
+    t = terms(df, id_col, text, p).join(vb, "term")
     tf = t.groupBy(id_col, "term", "idf").agg(F.count(F.lit(1)).alias("tf"))
     return _weights(tf.select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w")), id_col)
 
@@ -121,7 +122,8 @@ def corpus_vectors(chunks: DataFrame, p: TfidfParams, id_col: str = "chunk_uid",
     docs = docs.repartition(partitions, id_col) if partitions else docs.repartition(id_col)
     tf = terms(docs, id_col, text, p).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
     vocab = vocabulary(tf, chunks.agg(F.count(F.lit(1)).alias("_n")), id_col, p)
-    w = tf.join(F.broadcast(vocab), "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    vb = F.broadcast(vocab) if p.max_features else vocab
+    w = tf.join(vb, "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
     return vocab, _weights(w, id_col)
 
 

@@ -369,12 +369,13 @@ __all__ = [n for n in dir() if not n.startswith("_")] + ["word_count"]
 
 def sentiment_polarity(df: DataFrame, id_col: str, text: str, lexicon: DataFrame, token: str | None = None) -> DataFrame:
     """H13 (re-aimed): polarity = mean weight of the lexicon words found in the text (each
-    occurrence counts), 0.0 when none is found.  ``lexicon`` is a small ``(term, polarity)``
-    table, joined by broadcast; texts are tokenised whole."""
+    occurrence counts), 0.0 when none is found.  ``lexicon`` is a ``(term, polarity)`` table,
+    joined without a hint (AQE broadcasts it when its measured size is small); texts are
+    tokenised whole and only matched tokens are aggregated."""
     from claimlens.functions.text import TOKEN
     tok = df.select(id_col, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(token or TOKEN), 0))
                     .alias("term"))
-    hits = tok.join(F.broadcast(lexicon), "term").groupBy(id_col).agg(F.avg("polarity").alias("_p"),
+    hits = tok.join(lexicon, "term").groupBy(id_col).agg(F.avg("polarity").alias("_p"),
                                                                       F.count(F.lit(1)).alias("n_matched"))
     return (df.select(id_col).join(hits, id_col, "left")
             .select(id_col, F.coalesce("_p", F.lit(0.0)).alias("polarity"),
