@@ -375,8 +375,11 @@ def sentiment_polarity(df: DataFrame, id_col: str, text: str, lexicon: DataFrame
     from claimlens.functions.text import TOKEN
     tok = df.select(id_col, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(token or TOKEN), 0))
                     .alias("term"))
-    hits = tok.join(lexicon, "term").groupBy(id_col).agg(F.avg("polarity").alias("_p"),
-                                                                      F.count(F.lit(1)).alias("n_matched"))
+    # polarities carry at most 3 decimals: summing them as integer milli-units makes the mean
+    # independent of the summation order (one final division)
+    milli = F.round(F.col("polarity") * 1000).cast("long")
+    hits = tok.join(lexicon, "term").groupBy(id_col).agg(
+        (F.sum(milli) / (F.count(F.lit(1)) * 1000.0)).alias("_p"), F.count(F.lit(1)).alias("n_matched"))
     return (df.select(id_col).join(hits, id_col, "left")
             .select(id_col, F.coalesce("_p", F.lit(0.0)).alias("polarity"),
                     F.coalesce("n_matched", F.lit(0)).alias("n_matched")))

@@ -262,7 +262,8 @@ def _polarity(spark, sf):
     from claimlens.sources.tables import table
     lex = spark.createDataFrame(list(L.DATA_POLARITY.items()), "term string, polarity double")
     out = RK.sentiment_polarity(table(spark, sf, "documents"), "doc_id", "text", lex)
-    return out.select("doc_id", F.round("polarity", 6).alias("polarity"), F.col("n_matched").cast("bigint"))
+    return out.select("doc_id", (F.floor(F.col("polarity") * 1e6 + 0.5) / 1e6).alias("polarity"),
+                      F.col("n_matched").cast("bigint"))
 
 
 def _polarity_sql():
@@ -270,8 +271,9 @@ def _polarity_sql():
     vals = ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in L.DATA_POLARITY.items())
     return f"""WITH lex(term, polarity) AS (VALUES {vals}),
 tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS term FROM documents),
-h AS (SELECT doc_id, avg(polarity) AS p, count(*) AS n FROM tok JOIN lex USING (term) GROUP BY doc_id)
-SELECT d.doc_id, round(coalesce(h.p, 0.0), 6) AS polarity, CAST(coalesce(h.n, 0) AS BIGINT) AS n_matched
+h AS (SELECT doc_id, sum(CAST(round(polarity * 1000) AS BIGINT)) / (count(*) * 1000.0) AS p, count(*) AS n
+      FROM tok JOIN lex USING (term) GROUP BY doc_id)
+SELECT d.doc_id, floor(coalesce(h.p, 0.0) * 1e6 + 0.5) / 1e6 AS polarity, CAST(coalesce(h.n, 0) AS BIGINT) AS n_matched
 FROM documents d LEFT JOIN h ON d.doc_id = h.doc_id"""
 
 
