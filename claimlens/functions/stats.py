@@ -32,20 +32,21 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     """
     by = list(by)
     probs = [float(p) for p in probs]
+    k = len(probs)
     margin = 3.0 / accuracy
     v = F.col(value).cast("double")
     base = df.select(*by, F.nanvl(v, F.lit(None).cast("double")).alias("_v")).where(F.col("_v").isNotNull())
 
     lo_p = [max(0.0, p - margin) for p in probs]
     hi_p = [min(1.0, p + margin) for p in probs]
+    # one sketch per group serves both bracket ends
     stats = base.groupBy(*by).agg(
         F.count("_v").alias("_n"),
-        F.percentile_approx("_v", lo_p, accuracy).alias("_lo"),
-        F.percentile_approx("_v", hi_p, accuracy).alias("_hi"),
+        F.percentile_approx("_v", lo_p + hi_p, accuracy).alias("_q"),
         F.min("_v").alias("_min"), F.max("_v").alias("_max"))
-    q = F.explode(F.arrays_zip(F.array(*[F.lit(i) for i in range(len(probs))]).alias("qi"),
+    q = F.explode(F.arrays_zip(F.array(*[F.lit(i) for i in range(k)]).alias("qi"),
                                F.array(*[F.lit(p) for p in probs]).alias("p"),
-                               F.col("_lo").alias("lo"), F.col("_hi").alias("hi")))
+                               F.slice("_q", 1, k).alias("lo"), F.slice("_q", k + 1, k).alias("hi")))
     brackets = stats.select(*by, "_n", "_min", "_max", q.alias("b")).select(
         *by, "_n",
         F.col("b.qi").alias("q_index"), F.col("b.p").alias("prob"),
@@ -54,20 +55,23 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
         F.when(F.col("b.p") + margin >= 1, F.col("_max")).otherwise(F.col("b.hi")).alias("hi"))
     # ``brackets`` has one row per group and quantile: small, joined on the group keys.
     j = base.join(brackets, by) if by else base.crossJoin(F.broadcast(brackets))
-    below = j.groupBy(*by, "q_index").agg(F.count_if(F.col("_v") < F.col("lo")).alias("_below"))
-    inside = (j.where((F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi")))
-              .groupBy(*by, "q_index", "prob", "_n", "_v").agg(F.count(F.lit(1)).alias("_c")))
-    w = Window.partitionBy(*by, "q_index").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    walked = (inside.join(below, [*by, "q_index"])
-              .withColumn("_end", F.col("_below") + F.sum("_c").over(w))
-              .withColumn("_start", F.col("_end") - F.col("_c")))
+    # every value below the bracket falls into one leading group, so its count is the offset
+    below = F.col("_v") < F.col("lo")
+    grouped = (j.where(F.col("_v") <= F.col("hi"))
+               .groupBy(*by, "q_index", "prob", "_n", below.alias("_below"),
+                        F.when(~below, F.col("_v")).alias("_key"))
+               .agg(F.count(F.lit(1)).alias("_c")))
+    w = (Window.partitionBy(*by, "q_index").orderBy(F.desc("_below"), F.asc("_key"))
+         .rowsBetween(Window.unboundedPreceding, 0))
+    walked = (grouped.withColumn("_end", F.sum("_c").over(w))
+              .withColumn("_start", F.col("_end") - F.col("_c")).where(~F.col("_below")))
     # h = (n-1) p, ranks are 0-based; value at rank r is the row with start <= r < end
     h = (F.col("_n") - 1) * F.col("prob")
     lo_r, hi_r = F.floor(h), F.least(F.floor(h) + 1, F.col("_n") - 1)
     picked = walked.groupBy(*by, "q_index", "prob").agg(
         F.first(h).alias("_h"),
-        F.max(F.when((F.col("_start") <= lo_r) & (lo_r < F.col("_end")), F.col("_v"))).alias("_a"),
-        F.max(F.when((F.col("_start") <= hi_r) & (hi_r < F.col("_end")), F.col("_v"))).alias("_b"))
+        F.max(F.when((F.col("_start") <= lo_r) & (lo_r < F.col("_end")), F.col("_key"))).alias("_a"),
+        F.max(F.when((F.col("_start") <= hi_r) & (hi_r < F.col("_end")), F.col("_key"))).alias("_b"))
     frac = F.col("_h") - F.floor(F.col("_h"))
     return picked.select(*by, "q_index", "prob",
                          (F.col("_a") + frac * (F.col("_b") - F.col("_a"))).alias("value"))
