@@ -179,7 +179,8 @@ _DOUBLE_COLS = {"claimed_value", "actual_measured_value", "value_deviation", "ex
 
 def _miss_sql(c):
     q = f'"{c}"'
-    return f"count_if({q} IS NULL OR isnan({q}))" if c in _DOUBLE_COLS else f"count_if({q} IS NULL)"
+    inner = f"count_if({q} IS NULL OR isnan({q}))" if c in _DOUBLE_COLS else f"count_if({q} IS NULL)"
+    return f"CAST({inner} AS BIGINT)"
 
 
 register("profile_nulls", TXT + "\nUNION ALL\n".join(
@@ -219,7 +220,8 @@ WHERE length(coalesce({strip('esg_claim_text')}, 'No claim text provided')) >= 1
     lambda spark, sf: Q.clean_text_quality(claims_txt(spark, sf)).select("claim_id", "esg_claim_text"))
 
 register("length_bands", TXT + """
-SELECT count_if(length(esg_claim_text) < 50) AS n_short, count_if(length(esg_claim_text) > 500) AS n_long,
+SELECT CAST(count_if(length(esg_claim_text) < 50) AS BIGINT) AS n_short,
+       CAST(count_if(length(esg_claim_text) > 500) AS BIGINT) AS n_long,
        count(*) AS n_rows FROM claims""")(lambda spark, sf: Q.length_bands(claims_txt(spark, sf)))
 
 register("coerce_numeric", """

@@ -41,8 +41,10 @@ sp AS (SELECT *, CAST(score > 0.5 AS INTEGER) AS pred FROM s)
 S_NUM = NUM.rstrip("\n") + """,
 sp AS (SELECT claim_id, greenwashing_flag AS label, report_sentiment_score AS score FROM claims)
 """
-CONF = """cf AS (SELECT count_if(label = 0 AND pred = 0) AS tn, count_if(label = 0 AND pred = 1) AS fp,
-                  count_if(label = 1 AND pred = 0) AS fn, count_if(label = 1 AND pred = 1) AS tp FROM sp)"""
+CONF = """cf AS (SELECT CAST(count_if(label = 0 AND pred = 0) AS BIGINT) AS tn,
+                  CAST(count_if(label = 0 AND pred = 1) AS BIGINT) AS fp,
+                  CAST(count_if(label = 1 AND pred = 0) AS BIGINT) AS fn,
+                  CAST(count_if(label = 1 AND pred = 1) AS BIGINT) AS tp FROM sp)"""
 
 
 def _ratio(a, b):

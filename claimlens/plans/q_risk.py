@@ -211,8 +211,9 @@ register("batch_analysis_data", _batch_sql(DATA_LEX)
     lambda spark, sf: _rounded(_batch(spark, sf, DATA_LEX)))
 
 register("batch_summary", "WITH r AS (" + _batch_sql(DATA_LEX) + """)
-SELECT count(*) AS total_claims, round(avg(risk_score), 6) AS avg_risk, count_if(risk_score > 0.5) AS high_risk_claims,
-       count_if(fraud_alert = 'HIGH') AS fraud_alerts,
+SELECT count(*) AS total_claims, round(avg(risk_score), 6) AS avg_risk,
+       CAST(count_if(risk_score > 0.5) AS BIGINT) AS high_risk_claims,
+       CAST(count_if(fraud_alert = 'HIGH') AS BIGINT) AS fraud_alerts,
        round(count_if(analysis_status = 'Success') * 100.0 / count(*), 6) AS success_rate FROM r""")(
     lambda spark, sf: RK.batch_summary(_batch(spark, sf, DATA_LEX)))
 
