@@ -16,6 +16,7 @@ from claimlens.plans.registry import register
 from claimlens.plans.sqlparts import TXT
 from claimlens.sources.claims import claims_txt
 from claimlens.sources.tables import table
+from claimlens.session import materialize
 
 K = 5
 
@@ -25,9 +26,9 @@ def corpus_chunks(spark, sf):
     return CH.chunk_table(b, "item_id", "text", "sentence", keep=["title"])
 
 
-def hits(spark, sf, k=K):
+def hits(spark, sf, k=K, chunks=None):
     c = claims_txt(spark, sf)
-    return RT.search_topk(c, "claim_id", "esg_claim_text", corpus_chunks(spark, sf), k)
+    return RT.search_topk(c, "claim_id", "esg_claim_text", chunks if chunks is not None else corpus_chunks(spark, sf), k)
 
 
 def _stop_sql():
@@ -108,8 +109,8 @@ SELECT label, vec_id, score, rank FROM r WHERE rank <= {K}""")(_dense("l2"))
 
 # ---------------------------------------------------------------- G9 context, G10 prompt
 def _context(spark, sf):
-    ch = corpus_chunks(spark, sf)
-    return RT.context(hits(spark, sf), ch, "claim_id")
+    ch = materialize(corpus_chunks(spark, sf))  # chunked once, used by the search and for the texts
+    return RT.context(hits(spark, sf, chunks=ch), ch, "claim_id")
 
 
 _CTX_SQL = HITS_SQL_CTES.rstrip("\n") + """,
@@ -180,11 +181,11 @@ FROM conversations WHERE role = 'assistant'""")(_parse_text)
 # ---------------------------------------------------------------- G12-G14 + H9-H11: notebook claim analysis
 def _rag_analysis(spark, sf):
     c = claims_txt(spark, sf).select("claim_id", "esg_claim_text")
-    ch = corpus_chunks(spark, sf)
-    s = RT.hit_summary(c, hits(spark, sf), ch, "claim_id", title="title")
+    ch = materialize(corpus_chunks(spark, sf))  # chunked once, used by the search and for titles
+    s = RK.with_lower(RT.hit_summary(c, hits(spark, sf, chunks=ch), ch, "claim_id", title="title"), "esg_claim_text")
     t = F.col("esg_claim_text")
-    kc = RK.keyword_counts(t)
-    issues = RK.keyword_issues(t)
+    kc = RK.keyword_counts(t, lt=F.col(RK.LOWER))
+    issues = RK.keyword_issues(t, lt=F.col(RK.LOWER))
     s = s.withColumns({"_gw": kc["greenwashing_indicators"], "_n_issues": F.size(issues),
                        "_esg": kc["environmental"] + kc["social"] + kc["governance"]})
     risk = RK.weighted_risk(t, "n_hits", "mean_score", "_gw", "_n_issues")
