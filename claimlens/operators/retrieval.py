@@ -183,11 +183,24 @@ def dense_topk(vectors: DataFrame, v_id: str, queries: DataFrame, q_id: str, q_v
     """Exact top-k of ``vectors`` for each query vector.
 
     ``metric='ip'``: inner product, higher is better (G6); ``'l2'``: distance, lower is better (G7).
-    The query set is attached to every row as one array; its size is checked first.
+    A query block is attached to every row as one array, so its size is checked first: beyond
+    ``max_queries`` the queries are split into hash blocks of at most about ``max_queries`` and the
+    per-block top-k tables are unioned (each block is one more pass over the vectors).
     """
     n = queries.count()
-    if n > max_queries:
-        raise ValueError(f"{n} query vectors exceed the bound of {max_queries}; search in blocks")
+    blocks = max(1, -(-n // max_queries))
+    if blocks == 1:
+        return _dense_block(vectors, v_id, queries, q_id, q_vec, k, metric, vec)
+    out = None
+    for b in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64(F.col(q_id)), F.lit(blocks)) == b)
+        r = _dense_block(vectors, v_id, part, q_id, q_vec, k, metric, vec)
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+def _dense_block(vectors: DataFrame, v_id: str, queries: DataFrame, q_id: str, q_vec: str,
+                 k: int, metric: str, vec: str) -> DataFrame:
     qarr = queries.agg(F.collect_list(F.struct(F.col(q_id).alias("qid"),
                                                 F.col(q_vec).cast("array<double>").alias("qv"))).alias("_q"))
     v = vectors.select(v_id, F.col(vec).cast("array<double>").alias("_v")).crossJoin(F.broadcast(qarr))

@@ -55,3 +55,13 @@ def test_model_save_load_roundtrip(spark, tmp_path):
     a = M.scored(m.transform(df), "id").orderBy("id").collect()
     b = M.scored(M.load_model(path).transform(df), "id").orderBy("id").collect()
     assert [round(r["score"], 9) for r in a] == [round(r["score"], 9) for r in b]
+
+
+def test_dense_topk_blocks_match_single_block(spark):
+    from claimlens.operators import retrieval as RT
+    e = spark.read.parquet(f"{SF}/embeddings.parquet")
+    cents = RT.centroids(e, "label")
+    one = {tuple(r) for r in RT.dense_topk(e, "vec_id", cents, "label", "centroid", 3, "ip").collect()}
+    many = {tuple(r) for r in RT.dense_topk(e, "vec_id", cents, "label", "centroid", 3, "ip",
+                                            max_queries=3).collect()}
+    assert one == many and len(one) == 3 * cents.count()
