@@ -188,7 +188,8 @@ def dense_topk(vectors: DataFrame, v_id: str, queries: DataFrame, q_id: str, q_v
     per-block top-k tables are unioned (each block is one more pass over the vectors).
     """
     n = queries.count()
-    blocks = max(1, -(-n // max_queries))
+    # hash blocks only average n / blocks: take twice as many as needed to stay under the bound
+    blocks = 1 if n <= max_queries else -(-2 * n // max_queries)
     if blocks == 1:
         return _dense_block(vectors, v_id, queries, q_id, q_vec, k, metric, vec)
     out = None
