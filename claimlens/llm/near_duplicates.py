@@ -101,16 +101,17 @@ def index_keys(sig: np.ndarray, chunks: int, errors: int) -> np.ndarray:
 
 
 def buckets(classes: DataFrame, slots: int, chunks: int, errors: int) -> DataFrame:
-    """Members of the index's buckets of two and more: key, node, and the bucket's size."""
+    """Members of the index's buckets of two and more: key, its place among a node's keys, node, size."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, slots)
                 keys = index_keys(sig, chunks, errors)
                 node = b.column(0).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(node, keys.shape[1]))], names=["key", "node"])
+                at = np.tile(np.arange(keys.shape[1], dtype=np.int32), len(node))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(at), pa.array(np.repeat(node, keys.shape[1]))], names=["key", "at", "node"])
 
-    keys = classes.select("node", "sig").mapInArrow(run, "key long, node long")
+    keys = classes.select("node", "sig").mapInArrow(run, "key long, at int, node long")
     sizes = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     return keys.join(sizes, "key")
 
@@ -232,10 +233,11 @@ def _runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table
         yield held
 
 
-def cross_pairs(members: DataFrame, classes: DataFrame, comps: DataFrame, docs: DataFrame, doc_id: str, text: str, n: int,
-                low: int, high: int, bits: int, block: int) -> DataFrame:
+def cross_pairs(members: DataFrame, comps: DataFrame, docs: DataFrame, doc_id: str, text: str, n: int, low: int, high: int,
+                slots: int, chunks: int, errors: int, bits: int, block: int) -> DataFrame:
     """Pairs that share a bucket but no component, within the distance of their bit signatures,
-    found block by block of a bucket's members."""
+    found block by block of a bucket's members.  A pair comes out of the first bucket it shares
+    only, told by 32 bits of each of its keys."""
     most = bit_distance(low, high, bits)
 
     def sign_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,40 +245,45 @@ def cross_pairs(members: DataFrame, classes: DataFrame, comps: DataFrame, docs:
             for part, data, offs in slices(batch, "text"):
                 sets = shingle_sets(data, offs, n)
                 keep = pa.array([len(s) > 0 for s in sets], pa.bool_())
-                rows = bit_signatures([s for s in sets if len(s)], bits)
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), pa.array([r.tobytes() for r in rows], pa.binary()),
-                                                  pa.array([len(s) for s in sets if len(s)], pa.int64())], names=["node", "bits", "n"])
+                full = [s for s in sets if len(s)]
+                keys = (index_keys(signatures(full, slots), chunks, errors) >> np.uint64(32)).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), pa.array([r.tobytes() for r in bit_signatures(full, bits)], pa.binary()),
+                                                  pa.array([r.tobytes() for r in keys], pa.binary()), pa.array([len(s) for s in full], pa.int64())],
+                                                 names=["node", "bits", "keys", "n"])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in _runs(batches, ["key", "i", "j"]):
             node, comp, part, size = (run.column(c).to_numpy() for c in ("node", "comp", "part", "n"))
             sig = np.frombuffer(b"".join(run.column("bits").to_pylist()), np.uint64).reshape(len(node), -1)
+            keys = np.frombuffer(b"".join(run.column("keys").to_pylist()), np.uint32).reshape(len(node), -1)
+            at = run.column("at")[0].as_py()
             y = np.flatnonzero(part == run.column("j")[0].as_py())
             sig_y, comp_y, size_y, found = sig[y], comp[y], size[y], []
             for k in np.flatnonzero(part == run.column("i")[0].as_py()).tolist():
                 ok = (comp_y != comp[k]) & (high * np.minimum(size_y, size[k]) >= low * np.maximum(size_y, size[k]))
                 ok[ok] = np.bitwise_count(sig_y[ok] ^ sig[k]).sum(1) <= most
+                ok[ok] = (keys[y[ok]] == keys[k]).argmax(1) == at
                 found += [(node[k], v) for v in node[y[ok]].tolist()]
             if found:
                 pairs = np.unique(np.sort(np.array(found, np.int64), axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["x", "y"])
 
-    own = members.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    own = members.join(comps, "node", "left").select("key", "at", "node", F.coalesce("comp", "node").alias("comp"))
     mixed = own.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi") \
         .select("key", F.ceil(F.col("size") / block).cast("int").alias("parts"))
     placed = materialise(own.join(mixed, "key"), "near-mixed")
     ids = materialise(placed.select("node").distinct(), "near-ids")
     rows = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).cast("string").alias("text"))
-    signed = materialise(by_ids(rows, ids, "node", "left_semi").mapInArrow(sign_bits, "node long, bits binary, n long").distinct(), "near-bits")
+    signed = materialise(by_ids(rows, ids, "node", "left_semi").mapInArrow(sign_bits, "node long, bits binary, keys binary, n long").distinct(), "near-bits")
     dealt = placed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))) \
-        .select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "comp", "part")
+        .select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "at", "node", "comp", "part")
     sorted_ = dealt.join(signed, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return _ordered(sorted_.mapInArrow(near, "x long, y long"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, low: int = 75, high: int = 100,
-                    slots: int = 64, chunks: int = 17, errors: int = 1, bits: int = 1024, block: int = 512) -> DataFrame:
+                    slots: int = 64, chunks: int = 17, errors: int = 1, bits: int = 2048, block: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (doc_id is its component's smallest) for every row."""
     ship_package(docs.sparkSession)
     most = chunks * (errors + 1) - 1
@@ -287,7 +294,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = materialise(within(leader_pairs(members), classes, most, low, high), "near-pairs")
     links = [confirm(first, docs, doc_id, text, n, low, high)]
     comps = materialise(components(links[0]), "near-comps")
-    rest = cross_pairs(members, classes, comps, docs, doc_id, text, n, low, high, bits, block)
+    rest = cross_pairs(members, comps, docs, doc_id, text, n, low, high, slots, chunks, errors, bits, block)
     second = materialise(rest.join(first, ["a", "b"], "left_anti"), "near-more")
     links.append(confirm(second, docs, doc_id, text, n, low, high))
     shared = signed.filter("digest is not null and doc_id is not null").groupBy("doc_id") \
