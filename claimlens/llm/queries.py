@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import decontaminate, near_duplicates
+from claimlens.llm import decontaminate, near_duplicates, packing, sharding
 from claimlens.sources.tables import table
 
 QUERIES = {}
@@ -70,3 +71,15 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN comp ON comp.src = d.do
 @register("op5_near_duplicates", NEAR_DUPLICATES_SQL)
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op1_shard")
+def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.assign_shards(table(spark, sf_dir, "documents"), shards=16)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register("op10_pack")
+def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
+    return out.select("doc_id", "piece", "start", F.col("length").cast("bigint").alias("length"), "ids_crc32", "sequence_id", "offset")
