@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import decontaminate, language_model, near_duplicates, packing, sharding, token_counts
+from claimlens.llm import decontaminate, language_id, language_model, near_duplicates, packing, quality, sharding, token_counts
 from claimlens.llm.common import fold
 from claimlens.sources.tables import table
 
@@ -95,3 +95,16 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_language_model")
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_texts(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) == 1)
+
+
+@register("op8_quality")
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judge(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@register("op9_language_id")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = fold(F.col("doc_id"), 4) == 2
+    return language_id.identify(docs, docs.filter(~held), public_tokenizers.path("piece_bpe_32k.model"), carry=("doc_id", held.alias("held_out")))
