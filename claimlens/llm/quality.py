@@ -31,7 +31,7 @@ from claimlens.session import ship_package
 
 FEATURES = ("log_words", "log_word_chars", "symbol_share", "dup_line_share", "repeat_share")
 #: Smallest standard deviation of each feature that is taken seriously.
-FLOOR = (1.0, 0.15, 0.05, 0.12, 0.12)
+FLOOR = (1.0, 0.15, 0.05, 0.15, 0.15)
 #: Median and 0.99999 quantile of chi-square with five degrees of freedom (fixed values).
 CHI2_MEDIAN, CHI2_CUTOFF = 4.3515, 30.856
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
