@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from claimlens.session import checkpoint_dir, ship_package
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 # ---------------------------------------------------------------- shared scratch tables

@@ -116,11 +116,15 @@ def buckets(classes: DataFrame, slots: int, chunks: int, errors: int) -> DataFra
     return keys.join(sizes, "key")
 
 
-def leader_pairs(members: DataFrame) -> DataFrame:
-    """(leader, member) of every bucket, each pair once with a < b."""
+def leaders(members: DataFrame) -> DataFrame:
+    """Of every bucket the member that shares most buckets (the smallest of equals)."""
     weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
     weighed = members.select("key", "node").join(weight, "node")
-    leader = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("back"))).alias("top")).select("key", (-F.col("top.back")).alias("leader"))
+    return weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("back"))).alias("top")).select("key", (-F.col("top.back")).alias("leader"))
+
+
+def leader_pairs(members: DataFrame, leader: DataFrame) -> DataFrame:
+    """(leader, member) of every bucket, each pair once with a < b."""
     return _ordered(members.select("key", "node").join(leader, "key").select(F.col("leader").alias("x"), F.col("node").alias("y")))
 
 
@@ -144,8 +148,8 @@ def within(pairs: DataFrame, classes: DataFrame, most: int, low: int, high: int)
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, n: int, low: int, high: int) -> DataFrame:
-    """Of the written ``pairs``, those whose full shingle sets have high * |both| >= low * |either|.
-    Only the texts of their documents are read again."""
+    """The written ``pairs`` with the size ``both`` of the intersection of their full shingle sets and
+    ``linked``: high * |both| >= low * |either|.  Only the texts of their documents are read again."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offs in slices(batch, "text"):
@@ -153,28 +157,30 @@ def confirm(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, n: int, l
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near = []
+            both, linked = [], []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 if len(x) > len(y):
                     x, y = y, x
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                near.append(high * both >= low * (len(x) + len(y) - both))
-            yield b.select([0, 1]).filter(pa.array(near, pa.bool_()))
+                n_both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                both.append(n_both)
+                linked.append(high * n_both >= low * (len(x) + len(y) - n_both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(both, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "both", "linked"])
 
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-ids")
+    ids = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "near-ids")
     rows = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).cast("string").alias("text"))
     full = materialise(by_ids(rows, ids, "node", "left_semi").mapInArrow(sets, "node long, grams binary").distinct(), "near-sets")
-    both = pairs.join(full.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a") \
+    sides = pairs.join(full.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a") \
         .join(full.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-    out = materialise(both.select("a", "b", "ga", "gb").mapInArrow(compare, "a long, b long").distinct(), "near-links")
+    measured = sides.select("a", "b", "ga", "gb").mapInArrow(compare, "a long, b long, both long, linked boolean")
+    out = materialise(measured.groupBy("a", "b").agg(F.max("both").alias("both"), F.max("linked").alias("linked")), "near-links")
     release(full)
     release(ids)
     return out
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node and comp (the smallest node it reaches) for every node that has a link."""
+    """Alternating stars over links (a < b): node and comp (the smallest node it reaches) for every node that has a link."""
     edges, mark = materialise(links.select("a", "b"), "near-edges"), None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -233,11 +239,12 @@ def _runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table
         yield held
 
 
-def cross_pairs(members: DataFrame, comps: DataFrame, docs: DataFrame, doc_id: str, text: str, n: int, low: int, high: int,
+def cross_pairs(members: DataFrame, leader: DataFrame, measured: DataFrame, comps: DataFrame, docs: DataFrame, doc_id: str, text: str, n: int, low: int, high: int,
                 slots: int, chunks: int, errors: int, bits: int, block: int) -> DataFrame:
     """Pairs that share a bucket but no component, within the distance of their bit signatures,
     found block by block of a bucket's members.  A pair comes out of the first bucket it shares
-    only, told by 32 bits of each of its keys."""
+    only, told by 32 bits of each of its keys.  Where the intersections of both with the bucket's leader
+    are ``measured``, |x & y| <= min(|x & l|, |y & l|) + min(|x - l|, |y - l|) must allow the link."""
     most = bit_distance(low, high, bits)
 
     def sign_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,9 +265,15 @@ def cross_pairs(members: DataFrame, comps: DataFrame, docs: DataFrame, doc_id: s
             keys = np.frombuffer(b"".join(run.column("keys").to_pylist()), np.uint32).reshape(len(node), -1)
             at = run.column("at")[0].as_py()
             y = np.flatnonzero(part == run.column("j")[0].as_py())
-            sig_y, comp_y, size_y, found = sig[y], comp[y], size[y], []
+            own = run.column("own").fill_null(-1).to_numpy()
+            sig_y, comp_y, size_y, own_y, found = sig[y], comp[y], size[y], own[y], []
             for k in np.flatnonzero(part == run.column("i")[0].as_py()).tolist():
-                ok = (comp_y != comp[k]) & (high * np.minimum(size_y, size[k]) >= low * np.maximum(size_y, size[k]))
+                ok = comp_y != comp[k]
+                common = np.minimum(size_y, size[k])
+                if own[k] >= 0:
+                    bound = np.minimum(own_y, own[k]) + np.minimum(size_y - own_y, size[k] - own[k])
+                    common = np.where(own_y >= 0, np.minimum(common, bound), common)
+                ok &= high * common >= low * (size_y + size[k] - common)
                 ok[ok] = np.bitwise_count(sig_y[ok] ^ sig[k]).sum(1) <= most
                 ok[ok] = (keys[y[ok]] == keys[k]).argmax(1) == at
                 found += [(node[k], v) for v in node[y[ok]].tolist()]
@@ -271,14 +284,17 @@ def cross_pairs(members: DataFrame, comps: DataFrame, docs: DataFrame, doc_id: s
     own = members.join(comps, "node", "left").select("key", "at", "node", F.coalesce("comp", "node").alias("comp"))
     mixed = own.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi") \
         .select("key", F.ceil(F.col("size") / block).cast("int").alias("parts"))
-    placed = materialise(own.join(mixed, "key"), "near-mixed")
+    known = measured.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.col("both").alias("own")) \
+        .unionByName(measured.select(F.col("b").alias("leader"), F.col("a").alias("node"), F.col("both").alias("own")))
+    placed = materialise(own.join(mixed, "key").join(leader, "key").join(known, ["leader", "node"], "left"), "near-mixed")
     ids = materialise(placed.select("node").distinct(), "near-ids")
     rows = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).cast("string").alias("text"))
     signed = materialise(by_ids(rows, ids, "node", "left_semi").mapInArrow(sign_bits, "node long, bits binary, keys binary, n long").distinct(), "near-bits")
     dealt = placed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))) \
-        .select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "at", "node", "comp", "part")
-    sorted_ = dealt.join(signed, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        .select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "at", "node", "comp", "part",
+                (F.col("leader") == F.col("node")).alias("leads"), "own")
+    sorted_ = dealt.join(signed, "node").withColumn("own", F.when(F.col("leads"), F.col("n")).otherwise(F.col("own"))).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return _ordered(sorted_.mapInArrow(near, "x long, y long"))
 
 
@@ -291,16 +307,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = materialise(signed.filter("digest is not null and doc_id is not null").groupBy("digest")
                           .agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "near-classes")
     members = materialise(buckets(classes, slots, chunks, errors), "near-buckets")
-    first = materialise(within(leader_pairs(members), classes, most, low, high), "near-pairs")
-    links = [confirm(first, docs, doc_id, text, n, low, high)]
+    leader = materialise(leaders(members), "near-leaders")
+    first = materialise(within(leader_pairs(members, leader), classes, most, low, high), "near-pairs")
+    measured = confirm(first, docs, doc_id, text, n, low, high)
+    links = [measured.filter("linked")]
     comps = materialise(components(links[0]), "near-comps")
-    rest = cross_pairs(members, comps, docs, doc_id, text, n, low, high, slots, chunks, errors, bits, block)
+    rest = cross_pairs(members, leader, measured, comps, docs, doc_id, text, n, low, high, slots, chunks, errors, bits, block)
     second = materialise(rest.join(first, ["a", "b"], "left_anti"), "near-more")
-    links.append(confirm(second, docs, doc_id, text, n, low, high))
+    links.append(confirm(second, docs, doc_id, text, n, low, high).filter("linked"))
     shared = signed.filter("digest is not null and doc_id is not null").groupBy("doc_id") \
         .agg(F.min("digest").alias("d1"), F.max("digest").alias("d2")).filter("d1 != d2").select("doc_id")
     same = signed.join(shared, "doc_id").join(classes.select("digest", "node"), "digest").select(F.col("doc_id").alias("x"), F.col("node").alias("y"))
-    groups = components(reduce(DataFrame.unionByName, [*links, _ordered(same)]))
+    groups = components(reduce(DataFrame.unionByName, [*(x.select("a", "b") for x in links), _ordered(same)]))
     ids = classes.join(groups, "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"))
     out = signed.select("doc_id", "n_shingles", "digest").join(ids, "digest", "left")
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
