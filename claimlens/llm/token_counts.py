@@ -1,10 +1,15 @@
 """Token counts from distinct pre-tokens.
 
 Each task cuts its texts into blocks of a few megabytes.  A block keeps, per document, how often each
-of its pre-tokens occurs, the pre-tokens themselves once.  All blocks' pre-tokens are brought together
-by value, so the vocabulary's merges run once per distinct pre-token of the corpus; the piece counts
-go back to the blocks by block number and are summed with the frequencies.  No token ids are made.
-A frequent pre-token sends one row per block, not one per occurrence.
+of its pre-tokens occurs, and the pre-tokens themselves once, dealt into buckets by a hash of their
+text.  Buckets are brought together over all blocks, so the merges of the vocabulary run once per
+distinct pre-token of the corpus; the piece counts of a block's part of a bucket go back to the block in
+the order of its words and are summed with the frequencies.  No token ids are made.  A frequent
+pre-token costs one entry per block, not one per occurrence.  Pre-tokens that are entries of the vocabulary
+and encode to that one piece are added up at once.
+
+The count of buckets (by default twice the session's shuffle partitions) sets how many tasks share the
+corpus's vocabulary; a task forgets counted pre-tokens beyond ``remembered`` and counts them anew.
 
 Pre-tokens are those of the tokenizers file: a special token's string in a text is one token, each text
 between is normalised and split.  Texts of plain Latin characters are split by an equal pattern here,
@@ -17,12 +22,12 @@ itself; other columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +41,7 @@ _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-
 
 
 class PreTokens:
-    """Pre-tokens of a text in the library's byte alphabet, and how many special strings it holds."""
+    """Pre-tokens of a text with their frequencies, and how many special strings it holds."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -60,14 +65,33 @@ class PreTokens:
         clean = self.tokenizer.normalizer.normalize_str(text)
         return [clean[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(clean)]
 
+    def in_bytes(self, word: str) -> str:
+        """A pre-token in the vocabulary's byte alphabet."""
+        return word if word.isascii() and word.isprintable() else "".join(self.byte[b] for b in word.encode())
+
     def pieces(self, word: str) -> int:
-        """Pieces of one pre-token, by the merges of the vocabulary."""
-        return len(self.tokenizer.model.tokenize(word if word.isascii() else "".join(self.byte[b] for b in word.encode())))
+        """Pieces of one pre-token in the byte alphabet, by the merges of the vocabulary."""
+        return len(self.tokenizer.model.tokenize(word))
+
+
+_SINGLE: dict[str, frozenset[str]] = {}
+
+
+def single_pieces(path: str, pre: PreTokens) -> frozenset[str]:
+    """Pre-tokens (in the byte alphabet) that are one piece of the vocabulary."""
+    if path not in _SINGLE:
+        ended = (p[:-4] for p in pre.tokenizer.get_vocab(with_added_tokens=False) if p.endswith("</w>"))
+        _SINGLE[path] = frozenset(p for p in ended if p and len(pre.tokenizer.model.tokenize(p)) == 1)
+    return _SINGLE[path]
 
 
-def blocks(docs: DataFrame, tokenizer: str, doc_id: str, text: str, block_bytes: int) -> DataFrame:
+def blocks(docs: DataFrame, tokenizer: str, doc_id: str, text: str, block_bytes: int, buckets: int) -> DataFrame:
+    """Blocks: documents, their single-piece and special tokens (``ready``), and for the other
+    pre-tokens the steps between a document's ascending word numbers, their frequencies, and the
+    words by bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pre, block = PreTokens(tokenizer), TaskContext.get().partitionId() << 32
+        single = single_pieces(tokenizer, pre)
         for batch in batches:
             for part, _, offs in slices(batch, "text", block_bytes):
                 seen: dict[str, int] = {}
@@ -78,48 +102,73 @@ def blocks(docs: DataFrame, tokenizer: str, doc_id: str, text: str, block_bytes:
                     sizes.append(len(found))
                     ids += [seen.setdefault(w, len(seen)) for w in found]
                     freq += found.values()
+                words = [pre.in_bytes(w) for w in seen]
+                known = np.array([w in single for w in words], bool)
+                bucket = np.array([zlib.crc32(w.encode()) % buckets for w in words], np.int64)
+                order = sorted(np.flatnonzero(~known).tolist(), key=lambda i: (bucket[i], words[i]))
+                number = np.full(len(words), -1, np.int64)
+                number[order] = np.arange(len(order))
+                ids, freq, doc = np.array(ids, np.int64), np.array(freq, np.int64), np.repeat(np.arange(len(sizes)), sizes)
+                at, one = number[ids], known[ids]
+                ready = np.bincount(doc[one], weights=freq[one], minlength=len(sizes)).astype(np.int64) + np.array(special)
+                at, freq, doc = at[~one], freq[~one], doc[~one]
+                by = np.lexsort((at, doc))
+                at, freq, doc = at[by], freq[by], doc[by]
+                step = np.diff(at, prepend=0)
+                begins = np.flatnonzero(np.diff(doc, prepend=-1))
+                step[begins] = at[begins]
+                edges = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+                parts = [zlib.compress("\n".join(words[i] for i in order[x:y]).encode(), 6) if y > x else b"" for x, y in zip(edges[:-1], edges[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([block]), pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([np.diff(offs)], pa.list_(pa.int64())),
-                    pa.array([special], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())),
-                    pa.array([pack_ints(np.array(ids, np.uint32))], pa.binary()), pa.array([pack_ints(np.array(freq, np.uint32))], pa.binary()),
-                    pa.array([list(seen)], pa.list_(pa.string()))], names=["block", "doc_id", "n_bytes", "special", "sizes", "ids", "freq", "words"])
+                    pa.array([ready], pa.list_(pa.int64())), pa.array([np.bincount(doc, minlength=len(sizes))], pa.list_(pa.int64())),
+                    pa.array([pack_ints(step)], pa.binary()), pa.array([pack_ints(freq)], pa.binary()), pa.array([parts], pa.list_(pa.binary()))],
+                    names=["block", "doc_id", "n_bytes", "ready", "sizes", "steps", "freq", "parts"])
                 block += 1
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        run, "block long, doc_id array<long>, n_bytes array<long>, special array<long>, sizes array<int>, ids binary, freq binary, words array<string>")
+        run, "block long, doc_id array<long>, n_bytes array<long>, ready array<long>, sizes array<long>, steps binary, freq binary, parts array<binary>")
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 4 << 20,
+                 buckets: int | None = None, remembered: int = 1_000_000) -> DataFrame:
     """doc_id, n_bytes (UTF-8) and n_tokens of every row."""
-    ship_package(docs.sparkSession)
-    made = materialise(blocks(docs, tokenizer, doc_id, text, block_bytes), "token-blocks")
+    spark = docs.sparkSession
+    ship_package(spark)
+    buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made = materialise(blocks(docs, tokenizer, doc_id, text, block_bytes, buckets), "token-blocks")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pre, last, n = PreTokens(tokenizer), None, 0
+        pre, known = PreTokens(tokenizer), {}
         for b in batches:
-            runs = pc.run_end_encode(b.column(0))
-            ends, values = np.asarray(runs.run_ends), runs.values.to_pylist()
-            got = []
-            for w in values:
-                if w != last:
-                    last, n = w, pre.pieces(w)
-                got.append(n)
-            pieces = np.repeat(np.array(got, np.int32), np.diff(np.r_[0, ends]))
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(pieces)], names=["block", "at", "pieces"])
-
-    words = made.select(F.posexplode("words").alias("at", "word"), "block").select("word", "block", "at")
-    counted = words.repartition("word").sortWithinPartitions("word").mapInArrow(count, "block long, at int, pieces int")
+            out = []
+            for words in b.column(2).to_pylist():
+                got = []
+                for w in zlib.decompress(words).decode().split("\n"):
+                    n = known.get(w)
+                    if n is None:
+                        if len(known) >= remembered:
+                            known.clear()
+                        n = known[w] = pre.pieces(w)
+                    got.append(n)
+                out.append(pack_ints(np.array(got)))
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), pa.array(out, pa.binary())], names=["block", "bucket", "pieces"])
+
+    words = made.select("block", F.posexplode("parts").alias("bucket", "words")).filter("length(words) > 0").select("bucket", "block", "words")
+    counted = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "block long, bucket int, pieces binary")
 
     def total(left: pa.Table, right: pa.Table) -> pa.Table:
-        pieces = np.zeros(right.num_rows, np.int64)
-        pieces[right.column("at").to_numpy()] = right.column("pieces").to_numpy()
+        parts = [unpack_ints(x) for x in right.sort_by("bucket").column("pieces").to_pylist()]
+        pieces = np.concatenate([np.zeros(0, np.uint32), *parts]).astype(np.int64)
         out = []
         for r in left.to_pylist():
-            n = pieces[unpack_ints(r["ids"])] * unpack_ints(r["freq"])
-            at = np.r_[0, np.cumsum(r["sizes"], dtype=np.int64)]
-            sums = np.r_[0, np.cumsum(n)]
-            tokens = sums[at[1:]] - sums[at[:-1]] + np.array(r["special"], np.int64)
-            out.append(pa.table({"doc_id": pa.array(r["doc_id"], pa.int64()), "n_bytes": pa.array(r["n_bytes"], pa.int64()), "n_tokens": pa.array(tokens)}))
+            edge = np.r_[0, np.cumsum(r["sizes"], dtype=np.int64)]
+            sums = np.cumsum(unpack_ints(r["steps"]), dtype=np.int64)
+            # word numbers: sums of a document's steps
+            at = sums - np.repeat(np.r_[0, sums][edge[:-1]], r["sizes"])
+            n = np.r_[0, np.cumsum(pieces[at] * unpack_ints(r["freq"]))]
+            out.append(pa.table({"doc_id": pa.array(r["doc_id"], pa.int64()), "n_bytes": pa.array(r["n_bytes"], pa.int64()),
+                                 "n_tokens": pa.array(n[edge[1:]] - n[edge[:-1]] + np.array(r["ready"], np.int64))}))
         return pa.concat_tables(out) if out else pa.table({c: pa.array([], pa.int64()) for c in ("doc_id", "n_bytes", "n_tokens")})
 
-    return made.drop("words").groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(total, "doc_id long, n_bytes long, n_tokens long")
+    return made.drop("parts").groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(total, "doc_id long, n_bytes long, n_tokens long")
