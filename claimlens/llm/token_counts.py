@@ -75,6 +75,14 @@ class PreTokens:
 
 
 _SINGLE: dict[str, frozenset[str]] = {}
+_LOADED: dict[str, PreTokens] = {}
+
+
+def loaded(path: str) -> PreTokens:
+    """The splitter of a file, read once per worker process."""
+    if path not in _LOADED:
+        _LOADED[path] = PreTokens(path)
+    return _LOADED[path]
 
 
 def single_pieces(path: str, pre: PreTokens) -> frozenset[str]:
@@ -90,7 +98,7 @@ def blocks(docs: DataFrame, tokenizer: str, doc_id: str, text: str, block_bytes:
     pre-tokens the steps between a document's ascending word numbers, their frequencies, and the
     words by bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pre, block = PreTokens(tokenizer), TaskContext.get().partitionId() << 32
+        pre, block = loaded(tokenizer), TaskContext.get().partitionId() << 32
         single = single_pieces(tokenizer, pre)
         for batch in batches:
             for part, _, offs in slices(batch, "text", block_bytes):
@@ -131,7 +139,7 @@ def blocks(docs: DataFrame, tokenizer: str, doc_id: str, text: str, block_bytes:
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 4 << 20,
-                 buckets: int | None = None, remembered: int = 1_000_000) -> DataFrame:
+                 buckets: int | None = None, remembered: int = 250_000) -> DataFrame:
     """doc_id, n_bytes (UTF-8) and n_tokens of every row."""
     spark = docs.sparkSession
     ship_package(spark)
@@ -139,7 +147,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     made = materialise(blocks(docs, tokenizer, doc_id, text, block_bytes, buckets), "token-blocks")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pre, known = PreTokens(tokenizer), {}
+        pre, known = loaded(tokenizer), {}
         for b in batches:
             out = []
             for words in b.column(2).to_pylist():
