@@ -44,10 +44,10 @@ def blocks(docs: DataFrame, held_out: Column, doc_id: str, text: str, block_byte
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part, data, offs in slices(batch, "text", block_bytes):
-                words = Words(data, offs, BLANK_SEPARATED)
-                h = np.insert(words.hashes(), words.first[1:], END)
-                sizes = words.counts() + 1
+            for part, _, _ in slices(batch, "text", block_bytes):
+                texts = [Words(data, offs, BLANK_SEPARATED) for _, data, offs in slices(part, "text")]
+                h = np.concatenate([np.insert(w.hashes(), w.first[1:], END) for w in texts])
+                sizes = np.concatenate([w.counts() + 1 for w in texts])
                 values, at, n = np.unique(h, return_inverse=True, return_counts=True)
                 by = np.argsort(-n, kind="stable")  # frequent words get small numbers
                 number = np.empty(len(by), np.int64)
@@ -90,7 +90,7 @@ def _core_numbers(words: np.ndarray, core: np.ndarray) -> np.ndarray:
 
 
 def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", core_share: float = 1e-5,
-                min_count: int = 2, discount: float = 0.5, block_bytes: int = 4 << 20) -> DataFrame:
+                min_count: int = 2, discount: float = 0.5, block_bytes: int = 16 << 20) -> DataFrame:
     """Score every row under the model learned from the rows that are not ``held_out``."""
     spark = docs.sparkSession
     ship_package(spark)

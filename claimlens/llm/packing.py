@@ -61,12 +61,22 @@ class Encoder:
         return self.slow.encode(text, add_special_tokens=False).ids
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of a file, read once per worker process."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def cut(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, doc_id: str, text: str, with_ids: bool) -> DataFrame:
     """The pieces of every document: doc_id, piece, start, length, ids_crc32 and, if asked for, ids."""
     schema = "doc_id long, piece int, start long, length int, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer)
+        encode = encoder(tokenizer)
         for batch in batches:
             for part, _, _ in slices(batch, "text"):
                 rows, ids = [], []
