@@ -162,12 +162,14 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Row ranges of a batch with about ``most`` bytes of text each (one row at least): the part of
     the batch, its bytes and its row offsets."""
-    data, offs = utf8(batch.column(batch.schema.get_field_index(text)))
-    i, n = 0, batch.num_rows
+    col = batch.column(batch.schema.get_field_index(text))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i, n, before = 0, batch.num_rows, 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offs, offs[i] + most, "right")) - 1)
-        yield batch.slice(i, j - i), data[offs[i]:offs[j]], offs[i:j + 1] - offs[i]
-        i = j
+        j = max(i + 1, int(np.searchsorted(ends, before + most, "right")))
+        part = batch.slice(i, j - i)
+        yield part, *utf8(col.slice(i, j - i))  # only this part is copied
+        i, before = j, ends[j - 1]
 
 
 class Words:

@@ -35,6 +35,7 @@ from claimlens.session import ship_package
 UNIT = 32
 MARK = "▁".encode()
 _LATIN = re.compile("[A-Za-z]")
+_UNIT_BYTES = ALNUM & ~np.isin(np.arange(256), np.arange(65, 91))
 
 
 class Trie:
@@ -43,20 +44,23 @@ class Trie:
     def __init__(self, path: str):
         import sentencepiece
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = {sp.id_to_piece(i).encode() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-        pieces = sorted({p for p in pieces if len(p) <= UNIT + len(MARK)} | {bytes([b]) for b in range(256)})
-        step, piece = [[0] * 256], [-1]
+        pieces = (sp.id_to_piece(i).encode() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
+        # units hold lower-case letters, digits and longer characters, so other pieces can never match
+        fits = (p for p in pieces if len(p) <= UNIT + len(MARK) and _UNIT_BYTES[np.frombuffer(p, np.uint8)].all())
+        pieces = sorted({*fits, *(bytes([b]) for b in range(256))})
+        edges: dict[tuple[int, int], int] = {}
+        piece = [-1]
         for k, p in enumerate(pieces):
             node = 0
             for b in p:
-                if not step[node][b]:
-                    step[node][b] = len(step)
-                    step.append([0] * 256)
+                node = edges.setdefault((node, b), len(piece))
+                if node == len(piece):
                     piece.append(-1)
-                node = step[node][b]
             piece[node] = k
-        self.size, self.step, self.piece = len(pieces), np.array(step, np.int32), np.array(piece, np.int32)
-        self.longest = max(map(len, pieces))
+        self.step = np.zeros((len(piece), 256), np.uint16 if len(piece) < 1 << 16 else np.int32)
+        for (node, b), child in edges.items():
+            self.step[node, b] = child
+        self.size, self.piece, self.longest = len(pieces), np.array(piece, np.int32), max(map(len, pieces))
 
 
 _TRIES: dict[str, Trie] = {}
@@ -102,7 +106,7 @@ class Units:
         out = []
         for offset in range(int(self.length.max(initial=0))):
             live = np.flatnonzero(self.length > offset)
-            state, node, end = self.begin[live] + offset, np.zeros(len(live), np.int32), self.begin[live] + self.length[live]
+            state, node, end = self.begin[live] + offset, np.zeros(len(live), t.step.dtype), self.begin[live] + self.length[live]
             for d in range(t.longest):
                 node = t.step[node, text[state + d]]
                 more = node > 0
