@@ -34,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimlens.session import ship_package
+
+from claimlens.llm.common import ready
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 
@@ -97,7 +98,7 @@ def parse(fragment: str) -> tuple[str, str]:
 def read_back(fragments: DataFrame) -> DataFrame:
     """Per conversation, from the rendered text alone: turns and their digest, characters and digest of
     the text under the loss mask, and characters formatted."""
-    ship_package(fragments.sparkSession)
+    ready(fragments.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, state = None, None

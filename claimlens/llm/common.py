@@ -25,6 +25,19 @@ from claimlens.session import checkpoint_dir, ship_package
 SLICE_BYTES = 1 << 20
 
 
+#: Rows of whole texts in one Arrow batch.
+BATCH_ROWS = 1000
+
+
+def ready(spark: SparkSession) -> None:
+    """Ship the package to the Python workers and keep Arrow batches of whole texts small, so that a
+    worker holds a few megabytes of text at a time."""
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 # ---------------------------------------------------------------- shared scratch tables
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
@@ -36,7 +49,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage, and what
     follows reads the same rows however often a task runs again."""
     spark = df.sparkSession
-    ship_package(spark)
+    ready(spark)
     path = scratch_path(spark, tag)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -172,6 +185,20 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
         i, before = j, ends[j - 1]
 
 
+def gathered(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they hold about ``most`` bytes of text, and cut where they hold more."""
+    held, size = [], 0
+    for b in batches:
+        for part, data, _ in slices(b, text, most):
+            held.append(part)
+            size += len(data)
+            if size >= most:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 class Words:
     """Words of consecutive texts: byte ``start``/``end``, and ``first``, the index of each text's
     first word (one more entry than texts)."""

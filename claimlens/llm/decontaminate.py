@@ -27,8 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimlens.llm.common import ALNUM, Words, gram_hashes, slices
-from claimlens.session import ship_package
+from claimlens.llm.common import ALNUM, Words, gram_hashes, ready, slices
 
 RESULT = T.StructType([
     T.StructField("n_words", T.LongType()),
@@ -148,7 +147,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
     """Add ``result``: words of the text, words inside any shared window, the word ranges they form,
     and the items that have a window in the text."""
     spark = docs.sparkSession
-    ship_package(spark)
+    ready(spark)
     df = docs.drop(result)
     schema = T.StructType(df.schema.fields + [T.StructField(result, RESULT)])
     for k, index in enumerate(_item_blocks(items, item_id, item_text, span, block_bytes)):

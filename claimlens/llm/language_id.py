@@ -29,8 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimlens.llm.common import ALNUM, SLICE_BYTES, Words, slices
-from claimlens.session import ship_package
+from claimlens.llm.common import ALNUM, SLICE_BYTES, Words, ready, slices
 
 UNIT = 32
 MARK = "▁".encode()
@@ -184,7 +183,7 @@ def identify(docs: DataFrame, training: DataFrame, vocabulary: str, lang: str =
     """The columns in ``carry``, the predicted language and its score for every row of ``docs``; only
     ``training`` is learned from."""
     spark = docs.sparkSession
-    ship_package(spark)
+    ready(spark)
     model = spark.sparkContext.broadcast(learn(training, vocabulary, lang, text))
     kept = docs.select(*carry)
     schema = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes) + f", `{language_column}` string, `{score_column}` double"

@@ -32,8 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimlens.llm.common import BLANK_SEPARATED, Words, materialise, pack_ints, slices, unpack_ints
-from claimlens.session import ship_package
+from claimlens.llm.common import BLANK_SEPARATED, Words, gathered, materialise, pack_ints, ready, slices, unpack_ints
 
 END = np.uint64(0x656E640000000001)
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -43,8 +42,8 @@ def blocks(docs: DataFrame, held_out: Column, doc_id: str, text: str, block_byte
     """Blocks of documents as word numbers, with the words' hashes and their counts in training rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for part, _, _ in slices(batch, "text", block_bytes):
+        for part in gathered(batches, "text", block_bytes):
+            if part.num_rows:
                 texts = [Words(data, offs, BLANK_SEPARATED) for _, data, offs in slices(part, "text")]
                 h = np.concatenate([np.insert(w.hashes(), w.first[1:], END) for w in texts])
                 sizes = np.concatenate([w.counts() + 1 for w in texts])
@@ -93,7 +92,7 @@ def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
                 min_count: int = 2, discount: float = 0.5, block_bytes: int = 16 << 20) -> DataFrame:
     """Score every row under the model learned from the rows that are not ``held_out``."""
     spark = docs.sparkSession
-    ship_package(spark)
+    ready(spark)
     made = materialise(blocks(docs, held_out, doc_id, text, block_bytes), "lm-blocks")
     total = made.agg(F.sum("trained")).first()[0] or 0
     least = max(1, int(np.ceil(total * core_share)))

@@ -34,8 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimlens.llm.common import BLANK_SEPARATED, Words, by_ids, gram_hashes, materialise, mix64, release, slices
-from claimlens.session import ship_package
+from claimlens.llm.common import BLANK_SEPARATED, Words, by_ids, gram_hashes, materialise, mix64, ready, release, slices
 
 _RNG = np.random.default_rng(75)
 
@@ -301,7 +300,7 @@ def cross_pairs(members: DataFrame, leader: DataFrame, measured: DataFrame, comp
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, low: int = 75, high: int = 100,
                     slots: int = 64, chunks: int = 17, errors: int = 1, bits: int = 2048, block: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (doc_id is its component's smallest) for every row."""
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     most = chunks * (errors + 1) - 1
     signed = materialise(sign(docs, doc_id, text, n, slots), "near-signed")
     classes = materialise(signed.filter("digest is not null and doc_id is not null").groupBy("digest")

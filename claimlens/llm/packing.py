@@ -31,8 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimlens.llm.common import materialise, range_ranks, slices
-from claimlens.session import ship_package
+from claimlens.llm.common import materialise, range_ranks, ready, slices
 
 #: Texts of these characters only are cut into words alike by both tokenizer libraries, whatever their Unicode version.
 _PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
@@ -154,7 +153,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
          with_ids: bool = False) -> DataFrame:
     """Every piece with its sequence_id and its offset in that sequence."""
     spark = docs.sparkSession
-    ship_package(spark)
+    ready(spark)
     pieces = materialise(cut(docs, tokenizer, capacity, end_id, doc_id, text, with_ids), "pack-pieces")
     ranked, sizes = range_ranks(pieces, "length", ["doc_id", "piece", "ids_crc32"], "pack-ranks")
     runs = best_fit_steps({r["length"]: r["n"] for r in sizes.collect()}, capacity)

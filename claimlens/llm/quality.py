@@ -26,8 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimlens.llm.common import BLANK_SEPARATED, Words, gram_hashes, materialise, mix64, release, slices
-from claimlens.session import ship_package
+from claimlens.llm.common import BLANK_SEPARATED, Words, gram_hashes, materialise, mix64, ready, release, slices
 
 FEATURES = ("log_words", "log_word_chars", "symbol_share", "dup_line_share", "repeat_share")
 #: Smallest standard deviation of each feature that is taken seriously.
@@ -135,7 +134,7 @@ def _attach(rows: DataFrame, table: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", subset: float = 0.75,
           steps: int = 4, cutoff: float = CHI2_CUTOFF, prior_rows: float = 20.0) -> DataFrame:
     """doc_id, the statistics, base_failed, the scaled squared distance and kept of every row."""
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     carry = [F.col(doc_id).alias("doc_id"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"),
              F.col(lang).isNull().alias("no_lang"), F.col(source).isNull().alias("no_source")]
     stats = text_statistics(docs, text, carry).withColumns(dict(zip(FEATURES, _vector(), strict=True))).withColumn("base_failed", base_failed())

@@ -23,8 +23,7 @@ import random
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimlens.llm.common import materialise, range_ranks, release, text_crc32
-from claimlens.session import ship_package
+from claimlens.llm.common import materialise, range_ranks, ready, release, text_crc32
 
 Run = tuple[int, int, int, int]  # size class, first rank, rank after the last, shard
 
@@ -128,7 +127,7 @@ def assign_shards(docs: DataFrame, shards: int | None = 16, capacity: int | None
     if (shards is None) == (capacity is None):
         raise ValueError("give either shards or capacity")
     spark = docs.sparkSession
-    ship_package(spark)
+    ready(spark)
     t = F.col(text).cast("string")
     rows = docs.select(F.col(doc_id).alias("doc_id"), (F.coalesce(F.octet_length(t), F.lit(0)) + 1).cast("bigint").alias("size"),
                        F.coalesce(text_crc32(t), F.lit(0)).alias("text_crc32"), F.coalesce(F.unhex(F.sha2(t, 256)), F.lit(b"")).alias("digest"),

@@ -32,8 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimlens.llm.common import materialise, pack_ints, slices, unpack_ints
-from claimlens.session import ship_package
+from claimlens.llm.common import gathered, materialise, pack_ints, ready, unpack_ints, utf8
 
 _PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
 #: The file's own pattern for lower-case text of plain characters (fixed value).
@@ -100,39 +99,39 @@ def blocks(docs: DataFrame, tokenizer: str, doc_id: str, text: str, block_bytes:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pre, block = loaded(tokenizer), TaskContext.get().partitionId() << 32
         single = single_pieces(tokenizer, pre)
-        for batch in batches:
-            for part, _, offs in slices(batch, "text", block_bytes):
-                seen: dict[str, int] = {}
-                sizes, special, ids, freq = [], [], [], []
-                for t in part.column(1).to_pylist():
-                    found, n = pre.counts(t or "")
-                    special.append(n)
-                    sizes.append(len(found))
-                    ids += [seen.setdefault(w, len(seen)) for w in found]
-                    freq += found.values()
-                words = [pre.in_bytes(w) for w in seen]
-                known = np.array([w in single for w in words], bool)
-                bucket = np.array([zlib.crc32(w.encode()) % buckets for w in words], np.int64)
-                order = sorted(np.flatnonzero(~known).tolist(), key=lambda i: (bucket[i], words[i]))
-                number = np.full(len(words), -1, np.int64)
-                number[order] = np.arange(len(order))
-                ids, freq, doc = np.array(ids, np.int64), np.array(freq, np.int64), np.repeat(np.arange(len(sizes)), sizes)
-                at, one = number[ids], known[ids]
-                ready = np.bincount(doc[one], weights=freq[one], minlength=len(sizes)).astype(np.int64) + np.array(special)
-                at, freq, doc = at[~one], freq[~one], doc[~one]
-                by = np.lexsort((at, doc))
-                at, freq, doc = at[by], freq[by], doc[by]
-                step = np.diff(at, prepend=0)
-                begins = np.flatnonzero(np.diff(doc, prepend=-1))
-                step[begins] = at[begins]
-                edges = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
-                parts = [zlib.compress("\n".join(words[i] for i in order[x:y]).encode(), 6) if y > x else b"" for x, y in zip(edges[:-1], edges[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([block]), pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([np.diff(offs)], pa.list_(pa.int64())),
-                    pa.array([ready], pa.list_(pa.int64())), pa.array([np.bincount(doc, minlength=len(sizes))], pa.list_(pa.int64())),
-                    pa.array([pack_ints(step)], pa.binary()), pa.array([pack_ints(freq)], pa.binary()), pa.array([parts], pa.list_(pa.binary()))],
-                    names=["block", "doc_id", "n_bytes", "ready", "sizes", "steps", "freq", "parts"])
-                block += 1
+        for part in gathered(batches, "text", block_bytes):
+            offs = utf8(part.column(1))[1]
+            seen: dict[str, int] = {}
+            sizes, special, ids, freq = [], [], [], []
+            for t in part.column(1).to_pylist():
+                found, n = pre.counts(t or "")
+                special.append(n)
+                sizes.append(len(found))
+                ids += [seen.setdefault(w, len(seen)) for w in found]
+                freq += found.values()
+            words = [pre.in_bytes(w) for w in seen]
+            known = np.array([w in single for w in words], bool)
+            bucket = np.array([zlib.crc32(w.encode()) % buckets for w in words], np.int64)
+            order = sorted(np.flatnonzero(~known).tolist(), key=lambda i: (bucket[i], words[i]))
+            number = np.full(len(words), -1, np.int64)
+            number[order] = np.arange(len(order))
+            ids, freq, doc = np.array(ids, np.int64), np.array(freq, np.int64), np.repeat(np.arange(len(sizes)), sizes)
+            at, one = number[ids], known[ids]
+            ready = np.bincount(doc[one], weights=freq[one], minlength=len(sizes)).astype(np.int64) + np.array(special)
+            at, freq, doc = at[~one], freq[~one], doc[~one]
+            by = np.lexsort((at, doc))
+            at, freq, doc = at[by], freq[by], doc[by]
+            step = np.diff(at, prepend=0)
+            begins = np.flatnonzero(np.diff(doc, prepend=-1))
+            step[begins] = at[begins]
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+            parts = [zlib.compress("\n".join(words[i] for i in order[x:y]).encode(), 6) if y > x else b"" for x, y in zip(edges[:-1], edges[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([block]), pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([np.diff(offs)], pa.list_(pa.int64())),
+                pa.array([ready], pa.list_(pa.int64())), pa.array([np.bincount(doc, minlength=len(sizes))], pa.list_(pa.int64())),
+                pa.array([pack_ints(step)], pa.binary()), pa.array([pack_ints(freq)], pa.binary()), pa.array([parts], pa.list_(pa.binary()))],
+                names=["block", "doc_id", "n_bytes", "ready", "sizes", "steps", "freq", "parts"])
+            block += 1
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
         run, "block long, doc_id array<long>, n_bytes array<long>, ready array<long>, sizes array<long>, steps binary, freq binary, parts array<binary>")
@@ -142,7 +141,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
                  buckets: int | None = None, remembered: int = 250_000) -> DataFrame:
     """doc_id, n_bytes (UTF-8) and n_tokens of every row."""
     spark = docs.sparkSession
-    ship_package(spark)
+    ready(spark)
     buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     made = materialise(blocks(docs, tokenizer, doc_id, text, block_bytes, buckets), "token-blocks")
 

@@ -32,8 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimlens.llm.common import _BASE, _BASE_INV, _SYMBOL_LOWER, ALNUM, Words, materialise, mix64, powers, release, slices
-from claimlens.session import ship_package
+from claimlens.llm.common import _BASE, _BASE_INV, _SYMBOL_LOWER, ALNUM, Words, materialise, mix64, powers, ready, release, slices
 
 PREFIXES = (4, 5, 6)
 
@@ -101,7 +100,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
           features: int = 2048, least_share: float = 0.005, max_positive: int = 20_000, max_unlabelled: int = 40_000) -> Model:
     """Learn from ``docs`` and their ``labels`` (all of them training rows)."""
     spark = docs.sparkSession
-    ship_package(spark)
+    ready(spark)
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null")
     marked = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(toxic).cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null") \
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(d.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -171,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def score(docs: DataFrame, model: Model, text: str = "text", cutoff: float = 0.7) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 from ``cutoff`` on)."""
-    ship_package(docs.sparkSession)
+    ready(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     df = docs.drop("score", "predicted")
     schema = T.StructType(df.schema.fields + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
