@@ -228,7 +228,7 @@ register("coerce_numeric", """
 SELECT c_custkey, TRY_CAST(substr(c_name, 10) AS DOUBLE) AS name_number, TRY_CAST(c_mktsegment AS DOUBLE) AS segment_number
 FROM customer""")(
     lambda spark, sf: Q.coerce_numeric(table(spark, sf, "customer").select(
-        "c_custkey", F.substring("c_name", 10, 1 << 20).alias("name_number"),
+        "c_custkey", F.expr("substring(c_name, 10)").alias("name_number"),
         F.col("c_mktsegment").alias("segment_number")), ["name_number", "segment_number"]))
 
 _QREC_MISS = lambda rel: " + ".join(_miss_sql(c) for c in _TXT_COLS)

@@ -284,7 +284,8 @@ def _retrieval_eval(spark, sf):
               .orderBy(F.md5(F.concat(F.col("claim_id").cast("string"), F.lit("-42"))), "claim_id").limit(50))
     ra = _rag_analysis(spark, sf).select("claim_id", "risk_score")
     s = sample.join(ra, "claim_id").withColumn("pred", (F.col("risk_score") > 0.5).cast("int"))
-    return CV.binary_metrics(s).withColumn("n", F.lit(50).cast("bigint"))
+    size = sample.agg(F.count("*").alias("n"))  # one row: fewer than 50 when fewer claims are labelled
+    return CV.binary_metrics(s).crossJoin(F.broadcast(size))
 
 
 def _retrieval_eval_sql():
@@ -302,7 +303,7 @@ SELECT round(coalesce((tp + tn) / nullif(CAST(tp + tn + fp + fn AS DOUBLE), 0),
        round(coalesce(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 0.0), 6) AS precision,
        round(coalesce(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 0.0), 6) AS recall,
        round(coalesce(2.0 * tp / nullif(CAST(2 * tp + fp + fn AS DOUBLE), 0), 0.0), 6) AS f1,
-       CAST(50 AS BIGINT) AS n FROM cf"""
+       CAST((SELECT count(*) FROM smp) AS BIGINT) AS n FROM cf"""
 
 
 register("retrieval_eval", _retrieval_eval_sql())(_retrieval_eval)

@@ -40,12 +40,15 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    Read from ``spark.checkpoint.dir``.  Only when it is unset (local tests) a
-    fresh scratch folder is created and registered, so ``DataFrame.checkpoint``
+    Read from ``spark.checkpoint.dir``.  Only when it is unset in a
+    one-process local session (tests) a fresh scratch folder is created; a cluster without it is an
+    error and registered, so ``DataFrame.checkpoint``
     and written intermediate tables always land in a folder every executor sees.
     """
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not d and sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="claimlens-ckpt-", dir=os.environ.get("CLAIMLENS_SCRATCH", "/tmp"))
     if not sc.getCheckpointDir():
