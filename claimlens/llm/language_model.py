@@ -89,7 +89,7 @@ def _core_numbers(words: np.ndarray, core: np.ndarray) -> np.ndarray:
 
 
 def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", core_share: float = 1e-5,
-                min_count: int = 2, discount: float = 0.5, block_bytes: int = 16 << 20) -> DataFrame:
+                min_count: int = 2, discount: float = 0.5, block_bytes: int = 8 << 20) -> DataFrame:
     """Score every row under the model learned from the rows that are not ``held_out``."""
     spark = docs.sparkSession
     ready(spark)
@@ -109,12 +109,13 @@ def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         core = sent_core.value
         for b in batches:
-            for r in b.to_pylist():
-                sizes, tokens = np.array(r["sizes"]), unpack_ints(r["tokens"])
-                at, key = _pairs(sizes, tokens, _core_numbers(np.array(r["words"], np.int64), core), len(core))
-                train = np.repeat(~np.array(r["held_out"], bool), sizes)[at]
+            for i in range(b.num_rows):  # a block at a time, its words as an array
+                sizes, words, held = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("sizes", "words", "held_out"))
+                tokens = unpack_ints(b.column("tokens")[i].as_py())
+                at, key = _pairs(sizes, tokens, _core_numbers(words, core), len(core))
+                train = np.repeat(~held.astype(bool), sizes)[at]
                 keys, inverse = np.unique(key, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), r["block"])), pa.array(keys), pa.array(np.bincount(inverse[train], minlength=len(keys)))],
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), b.column("block")[i].as_py())), pa.array(keys), pa.array(np.bincount(inverse[train], minlength=len(keys)))],
                                                  names=["block", "key", "n"])
 
     rows = made.select("block", "sizes", "tokens", "words", "held_out").mapInArrow(bigrams, "block long, key long, n long")
