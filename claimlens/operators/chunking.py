@@ -9,7 +9,8 @@ the chunk arrays with their ordinal (``posexplode``) into the chunk table.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -46,65 +47,48 @@ def split_sentences(text: str, size: int = 1000, overlap: int = 200) -> list[str
     return [chunk for a, b in sentence_spans(text, size, overlap) if (chunk := text[a:b].strip())]
 
 
-def _split_keep(text: str, sep: str) -> list[str]:
-    if not sep:
-        return list(text)
-    parts = re.split(f"({re.escape(sep)})", text)
-    merged = [parts[0]] + [parts[i] + parts[i + 1] for i in range(1, len(parts) - 1, 2)]
-    if len(parts) % 2 == 0:
-        merged.append(parts[-1])
-    return [p for p in merged if p != ""]
-
-
-def _merge(splits: list[str], size: int, overlap: int) -> list[str]:
-    docs, cur, total = [], [], 0
-    for d in splits:
-        ln = len(d)
-        if total + ln > size and cur:
-            joined = "".join(cur).strip()
-            if joined:
-                docs.append(joined)
-            while total > overlap or (total + ln > size and total > 0):
-                total -= len(cur[0])
-                cur = cur[1:]
-        cur.append(d)
-        total += ln
-    joined = "".join(cur).strip()
-    if joined:
-        docs.append(joined)
-    return docs
+def _filled(cuts: Sequence[int], size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Longest windows of at most ``size`` characters between sorted cut positions that lie less than
+    ``size`` apart.  The next window starts at the first cut within ``overlap`` characters of the last end
+    from which the following piece still fits."""
+    left, last = 0, len(cuts) - 1
+    while True:
+        right = bisect_right(cuts, cuts[left] + size, left) - 1
+        yield cuts[left], cuts[right]
+        if right == last:
+            return
+        left = bisect_left(cuts, max(cuts[right] - overlap, cuts[right + 1] - size), left, right)
+
+
+def recursive_spans(text: str, begin: int, end: int, size: int, overlap: int, separators: Sequence[str]) -> Iterator[tuple[int, int]]:
+    """Positions of the chunks of G1 in ``text[begin:end]``.  The text is cut before every occurrence of
+    the first separator that occurs in it (the empty one cuts everywhere); runs of pieces shorter than
+    ``size`` fill windows, a longer piece is cut by the separators that follow."""
+    level = next((i for i, s in enumerate(separators) if text.find(s, begin, end) >= 0), len(separators) - 1)
+    sep, finer = separators[level], separators[level + 1:]
+    if not sep and size > 1:
+        yield from _filled(range(begin, end + 1), size, overlap)
+        return
+    inner = (m.start() for m in re.compile(re.escape(sep)).finditer(text, begin, end))
+    cuts = sorted({begin, end, *inner})
+    long = [i for i in range(len(cuts) - 1) if cuts[i + 1] - cuts[i] >= size]
+    run = 0
+    for i in [*long, len(cuts) - 1]:
+        if i > run:
+            yield from _filled(cuts[run:i + 1], size, overlap)
+        if i < len(cuts) - 1:
+            piece = cuts[i], cuts[i + 1]
+            yield from recursive_spans(text, *piece, size, overlap, finer) if finer else [piece]
+        run = i + 1
 
 
 def split_recursive(text: str, size: int = 1000, overlap: int = 200,
                     separators: list[str] | None = None) -> list[str]:
-    """G1: recursive character splitting (separators tried in order, each kept at the start
-    of the following piece), pieces merged up to ``size`` with ``overlap`` carried over."""
+    """G1: the stripped, non-empty chunks of ``recursive_spans``."""
     if text is None:
         return None
     seps = RECURSIVE_SEPARATORS if separators is None else separators
-    sep, rest = seps[-1], []
-    for i, s in enumerate(seps):
-        if s == "":
-            sep = s
-            break
-        if s in text:
-            sep, rest = s, seps[i + 1:]
-            break
-    out, good = [], []
-    for piece in _split_keep(text, sep):
-        if len(piece) < size:
-            good.append(piece)
-            continue
-        if good:
-            out.extend(_merge(good, size, overlap))
-            good = []
-        if not rest:
-            out.append(piece)
-        else:
-            out.extend(split_recursive(piece, size, overlap, rest))
-    if good:
-        out.extend(_merge(good, size, overlap))
-    return out
+    return [chunk for a, b in recursive_spans(text, 0, len(text), size, overlap, seps) if (chunk := text[a:b].strip())]
 
 
 def sentence_chunks(text: str | Column, size: int = 1000, overlap: int = 200) -> Column:

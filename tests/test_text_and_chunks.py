@@ -108,3 +108,15 @@ def test_search_and_hit_summary_edge_cases(spark):
     s = {r["claim_id"]: r for r in RT.hit_summary(claims, h, chunks, "claim_id", title="title").collect()}
     assert s[2]["n_hits"] == 0 and s[2]["retrieval_note"] == "No relevant documents found"
     assert s[1]["sources"] == ["Unknown", "Unknown"] and s[1]["relevant_standards"] == ["T1", "T2"]
+
+
+def test_recursive_chunks_of_hand_made_texts():
+    """Cuts before separators, carried overlap, a piece longer than the size cut by the next separator."""
+    from claimlens.operators.chunking import split_recursive
+    assert split_recursive("", 10, 2) == [] and split_recursive(None) is None
+    assert split_recursive("aa bb cc", 10, 0) == ["aa bb cc"]
+    assert split_recursive("aa bb cc dd", 6, 0) == ["aa bb", "cc dd"]
+    assert split_recursive("aa bb cc dd", 6, 3) == ["aa bb", "bb cc", "cc dd"]
+    assert split_recursive("p\n\nqq rr ss\n\nt", 7, 0) == ["p", "qq rr", "ss", "t"]
+    assert split_recursive("abcdefgh", 3, 1) == ["abc", "cde", "efg", "gh"]
+    assert split_recursive("abcdefgh ij", 3, 0, [" "]) == ["abcdefgh", "ij"]
