@@ -41,6 +41,14 @@ def binary_metrics(df: DataFrame, label: str = "label", pred: str = "pred", scor
     return out
 
 
+def multiclass_metrics(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
+    """J17 for more than two classes: accuracy, and precision, recall and F1 weighted by support, in one row."""
+    report = classification_report(df, label, pred)
+    line = lambda c: F.max(F.when(F.col("class") == "weighted avg", F.col(c))).alias(c)
+    return report.agg(F.max(F.when(F.col("class") == "accuracy", F.col("precision"))).alias("accuracy"),
+                      line("precision"), line("recall"), line("f1"))
+
+
 def classification_report(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
     """Per class precision/recall/F1/support, plus accuracy, macro and weighted averages."""
     y, p = F.col(label).cast("string"), F.col(pred).cast("string")

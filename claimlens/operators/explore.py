@@ -125,19 +125,23 @@ def insights(df: DataFrame, cols: Sequence[str] = EDA_NUMERIC, flag: str = FLAG)
 
 
 def histogram(df: DataFrame, col: str, bins: int, by: str | None = None) -> DataFrame:
-    """C17: equal-width histogram over [min, max]; the last bin includes max."""
+    """C17: equal-width histogram over [min, max], per value of ``by`` on that value's own range; the last
+    bin includes max, empty bins have ``n`` = 0.  Rows without a value, or without ``by``, are left out."""
     keys = [by] if by else []
     base = df.select(*keys, F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    rng = base.agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    if by:
+        base = base.where(F.col(by).isNotNull())
+    rng = base.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi")).where(F.col("_lo").isNotNull())
     width = (F.col("_hi") - F.col("_lo")) / bins
     b = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
         F.least(F.floor((F.col("_x") - F.col("_lo")) / width), F.lit(bins - 1))).cast("int")
-    h = (base.crossJoin(F.broadcast(rng)).withColumn("bin", b)
-         .groupBy(*keys, "bin", "_lo", "_hi").agg(F.count(F.lit(1)).alias("n")))
-    return h.select(*keys, "bin",
-                    r6(F.col("_lo") + F.col("bin") * (F.col("_hi") - F.col("_lo")) / bins).alias("bin_lo"),
-                    r6(F.col("_lo") + (F.col("bin") + 1) * (F.col("_hi") - F.col("_lo")) / bins).alias("bin_hi"),
-                    "n")
+    binned = base.join(F.broadcast(rng), keys) if keys else base.crossJoin(F.broadcast(rng))
+    filled = binned.withColumn("bin", b).groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("_n"))
+    every = rng.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    return every.join(filled, [*keys, "bin"], "left").select(
+        *keys, "bin", r6(F.col("_lo") + F.col("bin") * (F.col("_hi") - F.col("_lo")) / bins).alias("bin_lo"),
+        r6(F.col("_lo") + (F.col("bin") + 1) * (F.col("_hi") - F.col("_lo")) / bins).alias("bin_hi"),
+        F.coalesce("_n", F.lit(0)).cast("bigint").alias("n"))
 
 
 def boxplot(df: DataFrame, col: str, by: str = FLAG) -> DataFrame:

@@ -139,6 +139,11 @@ def fill_by_kind(df: DataFrame, categorical: Sequence[str], numeric: Sequence[st
     return df.withColumns(add) if add else df
 
 
+def drop_incomplete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Keep the rows in which every named feature and target has a value (NaN is none)."""
+    return df.na.drop("any", subset=list(columns))
+
+
 def impute(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
            medians: DataFrame) -> DataFrame:
     """Numeric NULL -> column median (from a one-row median table), string NULL -> 'unknown'."""

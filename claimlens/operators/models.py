@@ -11,50 +11,89 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import (IDF, CountVectorizer, Imputer, IndexToString, Normalizer, OneHotEncoder,
-                                RegexTokenizer, StandardScaler, StopWordsRemover, StringIndexer, VectorAssembler)
+from pyspark.ml.feature import (IDF, CountVectorizer, ElementwiseProduct, Imputer, NGram, Normalizer, OneHotEncoder,
+                                RegexTokenizer, SQLTransformer, StandardScaler, StopWordsRemover, StringIndexer,
+                                VectorAssembler)
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import VectorUDT
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.tuning import CrossValidator
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimlens.functions.text import TOKEN
+from claimlens.functions.text import TOKEN, english_stop_words
 from claimlens.operators import curves as CV
-from claimlens.operators.folds import stratified_kfold, with_class_weight
 
 # The regularisation grid (C values and penalties) of the calibrated model.
 C_GRID = [0.01, 0.1, 1, 10, 100]
 PENALTIES = ["l1", "l2"]
 
 
+class SmoothedIdf(Estimator):
+    """Weights term counts by ln((1 + n) / (1 + df)) + 1, the weight of the corpus vectors (G4): a term of
+    every text keeps weight 1."""
+
+    def __init__(self, source: str, target: str):
+        super().__init__()
+        self.source, self.target = source, target
+
+    def _fit(self, df: DataFrame) -> ElementwiseProduct:
+        idf = IDF(inputCol=self.source, outputCol=self.target).fit(df).idf
+        return ElementwiseProduct(scalingVec=Vectors.dense(idf.toArray() + 1.0), inputCol=self.source, outputCol=self.target)
+
+
+class PopulationScaler(Estimator):
+    """Centres each column and divides it by its population standard deviation (a constant column becomes
+    0).  Spark's scaler takes the sample deviation; the ratio of the two depends on the row count only."""
+
+    def __init__(self, source: str, target: str, width: int):
+        super().__init__()
+        self.source, self.target, self.width = source, target, width
+
+    def _fit(self, df: DataFrame) -> PipelineModel:
+        n = df.count()
+        ratio = (n / (n - 1)) ** 0.5 if n > 1 else 1.0
+        sample = StandardScaler(inputCol=self.source, outputCol=f"{self.target}_s", withMean=True, withStd=True).fit(df)
+        return PipelineModel([sample, ElementwiseProduct(scalingVec=Vectors.dense([ratio] * self.width),
+                                                         inputCol=f"{self.target}_s", outputCol=self.target)])
+
+
+def text_stages(text: str, vocab_size: int, min_df: float, max_df: float, ngrams: int = 1) -> list:
+    """Terms of up to ``ngrams`` words, their counts, smoothed IDF weights and unit length (``_text_vec``)."""
+    stages = [RegexTokenizer(inputCol=text, outputCol="_tok", pattern=TOKEN, gaps=False, minTokenLength=2),
+              StopWordsRemover(inputCol="_tok", outputCol="_w1", stopWords=english_stop_words())]
+    stages += [NGram(n=n, inputCol="_w1", outputCol=f"_w{n}") for n in range(2, ngrams + 1)]
+    # Spark reads a largest document frequency of 1.0 as "one document"; here it is the share of all documents
+    most = {"maxDF": max_df} if max_df < 1.0 else {}
+    terms = ", ".join(f"_w{n}" for n in range(1, ngrams + 1))
+    return [*stages, SQLTransformer(statement=f"SELECT *, concat({terms}) AS _terms FROM __THIS__"),
+            CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=vocab_size, minDF=min_df, **most),
+            SmoothedIdf("_tf", "_tfidf"), Normalizer(inputCol="_tfidf", outputCol="_text_vec", p=2.0)]
+
+
 def feature_stages(text: str | None, categorical: Sequence[str], numeric: Sequence[str],
                    vocab_size: int = 1000, min_df: float = 1.0, max_df: float = 1.0,
-                   embedding: str | None = None, out: str = "features") -> list:
-    """Text TF-IDF (L2-normalised) + one-hot categoricals (unknown -> all zeros) +
+                   embedding: str | None = None, out: str = "features", ngrams: int = 1) -> list:
+    """Text TF-IDF (L2-normalised) + one-hot categoricals (unseen -> all zeros) +
     imputed, standardised numerics (+ an optional precomputed embedding vector)."""
     stages, parts = [], []
     if text:
-        stages += [RegexTokenizer(inputCol=text, outputCol="_tok", pattern=TOKEN, gaps=False, minTokenLength=2),
-                   StopWordsRemover(inputCol="_tok", outputCol="_tok2"),
-                   CountVectorizer(inputCol="_tok2", outputCol="_tf", vocabSize=vocab_size, minDF=min_df, maxDF=max_df),
-                   IDF(inputCol="_tf", outputCol="_tfidf"),
-                   Normalizer(inputCol="_tfidf", outputCol="_text_vec", p=2.0)]
+        stages += text_stages(text, vocab_size, min_df, max_df, ngrams)
         parts.append("_text_vec")
     for c in categorical:
+        # an unseen value gets the index behind the known ones, which the encoder drops: all zeros
         stages += [StringIndexer(inputCol=c, outputCol=f"_{c}_idx", handleInvalid="keep", stringOrderType="alphabetAsc"),
-                   OneHotEncoder(inputCol=f"_{c}_idx", outputCol=f"_{c}_oh", dropLast=True, handleInvalid="keep")]
+                   OneHotEncoder(inputCol=f"_{c}_idx", outputCol=f"_{c}_oh", dropLast=True, handleInvalid="error")]
         parts.append(f"_{c}_oh")
     if numeric:
         imp = [f"_{c}_imp" for c in numeric]
         stages += [Imputer(inputCols=list(numeric), outputCols=imp, strategy="median"),
                    VectorAssembler(inputCols=imp, outputCol="_num_raw", handleInvalid="keep"),
-                   StandardScaler(inputCol="_num_raw", outputCol="_num", withMean=True, withStd=True)]
+                   PopulationScaler("_num_raw", "_num", len(imp))]
         parts.append("_num")
     if embedding:
         parts.append(embedding)
@@ -62,6 +101,15 @@ def feature_stages(text: str | None, categorical: Sequence[str], numeric: Sequen
     return stages
 
 
+def representation_stages(df: DataFrame, embedding: str, text: str, categorical: Sequence[str], numeric: Sequence[str],
+                          **options) -> tuple[list, str]:
+    """The stages over the ``embedding`` vector when the table has that column, else over the TF-IDF
+    of ``text``; with the name of the representation used."""
+    if embedding in df.columns:
+        return feature_stages(None, categorical, numeric, embedding=embedding, **options), "embedding"
+    return feature_stages(text, categorical, numeric, **options), "tfidf"
+
+
 def prepare(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str = "label",
             text: str | None = None) -> DataFrame:
     """Cast numerics to double, categoricals to string (NULL -> 'unknown'), label to double."""
@@ -103,8 +151,7 @@ def grid_search(train: DataFrame, stages: list, folds: int = 5, n: int | None =
     """
     lr = logistic(weight_col="weight")
     n = n or train.count()
-    grid, meta = ParamGridBuilder(), []
-    maps = []
+    meta, maps = [], []
     for c in c_grid:
         for pen in penalties:
             maps.append({lr.regParam: c_to_reg(c, n), lr.elasticNetParam: 1.0 if pen == "l1" else 0.0})
@@ -115,7 +162,6 @@ def grid_search(train: DataFrame, stages: list, folds: int = 5, n: int | None =
     model = cv.fit(train)
     rows = [(c, p, r, float(m)) for (c, p, r), m in zip(meta, model.avgMetrics)]
     table = train.sparkSession.createDataFrame(rows, "C double, penalty string, regParam double, mean_auc double")
-    del grid
     return model, table
 
 
@@ -163,17 +209,53 @@ def out_of_fold(df: DataFrame, stages: list, estimator, id_col: str, k: int = 5)
     return parts
 
 
-def sigmoid_calibration(oof: DataFrame) -> DataFrame:
-    """Platt scaling - a one-feature logistic regression on the out-of-fold logit."""
+def _logit(c: str = "score"):
     eps = 1e-12
-    logit = F.log((F.col("score") + eps) / (1 - F.col("score") + eps))
-    d = oof.withColumn("_m", array_to_vector(F.array(logit))).withColumn("label", F.col("label").cast("double"))
-    cal = LogisticRegression(featuresCol="_m", labelCol="label", maxIter=100).fit(d)
-    return cal.transform(d).select(*[c for c in oof.columns], prob1("probability").alias("calibrated"))
+    return F.log((F.col(c) + eps) / (1 - F.col(c) + eps))
 
 
-def coefficients(model: PipelineModel, df: DataFrame, k: int = 20) -> DataFrame:
-    """Coefficient per feature name (mean over classes for multinomial), top k by |coefficient|."""
+def sigmoid_fit(scores: DataFrame) -> tuple[float, float]:
+    """Platt scaling: slope and intercept of a one-feature logistic regression on the logit of ``score``."""
+    d = scores.select(array_to_vector(F.array(_logit())).alias("_m"), F.col("label").cast("double").alias("label"))
+    m = LogisticRegression(featuresCol="_m", labelCol="label", maxIter=100).fit(d)
+    return float(m.coefficients[0]), float(m.intercept)
+
+
+def calibrated_models(train: DataFrame, stages: list, estimator, id_col: str, k: int = 5) -> list:
+    """One ``(model, slope, intercept)`` per fold; the model learns from the other folds and its
+    sigmoid from the fold it has not seen."""
+    out = []
+    for f in range(k):
+        m = fit_pipeline(train.where(F.col("fold") != f), stages, estimator)
+        out.append((m, *sigmoid_fit(scored(m.transform(train.where(F.col("fold") == f)), id_col))))
+    return out
+
+
+def calibrated_scores(models: list, df: DataFrame, id_col: str) -> DataFrame:
+    """``(id, label, calibrated)``: the mean of the calibrated probabilities of all models, by id."""
+    parts = None
+    for m, slope, intercept in models:
+        p = 1 / (1 + F.exp(-(F.lit(slope) * _logit() + F.lit(intercept))))
+        s = scored(m.transform(df), id_col).select(id_col, "label", p.alias("_p"))
+        parts = s if parts is None else parts.unionByName(s)
+    return parts.groupBy(id_col).agg(F.first("label").alias("label"), F.avg("_p").alias("calibrated"))
+
+
+def nested_out_of_fold(train: DataFrame, stages: list, estimator, id_col: str, k: int = 5) -> DataFrame:
+    """J14 over calibrated models: fold f is scored by models and sigmoids that learned from the other
+    folds only, one model per remaining fold."""
+    parts = None
+    for f in range(k):
+        rest = train.where(F.col("fold") != f).withColumn("fold", F.when(F.col("fold") > f, F.col("fold") - 1).otherwise(F.col("fold")))
+        models = calibrated_models(rest, stages, estimator, id_col, k - 1)
+        s = calibrated_scores(models, train.where(F.col("fold") == f), id_col).withColumn("fold", F.lit(f))
+        parts = s if parts is None else parts.unionByName(s)
+    return parts
+
+
+def coefficients(model: PipelineModel, df: DataFrame, k: int | None = 20) -> DataFrame:
+    """Coefficient per feature name (mean over classes for multinomial), the top k by |coefficient|
+    (all for ``None``)."""
     lr = model.stages[-1]
     feats = model.transform(df.limit(1)).schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
     names = {}
@@ -182,9 +264,16 @@ def coefficients(model: PipelineModel, df: DataFrame, k: int = 20) -> DataFrame:
             names[a["idx"]] = a.get("name", f"f{a['idx']}")
     coef = lr.coefficientMatrix.toArray().mean(axis=0)
     rows = [(names.get(i, f"f{i}"), float(c)) for i, c in enumerate(coef)]
-    spark = df.sparkSession
-    t = spark.createDataFrame(rows, "feature string, coefficient double")
-    return t.orderBy(F.desc(F.abs("coefficient")), "feature").limit(k)
+    t = df.sparkSession.createDataFrame(rows, "feature string, coefficient double")
+    return t if k is None else t.orderBy(F.desc(F.abs("coefficient")), "feature").limit(k)
+
+
+def signed_importance(coef: DataFrame, k: int = 20) -> DataFrame:
+    """The k largest positive and the k largest negative coefficients, with their side and rank."""
+    side = F.when(F.col("coefficient") > 0, F.lit("positive")).otherwise(F.lit("negative"))
+    order = Window.partitionBy("side").orderBy(F.desc(F.abs("coefficient")), "feature")
+    return (coef.where(F.col("coefficient") != 0).withColumn("side", side)
+            .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
 
 
 def category_predictions(model: PipelineModel, df: DataFrame, id_col: str, labels: Sequence[str]) -> DataFrame:
@@ -221,7 +310,7 @@ def svd_projection(df: DataFrame, vec_col: str, k: int, id_col: str) -> DataFram
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def project(col: pd.Series) -> pd.Series:
         m = bv.value
-        return col.map(lambda x: (np.asarray(x, dtype=float) @ m).tolist())
+        return pd.Series(list(np.stack(col.to_numpy()) @ m)) if len(col) else pd.Series([], dtype=object)
 
     return df.select(id_col, project(vector_to_array(F.col(vec_col))).alias("svd"))
 
@@ -235,9 +324,6 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-__all__ = ["IndexToString", "VectorUDT", "SparkSession", "stratified_kfold", "with_class_weight", "GBTClassifier"]
-
-
 def tuning_grids(n: int) -> dict:
     """Per-model grids in Spark terms (C -> regParam = 1/(C n); penalty -> elasticNet;
     min_samples_split s -> minInstancesPerNode s // 2; an unbounded depth -> 30, Spark's maximum)."""

@@ -273,11 +273,15 @@ def parse_response(raw: Column) -> Column:
         empty.alias("regulatory_issues"), empty.alias("recommendations")))
 
 
+# Fixed value: the rationale of a claim for which nothing was retrieved.
+EMPTY_RATIONALE = "Unable to analyze due to lack of relevant context"
+
+
 def hit_summary(claims: DataFrame, hits: DataFrame, chunks: DataFrame, q_id: str, title: str = "title",
                 chunk_id: str = "chunk_uid", source: str | None = None) -> DataFrame:
     """G12-G14 + H3/H10 inputs per claim: n hits, mean score, top score, the first three
     titles, the sources list (``'Unknown'`` when missing); claims without hits keep
-    ``n_hits = 0`` (left join) and an error note."""
+    ``n_hits = 0`` (left join), an error note, risk 0.5 and the rationale for it."""
     cols = [chunk_id, F.col(title).alias("_title")]
     cols.append(F.col(source).alias("_source") if source else F.lit(None).cast("string").alias("_source"))
     h = hits.join(chunks.select(*cols), chunk_id)
@@ -292,4 +296,6 @@ def hit_summary(claims: DataFrame, hits: DataFrame, chunks: DataFrame, q_id: str
     return out.withColumns({
         "n_hits": F.coalesce("n_hits", F.lit(0)),
         "retrieval_note": F.when(F.col("n_hits").isNull(), F.lit("No relevant documents found")),
+        "fallback_risk": F.when(F.col("n_hits").isNull(), F.lit(0.5)),
+        "fallback_rationale": F.when(F.col("n_hits").isNull(), F.lit(EMPTY_RATIONALE)),
     })

@@ -8,6 +8,7 @@ from claimlens.functions.text import char_count, truncate_display, word_count
 from claimlens.operators import explore as X
 from claimlens.operators import features as FE
 from claimlens.operators import quality as Q
+from claimlens.operators.folds import stratified_split
 from claimlens.plans.registry import register
 from claimlens.plans.sqlparts import NUM, TXT, chars, r6, strip, words
 from claimlens.sources.claims import claims_num, claims_txt
@@ -75,6 +76,16 @@ SELECT greenwashing_flag, count(*) AS n, round(count(*) / sum(count(*)) OVER (),
 FROM claims WHERE greenwashing_flag IS NOT NULL GROUP BY greenwashing_flag""")(
     lambda spark, sf: X.class_distribution(claims_txt(spark, sf), "greenwashing_flag"))
 
+register("class_distribution_split", TXT + """, r AS (
+  SELECT greenwashing_flag, row_number() OVER (PARTITION BY greenwashing_flag ORDER BY md5(CAST(claim_id AS VARCHAR) || '-42'), CAST(claim_id AS VARCHAR)) AS rk,
+         count(*) OVER (PARTITION BY greenwashing_flag) AS k FROM claims WHERE greenwashing_flag IS NOT NULL),
+s AS (SELECT greenwashing_flag, CASE WHEN rk <= (k * 20 + 99) // 100 THEN 'test' ELSE 'train' END AS split FROM r)
+SELECT split, greenwashing_flag, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY split), 6) AS rate
+FROM s GROUP BY split, greenwashing_flag""")(
+    lambda spark, sf: X.class_distribution(
+        stratified_split(claims_txt(spark, sf).where(F.col("greenwashing_flag").isNotNull()).select("claim_id", "greenwashing_flag"),
+                         "claim_id", "greenwashing_flag"), "greenwashing_flag", "split"))
+
 # ---------------------------------------------------------------- C12-C15
 _EDA = X.EDA_NUMERIC
 
@@ -140,18 +151,20 @@ register("median_table", NUM_F + "\nUNION ALL\n".join(
     _median_table)
 
 register("histogram", TXT_F + """, b AS (SELECT min(text_length)::DOUBLE AS lo, max(text_length)::DOUBLE AS hi FROM claims_f),
-h AS (SELECT CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((text_length - lo) / ((hi - lo) / 30)), 29) END AS INTEGER) AS bin,
-             lo, hi FROM claims_f, b WHERE text_length IS NOT NULL)
-SELECT bin, round(lo + bin * (hi - lo) / 30, 6) AS bin_lo, round(lo + (bin + 1) * (hi - lo) / 30, 6) AS bin_hi,
-       count(*) AS n FROM h GROUP BY bin, lo, hi""")(
+h AS (SELECT CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((text_length - lo) / ((hi - lo) / 30)), 29) END AS INTEGER) AS bin
+      FROM claims_f, b WHERE text_length IS NOT NULL),
+e AS (SELECT CAST(unnest(range(30)) AS INTEGER) AS bin, lo, hi FROM b WHERE lo IS NOT NULL)
+SELECT e.bin, round(lo + e.bin * (hi - lo) / 30, 6) AS bin_lo, round(lo + (e.bin + 1) * (hi - lo) / 30, 6) AS bin_hi,
+       count(h.bin) AS n FROM e LEFT JOIN h ON h.bin = e.bin GROUP BY e.bin, lo, hi""")(
     lambda spark, sf: X.histogram(txt_feat(spark, sf), "text_length", 30))
 
-register("histogram_by_flag", NUM + """, b AS (SELECT min(external_validation_score) AS lo, max(external_validation_score) AS hi
-  FROM claims WHERE external_validation_score IS NOT NULL),
-h AS (SELECT greenwashing_flag, CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((external_validation_score - lo) / ((hi - lo) / 20)), 19) END AS INTEGER) AS bin,
-             lo, hi FROM claims, b WHERE external_validation_score IS NOT NULL)
-SELECT greenwashing_flag, bin, round(lo + bin * (hi - lo) / 20, 6) AS bin_lo, round(lo + (bin + 1) * (hi - lo) / 20, 6) AS bin_hi,
-       count(*) AS n FROM h GROUP BY greenwashing_flag, bin, lo, hi""")(
+register("histogram_by_flag", NUM + """, b AS (SELECT greenwashing_flag AS f, min(external_validation_score) AS lo, max(external_validation_score) AS hi
+  FROM claims WHERE external_validation_score IS NOT NULL AND greenwashing_flag IS NOT NULL GROUP BY 1),
+h AS (SELECT f, CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((external_validation_score - lo) / ((hi - lo) / 20)), 19) END AS INTEGER) AS bin
+      FROM claims JOIN b ON f = greenwashing_flag WHERE external_validation_score IS NOT NULL),
+e AS (SELECT f, CAST(unnest(range(20)) AS INTEGER) AS bin, lo, hi FROM b)
+SELECT e.f AS greenwashing_flag, e.bin, round(lo + e.bin * (hi - lo) / 20, 6) AS bin_lo, round(lo + (e.bin + 1) * (hi - lo) / 20, 6) AS bin_hi,
+       count(h.bin) AS n FROM e LEFT JOIN h ON h.f = e.f AND h.bin = e.bin GROUP BY e.f, e.bin, lo, hi""")(
     lambda spark, sf: X.histogram(claims_num(spark, sf), "external_validation_score", 20, by="greenwashing_flag"))
 
 register("boxplot", NUM + """, q AS (
@@ -196,14 +209,12 @@ FROM claims""".replace("GROUP BY ALL_COLS", "GROUP BY " + ", ".join(f'"{c}"' for
     lambda spark, sf: Q.table_profile(claims_txt(spark, sf)).withColumn("n_columns", F.col("n_columns").cast("int")))
 
 
-def _dup_frame(spark, sf):
-    return claims_txt(spark, sf).select("esg_claim_text", "claim_category")
-
+_ALL_COLS = ", ".join(f'"{c}"' for c in _TXT_COLS)
 
-register("duplicates_full", TXT + """
+register("duplicates_full", TXT + f"""
 SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS duplicates, count(*) AS distinct_rows
-FROM (SELECT count(*) AS c FROM claims GROUP BY esg_claim_text, claim_category)""")(
-    lambda spark, sf: Q.duplicate_count(_dup_frame(spark, sf)))
+FROM (SELECT count(*) AS c FROM claims GROUP BY {_ALL_COLS})""")(
+    lambda spark, sf: Q.duplicate_count(claims_txt(spark, sf)))
 
 register("duplicates_key", TXT + """
 SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS duplicates, count(*) AS distinct_rows
@@ -211,8 +222,8 @@ FROM (SELECT count(*) AS c FROM claims GROUP BY organization_name, esg_claim_tex
     lambda spark, sf: Q.duplicate_count(claims_txt(spark, sf), ["organization_name", "esg_claim_text"]))
 
 register("dedupe", TXT + """
-SELECT DISTINCT esg_claim_text, claim_category FROM claims""")(
-    lambda spark, sf: Q.dedupe(_dup_frame(spark, sf)))
+SELECT claim_id, organization_name, esg_claim_text, claim_category FROM (SELECT DISTINCT * FROM claims)""")(
+    lambda spark, sf: Q.dedupe(claims_txt(spark, sf)).select("claim_id", "organization_name", "esg_claim_text", "claim_category"))
 
 register("clean_text", TXT + f"""
 SELECT claim_id, coalesce({strip('esg_claim_text')}, 'No claim text provided') AS esg_claim_text FROM claims
@@ -330,6 +341,18 @@ SELECT claim_id, round(coalesce(actual_measured_value, mv), 6) AS actual_measure
        round(coalesce(CAST(greenwashing_flag AS DOUBLE), mf), 6) AS greenwashing_flag,
        coalesce(claimed_metric_type, 'unknown') AS claimed_metric_type FROM claims, m""")(_impute)
 
+_COMPLETE = ["claimed_value", "actual_measured_value", "external_validation_score", "report_year",
+             "claimed_metric_type", "project_location", "greenwashing_flag"]
+
+
+def _present(c):
+    return f"{c} IS NOT NULL" + (f" AND NOT isnan({c})" if c in _DOUBLE_COLS else "")
+
+
+register("drop_incomplete", TXT + f"""
+SELECT claim_id, greenwashing_flag FROM claims WHERE {' AND '.join(_present(c) for c in _COMPLETE)}""")(
+    lambda spark, sf: FE.drop_incomplete(claims_txt(spark, sf), _COMPLETE).select("claim_id", "greenwashing_flag"))
+
 register("sample_md5", TXT + """
 SELECT claim_id, claim_category FROM claims ORDER BY md5(CAST(claim_id AS VARCHAR) || '-42'), claim_id LIMIT 50""")(
     lambda spark, sf: claims_txt(spark, sf).select("claim_id", "claim_category")

@@ -6,8 +6,6 @@ These are iterative algorithms, so they carry no SQL oracle (rows-only check);
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from claimlens.operators import curves as CV
@@ -58,18 +56,36 @@ def _compare(spark, sf):
     return M.compare_models(train, test, stages(), "claim_id")
 
 
+def _part(d, name):
+    return d.where(F.col("split") == name)
+
+
 def _oof(spark, sf):
-    d = labelled(spark, sf)
-    return M.out_of_fold(d, stages(), M.logistic(weight_col="weight"), "claim_id", 5)
+    """Out-of-fold scores of the training part; the test part stays unseen."""
+    return M.out_of_fold(_part(labelled(spark, sf), "train"), stages(), M.logistic(weight_col="weight"), "claim_id", 5)
 
 
 def _calibrate(spark, sf):
-    return M.sigmoid_calibration(_oof(spark, sf))
+    """The test part under the mean of five calibrated models of the training part."""
+    d = labelled(spark, sf)
+    models = M.calibrated_models(_part(d, "train"), stages(), M.logistic(weight_col="weight"), "claim_id")
+    return M.calibrated_scores(models, _part(d, "test"), "claim_id")
 
 
 def _calibrated_threshold(spark, sf):
-    cal = _calibrate(spark, sf)
-    return CV.threshold_for_recall(cal.select("label", F.col("calibrated").alias("score")), 0.8)
+    """The threshold for recall 0.8 from the training part's out-of-fold calibrated scores, and the
+    test part's metrics at that threshold."""
+    d = labelled(spark, sf)
+    lr = M.logistic(weight_col="weight")
+    oof = materialize(M.nested_out_of_fold(_part(d, "train"), stages(), lr, "claim_id"))
+    chosen = CV.threshold_for_recall(oof.select("label", F.col("calibrated").alias("score")), 0.8)
+    models = M.calibrated_models(_part(d, "train"), stages(), lr, "claim_id")
+    test = materialize(M.calibrated_scores(models, _part(d, "test"), "claim_id"))
+    cut = chosen.select(F.coalesce("threshold", "threshold_unshifted").alias("cut"))
+    judged = test.crossJoin(F.broadcast(cut)).select(
+        "label", F.col("calibrated").alias("score"), (F.col("calibrated") >= F.col("cut")).cast("int").alias("pred"))
+    return chosen.crossJoin(CV.binary_metrics(judged, score="score").toDF(
+        *[f"test_{c}" for c in ["accuracy", "precision", "recall", "f1", "roc_auc", "gini"]]))
 
 
 def _cv_scores(spark, sf):
@@ -108,13 +124,30 @@ def _flag(spark, sf):
     return M.flag_predictions(m, allc, "claim_id")
 
 
-def _svd(spark, sf):
-    c = materialize(M.prepare(claims_txt(spark, sf), [], [], "greenwashing_flag", TEXT))
+SVD_K = 100
+
+
+def _svd_of(c):
+    """100 singular directions of the TF-IDF of one- and two-word terms."""
     from pyspark.ml import Pipeline
-    st = M.feature_stages(TEXT, [], [], vocab_size=2000)
-    fm = Pipeline(stages=st).fit(c)
-    feats = fm.transform(c).select("claim_id", "features")
-    return M.svd_projection(feats, "features", 20, "claim_id")
+    fm = Pipeline(stages=M.feature_stages(TEXT, [], [], vocab_size=2000, ngrams=2)).fit(c)
+    feats = materialize(fm.transform(c).select("claim_id", "features"))
+    return M.svd_projection(feats, "features", SVD_K, "claim_id")
+
+
+def _svd(spark, sf):
+    return _svd_of(materialize(M.prepare(claims_txt(spark, sf), [], [], "greenwashing_flag", TEXT).select("claim_id", TEXT)))
+
+
+def _svd_lr(spark, sf):
+    """I2 into J11: the projected texts with the scaled numerics feed the regression; held-out metrics."""
+    from pyspark.ml.functions import array_to_vector
+    d = labelled(spark, sf)
+    text = _svd_of(d.select("claim_id", TEXT)).select("claim_id", array_to_vector("svd").alias("text_svd"))
+    d = materialize(d.drop(TEXT).join(text, "claim_id"))
+    m = M.fit_pipeline(d.where(F.col("split") == "train"), M.feature_stages(None, CATS, NUMS, embedding="text_svd"),
+                       M.logistic(weight_col="weight"))
+    return CV.binary_metrics(M.scored(m.transform(d.where(F.col("split") == "test")), "claim_id"), score="score")
 
 
 def _summary(spark, sf):
@@ -137,11 +170,9 @@ register("feature_importance")(_importance)
 register("category_predict")(_category)
 register("flag_predict")(_flag)
 register("svd_features")(_svd)
+register("svd_lr")(_svd_lr)
 register("training_summary")(_summary)
 
-__all__ = ["lru_cache"]
-
-
 # ---------------------------------------------------------------- I8 SMOTE on the embedding table
 def _smote(spark, sf):
     from claimlens.operators.balance import smote
@@ -157,7 +188,7 @@ register("smote")(_smote)
 def _importance_dist(spark, sf):
     d = labelled(spark, sf).where(F.col("split") == "train")
     m = M.fit_pipeline(d, stages(), M.logistic(weight_col="weight"))
-    coef = M.coefficients(m, d, 1 << 30)
+    coef = M.coefficients(m, d, None)
     return coef.agg(F.count_if(F.abs("coefficient") > 0).alias("n_nonzero"),
                     F.round(F.avg(F.abs("coefficient")), 6).alias("mean_abs"),
                     F.round(F.max(F.abs("coefficient")), 6).alias("max_abs"))
@@ -166,6 +197,16 @@ def _importance_dist(spark, sf):
 register("importance_distribution")(_importance_dist)
 
 
+def _importance_signed(spark, sf):
+    """The 20 largest coefficients of either sign."""
+    d = labelled(spark, sf).where(F.col("split") == "train")
+    m = M.fit_pipeline(d, stages(), M.logistic(weight_col="weight"))
+    return M.signed_importance(M.coefficients(m, d, None), 20)
+
+
+register("importance_signed")(_importance_signed)
+
+
 # ---------------------------------------------------------------- D7 + J7 + J8 + J26
 def _tune(spark, sf):
     d = labelled(spark, sf)
@@ -177,13 +218,19 @@ register("tune_winner")(_tune)
 
 
 # ---------------------------------------------------------------- I6/I7/J12: embedding vector + scaled numerics
+def _representation_lr(d, id_col, embedding, text, numeric):
+    """Held-out metrics of the regression over the embedding, or over TF-IDF where there is none."""
+    st, used = M.representation_stages(d, embedding, text, [], numeric)
+    m = M.fit_pipeline(d.where(F.col("split") == "train"), st, M.logistic(weight_col="weight"))
+    s = M.scored(m.transform(d.where(F.col("split") == "test")), id_col)
+    return CV.binary_metrics(s, score="score").withColumn("feature_type", F.lit(used))
+
+
 def _embedding_lr(spark, sf):
-    """Precomputed embeddings as the text representation (binary target: label 0 vs rest); the
-    feature type falls back to TF-IDF when no embedding column is present (I7)."""
+    """Precomputed embeddings as the text representation (binary target: label 0 vs rest)."""
     from pyspark.ml.functions import array_to_vector
     from claimlens.sources.tables import table
     e = table(spark, sf, "embeddings")
-    has_vec = "embedding" in e.columns
     d = e.select("vec_id", (F.col("label") == 0).cast("double").alias("label"),
                  F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x)
                  .alias("sq_norm"),
@@ -192,11 +239,13 @@ def _embedding_lr(spark, sf):
     r = rank_within(d, "vec_id", "label", 42)
     d = r.withColumn("split", F.when(F.col("_rank") <= ((F.col("_n") * 20 + 99) / 100).cast("long"), F.lit("test"))
                      .otherwise(F.lit("train"))).drop("_rank", "_n")
-    st = M.feature_stages(None, [], ["sq_norm"], embedding="emb" if has_vec else None)
-    m = M.fit_pipeline(d.where(F.col("split") == "train"), st, M.logistic(weight_col="weight"))
-    s = M.scored(m.transform(d.where(F.col("split") == "test")), "vec_id")
-    return CV.binary_metrics(s, score="score").withColumn(
-        "feature_type", F.lit("embedding" if has_vec else "tfidf"))
+    return _representation_lr(d, "vec_id", "emb", TEXT, ["sq_norm"])
+
+
+def _fallback_lr(spark, sf):
+    """Claims carry no embedding column, so their texts' TF-IDF is used."""
+    return _representation_lr(labelled(spark, sf), "claim_id", "emb", TEXT, NUMS)
 
 
 register("embedding_lr")(_embedding_lr)
+register("embedding_fallback_lr")(_fallback_lr)

@@ -95,17 +95,24 @@ def medians_table(df: DataFrame, cols: list[str]) -> DataFrame:
     return q.agg(*[F.max(F.when(F.col("k") == c, F.col("value"))).alias(c) for c in cols])
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def vector_store(spark: SparkSession, path: str, build) -> DataFrame:
-    """Reuse the chunk+vector table at ``path`` if present, else build it with ``build()`` and save."""
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - absent table
-        df = build()
-        write_table(df, path)
-        return spark.read.parquet(path)
+    """Reuse the chunk+vector table at ``path`` if present, else build it with ``build()`` and save.  A
+    store that is there but cannot be read raises; it is never written over."""
+    if not _exists(spark, path):
+        write_table(build(), path, mode="errorifexists")
+    return spark.read.parquet(path)
 
 
 def append_documents(store_path: str, chunks: DataFrame) -> None:
-    """Append new chunks; ids are content hashes so repeated calls never collide."""
-    out = chunks.withColumn("chunk_uid", F.sha2(F.concat_ws("\x00", F.col("title"), F.col("text")), 256))
+    """Append the chunks the store does not hold yet; ids are content hashes, so a chunk appended
+    again, or twice in one call, is stored once."""
+    spark = chunks.sparkSession
+    out = chunks.withColumn("chunk_uid", F.sha2(F.concat_ws("\x00", F.col("title"), F.col("text")), 256)).dropDuplicates(["chunk_uid"])
+    if _exists(spark, store_path):
+        out = out.join(spark.read.parquet(store_path).select("chunk_uid"), "chunk_uid", "left_anti")
     write_table(out, store_path, mode="append")

@@ -52,9 +52,31 @@ def test_sinks_and_store(spark, tmp_path):
     IO.append_documents(store, chunks)
     IO.append_documents(store, chunks)
     s = spark.read.parquet(store)
-    assert s.count() == 2 and s.select("chunk_uid").distinct().count() == 1
+    assert s.count() == 1  # a chunk appended again is stored once
+    IO.append_documents(store, chunks.union(spark.createDataFrame([("T", "more"), ("T", "more")], chunks.schema)))
     again = IO.vector_store(spark, store, lambda: chunks)
-    assert again.count() == 2
+    assert {r["text"] for r in again.collect()} == {"some text", "more"} and again.count() == 2
+    broken = tmp_path / "broken"
+    broken.mkdir()
+    with pytest.raises(Exception):  # present but unreadable: never written over
+        IO.vector_store(spark, str(broken), lambda: chunks)
+    assert list(broken.iterdir()) == []
+
+
+def test_incomplete_rows_bins_and_weighted_metrics(spark):
+    from claimlens.operators import curves as CV
+    from claimlens.operators import explore as X
+    from claimlens.operators import features as FE
+    df = spark.createDataFrame([(1, 1.0, "a"), (2, None, "a"), (3, float("nan"), "b"), (4, 3.0, None)], "id int, x double, c string")
+    assert [r["id"] for r in FE.drop_incomplete(df, ["x", "c"]).collect()] == [1]
+    v = spark.createDataFrame([(0, 0.0), (0, 4.0), (1, 10.0), (1, 10.0), (None, 3.0), (1, None)], "f int, x double")
+    got = {(r["f"], r["bin"]): (r["bin_lo"], r["n"]) for r in X.histogram(v, "x", 4, by="f").collect()}
+    assert got == {(0, 0): (0.0, 1), (0, 1): (1.0, 0), (0, 2): (2.0, 0), (0, 3): (3.0, 1),
+                   (1, 0): (10.0, 2), (1, 1): (10.0, 0), (1, 2): (10.0, 0), (1, 3): (10.0, 0)}
+    assert X.histogram(v.where("x > 99"), "x", 4).collect() == []
+    p = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("c", "c")], "label string, pred string")
+    m = CV.multiclass_metrics(p).first()
+    assert m["accuracy"] == 0.75 and m["recall"] == 0.75 and m["precision"] == 0.875 and abs(m["f1"] - 0.75) < 1e-6
 
 
 def test_schema_report_and_contract(spark):

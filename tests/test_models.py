@@ -65,3 +65,53 @@ def test_dense_topk_blocks_match_single_block(spark):
     many = {tuple(r) for r in RT.dense_topk(e, "vec_id", cents, "label", "centroid", 3, "ip",
                                             max_queries=3).collect()}
     assert one == many and len(one) == 3 * cents.count()
+
+
+def test_feature_assembly_by_hand(spark):
+    """Population scaling of 1, 2, 3; an unseen category is all zeros; a term of every text keeps its weight."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+    df = spark.createDataFrame([(1, "tree water", "a", 1.0), (2, "tree tree", "b", 2.0), (3, "tree", "a", 3.0)],
+                               "id int, t string, c string, v double")
+    fitted = Pipeline(stages=M.feature_stages("t", ["c"], ["v"], vocab_size=10)).fit(df)
+    more = df.union(spark.createDataFrame([(4, "tree", "unseen", 2.0)], df.schema))
+    cols = [vector_to_array(F.col(c)).alias(c) for c in ("_text_vec", "_c_oh", "_num")]
+    rows = {r["id"]: r for r in fitted.transform(more).select("id", *cols).collect()}
+    assert np.allclose([rows[i]["_num"][0] for i in (1, 2, 3)], [-1.5 ** 0.5, 0, 1.5 ** 0.5])
+    assert rows[1]["_c_oh"] == [1.0, 0.0] and rows[2]["_c_oh"] == [0.0, 1.0] and rows[4]["_c_oh"] == [0.0, 0.0]
+    water = np.log(4 / 2) + 1  # tree: ln(4 / 4) + 1
+    assert np.allclose(rows[1]["_text_vec"], np.array([1.0, water]) / (1 + water ** 2) ** 0.5)
+    assert np.allclose(rows[2]["_text_vec"], [1.0, 0.0])
+
+
+def test_text_takes_over_without_an_embedding(spark):
+    from pyspark.ml import Pipeline
+    with_vector = spark.createDataFrame([("tree water", [1.0]), ("tree", [2.0])], "t string, emb array<double>")
+    assert M.representation_stages(with_vector, "emb", "t", [], [])[1] == "embedding"
+    texts = with_vector.drop("emb")
+    stages, used = M.representation_stages(texts, "emb", "t", [], [])
+    assert used == "tfidf" and Pipeline(stages=stages).fit(texts).transform(texts).first()["features"].size == 2
+
+
+def test_two_word_terms_and_signed_importance(spark):
+    df = spark.createDataFrame([("red tree red tree",), ("red water",)], "t string")
+    from pyspark.ml import Pipeline
+    fitted = Pipeline(stages=M.text_stages("t", 50, 1.0, 1.0, ngrams=2)).fit(df)
+    assert set(fitted.stages[4].vocabulary) == {"red", "tree", "water", "red tree", "tree red", "red water"}
+    coef = spark.createDataFrame([("a", 3.0), ("b", -2.0), ("c", 1.0), ("d", 0.0), ("e", -4.0)], "feature string, coefficient double")
+    got = {(r["side"], r["rank"]): r["feature"] for r in M.signed_importance(coef, 1).collect()}
+    assert got == {("positive", 1): "a", ("negative", 1): "e"}
+
+
+def test_calibration_never_sees_the_test_part(spark):
+    """Ids of the out-of-fold tables are those of the training part, once each; probabilities lie in 0..1."""
+    d = spark.createDataFrame([(i, "tree water" if i % 3 else "red stone", float(i % 7), float(i % 3 == 0 or i % 5 == 0), i % 5, 1.0)
+                               for i in range(60)], "claim_id int, t string, v double, label double, fold int, weight double")
+    st, lr = M.feature_stages("t", [], ["v"], vocab_size=20), M.logistic(weight_col="weight", reg=0.1)
+    train, test = d.where("claim_id < 50"), d.where("claim_id >= 50")
+    models = M.calibrated_models(train, st, lr, "claim_id", 5)
+    got = M.calibrated_scores(models, test, "claim_id").collect()
+    assert sorted(r["claim_id"] for r in got) == list(range(50, 60)) and all(0 <= r["calibrated"] <= 1 for r in got)
+    three = train.withColumn("fold", F.col("claim_id") % 3)
+    for oof in (M.out_of_fold(train, st, lr, "claim_id", 5), M.nested_out_of_fold(three, st, lr, "claim_id", 3)):
+        assert sorted(r["claim_id"] for r in oof.collect()) == list(range(50))
