@@ -168,17 +168,19 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return Model(chosen_features, w, b)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", cutoff: float = 0.7) -> DataFrame:
-    """``docs`` with score (0 to 1) and predicted (1 from ``cutoff`` on)."""
+def score(docs: DataFrame, model: Model, text: str = "text", cutoff: float = 0.7, score_column: str = "score",
+          predicted_column: str = "predicted") -> DataFrame:
+    """``docs`` with a score (0 to 1) and a prediction (1 from ``cutoff`` on)."""
     ready(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    df = docs.drop("score", "predicted")
-    schema = T.StructType(df.schema.fields + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    df = docs.drop(score_column, predicted_column)
+    schema = T.StructType(df.schema.fields + [T.StructField(score_column, T.DoubleType()), T.StructField(predicted_column, T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offs in slices(batch, text):
                 s = sent.value.scores(Words(data, offs, ALNUM))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= cutoff).astype(np.int32))], names=[*part.schema.names, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= cutoff).astype(np.int32))],
+                                                 names=[*part.schema.names, score_column, predicted_column])
 
     return df.mapInArrow(run, schema)

@@ -3,6 +3,12 @@
 Each stage is a function of (spark, docs, sf_dir).  ``run`` writes what a stage keeps as Parquet in
 the folder that ``spark.checkpoint.dir`` names, and the next stage reads it again.  All stages but the
 last return the columns of ``documents``; the last returns the pieces of packed sequences.
+
+Defined results: the first stage drops null texts and texts without a letter, so later stages see none
+of them; rows with a null doc_id are learned from by language (as fold of the empty text) but not by
+toxicity, and stay unless their text is rejected; repeated rows are treated alike; columns of any
+other name pass through unchanged, also those named as a result of an operator (names that begin
+with two underscores are the stages' own); an empty table passes through all stages as one.
 """
 
 from __future__ import annotations
@@ -32,7 +38,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts predicted toxic.  Labels outside the held-out third are learned from."""
     held = fold(F.col("doc_id"), 3) == 1
     model = toxicity.train(docs.filter(~held), table(spark, sf_dir, "labels").filter(~held))
-    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+    scored = toxicity.score(docs, model, score_column="__toxic_score", predicted_column="__toxic")
+    return scored.filter("__toxic = 0").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,3 +35,40 @@ def test_stages(spark):
     packed = C.STAGES[-1][1](spark, docs, SF).collect()
     assert {r["doc_id"] for r in packed} == kept[4].keys()
     assert not C.STAGES[0][1](spark, docs.limit(0), SF).count()
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
+def test_stages_keep_odd_rows_and_columns(spark):
+    """Null ids, repeated rows, nulls in every column, a very long text, and columns that carry the
+    operators' result names: each filtering stage returns a sub-multiset of its input, values unchanged."""
+    from collections import Counter
+
+    import corpus_pipeline as C
+    from claimlens.sources.tables import table
+    names = ["score", "predicted", "held_out", "component_id", "kept", "contamination", "n_words", "lang_pred", "sequence_id", "positive", "rank", "n"]
+    docs = table(spark, SF, "documents").limit(60)
+    first = docs.filter("text is not null").orderBy("doc_id").limit(1)
+    nulls = spark.createDataFrame([tuple(None for _ in docs.columns)] * 2, docs.schema)
+    from pyspark.sql import functions as F
+    no_id = first.withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType))
+    long = first.withColumn("doc_id", F.lit(10 ** 9).cast(docs.schema["doc_id"].dataType)).withColumn("text", F.expr("repeat(concat(text, ' '), 300)"))
+    odd = docs.unionByName(nulls).unionByName(first).unionByName(first).unionByName(no_id).unionByName(long)
+    odd = C.materialise(odd.withColumns({c: F.concat(F.lit("own "), F.col("doc_id").cast("string")) for c in names}), "test-odd")
+
+    def rows(df):
+        return Counter(tuple(r) for r in df.collect())
+
+    before = odd
+    for name, stage in C.STAGES[:-1]:
+        after = C.materialise(stage(spark, before, SF), "test-odd")
+        assert after.columns == odd.columns, name
+        assert not rows(after) - rows(before), name
+        before = after
+    kept = rows(before.select("doc_id"))
+    own = first.first()["doc_id"]
+    assert kept[(own,)] in (0, 3) and kept[(None,)] <= 1
+    packed = C.STAGES[-1][1](spark, before, SF)
+    assert rows(packed.filter("piece = 0").select("doc_id")) == kept
+    empty = odd.limit(0)
+    for name, stage in C.STAGES:
+        assert stage(spark, empty, SF).count() == 0, name
