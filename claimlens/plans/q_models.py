@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from claimlens.operators import curves as CV
 from claimlens.operators import models as M
-from claimlens.operators.folds import rank_within, with_class_weight
+from claimlens.operators import risk as RK
+from claimlens.operators.folds import rank_within, stratified_split, with_class_weight
 from claimlens.plans.registry import register
 from claimlens.session import materialize
 from claimlens.sources.claims import claims_txt
@@ -105,16 +106,47 @@ def _importance(spark, sf):
     return M.coefficients(m, d, 20)
 
 
-def _category(spark, sf):
-    c = claims_txt(spark, sf)
-    c = materialize(M.prepare(c, NUMS, CATS, "greenwashing_flag", TEXT))
+def _category_scored(spark, sf):
+    """The category model of four fifths of the claims (per category), and its predictions of the rest."""
     from pyspark.ml.feature import StringIndexer
-    idx = StringIndexer(inputCol="claim_category", outputCol="cat_label", stringOrderType="alphabetAsc").fit(c)
-    c = idx.transform(c).withColumn("label", F.col("cat_label"))
-    m = M.fit_pipeline(c, M.feature_stages(TEXT, [], NUMS, vocab_size=1000),
+    c = claims_txt(spark, sf).where(F.col("claim_category").isNotNull())
+    c = M.prepare(c, NUMS, CATS, "greenwashing_flag", TEXT).select("claim_id", TEXT, *NUMS, "claim_category")
+    c = materialize(stratified_split(c, "claim_id", "claim_category"))
+    idx = StringIndexer(inputCol="claim_category", outputCol="label", stringOrderType="alphabetAsc").fit(c)
+    c = idx.transform(c)
+    m = M.fit_pipeline(_part(c, "train"), M.feature_stages(TEXT, [], NUMS, vocab_size=1000),
                        M.logistic(weight_col=None, family="multinomial"))
-    return M.category_predictions(m, c, "claim_id", idx.labels).select(
-        "claim_id", "category", F.round("confidence", 6).alias("confidence"))
+    test = _part(c, "test")
+    return test.select("claim_id", "claim_category"), M.category_predictions(m, test, "claim_id", idx.labels)
+
+
+def _category(spark, sf):
+    """Predictions of unseen claims."""
+    return _category_scored(spark, sf)[1].select("claim_id", "category", F.round("confidence", 6).alias("confidence"))
+
+
+def _category_metrics(spark, sf):
+    """Accuracy and weighted precision, recall and F1 of the category model on unseen claims."""
+    truth, got = _category_scored(spark, sf)
+    return CV.multiclass_metrics(truth.join(got, "claim_id"), "claim_category", "category")
+
+
+def _analysis(spark, sf):
+    """H14 with fitted models: both learn from the train part; claims of the test part get their
+    probabilities, the blended risk, the alert and the recommendations."""
+    from pyspark.ml import Pipeline
+    d = labelled(spark, sf)
+    features = Pipeline(stages=stages()).fit(_part(d, "train"))
+    made = materialize(features.transform(d).select("claim_id", "features", "label", "weight", "split"))
+    probability = None
+    for column, name in (("gb", "GradientBoosting"), ("lr", "LogisticRegression")):
+        m = M.classifiers()[name].fit(_part(made, "train"))
+        s = M.scored(m.transform(_part(made, "test")), "claim_id").select("claim_id", F.col("score").alias(column))
+        probability = s if probability is None else probability.join(s, "claim_id")
+    out = RK.analyze_claims(_part(d, "test").select("claim_id", TEXT).join(probability, "claim_id"), gb="gb", lr="lr")
+    return out.select("claim_id", *[F.round(c, 6).alias(c) for c in
+                                    ("greenwashing_risk_gb", "greenwashing_risk_lr", "text_risk_score", "rag_risk_score", "overall_risk_score")],
+                      "risk_level", "fraud_alert", F.concat_ws("|", "recommendations").alias("recommendations"))
 
 
 def _flag(spark, sf):
@@ -168,6 +200,8 @@ register("calibrated_threshold")(_calibrated_threshold)
 register("cv_scores")(_cv_scores)
 register("feature_importance")(_importance)
 register("category_predict")(_category)
+register("category_metrics")(_category_metrics)
+register("claim_analysis_models")(_analysis)
 register("flag_predict")(_flag)
 register("svd_features")(_svd)
 register("svd_lr")(_svd_lr)
