@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimlens.functions.stats import prefix_sums
+from claimlens.session import materialize, small
 
 
 def hash_key(id_col: str, seed: int = 42):
@@ -30,7 +31,7 @@ def rank_within(df: DataFrame, id_col: str, by: str, seed: int = 42) -> DataFram
     # offsets of each label: rows of smaller labels (one row per label value: a bounded window)
     offs = sizes.select(by, "_n", F.coalesce(F.sum("_n").over(
         Window.orderBy(F.col(by).cast("string")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    out = cum.join(offs, by)  # one row per label value; AQE broadcasts it after measuring
+    out = cum.join(small(offs), by)  # one row per label value
     return out.withColumn("_rank", F.col("cum__one") - F.col("_off")).drop("_key", "_one", "cum__one", "_off")
 
 
@@ -56,9 +57,9 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """Attach the balanced weight of each row's class (a join on the class table; AQE broadcasts
-    it once its measured size is known to be small)."""
-    w = class_weights(df, label).select(label, F.col("weight").alias(out))
+    """Attach the balanced weight of each row's class (a join with the table of classes, broadcast when
+    it is small)."""
+    w = small(class_weights(df, label).select(label, F.col("weight").alias(out)))
     return df.join(w, label, "left")
 
 
@@ -73,6 +74,7 @@ def group_folds(df: DataFrame, group: str, label: str, k: int = 4, seed: int = 4
     """
     groups = df.where(F.col(group).isNotNull()).groupBy(group).agg(
         F.sum((F.col(label) == 1).cast("int")).alias("pos"), F.sum((F.col(label) == 0).cast("int")).alias("neg"))
+    groups = materialize(groups)  # the rows are read once, whatever the number of attempts
     for attempt in range(max_attempts):
         g = groups.withColumn("_gid", F.concat(F.col(group).cast("string"), F.lit(f"#{attempt}")))
         ranked = prefix_sums(g.withColumns({"_key": F.concat(hash_key("_gid", seed), F.col("_gid")),
@@ -81,7 +83,7 @@ def group_folds(df: DataFrame, group: str, label: str, k: int = 4, seed: int = 4
         check = assigned.groupBy("fold").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
         ok = check.agg((F.count(F.lit(1)) == k) & (F.min("p") > 0) & (F.min("q") > 0)).first()[0]
         if ok:
-            return df.join(assigned.select(group, "fold"), group, "left")
+            return df.join(small(assigned.select(group, "fold")), group, "left")
     raise ValueError(f"no balanced group folds after {max_attempts} attempts")
 
 

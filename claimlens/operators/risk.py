@@ -262,6 +262,20 @@ def verdict(prob_or_label, kind: str = "detector", threshold: float = 0.5) -> Co
     return F.when(_c(prob_or_label) > threshold, F.lit(yes)).otherwise(F.lit(no))
 
 
+KEYWORD, DISPLAY, MISSING, EMPTY = "_keyword_risk", "_display", "_missing", "_empty"
+
+
+def text_measures(df: DataFrame, text: str = "esg_claim_text", v2_lexicon: dict | None = None) -> DataFrame:
+    """All that the claim analysis (H14, H15) reads from a text, as columns beside it: indicators, text
+    and keyword risk, shortened text, and whether the text is NULL or empty.  With these a table can
+    drop its texts before joins."""
+    t = F.col(text)
+    out = text_analysis(with_lower(df, text), text)
+    return out.withColumns({KEYWORD: keyword_risk_v2(t, **(v2_lexicon or {}), lt=F.col(LOWER)),
+                            DISPLAY: truncate_display(t), MISSING: t.isNull(),
+                            EMPTY: F.coalesce(t == "", F.lit(False))}).drop(LOWER)
+
+
 def analyze_claims(df: DataFrame, text: str = "esg_claim_text", gb: str | None = None, lr: str | None = None,
                    rag: str | None = None, use_rag: bool = True, intended: bool = False,
                    v2_lexicon: dict | None = None) -> DataFrame:
@@ -269,15 +283,13 @@ def analyze_claims(df: DataFrame, text: str = "esg_claim_text", gb: str | None =
 
     ``gb``/``lr`` name model-probability columns (absent -> 0.0 and a model note);
     ``rag`` names a retrieval-risk column, otherwise the keyword fallback (H2) is used,
-    which is what the single-claim path does without a language model.
+    which is what the single-claim path does without a language model.  A table that already
+    has its ``text_measures`` needs no text column.
     """
-    t = F.col(text)
-    lex = v2_lexicon or {}
-    out = text_analysis(df if LOWER in df.columns else with_lower(df, text), text)
-    lt = F.col(LOWER)
+    out = df if KEYWORD in df.columns else text_measures(df, text, v2_lexicon)
     gb_c = F.col(gb) if gb else F.lit(None).cast("double")
     lr_c = F.col(lr) if lr else F.lit(None).cast("double")
-    kw = keyword_risk_v2(t, **lex, lt=lt)
+    kw = F.col(KEYWORD)
     rag_c = F.col(rag) if rag else kw
     out = out.withColumns({
         "greenwashing_risk_gb": F.coalesce(gb_c, F.lit(0.0)),
@@ -290,8 +302,8 @@ def analyze_claims(df: DataFrame, text: str = "esg_claim_text", gb: str | None =
                                                             "text_risk_score", "rag_risk_score", use_rag))
     out = out.withColumn("risk_level", risk_level("overall_risk_score"))
     out = out.withColumn("fraud_alert", alert_text("risk_level"))
-    return out.withColumn("recommendations", agent_recommendations("risk_level", "risk_indicators", intended)) \
-        .drop(LOWER)
+    out = out.withColumn("recommendations", agent_recommendations("risk_level", "risk_indicators", intended))
+    return out if KEYWORD in df.columns else out.drop(KEYWORD, DISPLAY, MISSING, EMPTY)
 
 
 def batch_defaults(df: DataFrame) -> DataFrame:
@@ -312,29 +324,25 @@ def batch_analysis(df: DataFrame, text: str = "esg_claim_text", id_col: str = "c
     """The 11-column batch result.  Empty texts are skipped; a NULL text gives an
     ``ERROR`` row.  With ``prob`` + ``threshold`` the calibrated path (H12) is used,
     otherwise the agent path (H14) whose ``fraud_alert`` holds the alert sentence."""
-    t = F.col(text)
-    base = with_lower(batch_defaults(df.where(t.isNull() | (t != ""))), text)
-    lex = v2_lexicon or {}
-    kw = keyword_risk_v2(t, **lex, lt=F.col(LOWER))
-    err = t.isNull()
+    measured = df if KEYWORD in df.columns else text_measures(df, text, v2_lexicon)
+    base = batch_defaults(measured.where(~F.col(EMPTY)))
+    kw = F.col(KEYWORD)
+    shown = [F.col(id_col).alias("claim_id"), F.col(DISPLAY).alias("claim_text")]
     if prob is not None:
         thr = F.lit(float(threshold)) if isinstance(threshold, (int, float)) else F.col(threshold)
         dec = calibrated_decision(F.col(prob), thr)
         rows = base.select(
-            F.col(id_col).alias("claim_id"), truncate_display(t).alias("claim_text"),
-            dec["risk_level"].alias("risk_level"), F.col(prob).alias("risk_score"),
+            *shown, dec["risk_level"].alias("risk_level"), F.col(prob).alias("risk_score"),
             dec["fraud_alert"].alias("fraud_alert"), F.col("claim_category").alias("category"),
             F.col(prob).alias("advanced_risk"), thr.alias("threshold"),
             (kw if include_rag else F.lit(0.0)).alias("rag_risk"),
-            (v2_analysis(kw) if include_rag else F.lit("RAG not run")).alias("rag_analysis"), err.alias("_err"))
+            (v2_analysis(kw) if include_rag else F.lit("RAG not run")).alias("rag_analysis"), F.col(MISSING).alias("_err"))
     else:
-        a = analyze_claims(base, text, v2_lexicon=lex)
-        rows = a.select(
-            F.col(id_col).alias("claim_id"), truncate_display(t).alias("claim_text"), "risk_level",
-            F.col("overall_risk_score").alias("risk_score"), "fraud_alert",
+        rows = analyze_claims(base, text).select(
+            *shown, "risk_level", F.col("overall_risk_score").alias("risk_score"), "fraud_alert",
             F.col("claim_category").alias("category"), F.lit(0.0).alias("advanced_risk"),
             F.lit(0.0).alias("threshold"), F.col("rag_risk_score").alias("rag_risk"),
-            F.col("rag_analysis"), err.alias("_err"))
+            F.col("rag_analysis"), F.col(MISSING).alias("_err"))
     err = F.col("_err")
     return rows.select(
         "claim_id", "claim_text",
@@ -364,9 +372,6 @@ def risk_distribution(results: DataFrame) -> DataFrame:
     return results.groupBy("risk_level").agg(F.count(F.lit(1)).alias("n"))
 
 
-__all__ = [n for n in dir() if not n.startswith("_")] + ["word_count"]
-
-
 def sentiment_polarity(df: DataFrame, id_col: str, text: str, lexicon: DataFrame, token: str | None = None) -> DataFrame:
     """H13 (re-aimed): polarity = mean weight of the lexicon words found in the text (each
     occurrence counts), 0.0 when none is found.  ``lexicon`` is a ``(term, polarity)`` table,

@@ -20,9 +20,9 @@ DATA_LEX = {"extreme": L.DATA_V2_EXTREME, "high": L.DATA_V2_HIGH, "vague": L.DAT
 
 
 def scored_txt(spark, sf):
-    c = RK.with_lower(claims_txt(spark, sf).where(F.col("greenwashing_flag").isNotNull()), "esg_claim_text")
-    s = c.select("claim_id", F.col("greenwashing_flag").alias("label"),
-                 RK.keyword_risk_v2("esg_claim_text", **DATA_LEX, lt=F.col(RK.LOWER)).alias("score"))
+    c = claims_txt(spark, sf, ["claim_id", "greenwashing_flag"], lambda d: RK.with_lower(d, "esg_claim_text").withColumn(
+        "score", RK.keyword_risk_v2("esg_claim_text", **DATA_LEX, lt=F.col(RK.LOWER))).drop("esg_claim_text", RK.LOWER))
+    s = c.where(F.col("greenwashing_flag").isNotNull()).select("claim_id", F.col("greenwashing_flag").alias("label"), "score")
     return s.withColumn("pred", (F.col("score") > 0.5).cast("int"))
 
 
@@ -109,7 +109,7 @@ from claimlens.operators import folds as FO  # noqa: E402
 
 
 def _split(spark, sf):
-    c = claims_txt(spark, sf).where(F.col("greenwashing_flag").isNotNull()).select("claim_id", "greenwashing_flag")
+    c = claims_txt(spark, sf, ["claim_id", "greenwashing_flag"]).where(F.col("greenwashing_flag").isNotNull())
     return FO.stratified_split(c, "claim_id", "greenwashing_flag", 20, 42)
 
 
@@ -139,9 +139,19 @@ FROM claims WHERE claim_category IS NOT NULL GROUP BY claim_category""")(
 
 
 def _group_folds(spark, sf):
-    c = claims_txt(spark, sf).where(F.col("greenwashing_flag").isNotNull()).select(
-        "claim_id", "organization_name", "greenwashing_flag")
+    c = claims_txt(spark, sf, ["claim_id", "organization_name", "greenwashing_flag"]).where(F.col("greenwashing_flag").isNotNull())
     return FO.group_folds(c, "organization_name", "greenwashing_flag", 4, 42)
 
 
-register("group_folds")(_group_folds)
+# every attempt of the deal at once; the first with both labels in all folds is taken
+register("group_folds", TXT + """,
+l AS (SELECT claim_id, organization_name, greenwashing_flag FROM claims WHERE greenwashing_flag IS NOT NULL),
+g AS (SELECT organization_name, count_if(greenwashing_flag = 1) AS pos, count_if(greenwashing_flag = 0) AS neg
+      FROM l WHERE organization_name IS NOT NULL GROUP BY 1),
+dealt AS (SELECT g.*, a.attempt, CAST((row_number() OVER (PARTITION BY a.attempt ORDER BY
+              md5(organization_name || '#' || a.attempt || '-42'), organization_name || '#' || a.attempt) - 1) % 4 AS INTEGER) AS fold
+          FROM g, (SELECT unnest(range(200)) AS attempt) a),
+sums AS (SELECT attempt, fold, sum(pos) AS p, sum(neg) AS q FROM dealt GROUP BY ALL),
+taken AS (SELECT min(attempt) AS attempt FROM (SELECT attempt FROM sums GROUP BY attempt HAVING count(*) = 4 AND min(p) > 0 AND min(q) > 0))
+SELECT l.claim_id, l.organization_name, l.greenwashing_flag, d.fold FROM l
+LEFT JOIN (SELECT organization_name, fold FROM dealt WHERE attempt = (SELECT attempt FROM taken)) d USING (organization_name)""")(_group_folds)

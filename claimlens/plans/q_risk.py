@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimlens.functions import lexicons as L
-from claimlens.functions.text import DIGIT, truncate_display
+from claimlens.functions.text import DIGIT
 from claimlens.operators import risk as RK
 from claimlens.plans.registry import register
 from claimlens.plans.sqlparts import TXT, contains
+from claimlens.session import materialize, small
 from claimlens.sources.claims import claims_txt
 
 D = "::DOUBLE"
@@ -67,9 +68,12 @@ def sql_text_risk(t="esg_claim_text"):
     return _guard(t, f"least({n} * 0.1{D} + CASE WHEN {contains(t, '100%')} THEN 0.2{D} ELSE 0.0{D} END, 1.0{D})")
 
 
-def lowered(spark, sf):
-    """Document claims with ``lower(text)`` computed once (see ``risk.with_lower``)."""
-    return RK.with_lower(claims_txt(spark, sf), "esg_claim_text")
+def measured(spark, sf, **columns):
+    """Document claims as ``claim_id`` and the given expressions of their texts (see ``risk.with_lower``),
+    which are computed before the claim view's joins."""
+    def measure(d):
+        return RK.with_lower(d, "esg_claim_text").withColumns(columns).drop("esg_claim_text", RK.LOWER)
+    return claims_txt(spark, sf, ["claim_id"], measure)
 
 
 def _lt():
@@ -83,20 +87,18 @@ def _count(lt, ws):
 # ---------------------------------------------------------------- H1, H2
 register("keyword_risk_v1", TXT + f"""
 SELECT claim_id, round({sql_v1()}, 6) AS keyword_risk FROM claims""")(
-    lambda spark, sf: lowered(spark, sf).select(
-        "claim_id", F.round(RK.keyword_risk_v1("esg_claim_text", lt=_lt()), 6).alias("keyword_risk")))
+    lambda spark, sf: measured(spark, sf, keyword_risk=F.round(RK.keyword_risk_v1("esg_claim_text", lt=_lt()), 6)))
 
 register("keyword_risk_v2", TXT + f"""
 SELECT claim_id, round(s, 6) AS rag_risk_score, {sql_v2_analysis('s')} AS analysis
 FROM (SELECT claim_id, {sql_v2()} AS s FROM claims)""")(
-    lambda spark, sf: lowered(spark, sf).select("claim_id", RK.keyword_risk_v2("esg_claim_text", lt=_lt()).alias("s"))
+    lambda spark, sf: measured(spark, sf, s=RK.keyword_risk_v2("esg_claim_text", lt=_lt()))
     .select("claim_id", F.round("s", 6).alias("rag_risk_score"), RK.v2_analysis("s").alias("analysis")))
 
 register("keyword_risk_v2_data", TXT + f"""
 SELECT claim_id, round(s, 6) AS rag_risk_score, {sql_v2_analysis('s')} AS analysis
 FROM (SELECT claim_id, {sql_v2('esg_claim_text', L.DATA_V2_EXTREME, L.DATA_V2_HIGH, L.DATA_V2_VAGUE)} AS s FROM claims)""")(
-    lambda spark, sf: lowered(spark, sf).select("claim_id", RK.keyword_risk_v2("esg_claim_text", **DATA_LEX, lt=_lt())
-                                               .alias("s"))
+    lambda spark, sf: measured(spark, sf, s=RK.keyword_risk_v2("esg_claim_text", **DATA_LEX, lt=_lt()))
     .select("claim_id", F.round("s", 6).alias("rag_risk_score"), RK.v2_analysis("s").alias("analysis")))
 
 # ---------------------------------------------------------------- H4
@@ -104,10 +106,10 @@ register("text_indicators", TXT + f"""
 SELECT claim_id, array_to_string({sql_indicators()}, '|') AS risk_indicators,
        CAST(len({sql_indicators()}) AS INTEGER) AS n_indicators, round({sql_text_risk()}, 6) AS text_risk_score
 FROM claims""")(
-    lambda spark, sf: lowered(spark, sf).select(
-        "claim_id", "esg_claim_text", RK.text_indicators("esg_claim_text", lt=_lt()).alias("ind")).select(
-        "claim_id", F.concat_ws("|", "ind").alias("risk_indicators"), F.size("ind").alias("n_indicators"),
-        F.round(RK.text_risk("esg_claim_text", indicators=F.col("ind")), 6).alias("text_risk_score")))
+    lambda spark, sf: claims_txt(spark, sf, ["claim_id"], lambda d: RK.text_analysis(RK.with_lower(d, "esg_claim_text"))
+                                 .select("doc_id", "source", "lang", "risk_indicators", "text_risk_score")).select(
+        "claim_id", F.concat_ws("|", "risk_indicators").alias("risk_indicators"), F.size("risk_indicators").alias("n_indicators"),
+        F.round("text_risk_score", 6).alias("text_risk_score")))
 
 # ---------------------------------------------------------------- H9
 _LT = "lower(esg_claim_text)"
@@ -125,9 +127,9 @@ SELECT claim_id, {_count(_LT, _FAM['environmental'])} AS environmental, {_count(
        array_to_string({_ISSUES_SQL}, '|') AS issues, CAST(len({_ISSUES_SQL}) AS INTEGER) AS n_issues,
        {_count(_LT, _FAM['environmental'])} + {_count(_LT, _FAM['social'])} + {_count(_LT, _FAM['governance'])} AS total_esg_keywords
 FROM claims WHERE esg_claim_text IS NOT NULL""")(
-    lambda spark, sf: lowered(spark, sf).where(F.col("esg_claim_text").isNotNull())
-    .select("claim_id", RK.keyword_counts("esg_claim_text", lt=_lt()).alias("k"),
-            RK.keyword_issues("esg_claim_text", lt=_lt()).alias("i"))
+    lambda spark, sf: measured(spark, sf, k=RK.keyword_counts("esg_claim_text", lt=_lt()),
+                               i=RK.keyword_issues("esg_claim_text", lt=_lt()), given=F.col("esg_claim_text").isNotNull())
+    .where("given")
     .select("claim_id", "k.environmental", "k.social", "k.governance", "k.greenwashing_indicators",
             F.concat_ws("|", "i").alias("issues"), F.size("i").alias("n_issues"),
             (F.col("k.environmental") + F.col("k.social") + F.col("k.governance")).alias("total_esg_keywords")))
@@ -135,13 +137,18 @@ FROM claims WHERE esg_claim_text IS NOT NULL""")(
 
 # ---------------------------------------------------------------- H5-H8 with data-derived model scores
 def _overall(spark, sf):
-    c = claims_txt(spark, sf)
-    org = c.groupBy("organization_name").agg(F.avg("greenwashing_flag").alias("gb"))
-    cat = c.groupBy("claim_category").agg(F.avg("greenwashing_flag").alias("lr"))
-    j = c.join(org, "organization_name", "left").join(cat, "claim_category", "left")
     t = F.col("esg_claim_text")
-    j = RK.with_lower(j.where(t.isNotNull()), "esg_claim_text")
-    j = j.withColumns({"text_risk": RK.text_risk(t, lt=_lt()), "rag": RK.keyword_risk_v2(t, lt=_lt())})
+
+    def measure(d):
+        return RK.with_lower(d, "esg_claim_text").withColumns(
+            {"text_risk": RK.text_risk(t, lt=_lt()), "rag": RK.keyword_risk_v2(t, lt=_lt()), "given": t.isNotNull()}) \
+            .drop("esg_claim_text", RK.LOWER)
+
+    # texts are scored once; the group means and the blend read the written scores
+    c = materialize(claims_txt(spark, sf, ["claim_id", "organization_name", "claim_category", "greenwashing_flag"], measure))
+    org = small(c.groupBy("organization_name").agg(F.avg("greenwashing_flag").alias("gb")))
+    cat = small(c.groupBy("claim_category").agg(F.avg("greenwashing_flag").alias("lr")))
+    j = c.where("given").join(org, "organization_name", "left").join(cat, "claim_category", "left")
     j = j.withColumn("overall", RK.overall_risk("gb", "lr", "text_risk", "rag", True))
     j = j.withColumn("level", RK.risk_level("overall"))
     return j.select("claim_id", F.round(RK.model_ensemble("gb", "lr"), 6).alias("greenwashing_risk"),
@@ -172,8 +179,13 @@ FROM l""")(_overall)
 
 
 # ---------------------------------------------------------------- H15, C20, C21 (agent path, no model files)
+def analysed(spark, sf, lex=None, columns=("claim_id", "claim_category")):
+    """Document claims with the text measures of the claim analysis in place of their texts."""
+    return claims_txt(spark, sf, columns, lambda d: RK.text_measures(d, "esg_claim_text", lex).drop("esg_claim_text"))
+
+
 def _batch(spark, sf, lex=None):
-    return RK.batch_analysis(claims_txt(spark, sf), v2_lexicon=lex)
+    return RK.batch_analysis(analysed(spark, sf, lex))
 
 
 def _batch_sql(lex=None):
@@ -200,7 +212,7 @@ def _rounded(df):
     return df.withColumns({c: F.round(c, 6) for c in ["risk_score", "rag_risk"]})
 
 
-register("batch_analysis", _batch_sql().replace("SELECT claim_id,\n  CASE WHEN length", "SELECT claim_id,\n  CASE WHEN length", 1)
+register("batch_analysis", _batch_sql()
          .replace("ELSE overall END AS risk_score", "ELSE round(overall, 6) END AS risk_score")
          .replace("ELSE rag END AS rag_risk", "ELSE round(rag, 6) END AS rag_risk"))(
     lambda spark, sf: _rounded(_batch(spark, sf)))
@@ -228,10 +240,10 @@ STORED_THRESHOLD = 0.2626
 
 
 def _calibrated(spark, sf):
-    c = claims_txt(spark, sf)
-    org = c.groupBy("organization_name").agg(F.avg("greenwashing_flag").alias("p"))
+    c = materialize(analysed(spark, sf, DATA_LEX, ["claim_id", "claim_category", "organization_name", "greenwashing_flag"]))
+    org = small(c.groupBy("organization_name").agg(F.avg("greenwashing_flag").alias("p")))
     j = c.join(org, "organization_name", "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
-    out = RK.batch_analysis(j, prob="p", threshold=STORED_THRESHOLD, v2_lexicon=DATA_LEX)
+    out = RK.batch_analysis(j, prob="p", threshold=STORED_THRESHOLD)
     return _rounded(out).withColumns({"advanced_risk": F.round("advanced_risk", 6),
                                       "verdict": RK.verdict("risk_score")})
 
@@ -255,9 +267,6 @@ SELECT claim_id,
   CASE WHEN (CASE WHEN esg_claim_text IS NULL THEN 0.0 ELSE round(p, 6) END) > 0.5 THEN 'GREEN-WASH' ELSE 'Clean' END AS verdict
 FROM b""")(_calibrated)
 
-__all__ = ["sql_v1", "sql_v2", "sql_text_risk", "truncate_display"]
-
-
 # ---------------------------------------------------------------- H13 polarity from a lexicon table
 def _polarity(spark, sf):
     from claimlens.sources.tables import table

@@ -66,6 +66,14 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
+def small(df, rows: int = 100_000):
+    """``df`` written once and, when it has at most ``rows`` rows, marked for broadcast; a larger table
+    is joined by shuffle.  For tables of a few short columns: group means, codes, folds."""
+    from pyspark.sql import functions as F
+    made = materialize(df)
+    return F.broadcast(made) if made.count() <= rows else made
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -10,17 +10,25 @@ feed every query:
   for numeric, temporal and group statistics.
 
 Both are plain joins + projections; Catalyst prunes the unused columns, so a query
-that needs three claim columns reads only the parquet columns behind them.
+that needs three claim columns reads only the parquet columns behind them.  Queries
+that score texts do so before the joins (``measure``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens.sources.tables import Tables
 
 
+#: claim columns that only the labels, or only the line items, can give
+LABEL_COLUMNS = {"greenwashing_flag", "controversy_flag"}
+MEASURED_COLUMNS = {"actual_measured_value", "value_deviation"}
+
+
 def _measured_by_order(lineitem: DataFrame, keys: DataFrame) -> DataFrame:
     """Sum of discounted line prices per order, for the orders in ``keys`` only.
 
@@ -33,36 +41,54 @@ def _measured_by_order(lineitem: DataFrame, keys: DataFrame) -> DataFrame:
         F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("actual_measured_value"))
 
 
-def claims_txt(spark: SparkSession, sf_dir: str) -> DataFrame:
+def claims_txt(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None = None,
+               measure: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The document claims: all their columns, or ``columns`` and only the joins these need.
+
+    ``measure`` is applied to the documents before any join (their text is ``esg_claim_text``) and
+    adds columns to the view, so that scores of a text travel through the joins and not the text;
+    it may drop the text.  Order, customer and nation attributes are joined with each other first,
+    without texts: a row of a document takes part in one join.
+    """
     t = Tables(spark, sf_dir)
-    d = t.documents
-    measured = _measured_by_order(t.lineitem, d)
-    df = (d.join(t.labels, "doc_id", "left")
-          .join(t.orders, F.col("doc_id") == F.col("o_orderkey"))
-          .join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-          .join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
-          .join(measured, F.col("doc_id") == F.col("l_orderkey"), "left"))
-    return df.select(
-        F.col("doc_id").alias("claim_id"),
-        F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("project_id"),
-        F.col("source").alias("organization_name"),
-        F.year("o_orderdate").cast("bigint").alias("report_year"),
-        F.col("text").alias("esg_claim_text"),
-        F.col("lang").alias("claim_category"),
-        F.col("o_orderpriority").alias("claimed_metric_type"),
-        F.col("o_totalprice").alias("claimed_value"),
-        F.col("c_mktsegment").alias("measurement_unit"),
-        F.col("n_name").alias("project_location"),
-        F.col("actual_measured_value"),
-        (F.col("actual_measured_value") - F.col("o_totalprice")).alias("value_deviation"),
-        F.col("c_acctbal").alias("external_validation_score"),
-        (1 - F.col("quality")).cast("int").alias("greenwashing_flag"),
-        F.col("toxic").cast("int").alias("controversy_flag"),
-        F.concat(F.lit("doc://"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("source_doc_link"),
-        F.lit(None).cast("double").alias("report_sentiment_score"),
-        F.lit(None).cast("double").alias("llm_claim_consistency_score"),
-        F.col("o_orderdate").alias("timestamp"),
-    )
+    ids = t.documents.select("doc_id")
+    wanted = set(columns) if columns else None
+    needs = lambda group: wanted is None or bool(wanted & group)
+    side = (t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_totalprice")
+            .join(ids.withColumnRenamed("doc_id", "o_orderkey"), "o_orderkey", "left_semi")
+            .join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+            .join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")))
+    if needs(LABEL_COLUMNS):
+        side = side.join(t.labels.withColumnRenamed("doc_id", "_label_id"), F.col("o_orderkey") == F.col("_label_id"), "left")
+    if needs(MEASURED_COLUMNS):
+        side = side.join(_measured_by_order(t.lineitem, ids), F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    d = t.documents.select("doc_id", "source", "lang", F.col("text").alias("esg_claim_text"))
+    plain = set(d.columns)
+    d = measure(d) if measure else d
+    df = d.join(side, F.col("doc_id") == F.col("o_orderkey"))
+    made = {
+        "claim_id": F.col("doc_id"),
+        "project_id": F.concat(F.lit("D"), F.col("doc_id").cast("string")),
+        "organization_name": F.col("source"),
+        "report_year": F.year("o_orderdate").cast("bigint"),
+        "esg_claim_text": F.col("esg_claim_text") if "esg_claim_text" in d.columns else None,
+        "claim_category": F.col("lang"),
+        "claimed_metric_type": F.col("o_orderpriority"),
+        "claimed_value": F.col("o_totalprice"),
+        "measurement_unit": F.col("c_mktsegment"),
+        "project_location": F.col("n_name"),
+        "actual_measured_value": F.col("actual_measured_value") if needs(MEASURED_COLUMNS) else None,
+        "value_deviation": F.col("actual_measured_value") - F.col("o_totalprice") if needs(MEASURED_COLUMNS) else None,
+        "external_validation_score": F.col("c_acctbal"),
+        "greenwashing_flag": (1 - F.col("quality")).cast("int") if needs(LABEL_COLUMNS) else None,
+        "controversy_flag": F.col("toxic").cast("int") if needs(LABEL_COLUMNS) else None,
+        "source_doc_link": F.concat(F.lit("doc://"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string")),
+        "report_sentiment_score": F.lit(None).cast("double"),
+        "llm_claim_consistency_score": F.lit(None).cast("double"),
+        "timestamp": F.col("o_orderdate"),
+    }
+    out = [c.alias(n) for n, c in made.items() if c is not None and (wanted is None or n in wanted)]
+    return df.select(*out, *[c for c in d.columns if c not in plain])
 
 
 def claims_num(spark: SparkSession, sf_dir: str) -> DataFrame:
