@@ -8,6 +8,7 @@ by the feature width, not by the data.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -20,13 +21,13 @@ from pyspark.ml.feature import (IDF, CountVectorizer, ElementwiseProduct, Impute
                                 VectorAssembler)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimlens.functions.text import TOKEN, english_stop_words
 from claimlens.operators import curves as CV
+from claimlens.session import materialize
 
 # The regularisation grid (C values and penalties) of the calibrated model.
 C_GRID = [0.01, 0.1, 1, 10, 100]
@@ -143,26 +144,40 @@ def fit_pipeline(df: DataFrame, stages: list, estimator) -> PipelineModel:
     return Pipeline(stages=[*stages, estimator]).fit(df)
 
 
+def cross_validate(train: DataFrame, stages: list, candidates: Sequence[tuple], folds: int = 5, parallelism: int = 4) -> list[float]:
+    """Mean ROC-AUC of every ``(estimator, params)`` over the folds of the ``fold`` column.
+
+    The features of a fold are fitted once, on its other folds, and written; all candidates read them,
+    ``parallelism`` of them at a time.
+    """
+    evaluator = BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC")
+    auc = np.zeros(len(candidates))
+    for f in range(folds):
+        features = Pipeline(stages=stages).fit(train.where(F.col("fold") != f))
+        made = materialize(features.transform(train).select("features", "label", "weight", "fold"))
+        rest, held = made.where(F.col("fold") != f), made.where(F.col("fold") == f)
+        with ThreadPoolExecutor(parallelism) as pool:  # each thread only starts Spark jobs
+            auc += list(pool.map(lambda c: evaluator.evaluate(c[0].fit(rest, c[1]).transform(held)), candidates))  # noqa: B023
+    return [float(x) for x in auc / folds]
+
+
 def grid_search(train: DataFrame, stages: list, folds: int = 5, n: int | None = None,
-                c_grid: Sequence[float] = C_GRID, penalties: Sequence[str] = PENALTIES, parallelism: int = 4):
+                c_grid: Sequence[float] = C_GRID, penalties: Sequence[str] = PENALTIES):
     """Cross-validated grid over C x penalty by ROC-AUC; folds come from a ``fold`` column.
 
-    Returns ``(cv_model, table)`` where ``table`` rows are (C, penalty, regParam, mean_auc).
+    Returns ``(model, table)``: the pipeline with the best mean (the first of equal ones) fitted on all
+    of ``train``, and rows (C, penalty, regParam, mean_auc).  C counts rows, so a fold's fits use the
+    number of rows they learn from.
     """
     lr = logistic(weight_col="weight")
     n = n or train.count()
-    meta, maps = [], []
-    for c in c_grid:
-        for pen in penalties:
-            maps.append({lr.regParam: c_to_reg(c, n), lr.elasticNetParam: 1.0 if pen == "l1" else 0.0})
-            meta.append((float(c), pen, c_to_reg(c, n)))
-    cv = CrossValidator(estimator=Pipeline(stages=[*stages, lr]), estimatorParamMaps=maps,
-                        evaluator=BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC"),
-                        foldCol="fold", numFolds=folds, parallelism=parallelism)
-    model = cv.fit(train)
-    rows = [(c, p, r, float(m)) for (c, p, r), m in zip(meta, model.avgMetrics)]
-    table = train.sparkSession.createDataFrame(rows, "C double, penalty string, regParam double, mean_auc double")
-    return model, table
+    points = [(float(c), pen) for c in c_grid for pen in penalties]
+    at = lambda c, pen, rows: {lr.regParam: c_to_reg(c, rows), lr.elasticNetParam: 1.0 if pen == "l1" else 0.0}
+    auc = cross_validate(train, stages, [(lr, at(c, pen, n * (folds - 1) // folds)) for c, pen in points], folds)
+    best = points[int(np.argmax(auc))]
+    model = fit_pipeline(train, stages, lr.copy(at(*best, n)))
+    rows = [(c, pen, c_to_reg(c, n), m) for (c, pen), m in zip(points, auc)]
+    return model, train.sparkSession.createDataFrame(rows, "C double, penalty string, regParam double, mean_auc double")
 
 
 def classifiers(seed: int = 42) -> dict:
@@ -187,13 +202,14 @@ def scored(pred: DataFrame, id_col: str) -> DataFrame:
 
 def compare_models(train: DataFrame, test: DataFrame, stages: list, id_col: str,
                    names: Sequence[str] | None = None) -> DataFrame:
-    """Fit each classifier on ``train`` and report accuracy/precision/recall/F1/ROC-AUC on ``test``."""
+    """Fit the features once and each classifier on ``train``; report accuracy/precision/recall/F1/ROC-AUC on ``test``."""
+    features = Pipeline(stages=stages).fit(train)
+    learn, judge = (materialize(features.transform(d).select(id_col, "features", "label", "weight")) for d in (train, test))
     out = None
     for name, est in classifiers().items():
         if names and name not in names:
             continue
-        m = fit_pipeline(train, stages, est)
-        s = scored(m.transform(test), id_col)
+        s = scored(est.fit(learn).transform(judge), id_col)
         row = CV.binary_metrics(s, score="score").withColumn("model", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out.select("model", "accuracy", "precision", "recall", "f1", "roc_auc", "gini")
@@ -359,14 +375,10 @@ def tune_winner(train: DataFrame, test: DataFrame, stages: list, id_col: str,
     if fast_mode:
         tuned_metrics = cmp.where(F.col("model") == best)
     else:
-        pipe_grid = grids[best]
-        cv = CrossValidator(estimator=Pipeline(stages=[*stages, est]), estimatorParamMaps=pipe_grid,
-                            evaluator=BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC"),
-                            foldCol="fold", numFolds=folds, parallelism=4)
-        model = cv.fit(train)
-        bi = max(range(len(model.avgMetrics)), key=lambda i: model.avgMetrics[i])
-        params = ", ".join(f"{p.name}={v}" for p, v in pipe_grid[bi].items())
-        s = scored(model.bestModel.transform(test), id_col)
+        auc = cross_validate(train, stages, [(est, point) for point in grids[best]], folds)
+        point = grids[best][int(np.argmax(auc))]
+        params = ", ".join(f"{p.name}={v}" for p, v in point.items())
+        s = scored(fit_pipeline(train, stages, est.copy(point)).transform(test), id_col)
         tuned_metrics = CV.binary_metrics(s, score="score").withColumn("model", F.lit(best))
     metrics = ["accuracy", "precision", "recall", "f1", "roc_auc"]
     tall = lambda d, name: d.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias(name))

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimlens.functions.stats import exact_quantiles
-from claimlens.functions.text import char_count, py_strip, word_count
+from claimlens.functions.text import py_strip, word_count
+from claimlens.session import materialize
 
 R = 6
 
@@ -82,22 +83,42 @@ def missing_profile(df: DataFrame) -> DataFrame:
                        pct.alias("missing_pct"), F.round(100.0 - pct, R).alias("completeness_pct"))
 
 
+DIGEST = "_row_digest"
+
+
+def row_digest(df: DataFrame, cols: Sequence[str] | None = None) -> Column:
+    """SHA-256 of the values of a row: rows that are equal in ``cols`` share it (NULLs are equal, as
+    are 0.0 and -0.0), so whole texts need no shuffle to be compared."""
+    types = dict(df.dtypes)
+
+    def plain(c):
+        x = F.col(f"`{c}`")
+        if types[c] in ("double", "float"):
+            return F.when(x == 0, F.lit("0.0")).otherwise(x.cast("string"))
+        if types[c].startswith(("array", "struct", "map")):
+            return F.to_json(F.struct(x))
+        return F.hex(x) if types[c] == "binary" else x.cast("string")
+
+    return F.sha2(F.to_json(F.array(*[plain(c) for c in cols or df.columns])), 256)
+
+
 def duplicate_count(df: DataFrame, key: Sequence[str] | None = None) -> DataFrame:
     """Number of *extra* copies over all columns or over ``key`` (NULLs compare equal)."""
-    cols = list(key) if key else df.columns
-    g = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))
+    g = df.select(row_digest(df, key).alias(DIGEST)).groupBy(DIGEST).agg(F.count(F.lit(1)).alias("_c"))
     return g.agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).cast("bigint").alias("duplicates"),
                  F.count(F.lit(1)).alias("distinct_rows"))
 
 
 def table_profile(df: DataFrame) -> DataFrame:
-    """Rows, columns, total missing cells and full-row duplicates in one row."""
+    """Rows, columns, total missing cells and full-row duplicates in one row, from one pass over
+    the table; rows are compared by digest."""
     cols = df.columns
-    missing = sum((F.count_if(_is_missing(df, c)) for c in cols), F.lit(0))
-    base = df.agg(F.count(F.lit(1)).alias("n_rows"), missing.cast("bigint").alias("missing_cells"))
-    dup = duplicate_count(df).select("duplicates")
-    return base.crossJoin(dup).select("n_rows", F.lit(len(cols)).alias("n_columns"), "missing_cells",
-                                      F.col("duplicates").alias("duplicate_rows"))
+    missing = sum((F.when(_is_missing(df, c), 1).otherwise(0) for c in cols), F.lit(0))
+    rows = df.select(row_digest(df).alias(DIGEST), missing.cast("bigint").alias("_missing"))
+    g = rows.groupBy(DIGEST).agg(F.count(F.lit(1)).alias("_c"), F.sum("_missing").alias("_m"))
+    return g.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum("_m"), F.lit(0)).alias("missing_cells"),
+                 F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).alias("duplicate_rows")).select(
+        "n_rows", F.lit(len(cols)).alias("n_columns"), "missing_cells", "duplicate_rows")
 
 
 def dedupe(df: DataFrame) -> DataFrame:
@@ -156,26 +177,34 @@ def length_bands(df: DataFrame, text: str = "esg_claim_text", short: int = 50, l
 def quality_record(raw: DataFrame, text: str = "esg_claim_text", flag: str = "greenwashing_flag") -> DataFrame:
     """The cleaning summary record (rows before/after, removed, missing, text stats,
     distinct organisations/locations, category distribution, flag rate)."""
-    clean = clean_text_quality(raw.dropDuplicates(), text)
+    # one pass over the table: rows become their digest, the length of the cleaned text, missing cells
+    # and the few columns that are counted; the rest reads this written table of distinct rows
     cols = raw.columns
-    miss = lambda d: sum((F.count_if(_is_missing(d, c)) for c in cols), F.lit(0)).cast("bigint")
-    before = raw.agg(F.count(F.lit(1)).alias("original_rows"), miss(raw).alias("missing_values_original"))
-    dedup_rows = raw.dropDuplicates().agg(F.count(F.lit(1)).alias("_dedup"))
-    cat = (clean.where(F.col("claim_category").isNotNull()).groupBy("claim_category")
-           .agg(F.count(F.lit(1)).alias("n")))
+    cells = lambda names: sum((F.when(_is_missing(raw, c), 1).otherwise(0) for c in names), F.lit(0)).cast("bigint")
+    cleaned = F.coalesce(py_strip(text), F.lit(EMPTY_TEXT))
+    counted = ["organization_name", "project_location", "claim_category", flag]
+    narrow = raw.select(row_digest(raw).alias(DIGEST), F.length(cleaned).alias("_length"), cells(cols).alias("_missing"),
+                        cells([c for c in cols if c != text]).alias("_missing_clean"), *counted)
+    rows = materialize(narrow.groupBy(DIGEST).agg(F.count(F.lit(1)).alias("_c"), *[
+        F.first(c).alias(c) for c in narrow.columns if c != DIGEST]))
+    kept = F.col("_length") >= 10
+    one = lambda c: F.when(kept, F.col(c))
+    total = rows.agg(
+        F.coalesce(F.sum("_c"), F.lit(0)).alias("original_rows"), F.count_if(kept).alias("cleaned_rows"),
+        F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).alias("duplicates_removed"),
+        F.sum(F.col("_missing") * F.col("_c")).alias("missing_values_original"),
+        F.sum(one("_missing_clean")).alias("missing_values_cleaned"),
+        F.min(one("_length")).alias("text_length_min"), F.max(one("_length")).alias("text_length_max"),
+        F.round(F.avg(one("_length")), R).alias("text_length_mean"), F.round(F.avg(one(flag)), R).alias("greenwashing_rate"))
+    clean = rows.where(kept)
+    distinct = lambda c, name: clean.select(c).distinct().agg(F.count(c).alias(name))
+    cat = clean.where(F.col("claim_category").isNotNull()).groupBy("claim_category").agg(F.count(F.lit(1)).alias("n"))
     dist = cat.agg(F.concat_ws(",", F.array_sort(F.collect_list(
         F.concat(F.col("claim_category"), F.lit("="), F.col("n").cast("string"))))).alias("category_distribution"))
-    tl = F.length(text)
-    after = clean.agg(F.count(F.lit(1)).alias("cleaned_rows"), miss(clean).alias("missing_values_cleaned"),
-                      F.min(tl).alias("text_length_min"), F.max(tl).alias("text_length_max"),
-                      F.round(F.avg(tl), R).alias("text_length_mean"),
-                      F.count_distinct("organization_name").alias("unique_organizations"),
-                      F.count_distinct("project_location").alias("unique_locations"),
-                      F.round(F.avg(flag), R).alias("greenwashing_rate"))
-    return (before.crossJoin(dedup_rows).crossJoin(after).crossJoin(dist)
+    return (total.crossJoin(distinct("organization_name", "unique_organizations"))
+            .crossJoin(distinct("project_location", "unique_locations")).crossJoin(dist)
             .select("original_rows", "cleaned_rows",
-                    (F.col("original_rows") - F.col("cleaned_rows")).alias("rows_removed"),
-                    (F.col("original_rows") - F.col("_dedup")).alias("duplicates_removed"),
+                    (F.col("original_rows") - F.col("cleaned_rows")).alias("rows_removed"), "duplicates_removed",
                     "missing_values_original", "missing_values_cleaned", "text_length_min", "text_length_max",
                     "text_length_mean", "unique_organizations", "unique_locations", "category_distribution",
                     "greenwashing_rate"))
@@ -192,5 +221,3 @@ def coerce_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Bad values become NULL (``try_cast``)."""
     return df.withColumns({c: F.expr(f"try_cast(`{c}` AS DOUBLE)") for c in cols})
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["char_count"]

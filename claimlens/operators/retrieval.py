@@ -17,21 +17,27 @@ Sparse search (TF-IDF cosine, top-k per claim)
 
 Dense search
 ------------
-Exact inner-product / L2 top-k of every vector against a bounded query set that is
-attached to each row as one array (one-row broadcast), scored with array
-expressions; ``row_number`` <= k is pruned per partition before the shuffle.
+Exact inner-product / L2 top-k of every vector against query blocks of bounded bytes:
+Arrow batches of vectors are scored against the block in NumPy, and a task keeps a
+running top-k per query, so partitions x queries x k rows reach the shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from claimlens.functions.stats import prefix_sums
 from claimlens.functions.text import TOKEN, english_stop_words
+from claimlens.session import materialize, ship_package
 
 BROADCAST_ROWS = 2_000_000
 SCORE_DIGITS = 6
@@ -170,48 +176,72 @@ def centroids(vectors: DataFrame, key: str, vec: str = "embedding") -> DataFrame
                                           lambda s: s["x"]).alias("centroid"))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def l2(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-
-
 def dense_topk(vectors: DataFrame, v_id: str, queries: DataFrame, q_id: str, q_vec: str,
-               k: int = 5, metric: str = "ip", vec: str = "embedding", max_queries: int = 10_000) -> DataFrame:
-    """Exact top-k of ``vectors`` for each query vector.
-
-    ``metric='ip'``: inner product, higher is better (G6); ``'l2'``: distance, lower is better (G7).
-    A query block is attached to every row as one array, so its size is checked first: beyond
-    ``max_queries`` the queries are split into hash blocks of at most about ``max_queries`` and the
-    per-block top-k tables are unioned (each block is one more pass over the vectors).
+               k: int = 5, metric: str = "ip", vec: str = "embedding", block_bytes: int = 64 << 20) -> DataFrame:
+    """Exact top-k of ``vectors`` for each query vector: ``(q_id, v_id, score, rank)``.
+
+    ``metric='ip'``: inner product, higher is better (G6); ``'l2'``: distance, lower is better (G7);
+    equal scores (rounded) go by id.  Queries are sent to the tasks in blocks of at most
+    ``block_bytes``, found with a running total of their bytes; a task keeps the best k vectors of each
+    query over all its batches, so it emits k rows a query and no row per pair.  NULL vectors and ids,
+    and vectors with a NULL or NaN in them, are left out.
     """
-    n = queries.count()
-    # hash blocks only average n / blocks: take twice as many as needed to stay under the bound
-    blocks = 1 if n <= max_queries else -(-2 * n // max_queries)
-    if blocks == 1:
-        return _dense_block(vectors, v_id, queries, q_id, q_vec, k, metric, vec)
-    out = None
-    for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64(F.col(q_id)), F.lit(blocks)) == b)
-        r = _dense_block(vectors, v_id, part, q_id, q_vec, k, metric, vec)
-        out = r if out is None else out.unionByName(r)
-    return out
-
-
-def _dense_block(vectors: DataFrame, v_id: str, queries: DataFrame, q_id: str, q_vec: str,
-                 k: int, metric: str, vec: str) -> DataFrame:
-    qarr = queries.agg(F.collect_list(F.struct(F.col(q_id).alias("qid"),
-                                                F.col(q_vec).cast("array<double>").alias("qv"))).alias("_q"))
-    v = vectors.select(v_id, F.col(vec).cast("array<double>").alias("_v")).crossJoin(F.broadcast(qarr))
-    score = (lambda q: dot(q["qv"], F.col("_v"))) if metric == "ip" else (lambda q: l2(q["qv"], F.col("_v")))
-    s = v.select(v_id, F.explode(F.transform("_q", lambda q: F.struct(q["qid"].alias("qid"),
-                                                                      score(q).alias("score")))).alias("h"))
-    s = s.select(F.col("h.qid").alias(q_id), v_id, F.round("h.score", SCORE_DIGITS).alias("score"))
-    order = F.desc("score") if metric == "ip" else F.asc("score")
-    w = Window.partitionBy(q_id).orderBy(order, F.asc(v_id))
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    q = materialize(queries.where(F.col(q_vec).isNotNull() & F.col(q_id).isNotNull()).select(
+        F.col(q_id).alias("_q"), F.col(q_vec).cast("array<double>").alias("_qv")))
+    width, n = q.agg(F.coalesce(F.max(F.size("_qv")), F.lit(1)), F.count(F.lit(1))).first()
+    v = vectors.where(F.col(vec).isNotNull() & F.col(v_id).isNotNull()).select(
+        F.col(v_id).alias("_v"), F.col(vec).cast("array<double>").alias("_vv"))
+    size = max(1, block_bytes // (8 * max(width, 1)))
+    if n <= size:
+        blocks = [q]
+    else:  # blocks of exactly bounded size: the global rank of a query names its block
+        ranked = materialize(prefix_sums(q.withColumns({"_key": F.col("_q"), "_one": F.lit(1)}), "_key", ["_one"]))
+        blocks = [ranked.where(F.expr(f"(cum__one - 1) div {size}") == i) for i in range(-(-n // size))]
+    schema = T.StructType([T.StructField("_q", q.schema["_q"].dataType), T.StructField("_v", v.schema["_v"].dataType),
+                           T.StructField("score", T.DoubleType())])
+    ship_package(q.sparkSession)
+    best = None
+    for block in blocks:
+        rows = block.select("_q", "_qv").collect()  # at most block_bytes of vectors
+        sent = q.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], float).reshape(len(rows), -1)))
+        part = v.mapInArrow(_best_of_task(sent, k, metric, to_arrow_type(schema[0].dataType)), schema)
+        best = part if best is None else best.unionByName(part)
+    w = Window.partitionBy("_q").orderBy(F.desc("score") if metric == "ip" else F.asc("score"), F.asc("_v"))
+    return (best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select(F.col("_q").alias(q_id), F.col("_v").alias(v_id), "score", "rank"))
+
+
+def _best_of_task(sent, k: int, metric: str, query_type: pa.DataType):
+    """A function over Arrow batches of vectors that yields each query's best k of the task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, queries = sent.value
+        kept = [(np.empty(0), []) for _ in names]  # keys (lower is better) and ids
+        for batch in batches:
+            if not batch.num_rows or not names:
+                continue
+            ids, id_type = batch.column(0), batch.column(0).type
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            for i, query in enumerate(queries):
+                raw = x @ query if metric == "ip" else np.sqrt(((x - query) ** 2).sum(axis=1))
+                key = _round_half_up(-raw if metric == "ip" else raw)
+                old, old_ids = kept[i]
+                # rows beyond the k-th key of the batch cannot be among the best; ties stay until sorted by id
+                limit = np.partition(key, k - 1)[k - 1] if len(key) > k else np.inf
+                at = np.flatnonzero(key <= limit)
+                pool = sorted([*zip(old, old_ids), *zip(key[at], ids.take(pa.array(at)).to_pylist())])[:k]
+                kept[i] = (np.array([p[0] for p in pool]), [p[1] for p in pool])
+        out = [(name, one, key) for name, (keys, best) in zip(names, kept) for key, one in zip(keys, best)]
+        if out:
+            score = np.array([o[2] for o in out]) * (-1 if metric == "ip" else 1)
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], query_type), pa.array([o[1] for o in out], id_type), pa.array(score + 0.0)],
+                                             names=["_q", "_v", "score"])
+    return run
+
+
+def _round_half_up(x: np.ndarray) -> np.ndarray:
+    """Scores to ``SCORE_DIGITS`` decimals, halves away from zero as in SQL."""
+    scale = 10.0 ** SCORE_DIGITS
+    return np.sign(x) * np.floor(np.abs(x) * scale + 0.5) / scale
 
 
 # ---------------------------------------------------------------- hit post-processing (G9-G14, H3/H10 inputs)

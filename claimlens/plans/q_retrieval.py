@@ -26,8 +26,12 @@ def corpus_chunks(spark, sf):
     return CH.chunk_table(b, "item_id", "text", "sentence", keep=["title"])
 
 
-def hits(spark, sf, k=K, chunks=None):
-    c = claims_txt(spark, sf)
+def claim_texts(spark, sf):
+    return claims_txt(spark, sf, ["claim_id", "esg_claim_text"])
+
+
+def hits(spark, sf, k=K, chunks=None, claims=None):
+    c = claims if claims is not None else claim_texts(spark, sf)
     return RT.search_topk(c, "claim_id", "esg_claim_text", chunks if chunks is not None else corpus_chunks(spark, sf), k)
 
 
@@ -108,9 +112,15 @@ SELECT label, vec_id, score, rank FROM r WHERE rank <= {K}""")(_dense("l2"))
 
 
 # ---------------------------------------------------------------- G9 context, G10 prompt
-def _context(spark, sf):
+def _hits_and_context(spark, sf):
+    """One search: the written hits (k rows a claim) and the context assembled from them."""
     ch = materialize(corpus_chunks(spark, sf))  # chunked once, used by the search and for the texts
-    return RT.context(hits(spark, sf, chunks=ch), ch, "claim_id")
+    found = materialize(hits(spark, sf, chunks=ch))
+    return found, RT.context(found, ch, "claim_id")
+
+
+def _context(spark, sf):
+    return _hits_and_context(spark, sf)[1]
 
 
 _CTX_SQL = HITS_SQL_CTES.rstrip("\n") + """,
@@ -126,7 +136,7 @@ register("context_assembly", _CTX_SQL + "SELECT claim_id, context, retrieved_doc
 
 
 def _prompt(spark, sf):
-    c = claims_txt(spark, sf).select("claim_id", "esg_claim_text")
+    c = claim_texts(spark, sf)
     ctx = _context(spark, sf)
     j = c.join(ctx, "claim_id")
     return j.select("claim_id", RT.prompt(F.col("context"), F.col("esg_claim_text")).alias("prompt"))
@@ -179,10 +189,10 @@ FROM conversations WHERE role = 'assistant'""")(_parse_text)
 
 
 # ---------------------------------------------------------------- G12-G14 + H9-H11: notebook claim analysis
-def _rag_analysis(spark, sf):
-    c = claims_txt(spark, sf).select("claim_id", "esg_claim_text")
+def _rag_analysis(spark, sf, claims=None):
+    c = claims if claims is not None else claim_texts(spark, sf)
     ch = materialize(corpus_chunks(spark, sf))  # chunked once, used by the search and for titles
-    s = RK.with_lower(RT.hit_summary(c, hits(spark, sf, chunks=ch), ch, "claim_id", title="title"), "esg_claim_text")
+    s = RK.with_lower(RT.hit_summary(c, hits(spark, sf, chunks=ch, claims=c), ch, "claim_id", title="title"), "esg_claim_text")
     t = F.col("esg_claim_text")
     kc = RK.keyword_counts(t, lt=F.col(RK.LOWER))
     issues = RK.keyword_issues(t, lt=F.col(RK.LOWER))
@@ -235,9 +245,9 @@ register("rag_analysis", _rag_analysis_sql())(_rag_analysis)
 
 # ---------------------------------------------------------------- H3 retrieval risk (context text as the analysis text)
 def _rag_risk(spark, sf):
-    c = claims_txt(spark, sf).select("claim_id", "esg_claim_text")
-    ctx = _context(spark, sf)
-    hs = hits(spark, sf).groupBy("claim_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("m"))
+    found, ctx = _hits_and_context(spark, sf)
+    c = claim_texts(spark, sf)
+    hs = found.groupBy("claim_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("m"))
     j = c.join(hs, "claim_id", "left").join(ctx.select("claim_id", "context"), "claim_id", "left")
     r = RK.rag_risk("esg_claim_text", "n", "m", "context")
     # half-up at 6 decimals by the same IEEE steps in both engines (values end in ...5 often here)
@@ -279,10 +289,12 @@ register("chunk_recursive")(_chunks("recursive"))
 # ---------------------------------------------------------------- J24 retrieval risk as a classifier on a 50-claim sample
 def _retrieval_eval(spark, sf):
     from claimlens.operators import curves as CV
-    c = claims_txt(spark, sf).where(F.col("greenwashing_flag").isNotNull())
-    sample = (c.select("claim_id", F.col("greenwashing_flag").alias("label"))
-              .orderBy(F.md5(F.concat(F.col("claim_id").cast("string"), F.lit("-42"))), "claim_id").limit(50))
-    ra = _rag_analysis(spark, sf).select("claim_id", "risk_score")
+    c = claims_txt(spark, sf, ["claim_id", "greenwashing_flag"]).where(F.col("greenwashing_flag").isNotNull())
+    sample = materialize(c.select("claim_id", F.col("greenwashing_flag").alias("label"))
+                         .orderBy(F.md5(F.concat(F.col("claim_id").cast("string"), F.lit("-42"))), "claim_id").limit(50))
+    # the sample is drawn first: only its 50 claims are searched for and scored
+    drawn = materialize(claim_texts(spark, sf).join(F.broadcast(sample.select("claim_id")), "claim_id", "left_semi"))
+    ra = _rag_analysis(spark, sf, drawn).select("claim_id", "risk_score")
     s = sample.join(ra, "claim_id").withColumn("pred", (F.col("risk_score") > 0.5).cast("int"))
     size = sample.agg(F.count("*").alias("n"))  # one row: fewer than 50 when fewer claims are labelled
     return CV.binary_metrics(s).crossJoin(F.broadcast(size))

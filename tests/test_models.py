@@ -63,10 +63,40 @@ def test_dense_topk_blocks_match_single_block(spark):
     cents = RT.centroids(e, "label")
     one = {tuple(r) for r in RT.dense_topk(e, "vec_id", cents, "label", "centroid", 3, "ip").collect()}
     many = {tuple(r) for r in RT.dense_topk(e, "vec_id", cents, "label", "centroid", 3, "ip",
-                                            max_queries=3).collect()}
+                                            block_bytes=3 * 64 * 8).collect()}
     assert one == many and len(one) == 3 * cents.count()
 
 
+def test_dense_topk_ties_and_missing_vectors(spark):
+    """Equal scores go by id over all partitions; NULL and NaN vectors and NULL ids are left out."""
+    from claimlens.operators import retrieval as RT
+    rows = [(i, [1.0, 0.0]) for i in range(40)] + [(100, [2.0, 0.0]), (101, None), (102, [float("nan"), 0.0]), (None, [3.0, 0.0])]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(5)
+    q = spark.createDataFrame([("a", [1.0, 0.0]), ("b", None)], "q string, qv array<double>")
+    got = [tuple(r) for r in RT.dense_topk(v, "id", q, "q", "qv", 3, "ip").orderBy("rank").collect()]
+    assert got == [("a", 100, 2.0, 1), ("a", 0, 1.0, 2), ("a", 1, 1.0, 3)]
+    near = [tuple(r) for r in RT.dense_topk(v, "id", q, "q", "qv", 2, "l2").orderBy("rank").collect()]
+    assert near == [("a", 0, 0.0, 1), ("a", 1, 0.0, 2)]
+    assert RT.dense_topk(v.limit(0), "id", q, "q", "qv", 3).count() == 0
+
+
+def test_row_digest_keeps_values_apart(spark):
+    from claimlens.operators.quality import duplicate_count, row_digest
+    df = spark.sql("""SELECT * FROM VALUES ('a', 'b', 0.0D, 1), ('a', 'b', -0.0D, 1), ('a","b', NULL, 0.0D, 1), (NULL, 'a","b', 0.0D, 1),
+                      ('null', NULL, 0.0D, 1), (NULL, NULL, 0.0D, 1) AS t(x, y, v, n)""")
+    assert df.select(row_digest(df).alias("d")).distinct().count() == 5
+    assert duplicate_count(df).first()["duplicates"] == 1
+
+
+def test_grid_search_fits_features_once_per_fold(spark):
+    rows = [(i, f"{'green' if i % 2 else 'plain'} word{i % 9}", float(i % 2), i % 7 % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, t string, label double, fold int").withColumn("weight", F.lit(1.0))
+    model, table = M.grid_search(df, M.feature_stages("t", [], [], vocab_size=50), folds=2, c_grid=[0.001, 10], penalties=["l2"])
+    got = {r["C"]: r["mean_auc"] for r in table.collect()}
+    assert got[10.0] == 1.0
+    assert M.scored(model.transform(df), "id").where("label <> pred").count() == 0
+
+
 def test_feature_assembly_by_hand(spark):
     """Population scaling of 1, 2, 3; an unseen category is all zeros; a term of every text keeps its weight."""
     from pyspark.ml import Pipeline
