@@ -253,6 +253,15 @@ def unpack_ints(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.uint32).ravel()
 
 
+def pack_longs(a: np.ndarray) -> bytes:
+    """64-bit non-negative integers as compressed byte planes."""
+    return zlib.compress(np.ascontiguousarray(a, np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpack_longs(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(b), np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
 # ---------------------------------------------------------------- joins on ids
 
 #: Most ids that a join may broadcast (about 64 MB as a hash relation).

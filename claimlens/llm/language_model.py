@@ -1,20 +1,21 @@
 """Language-model scoring with a weighted backoff automaton.
 
 The model is a bigram model with interpolated absolute discounting over an add-half unigram model:
-P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)) and, for a history h with kept bigrams,
+P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)) and, for a history h of the training rows,
 P(w | h) = (c(hw) - D) / c(h) + back(h) P(w), where back(h) = 1 - sum of the kept (c(hw) - D) / c(h).
-As an automaton: the root state reads any token; every frequent word with kept bigrams is a state,
-its arcs are its kept bigrams, and its failure arc leads to the root with weight back(h).  A text is
-read once from left to right, carrying the state (the last word, or the root); an arc that is missing
-is replaced by the failure arc and the root's arc, and log10 probabilities add up.
+As an automaton: the root state reads any token; every training word is a state, its arcs are its kept
+bigrams, and its failure arc leads to the root with weight back(h).  A text is read once from left to
+right, carrying the state (the last word, or the root); an arc that is missing is replaced by the failure
+arc and the root's arc, and log10 probabilities add up.
 
-Histories and followers are the words with at least ``core_share`` of all training tokens, so there
-are at most 1 / core_share states (100,000) whatever the corpus, and a bigram is kept from
-``min_count`` occurrences on.  Unigram counts cover every word.
+Every word may be a history and a bigram is kept from ``min_count`` occurrences on, whatever the size of
+the corpus; unigram counts cover every word.  The model is never in one place.
 
 Texts are held as blocks of a few megabytes: word numbers per document, and the block's distinct words
-once.  Counts are summed over all blocks by word (and by bigram) and go back to each block that has
-the word: a frequent word sends one row per block, not one per occurrence.
+once.  Words and bigrams go by 64-bit key: a block sends its sorted keys with their counts, packed, to
+the buckets of key ranges, a bucket adds up and answers each block with the sums in the order of
+its keys (``_sums``).  Back-off weights go the same way: the first block that holds a kept bigram adds it to
+the mass of its history, and the masses are summed by word.
 
 Defined results: null text is empty and has the one token ``end``; a null doc_id falls in the fold of
 the empty text; repeated rows count and are scored each for itself; with no training rows every
@@ -29,10 +30,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimlens.llm.common import BLANK_SEPARATED, Words, gathered, materialise, pack_ints, ready, slices, unpack_ints
+from claimlens.llm.common import BLANK_SEPARATED, Words, gathered, gram_hashes, materialise, pack_ints, pack_longs, ready, slices, unpack_ints, unpack_longs
 
 END = np.uint64(0x656E640000000001)
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -64,118 +65,129 @@ def blocks(docs: DataFrame, held_out: Column, doc_id: str, text: str, block_byte
         run, "block long, doc_id array<long>, held_out array<boolean>, sizes array<int>, tokens binary, words array<long>, counts array<long>, trained long")
 
 
-def _spread(rows: DataFrame, key: str) -> DataFrame:
-    """The sum of ``n`` over all blocks beside every (block, key) row; ``once`` marks one row of a key."""
-    same = Window.partitionBy(key)
-    return rows.withColumn("c", F.sum("n").over(same)).withColumn("once", F.row_number().over(same.orderBy("block")) == 1)
-
-
-def _pairs(sizes: np.ndarray, tokens: np.ndarray, core: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions whose token and the one before, of the same document, are both core words, and
-    the key of that bigram."""
-    state = core[tokens]
+def _pairs(sizes: np.ndarray, tokens: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions that follow another token of the same document, and the key of the bigram ending there."""
     begins = np.zeros(len(tokens), bool)
     begins[np.r_[0, np.cumsum(sizes)[:-1]]] = True
-    at = np.flatnonzero(~begins[1:] & (state[1:] >= 0) & (state[:-1] >= 0)) + 1
-    return at, state[at - 1].astype(np.int64) * width + state[at]
+    at = np.flatnonzero(~begins[1:]) + 1
+    return at, gram_hashes(words.view(np.uint64)[tokens], 2)[at - 1]
+
+
+def _requests(block: int, kind: int, keys: np.ndarray, n: np.ndarray, buckets: int) -> Iterator[dict]:
+    """A block's sorted keys and their numbers (one row a number), cut at the borders of the key ranges."""
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    edges = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(keys)] if len(keys) else [0]
+    for i, j in zip(edges[:-1], edges[1:], strict=True):
+        yield {"block": block, "kind": kind, "bucket": int(bucket[i]), "keys": pack_longs(keys[i:j]), "n": pack_longs(n[..., i:j].ravel())}
+
+
+def _sums(requests: DataFrame, least: dict[int, int], tag: str) -> DataFrame:
+    """The sums of every number over all blocks, as one answer a request, in the order of its keys.  An
+    answer holds 2 sum + 1 in the first block of a key and 2 sum in the others, 0 where the
+    first number's sum is below ``least`` of its kind; ``fresh`` counts the keys that it is the first block of."""
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        rows = table.sort_by("block").select(["block", "keys", "n"])
+        keys = [unpack_longs(x.as_py()) for x in rows.column("keys")]
+        n = np.concatenate([unpack_longs(x.as_py()).reshape(-1, len(k)) for x, k in zip(rows.column("n"), keys, strict=True)], axis=1)
+        _, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        sums = np.array([np.bincount(inverse, x) for x in n.astype(np.float64)]).astype(np.uint64)
+        sums[:, sums[0] < np.uint64(least[key[0].as_py()])] = 0
+        out = sums[:, inverse] * np.uint64(2)
+        out[:, first] += (sums[0] > 0).astype(np.uint64)
+        ends = np.cumsum([len(k) for k in keys])
+        parts = [out[:, j - len(k):j] for k, j in zip(keys, ends, strict=True)]
+        return pa.table({"block": rows.column("block"), "kind": pa.array(np.full(len(parts), key[0].as_py(), np.int32)), "bucket": pa.array(np.full(len(parts), key[1].as_py())),
+                         "sums": pa.array([pack_longs(x.ravel()) for x in parts], pa.binary()), "fresh": pa.array([int((x[0] % 2).sum()) for x in parts], pa.int64())})
+
+    return materialise(requests.groupBy("kind", "bucket").applyInArrow(add, "block long, kind int, bucket long, sums binary, fresh long"), tag)
+
 
+def _answers(table: pa.Table, kind: int, numbers: int = 1) -> np.ndarray:
+    """The answers of one kind in the order of the block's sorted keys."""
+    own = sorted((r["bucket"], r["sums"]) for r in table.select(["kind", "bucket", "sums"]).to_pylist() if r["kind"] == kind)
+    return np.concatenate([np.zeros((numbers, 0), np.uint64), *(unpack_longs(x).reshape(numbers, -1) for _, x in own)], axis=1)
 
-def _core_numbers(words: np.ndarray, core: np.ndarray) -> np.ndarray:
-    """Place of each word hash among the sorted core words, -1 if it is none."""
-    if not len(core):
-        return np.full(len(words), -1, np.int64)
-    at = np.minimum(np.searchsorted(core, words), len(core) - 1)
-    return np.where(core[at] == words, at, -1)
 
+WORD, BIGRAM, MASS = 0, 1, 2
+REQUEST = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])
 
-def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", core_share: float = 1e-5,
-                min_count: int = 2, discount: float = 0.5, block_bytes: int = 8 << 20) -> DataFrame:
+
+def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text",
+                min_count: int = 2, discount: float = 0.5, block_bytes: int = 8 << 20, bucket_tokens: int = 2_000_000) -> DataFrame:
     """Score every row under the model learned from the rows that are not ``held_out``."""
     spark = docs.sparkSession
     ready(spark)
     made = materialise(blocks(docs, held_out, doc_id, text, block_bytes), "lm-blocks")
-    total = made.agg(F.sum("trained")).first()[0] or 0
-    least = max(1, int(np.ceil(total * core_share)))
-
-    words = made.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")).select("block", "at", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    known = materialise(_spread(words, "word").select("block", F.col("at").cast("long").alias("key"), "c", "once", F.when(F.col("c") >= least, F.col("word")).alias("word")), "lm-words")
-    vocabulary = known.filter("once and c > 0").count()
-    core_rows = known.filter("once and word is not null").select("word", "c").collect()  # at most 1 / core_share
-    core_rows.sort(key=lambda r: r["word"])
-    core = np.array([r["word"] for r in core_rows], np.int64)
-    core_count = np.array([r["c"] for r in core_rows], np.float64)
-    sent_core = spark.sparkContext.broadcast(core)
-
-    def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        core = sent_core.value
+    facts = made.agg(F.sum("trained").alias("trained"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("tokens")).first()
+    total, buckets = facts["trained"] or 0, -(-(facts["tokens"] or 1) // bucket_tokens)  # a bucket's keys do not follow the input
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):  # a block at a time, its words as an array
-                sizes, words, held = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("sizes", "words", "held_out"))
-                tokens = unpack_ints(b.column("tokens")[i].as_py())
-                at, key = _pairs(sizes, tokens, _core_numbers(words, core), len(core))
-                train = np.repeat(~held.astype(bool), sizes)[at]
+                sizes, words, held, counts = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("sizes", "words", "held_out", "counts"))
+                block, tokens, by = b.column("block")[i].as_py(), unpack_ints(b.column("tokens")[i].as_py()), np.argsort(words.view(np.uint64))
+                at, key = _pairs(sizes, tokens, words)
                 keys, inverse = np.unique(key, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), b.column("block")[i].as_py())), pa.array(keys), pa.array(np.bincount(inverse[train], minlength=len(keys)))],
-                                                 names=["block", "key", "n"])
-
-    rows = made.select("block", "sizes", "tokens", "words", "held_out").mapInArrow(bigrams, "block long, key long, n long")
-    pairs = materialise(_spread(rows, "key").filter(f"c >= {min_count}").select("block", "key", "c", "once"), "lm-bigrams")
-    width = max(len(core), 1)
-    kept = pairs.filter("once").groupBy(F.expr(f"key div {width}").alias("h")).agg(F.sum(F.col("c") - discount).alias("mass")).collect()  # a row a state at most
-    back = np.ones(len(core))
-    for r in kept:
-        back[r["h"]] -= r["mass"] / core_count[r["h"]]
-    model = spark.sparkContext.broadcast((core, core_count, back))
+                n = np.bincount(inverse[np.repeat(~held.astype(bool), sizes)[at]], minlength=len(keys))
+                for kind, k, c in ((WORD, words.view(np.uint64)[by], counts[by]), (BIGRAM, keys, n)):
+                    yield pa.RecordBatch.from_pylist(list(_requests(block, kind, k, c, buckets)), schema=REQUEST)
+
+    schema = "block long, kind int, bucket long, keys binary, n binary"
+    counted = _sums(made.select("block", "sizes", "tokens", "words", "held_out", "counts").mapInArrow(ask, schema), {WORD: 1, BIGRAM: min_count}, "lm-counts")
+    vocabulary = counted.filter(F.col("kind") == WORD).agg(F.sum("fresh")).first()[0] or 0
+
+    def masses(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for b in left.to_batches():
+            for i in range(b.num_rows):
+                sizes, words = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("sizes", "words"))
+                tokens, by = unpack_ints(b.column("tokens")[i].as_py()), np.argsort(words.view(np.uint64))
+                at, key = _pairs(sizes, tokens, words)
+                _, first = np.unique(key, return_index=True)
+                c = _answers(right, BIGRAM)[0]
+                own = c % 2 == 1
+                history = tokens[at[first[own]] - 1]
+                n = np.array([np.bincount(history, minlength=len(words)), np.bincount(history, c[own] // 2, len(words)).astype(np.int64)])
+                out += _requests(b.column("block")[i].as_py(), MASS, words.view(np.uint64)[by], n[:, by], buckets)
+        return pa.Table.from_pylist(out, schema=REQUEST)
+
+    arcs = made.select("block", "sizes", "tokens", "words").groupBy("block").cogroup(counted.filter(F.col("kind") == BIGRAM).groupBy("block"))
+    weighed = _sums(arcs.applyInArrow(masses, schema), {MASS: 1}, "lm-masses")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        core, core_count, back = model.value
-        bigram = right.column("bigram").to_numpy(zero_copy_only=False).astype(bool)
-        key, c = right.column("key").to_numpy(), right.column("c").to_numpy()
-        word = right.column("word").fill_null(0).to_numpy()
-        named = right.column("word").is_valid().to_numpy(zero_copy_only=False) & ~bigram
-        counts, number = np.zeros(int((~bigram).sum())), np.full(int((~bigram).sum()), -1)
-        counts[key[~bigram]] = c[~bigram]
-        number[key[named]] = _core_numbers(word[named], core)
-        by = np.argsort(key[bigram])
-        arcs, arc_count = key[bigram][by], c[bigram][by]
         out = []
-        for r in left.to_pylist():
-            sizes, tokens = np.array(r["sizes"]), unpack_ints(r["tokens"])
-            out.append(read(sizes, tokens, counts, number, arcs, arc_count, core_count, back, total, vocabulary, discount)
-                       .append_column("doc_id", pa.array(r["doc_id"], pa.int64())).append_column("held_out", pa.array(r["held_out"], pa.bool_())))
+        for b in left.to_batches():
+            for i in range(b.num_rows):
+                sizes, words = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("sizes", "words"))
+                tokens, by = unpack_ints(b.column("tokens")[i].as_py()), np.argsort(words.view(np.uint64))
+                counts, back = np.empty(len(words)), np.ones(len(words))
+                counts[by] = _answers(right, WORD)[0] // 2
+                n, c = _answers(right, MASS, 2) // 2
+                mass = np.empty(len(words))
+                mass[by] = c - discount * n
+                np.subtract(1, np.divide(mass, counts, out=np.zeros(len(words)), where=counts > 0), out=back)
+                out.append(read(sizes, tokens, words, counts, back, _answers(right, BIGRAM)[0] // 2, total, vocabulary, discount)
+                           .append_column("doc_id", b.column("doc_id")[i].values).append_column("held_out", b.column("held_out")[i].values))
         names = [c.split()[0] for c in RESULT.split(", ")]
         return pa.concat_tables(out).select(names) if out else pa.table({c: [] for c in names})
 
-    facts = known.select("block", F.lit(False).alias("bigram"), "key", "c", "word").unionByName(pairs.select("block", F.lit(True).alias("bigram"), "key", "c", F.lit(None).cast("long").alias("word")))
-    return made.select("block", "doc_id", "held_out", "sizes", "tokens").groupBy("block").cogroup(facts.groupBy("block")).applyInArrow(score, RESULT)
+    answers = counted.drop("fresh").unionByName(weighed.drop("fresh"))
+    return made.select("block", "doc_id", "held_out", "sizes", "tokens", "words").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, RESULT)
 
 
-def read(sizes: np.ndarray, tokens: np.ndarray, counts: np.ndarray, number: np.ndarray, arcs: np.ndarray, arc_count: np.ndarray,
-         core_count: np.ndarray, back: np.ndarray, total: int, vocabulary: int, discount: float) -> pa.Table:
+def read(sizes: np.ndarray, tokens: np.ndarray, words: np.ndarray, counts: np.ndarray, back: np.ndarray, arc_count: np.ndarray, total: int, vocabulary: int, discount: float) -> pa.Table:
     """The automaton's reading of a block's documents, all positions at once: the state before a token
-    is the token before it in the document."""
+    is the token before it in the document.  ``arc_count`` has the block's bigrams in key order, 0 for one not kept."""
     unigram = (counts + 0.5) / (total + 0.5 * (vocabulary + 1))
     p = unigram[tokens]
     base = np.log10(p)
-    if len(core_count):
-        at, key = _pairs(sizes, tokens, number, len(core_count))
-        state = key // len(core_count)
-        p[at] *= back[state]  # the failure arc; 1 where the word is no state
-        if len(arcs):
-            place = np.minimum(np.searchsorted(arcs, key), len(arcs) - 1)
-            arc = arcs[place] == key
-            p[at[arc]] += (arc_count[place[arc]] - discount) / core_count[state[arc]]
-        outside = _after_state(sizes, tokens, number) & (number[tokens] < 0)
-        p[outside] *= back[number[tokens[np.flatnonzero(outside) - 1]]]
+    at, key = _pairs(sizes, tokens, words)
+    state = tokens[at - 1]
+    p[at] *= back[state]  # the failure arc; 1 where the word is no state
+    c = arc_count.astype(np.float64)[np.unique(key, return_inverse=True)[1]]
+    arc = c > 0
+    p[at[arc]] += (c[arc] - discount) / counts[state[arc]]
     starts = np.r_[0, np.cumsum(sizes)[:-1]]
     add = lambda x: np.add.reduceat(x, starts)
     return pa.table({"n_tokens": sizes.astype(np.int64), "n_known": add((counts[tokens] > 0).astype(np.int64)), "train_tokens": np.full(len(sizes), total, np.int64),
                      "base_score": add(base), "score": add(np.log10(p))})
-
-
-def _after_state(sizes: np.ndarray, tokens: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """Positions that follow a core word in their document."""
-    after = np.zeros(len(tokens), bool)
-    after[1:] = number[tokens[:-1]] >= 0
-    after[np.r_[0, np.cumsum(sizes)[:-1]]] = False
-    return after

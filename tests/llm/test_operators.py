@@ -190,6 +190,23 @@ def test_language_model(docs, none):
     assert language_model.score_texts(none, fold(F.col("doc_id"), 5) == 1).count() == 0
 
 
+def test_language_model_keeps_rare_histories(spark, docs):
+    """A bigram of two words that occur twice among 260,000 training tokens is an arc, in any cut of blocks and buckets."""
+    held = F.col("doc_id") >= 1000
+    rows = [(i, sentence(2600)) for i in range(100)] + [(200, "seldom seen"), (201, "seldom seen"), (1000, "seldom seen")]
+    data = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    total, v = 260_000 + 102 + 4, len(WORDS) + 3
+    uni = lambda c: (c + 0.5) / (total + 0.5 * (v + 1))
+    want = math.log10(uni(2)) + math.log10(0.75 + 0.25 * uni(2)) + math.log10(0.75 + 0.25 * uni(102))
+    for cut in ({}, {"block_bytes": 50_000, "bucket_tokens": 9_000}):
+        got = [r for r in language_model.score_texts(data, held, **cut).collect() if r["held_out"]]
+        assert [(r["n_known"], r["train_tokens"]) for r in got] == [(3, total)] and got[0]["score"] == pytest.approx(want, abs=1e-9)
+    whole, cut = ([tuple(r) for r in language_model.score_texts(docs, fold(F.col("doc_id"), 5) == 1, **o).collect()] for o in ({}, {"block_bytes": 300, "bucket_tokens": 50}))
+    order = lambda r: (r[0] is not None, r[0] or 0, *r[1:5], round(r[5], 6))
+    for a, b in zip(sorted(whole, key=order), sorted(cut, key=order), strict=True):
+        assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], abs=1e-6)
+
+
 def test_token_counts(docs, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     lib = Tokenizer.from_file(path)
