@@ -5,12 +5,14 @@ length, square roots of shares, which even out their spread).  For every (langua
 determinant estimate is found by concentration steps: start from medians and absolute deviations, take
 the three quarters of rows that are nearest by Mahalanobis distance, and estimate mean and covariance
 anew from them.  A row is rejected when its squared distance, scaled so that the group's median fits
-the chi-square median, exceeds ``cutoff``.
+the chi-square median, exceeds ``cutoff``.  The estimate rules every feature whose standard deviation in
+the subset is above its floor (``FLOOR``); the others, in most groups the shares that are zero in nearly
+every text, are measured on the floor itself, because the estimate would call any other value an outlier.
+The mean word length of a short text is noisy: its deviation is weighed by n / (n + ``NOISY_WORDS``).
 
 Every step is two aggregations over the table of statistics (a quantile of distances, then sums), so a
-source of any size is spread over all tasks; a group's estimate is one row.  Covariances get a floor,
-the documented scale below which a difference in a feature means nothing (``FLOOR``); groups of few
-rows are drawn towards the estimate over all rows by ``prior_rows`` pseudo-rows.
+source of any size is spread over all tasks; a group's estimate is one row.  Groups of few rows are
+drawn towards the estimate over all rows by ``prior_rows`` pseudo-rows.
 
 Defined results: null text has no words and fails the base rules; a null language or source is a group
 of its own; rows that fail the base rules do not take part in the estimates; repeated rows count
@@ -29,10 +31,15 @@ from pyspark.sql import functions as F
 from claimlens.llm.common import BLANK_SEPARATED, Words, gram_hashes, materialise, mix64, ready, release, slices
 
 FEATURES = ("log_words", "log_word_chars", "symbol_share", "dup_line_share", "repeat_share")
-#: Smallest standard deviation of each feature that is taken seriously.
-FLOOR = (1.0, 0.15, 0.05, 0.15, 0.15)
-#: Median and 0.99999 quantile of chi-square with five degrees of freedom (fixed values).
-CHI2_MEDIAN, CHI2_CUTOFF = 4.3515, 30.856
+#: Smallest standard deviation of each feature that is taken seriously: a lower bound, never added.
+FLOOR = (0.1, 0.02, 0.05, 0.15, 0.15)
+#: Scales of the first distances, before there is an estimate.
+START = (1.0, 0.15, 0.05, 0.15, 0.15)
+#: Words at which the noise of the mean of log word lengths (about 0.45 a word) is its spread between texts (0.045).
+NOISY_WORDS = 100
+#: Medians of chi-square with one to five degrees of freedom (one stands for none, where nothing is scaled),
+#: its 0.99999 quantile with five (fixed values), and the smallest scale.
+CHI2_MEDIANS, CHI2_CUTOFF, LEAST_SCALE = (1.0, 0.4549, 1.3863, 2.3660, 3.3567, 4.3515), 30.856, 0.5
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 STATS = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
 _PAIRS = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
@@ -91,25 +98,42 @@ def _vector() -> list[Column]:
             F.sqrt(F.col("n_repeat_words") / n)]
 
 
-def _distance(center: list[Column], inverse: dict[tuple[int, int], Column]) -> Column:
-    d = [F.col(f) - m for f, m in zip(FEATURES, center, strict=True)]
-    return sum((inverse[p] * d[p[0]] * d[p[1]] * (1 if p[0] == p[1] else 2) for p in _PAIRS), F.lit(0.0))
+def _away(center: str) -> list[Column]:
+    """Deviation of each feature from the columns ``center``0, ``center``1, ..."""
+    steady = F.sqrt(F.col("n_words") / (F.col("n_words") + NOISY_WORDS))
+    return [(F.col(f) - F.col(f"{center}{i}")) * (steady if f == "log_word_chars" else 1) for i, f in enumerate(FEATURES)]
+
+
+def _distances() -> tuple[Column, Column]:
+    """Squared distance in the features that the estimate rules, and in those measured on their floor."""
+    d = _away("m")
+    return (sum((F.col(f"w{i}{j}") * d[i] * d[j] * (1 if i == j else 2) for i, j in _PAIRS), F.lit(0.0)),
+            sum((F.col(f"f{i}") * x * x for i, x in enumerate(d)), F.lit(0.0)))
+
+
+def estimate(mean: list[float], cov: list[float]) -> dict[str, float]:
+    """Centre, inverse covariance of the ruled features (w), inverse squared floor of the others (f) and the
+    chi-square median of as many degrees of freedom as features are ruled."""
+    c = np.empty((len(FEATURES),) * 2)
+    for (i, j), v in zip(_PAIRS, cov, strict=True):
+        c[i, j] = c[j, i] = v
+    ruled = np.diag(c) > np.square(FLOOR)
+    at, inverse = np.ix_(ruled, ruled), np.zeros_like(c)
+    values, vectors = np.linalg.eigh(c[at])
+    inverse[at] = (vectors / np.maximum(values, 1e-6)) @ vectors.T  # features that move together
+    fixed = np.where(ruled, 0.0, 1 / np.square(FLOOR))
+    return {**{f"m{i}": float(m) for i, m in enumerate(mean)}, **{f"w{i}{j}": float(inverse[i, j]) for i, j in _PAIRS},
+            **{f"f{i}": float(x) for i, x in enumerate(fixed)}, "typical": CHI2_MEDIANS[int(ruled.sum())]}
 
 
 def _with_inverse(moments: DataFrame) -> DataFrame:
-    """Centre and inverse of the floored covariance of each group, from its sums (n, s, ss)."""
+    """The estimate of each group from its mean and covariance."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for r in b.to_pylist():
-                mean, cov = np.array(r["mean"]), np.empty((len(FEATURES),) * 2)
-                for (i, j), v in zip(_PAIRS, r["cov"], strict=True):
-                    cov[i, j] = cov[j, i] = v
-                inverse = np.linalg.inv(cov + np.diag(np.square(FLOOR)))
-                out.append({"lang": r["lang"], "source": r["source"], **{f"m{i}": m for i, m in enumerate(mean)}, **{f"w{i}{j}": inverse[i, j] for i, j in _PAIRS}})
+            out = [{"lang": r["lang"], "source": r["source"], **estimate(r["mean"], r["cov"])} for r in b.to_pylist()]
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("lang", pa.string()), ("source", pa.string()), *((c, pa.float64()) for c in numbers)]))
 
-    numbers = [f"m{i}" for i in range(len(FEATURES))] + [f"w{i}{j}" for i, j in _PAIRS]
+    numbers = [f"m{i}" for i in range(len(FEATURES))] + [f"w{i}{j}" for i, j in _PAIRS] + [f"f{i}" for i in range(len(FEATURES))] + ["typical"]
     return moments.mapInArrow(run, "lang string, source string, " + ", ".join(f"{c} double" for c in numbers))
 
 
@@ -142,18 +166,17 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     stats = stats.withColumn("lang", F.when(F.col("no_lang"), "-").otherwise(F.concat(F.lit("="), "lang"))) \
         .withColumn("source", F.when(F.col("no_source"), "-").otherwise(F.concat(F.lit("="), "source"))).drop("no_lang", "no_source")
     stats = materialise(stats, "quality-stats")
-    fit = stats.filter("not base_failed").select("lang", "source", *FEATURES)
+    fit = stats.filter("not base_failed").select("lang", "source", "n_words", *FEATURES)
     params = None
     for _ in range(steps + 1):
         if params is None:  # start: distance in absolute deviations from the medians
             medians = fit.groupBy("lang", "source").agg(*[F.percentile_approx(f, 0.5, 1000).alias(f"c{i}") for i, f in enumerate(FEATURES)])
             medians = materialise(medians, "quality-medians")
             placed = _attach(fit, medians)
-            away = [F.abs(F.col(f) - F.col(f"c{i}")) for i, f in enumerate(FEATURES)]
-            d2 = sum(((a / F.lit(s)) ** 2 for a, s in zip(away, FLOOR, strict=True)), F.lit(0.0))
+            d2 = sum(((a / F.lit(s)) ** 2 for a, s in zip(_away("c"), START, strict=True)), F.lit(0.0))
         else:
             placed = _attach(fit, params)
-            d2 = _distance([F.col(f"m{i}") for i in range(len(FEATURES))], {p: F.col(f"w{p[0]}{p[1]}") for p in _PAIRS})
+            d2 = sum(_distances(), F.lit(0.0))
         placed = placed.withColumn("d2", d2).select("lang", "source", "d2", *FEATURES)
         edges = materialise(placed.groupBy("lang", "source").agg(F.percentile_approx("d2", subset, 1000).alias("edge")), "quality-edges")
         inner = _attach(placed, edges).filter("d2 <= edge")
@@ -161,10 +184,10 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
         release(edges)
         if before is not None:
             release(before)
-    d2 = _distance([F.col(f"m{i}") for i in range(len(FEATURES))], {p: F.col(f"w{p[0]}{p[1]}") for p in _PAIRS})
-    scale = materialise(_attach(fit, params).withColumn("d2", d2).groupBy("lang", "source")
-                        .agg(F.greatest(F.percentile_approx("d2", 0.5, 1000) / CHI2_MEDIAN, F.lit(1.0)).alias("scale")), "quality-scale")
+    ruled, fixed = _distances()
+    scale = materialise(_attach(fit, params).withColumn("d2", ruled / F.col("typical")).groupBy("lang", "source")
+                        .agg(F.greatest(F.percentile_approx("d2", 0.5, 1000), F.lit(LEAST_SCALE)).alias("scale")), "quality-scale")
     table = materialise(params.join(scale, ["lang", "source"]), "quality-table")
-    judged = stats.join(F.broadcast(table) if table.count() <= 100_000 else table, ["lang", "source"], "left").withColumn("distance2", d2 / F.col("scale"))
+    judged = stats.join(F.broadcast(table) if table.count() <= 100_000 else table, ["lang", "source"], "left").withColumn("distance2", ruled / F.col("scale") + fixed)
     return judged.select("doc_id", *[c.split()[0] for c in STATS.split(", ")], "base_failed", "distance2",
                          (~F.col("base_failed") & F.coalesce(F.col("distance2") <= cutoff, F.lit(True))).alias("kept"))

@@ -266,6 +266,17 @@ def test_quality_base_and_verdict(docs, none, spark):
     assert all(kept[i] for i in range(200)) and not any(kept[1000 + i] for i in range(5))
 
 
+def test_quality_estimate_decides_by_group(spark):
+    """The same text of long words is an outlier where word lengths hardly vary and none where they vary."""
+    word = lambda n: "".join(RNG.choice(list("abcdefghijklmnop"), n))
+    text = lambda n: " ".join(word(n) for _ in range(int(RNG.integers(150, 400))))
+    far = text(8)
+    rows = [(i, text(5), "en", "even") for i in range(200)] + [(1000 + i, text(3 + i % 6), "en", "mixed") for i in range(200)]
+    rows += [(5000, far, "en", "even"), (5001, far, "en", "mixed")]
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), prior_rows=1.0).collect()}
+    assert all(kept[i] for i in range(200)) and all(kept[1000 + i] for i in range(200)) and not kept[5000] and kept[5001]
+
+
 def test_language_id(spark, docs, none):
     path = public_tokenizers.path("piece_bpe_32k.model")
     t = language_id.trie(path)
