@@ -1,11 +1,11 @@
 """SMOTE oversampling (I8) as a Spark job.
 
-For every minority row, neighbours are searched among the minority rows of the
-same locality block: rows are bucketed with random-projection LSH and a bucket
-holding more than ``block_rows`` rows is split by id hash into chunks of about
-``block_rows``, so no task ever holds an unbounded group.  When the whole
-minority class fits in one block the neighbours are exact.  Inside a block
-(``applyInPandas``) numpy finds the k nearest neighbours, then each row emits its
+For every minority row, neighbours are searched among all minority rows whose projection on one
+random unit direction falls in the row's bucket of length ``bucket_length`` or in one of the two beside it.
+Projections are never farther apart than the rows, so the k neighbours are exact wherever the k-th lies within
+``bucket_length``.  A bucket is cut by id hash into chunks of about ``block_rows``; the rows
+that ask a bucket are cut the same way, a task compares one part with one chunk and keeps the k nearest, and
+the k nearest over all chunks are kept by rank, ties by id.  Then each row emits its
 share of synthetic rows ``x + u (nn - x)``; the share of row i is
 ``need // n + [rank_i <= need % n]`` with ranks from the distributed running count,
 and ``nn``/``u`` are drawn from ``md5(id, j, seed)`` - reproducible and order-free.
@@ -18,42 +18,46 @@ import hashlib
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimlens.functions.stats import prefix_sums
 from claimlens.operators.folds import hash_key
-from claimlens.session import ship_package
+from claimlens.session import checkpoint_dir, ship_package
 
 
 def _unit(s: str) -> float:
     return int(hashlib.md5(s.encode()).hexdigest()[:13], 16) / float(1 << 52)
 
 
-def _synth_block(k: int, seed: int):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["id"].to_numpy()
-        x = np.stack(pdf["vec"].to_numpy()).astype(float)
-        n = len(ids)
-        out_id, out_j, out_vec = [], [], []
-        if n > 1:
-            d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
-            np.fill_diagonal(d, np.inf)
-            kk = min(k, n - 1)
-            nn = np.argsort(d, axis=1, kind="stable")[:, :kk]
-        for i in range(n):
-            for j in range(int(pdf["share"].iat[i])):
-                key = f"{ids[i]}-{j}-{seed}"
-                if n > 1:
-                    pick = nn[i, int(_unit("n" + key) * nn.shape[1]) % nn.shape[1]]
-                    v = x[i] + _unit("u" + key) * (x[pick] - x[i])
-                else:
-                    v = x[i]
-                out_id.append(ids[i])
-                out_j.append(j)
-                out_vec.append(v.tolist())
-        return pd.DataFrame({"source_id": out_id, "synthetic_index": out_j, "features": out_vec})
+def _nearest_block(k: int):
+    def fn(asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(asked) and len(block):
+            by = block.sort_values("uid")
+            uids, x = by["uid"].to_numpy(), np.stack(by["vec"].to_numpy()).astype(float)
+            for uid, v in zip(asked["asker"], asked["asked"], strict=True):
+                d = ((x - np.asarray(v, float)) ** 2).sum(axis=1)
+                d[uids == uid] = np.inf
+                out += [(uid, d[i], uids[i], x[i].tolist()) for i in np.argsort(d, kind="stable")[:k] if d[i] < np.inf]
+        return pd.DataFrame(out, columns=["uid", "d", "other", "nn"])
+    return fn
+
+
+def _synth(seed: int):
+    def fn(batches):
+        for pdf in batches:
+            out = []
+            for id_, vec, share, nn in zip(pdf["id"], pdf["vec"], pdf["share"], pdf["nns"], strict=True):
+                x, near = np.asarray(vec, float), [] if nn is None else nn
+                for j in range(int(share)):
+                    key = f"{id_}-{j}-{seed}"
+                    v = x
+                    if len(near):
+                        v = x + _unit("u" + key) * (np.asarray(near[int(_unit("n" + key) * len(near)) % len(near)]["nn"], float) - x)
+                    out.append((id_, j, v.tolist()))
+            yield pd.DataFrame(out, columns=["source_id", "synthetic_index", "features"])
     return fn
 
 
@@ -62,6 +66,7 @@ def smote(df: DataFrame, id_col: str, vec_col: str, label: str, minority=1, k: i
     """Synthetic minority rows ``(source_id, synthetic_index, features array<double>)`` that bring the
     minority class up to the majority count (two-class case)."""
     ship_package(df.sparkSession)
+    checkpoint_dir(df.sparkSession)
     base = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"),
                      (F.col(label) == F.lit(minority)).alias("_min"))
     counts = base.agg(F.count_if("_min").alias("n_min"), F.count_if(~F.col("_min")).alias("n_maj"))
@@ -73,14 +78,23 @@ def smote(df: DataFrame, id_col: str, vec_col: str, label: str, minority=1, k: i
     shares = ranked.crossJoin(F.broadcast(counts)).withColumn(
         "share", F.when(need <= 0, F.lit(0)).otherwise(
             (need / F.col("n_min")).cast("long") + (F.col("cum__one") <= need % F.col("n_min")).cast("long")))
-    # locality blocks: LSH bucket, split by id hash when larger than block_rows
+    # locality: LSH buckets, cut by hash when larger than block_rows
     lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket_length,
                                       numHashTables=1, seed=seed)
     v = shares.withColumn("_v", array_to_vector("vec"))
-    hashed = lsh.fit(v).transform(v).withColumn("bucket", F.element_at(F.col("_h"), 1).cast("string"))
-    sizes = hashed.groupBy("bucket").agg(F.count(F.lit(1)).alias("_bn"))
-    blocks = hashed.join(sizes, "bucket").withColumn(
-        "chunk", F.pmod(F.xxhash64("id"), F.ceil(F.col("_bn") / block_rows)))
-    blocks = blocks.select("bucket", "chunk", "id", "vec", "share")
-    return blocks.groupBy("bucket", "chunk").applyInPandas(
-        _synth_block(k, seed), "source_id long, synthetic_index int, features array<double>")
+    hashed = lsh.fit(v).transform(v).withColumn("bucket", vector_to_array(F.element_at("_h", 1))[0].cast("long"))
+    rows = hashed.select("bucket", "id", "vec", "share", F.monotonically_increasing_id().alias("uid")).checkpoint()
+    chunks = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("chunks"))
+    asked = rows.select(F.explode(F.array(*[F.col("bucket") + i for i in (-1, 0, 1)])).alias("bucket"), F.col("uid").alias("asker"), F.col("vec").alias("asked"))
+    parts = asked.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("parts"))
+    asked = asked.join(chunks, "bucket").join(parts, "bucket").select(
+        "bucket", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("asker"), "parts").alias("part"), "asker", "asked")
+    blocks = rows.join(chunks, "bucket").join(parts, "bucket").select(
+        "bucket", F.pmod(F.xxhash64("uid"), "chunks").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "uid", "vec")
+    pair = ["bucket", "chunk", "part"]
+    found = asked.groupBy(*pair).cogroup(blocks.groupBy(*pair)).applyInPandas(
+        _nearest_block(k), "uid long, d double, other long, nn array<double>")
+    near = found.withColumn("r", F.row_number().over(Window.partitionBy("uid").orderBy("d", "other"))).where(F.col("r") <= k)
+    near = near.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("r", "nn"))).alias("nns"))
+    return rows.join(near, "uid", "left").select("id", "vec", "share", "nns").mapInPandas(
+        _synth(seed), "source_id long, synthetic_index int, features array<double>")
