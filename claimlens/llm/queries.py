@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import chat, decontaminate, hard_negatives, language_id, language_model, near_duplicates, packing, quality, sharding, token_counts, toxicity
+from claimlens.llm import chat, decontaminate, hard_negatives, language_id, language_model, near_duplicates, packing, quality, sharding, token_counts, toxicity, vector_codes
 from claimlens.llm.common import fold
 from claimlens.sources.tables import table
 
@@ -159,3 +159,35 @@ QUALIFY row_number() OVER w <= 3
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+def vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """The rounds written out: an assignment ``a<t>`` and the codebooks ``c<t>`` after it."""
+    w = f"len(v) // {parts}"
+    ctes = [f"""e AS MATERIALIZED (SELECT vec_id, label, [CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)""",
+            f"p AS MATERIALIZED (SELECT vec_id, q, v[q * ({w}) + 1:(q + 1) * ({w})] AS v FROM e, range({parts}) AS r(q))",
+            f"""c0 AS MATERIALIZED (SELECT q, k, v FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM e) USING (vec_id)
+      WHERE k < {entries})"""]
+    for t in range(rounds + 1):
+        ctes.append(f"""a{t} AS MATERIALIZED (SELECT vec_id, q, min(d * {entries} + k) AS dk, any_value(v) AS v
+      FROM (SELECT p.vec_id, p.q, c.k, p.v, list_sum([(p.v[i] - c.v[i]) * (p.v[i] - c.v[i]) for i in range(1, len(p.v) + 1)]) AS d
+            FROM p JOIN c{t} AS c ON c.q = p.q) GROUP BY vec_id, q)""")
+        if t < rounds:
+            ctes.append(f"""u{t} AS (SELECT q, dk % {entries} AS k, i, sum(x) AS s, count(*) AS n
+      FROM (SELECT q, dk, unnest(v) AS x, unnest(range(len(v))) AS i FROM a{t}) GROUP BY ALL)""")
+            ctes.append(f"""c{t + 1} AS MATERIALIZED (SELECT c.q, c.k, coalesce(m.v, c.v) AS v FROM c{t} AS c LEFT JOIN
+      (SELECT q, k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM u{t} GROUP BY q, k) AS m ON m.q = c.q AND m.k = c.k)""")
+    return "WITH " + ",\n".join(ctes) + f""",
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY q, k)) AS sha FROM c{rounds}),
+r AS (SELECT vec_id, string_agg(printf('%02x', CAST(dk % {entries} AS INTEGER)), '' ORDER BY q) AS code, CAST(sum(dk // {entries}) AS BIGINT) AS error
+      FROM a{rounds} GROUP BY vec_id)
+SELECT r.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, sha AS codebooks_sha256
+FROM r JOIN e ON e.vec_id = r.vec_id, h
+"""
+
+
+@register("op12_vector_codes", vector_codes_sql())
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return vector_codes.with_label_error(codes).select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from claimlens.llm import hard_negatives
+from claimlens.llm import hard_negatives, vector_codes
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score string, uid string, rank string"
 RNG = np.random.default_rng(11)
@@ -82,3 +82,61 @@ def test_integers_floor_exactly():
 def test_block_of_nothing():
     empty = pa.table({c: pa.array([], t) for c, t in (("c_id", pa.int64()), ("c_label", pa.int64()), ("c_vector", pa.list_(pa.float32())))})
     assert hard_negatives._positives(5, 256)(empty, empty).num_rows == 0
+
+
+def floor_codes(rows, parts, entries, rounds):
+    width = -(-max(len(v) for *_, v in rows) // parts)
+    rows = [(i, lab, v + [0] * (parts * width - len(v))) for i, lab, v in rows]
+    cut = lambda v, p: v[p * width:(p + 1) * width]
+    first = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[2]))[:entries]
+    books = [[list(cut(r[2], p)) for r in first] for p in range(parts)]
+    square = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+    place = lambda v, p: min((square(cut(v, p), c), e) for e, c in enumerate(books[p]))
+    for _ in range(rounds):
+        groups = defaultdict(list)
+        for *_, v in rows:
+            for p in range(parts):
+                groups[p, place(v, p)[1]].append(cut(v, p))
+        for (p, e), members in groups.items():
+            books[p][e] = [sum(c) // len(members) for c in zip(*members, strict=True)]
+    out, by = [], Counter()
+    for i, lab, v in rows:
+        best = [place(v, p) for p in range(parts)]
+        out.append((i, lab, "".join(f"{e:02x}" for _, e in best), sum(d for d, _ in best)))
+        by[lab] += out[-1][3]
+    text = ",".join(str(x) for part in books for entry in part for x in entry)
+    return Counter((i, code, error, by[lab]) for i, lab, code, error in out), hashlib.sha256(text.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("parts, entries", [(8, 16), (3, 5), (2, 300)])
+def test_vector_codes(vectors, parts, entries):
+    codes, books = vector_codes.compress(vectors, parts=parts, entries=min(entries, 256))
+    want, sha = floor_codes([(i, lab, v) for i, lab, v in kept(4096)], parts, min(entries, 256), 6)
+    got = vector_codes.with_label_error(codes).collect()
+    assert Counter((r["vec_id"], r["code"], r["error"], r["label_error"]) for r in got) == want and vector_codes.digest(books) == sha
+    assert len(vector_codes.decode(got[0]["code"], books)) == parts * books.shape[2]
+
+
+def test_vector_codes_of_nothing(spark, vectors):
+    codes, books = vector_codes.compress(vectors.limit(0))
+    assert vector_codes.with_label_error(codes).count() == 0 and books.size == 0
+    blank = spark.createDataFrame([(1, [], 1), (2, [], None)], "vec_id long, embedding array<double>, label int")
+    assert sorted((r["code"], r["error"]) for r in vector_codes.compress(blank)[0].collect()) == [("00" * 8, 0)] * 2
+    huge = spark.createDataFrame([(1, [3e38, 0.0], 1), (2, [-3e38, 1.0], None), (3, [3e38, 5.0], 1)], "vec_id long, embedding array<double>, label int")
+    got = vector_codes.with_label_error(vector_codes.compress(huge, parts=2, entries=1)[0]).collect()
+    assert {r["error"] for r in got} == {(1 << 63) - 1} and {r["label_error"] for r in got} == {(1 << 63) - 1}
+
+
+@pytest.mark.parametrize("width, scale", [(1, 50), (5, 3), (8, 2500), (16, 1 << 40)])
+def test_nearest_by_transform(width, scale):
+    x, c = RNG.integers(-scale, scale + 1, (200, width)), RNG.integers(-scale, scale + 1, (16, width))
+    c[9] = c[4]
+    at, d = vector_codes.nearest(x, c)
+    for i, row in enumerate(x.tolist()):
+        want = min((sum((a - b) ** 2 for a, b in zip(row, e, strict=True)), k) for k, e in enumerate(c.tolist()))
+        assert (int(d[i]), int(at[i])) == want
+
+
+def test_sequency_order():
+    coefficients = vector_codes.transform(np.eye(8, dtype=np.int64)).T
+    assert [(np.diff(r) != 0).sum() for r in coefficients] == list(range(8)) and (coefficients @ coefficients.T == 8 * np.eye(8)).all()
