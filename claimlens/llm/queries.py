@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import chat, decontaminate, hard_negatives, language_id, language_model, near_duplicates, packing, quality, sharding, token_counts, toxicity, vector_codes
+from claimlens.llm import chat, decontaminate, hard_negatives, language_id, language_model, near_duplicates, packing, privacy, quality, sharding, token_counts, toxicity, vector_codes
 from claimlens.llm.common import fold
 from claimlens.sources.tables import table
 
@@ -191,3 +191,10 @@ FROM r JOIN e ON e.vec_id = r.vec_id, h
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
     return vector_codes.with_label_error(codes).select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+@register("op13_privacy")
+def op13_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = F.col("privacy")
+    out = privacy.sanitise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", *[r[f"n_{k}"].alias(f"n_{k}") for k in privacy.KINDS], F.sha2(r["base"], 256).alias("base_sha256"), r["spans"].alias("spans"))
