@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
@@ -23,7 +22,6 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from claimlens.functions.text import TOKEN, english_stop_words
 from claimlens.operators import curves as CV
@@ -257,18 +255,6 @@ def calibrated_scores(models: list, df: DataFrame, id_col: str) -> DataFrame:
     return parts.groupBy(id_col).agg(F.first("label").alias("label"), F.avg("_p").alias("calibrated"))
 
 
-def nested_out_of_fold(train: DataFrame, stages: list, estimator, id_col: str, k: int = 5) -> DataFrame:
-    """J14 over calibrated models: fold f is scored by models and sigmoids that learned from the other
-    folds only, one model per remaining fold."""
-    parts = None
-    for f in range(k):
-        rest = train.where(F.col("fold") != f).withColumn("fold", F.when(F.col("fold") > f, F.col("fold") - 1).otherwise(F.col("fold")))
-        models = calibrated_models(rest, stages, estimator, id_col, k - 1)
-        s = calibrated_scores(models, train.where(F.col("fold") == f), id_col).withColumn("fold", F.lit(f))
-        parts = s if parts is None else parts.unionByName(s)
-    return parts
-
-
 def coefficients(model: PipelineModel, df: DataFrame, k: int | None = 20) -> DataFrame:
     """Coefficient per feature name (mean over classes for multinomial), the top k by |coefficient|
     (all for ``None``)."""
@@ -307,30 +293,6 @@ def flag_predictions(model: PipelineModel, df: DataFrame, id_col: str) -> DataFr
     return p.select(id_col, (F.col("p") > 0.5).alias("is_greenwashing"), F.col("p").alias("confidence"))
 
 
-def svd_projection(df: DataFrame, vec_col: str, k: int, id_col: str) -> DataFrame:
-    """Truncated SVD of the (uncentred) feature matrix; rows projected onto the top-k right
-    singular vectors.  ``RowMatrix.computeSVD`` forms the features x features Gram matrix (bounded
-    by the vocabulary size) and leaves U unmaterialised; the projection X V runs per partition."""
-    from pyspark.mllib.linalg import Vectors as MV
-    from pyspark.mllib.linalg.distributed import RowMatrix
-    rows = df.select(vec_col).rdd.map(lambda r: MV.fromML(r[0]))
-    svd = RowMatrix(rows).computeSVD(k, computeU=False)
-    v = svd.V.toArray()
-    # sign convention: the largest-magnitude entry of each component is positive
-    signs = np.sign(v[np.abs(v).argmax(axis=0), range(v.shape[1])])
-    v = v * np.where(signs == 0, 1, signs)
-    bv = df.sparkSession.sparkContext.broadcast(v)
-    from claimlens.session import ship_package
-    ship_package(df.sparkSession)
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def project(col: pd.Series) -> pd.Series:
-        m = bv.value
-        return pd.Series(list(np.stack(col.to_numpy()) @ m)) if len(col) else pd.Series([], dtype=object)
-
-    return df.select(id_col, project(vector_to_array(F.col(vec_col))).alias("svd"))
-
-
 def save_model(model: PipelineModel, path: str) -> None:
     """Spark ML persistence (overwrite)."""
     model.write().overwrite().save(path)

@@ -9,14 +9,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimlens.operators import curves as CV
+from claimlens.operators import foldstore as FS
 from claimlens.operators import models as M
 from claimlens.operators import risk as RK
+from claimlens.operators.features import value_features
 from claimlens.operators.folds import rank_within, stratified_split, with_class_weight
 from claimlens.plans.registry import register
-from claimlens.session import materialize
+from claimlens.session import materialize, written
 from claimlens.sources.claims import claims_txt
 
 TEXT = "esg_claim_text"
+SVD_K = 100
 CATS = ["claimed_metric_type", "project_location"]
 NUMS = ["claimed_value", "actual_measured_value", "external_validation_score", "report_year"]
 
@@ -73,20 +76,45 @@ def _calibrate(spark, sf):
     return M.calibrated_scores(models, _part(d, "test"), "claim_id")
 
 
+STORE_CATS = ["claim_category", "project_location", "claimed_metric_type"]
+STORE_NUMS = ["claimed_value", "actual_measured_value", "report_year", "abs_value_deviation", "rel_value_deviation"]
+GRID = [FS.Point(c, p) for c in M.C_GRID for p in M.PENALTIES]
+
+
+def _store(spark, sf, sets):
+    """The labelled claims as a feature store: nothing learns from the test part (fold ``FS.TEST``)."""
+    d = labelled(spark, sf).withColumn("value_deviation", F.col("actual_measured_value") - F.col("claimed_value"))
+    d = value_features(d).withColumn("fold", F.when(F.col("split") == "test", F.lit(FS.TEST)).otherwise(F.col("fold")))
+    return FS.build(d, "claim_id", "label", TEXT, STORE_CATS, STORE_NUMS, sets, max_features=2000, ngrams=2, k=SVD_K)
+
+
+def _calibrated(spark, sf):
+    return FS.nested_calibration(_store(spark, sf, FS.nested_sets(5)), GRID)
+
+
 def _calibrated_threshold(spark, sf):
-    """The threshold for recall 0.8 from the training part's out-of-fold calibrated scores, and the
-    test part's metrics at that threshold."""
-    d = labelled(spark, sf)
-    lr = M.logistic(weight_col="weight")
-    oof = materialize(M.nested_out_of_fold(_part(d, "train"), stages(), lr, "claim_id"))
-    chosen = CV.threshold_for_recall(oof.select("label", F.col("calibrated").alias("score")), 0.8)
-    models = M.calibrated_models(_part(d, "train"), stages(), lr, "claim_id")
-    test = materialize(M.calibrated_scores(models, _part(d, "test"), "claim_id"))
+    """SVD of the texts, grid, calibration; the threshold for recall 0.8 from the training part's out-of-fold
+    calibrated scores, and the test part's metrics at that threshold."""
+    out = _calibrated(spark, sf)
+    chosen = CV.threshold_for_recall(out["oof"].select("label", F.col("calibrated").alias("score")), 0.8)
+    best = out["chosen"][FS.TEST]
     cut = chosen.select(F.coalesce("threshold", "threshold_unshifted").alias("cut"))
-    judged = test.crossJoin(F.broadcast(cut)).select(
+    judged = out["test"].crossJoin(F.broadcast(cut)).select(
         "label", F.col("calibrated").alias("score"), (F.col("calibrated") >= F.col("cut")).cast("int").alias("pred"))
-    return chosen.crossJoin(CV.binary_metrics(judged, score="score").toDF(
-        *[f"test_{c}" for c in ["accuracy", "precision", "recall", "f1", "roc_auc", "gini"]]))
+    metrics = CV.binary_metrics(judged, score="score").toDF(*[f"test_{c}" for c in ["accuracy", "precision", "recall", "f1", "roc_auc", "gini"]])
+    return chosen.crossJoin(metrics).withColumns({"C": F.lit(float(best.c)), "penalty": F.lit(best.penalty)})
+
+
+def _calibrated_grid(spark, sf):
+    """J4 inside J23: the mean AUC of every grid point over folds that its models have not seen."""
+    return _calibrated(spark, sf)["grid"].withColumn("mean_auc", F.round("mean_auc", 6))
+
+
+def _calibrated_scores(spark, sf):
+    """J14 inside J23: out-of-fold calibrated score of every training claim, and that of every test claim."""
+    out = _calibrated(spark, sf)
+    both = out["oof"].withColumn("part", F.lit("out_of_fold")).unionByName(out["test"].withColumn("part", F.lit("test")))
+    return both.select(F.col("id").alias("claim_id"), "label", F.round("calibrated", 6).alias("calibrated"), "models", "part")
 
 
 def _cv_scores(spark, sf):
@@ -156,30 +184,20 @@ def _flag(spark, sf):
     return M.flag_predictions(m, allc, "claim_id")
 
 
-SVD_K = 100
-
-
-def _svd_of(c):
-    """100 singular directions of the TF-IDF of one- and two-word terms."""
-    from pyspark.ml import Pipeline
-    fm = Pipeline(stages=M.feature_stages(TEXT, [], [], vocab_size=2000, ngrams=2)).fit(c)
-    feats = materialize(fm.transform(c).select("claim_id", "features"))
-    return M.svd_projection(feats, "features", SVD_K, "claim_id")
-
-
 def _svd(spark, sf):
-    return _svd_of(materialize(M.prepare(claims_txt(spark, sf), [], [], "greenwashing_flag", TEXT).select("claim_id", TEXT)))
+    """All claims' texts on 100 singular directions of the TF-IDF of one- and two-word terms."""
+    c = claims_txt(spark, sf).select("claim_id", TEXT, F.lit(0).alias("fold"), F.lit(0.0).alias("label"))
+    store = FS.build(c, "claim_id", "label", TEXT, [], [], [frozenset()], max_features=2000, ngrams=2, k=SVD_K)
+    return store.table.select(F.col("id").alias("claim_id"), F.col("x").alias("svd"))
 
 
 def _svd_lr(spark, sf):
-    """I2 into J11: the projected texts with the scaled numerics feed the regression; held-out metrics."""
-    from pyspark.ml.functions import array_to_vector
-    d = labelled(spark, sf)
-    text = _svd_of(d.select("claim_id", TEXT)).select("claim_id", array_to_vector("svd").alias("text_svd"))
-    d = materialize(d.drop(TEXT).join(text, "claim_id"))
-    m = M.fit_pipeline(d.where(F.col("split") == "train"), M.feature_stages(None, CATS, NUMS, embedding="text_svd"),
-                       M.logistic(weight_col="weight"))
-    return CV.binary_metrics(M.scored(m.transform(d.where(F.col("split") == "test")), "claim_id"), score="score")
+    """I2 into J11: directions and scales learned on the training part feed the regression; held-out metrics."""
+    store = _store(spark, sf, [frozenset({FS.TEST})])
+    learn = written(store.table.filter(FS.learning(store.sets)).withColumn("t", F.col("label")), "svd-learning")
+    models = FS.fit_logistic(learn, FS.class_weights(store), {0: [FS.Point(1.0, "l2")]}, store.width)
+    scored = FS.margins(store, models).select("label", F.col("margin").alias("score"), (F.col("margin") > 0).cast("int").alias("pred"))
+    return CV.binary_metrics(scored, score="score")
 
 
 def _summary(spark, sf):
@@ -197,6 +215,8 @@ register("model_compare")(_compare)
 register("oof_scores")(_oof)
 register("calibrate")(_calibrate)
 register("calibrated_threshold")(_calibrated_threshold)
+register("calibrated_grid")(_calibrated_grid)
+register("calibrated_scores")(_calibrated_scores)
 register("cv_scores")(_cv_scores)
 register("feature_importance")(_importance)
 register("category_predict")(_category)

@@ -40,10 +40,9 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    Read from ``spark.checkpoint.dir``.  Only when it is unset in a
-    one-process local session (tests) a fresh scratch folder is created; a cluster without it is an
-    error and registered, so ``DataFrame.checkpoint``
-    and written intermediate tables always land in a folder every executor sees.
+    Read from ``spark.checkpoint.dir``, so that checkpoints and written intermediate tables land in a
+    folder that every executor sees.  Only when it is unset in a one-process local session (tests) is a
+    fresh scratch folder created and registered; a cluster without it is an error.
     """
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -66,6 +65,15 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
+def written(df, tag: str):
+    """``df`` as a Parquet table of its own in the shared checkpoint folder, read back: for tables that
+    many jobs read, a few columns at a time."""
+    import uuid
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/claimlens-{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small(df, rows: int = 100_000):
     """``df`` written once and, when it has at most ``rows`` rows, marked for broadcast; a larger table
     is joined by shuffle.  For tables of a few short columns: group means, codes, folds."""
