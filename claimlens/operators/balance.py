@@ -1,100 +1,48 @@
 """SMOTE oversampling (I8) as a Spark job.
 
-For every minority row, neighbours are searched among all minority rows whose projection on one
-random unit direction falls in the row's bucket of length ``bucket_length`` or in one of the two beside it.
-Projections are never farther apart than the rows, so the k neighbours are exact wherever the k-th lies within
-``bucket_length``.  A bucket is cut by id hash into chunks of about ``block_rows``; the rows
-that ask a bucket are cut the same way, a task compares one part with one chunk and keeps the k nearest, and
-the k nearest over all chunks are kept by rank, ties by id.  Then each row emits its
+The k nearest minority rows of every minority row come from the exact join in ``neighbours``.  Each row then emits its
 share of synthetic rows ``x + u (nn - x)``; the share of row i is
 ``need // n + [rank_i <= need % n]`` with ranks from the distributed running count,
-and ``nn``/``u`` are drawn from ``md5(id, j, seed)`` - reproducible and order-free.
+and ``nn``/``u`` are drawn from ``md5(id, j, seed)`` - reproducible and order-free.  Neighbour lists carry
+ids only; a synthetic row fetches its one neighbour's vector by a join.
 """
 
 from __future__ import annotations
 
-import hashlib
-
-import numpy as np
-import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.functions.stats import prefix_sums
 from claimlens.operators.folds import hash_key
-from claimlens.session import checkpoint_dir, ship_package
-
-
-def _unit(s: str) -> float:
-    return int(hashlib.md5(s.encode()).hexdigest()[:13], 16) / float(1 << 52)
-
-
-def _nearest_block(k: int):
-    def fn(asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(asked) and len(block):
-            by = block.sort_values("uid")
-            uids, x = by["uid"].to_numpy(), np.stack(by["vec"].to_numpy()).astype(float)
-            for uid, v in zip(asked["asker"], asked["asked"], strict=True):
-                d = ((x - np.asarray(v, float)) ** 2).sum(axis=1)
-                d[uids == uid] = np.inf
-                out += [(uid, d[i], uids[i], x[i].tolist()) for i in np.argsort(d, kind="stable")[:k] if d[i] < np.inf]
-        return pd.DataFrame(out, columns=["uid", "d", "other", "nn"])
-    return fn
+from claimlens.operators.neighbours import neighbours, usable
 
 
-def _synth(seed: int):
-    def fn(batches):
-        for pdf in batches:
-            out = []
-            for id_, vec, share, nn in zip(pdf["id"], pdf["vec"], pdf["share"], pdf["nns"], strict=True):
-                x, near = np.asarray(vec, float), [] if nn is None else nn
-                for j in range(int(share)):
-                    key = f"{id_}-{j}-{seed}"
-                    v = x
-                    if len(near):
-                        v = x + _unit("u" + key) * (np.asarray(near[int(_unit("n" + key) * len(near)) % len(near)]["nn"], float) - x)
-                    out.append((id_, j, v.tolist()))
-            yield pd.DataFrame(out, columns=["source_id", "synthetic_index", "features"])
-    return fn
+def _unit(key: Column) -> Column:
+    """A number from 0 to 1 (not 1) drawn from a text."""
+    return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def smote(df: DataFrame, id_col: str, vec_col: str, label: str, minority=1, k: int = 5, seed: int = 42,
-          block_rows: int = 4096, bucket_length: float = 2.0) -> DataFrame:
+def smote(df: DataFrame, id_col: str, vec_col: str, label: str, minority=1, k: int = 5, seed: int = 42, block_rows: int = 2048) -> DataFrame:
     """Synthetic minority rows ``(source_id, synthetic_index, features array<double>)`` that bring the
-    minority class up to the majority count (two-class case)."""
-    ship_package(df.sparkSession)
-    checkpoint_dir(df.sparkSession)
-    base = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"),
-                     (F.col(label) == F.lit(minority)).alias("_min"))
-    counts = base.agg(F.count_if("_min").alias("n_min"), F.count_if(~F.col("_min")).alias("n_maj"))
-    mino = base.where("_min").drop("_min")
-    # shares: need // n + [rank <= need % n], rank = position in md5 order
-    ranked = prefix_sums(mino.withColumns({"_key": F.concat(hash_key("id", seed), F.col("id").cast("string")),
-                                           "_one": F.lit(1)}), "_key", ["_one"])
-    need = F.col("n_maj") - F.col("n_min")
-    shares = ranked.crossJoin(F.broadcast(counts)).withColumn(
-        "share", F.when(need <= 0, F.lit(0)).otherwise(
-            (need / F.col("n_min")).cast("long") + (F.col("cum__one") <= need % F.col("n_min")).cast("long")))
-    # locality: LSH buckets, cut by hash when larger than block_rows
-    lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket_length,
-                                      numHashTables=1, seed=seed)
-    v = shares.withColumn("_v", array_to_vector("vec"))
-    hashed = lsh.fit(v).transform(v).withColumn("bucket", vector_to_array(F.element_at("_h", 1))[0].cast("long"))
-    rows = hashed.select("bucket", "id", "vec", "share", F.monotonically_increasing_id().alias("uid")).checkpoint()
-    chunks = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("chunks"))
-    asked = rows.select(F.explode(F.array(*[F.col("bucket") + i for i in (-1, 0, 1)])).alias("bucket"), F.col("uid").alias("asker"), F.col("vec").alias("asked"))
-    parts = asked.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("parts"))
-    asked = asked.join(chunks, "bucket").join(parts, "bucket").select(
-        "bucket", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("asker"), "parts").alias("part"), "asker", "asked")
-    blocks = rows.join(chunks, "bucket").join(parts, "bucket").select(
-        "bucket", F.pmod(F.xxhash64("uid"), "chunks").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "uid", "vec")
-    pair = ["bucket", "chunk", "part"]
-    found = asked.groupBy(*pair).cogroup(blocks.groupBy(*pair)).applyInPandas(
-        _nearest_block(k), "uid long, d double, other long, nn array<double>")
-    near = found.withColumn("r", F.row_number().over(Window.partitionBy("uid").orderBy("d", "other"))).where(F.col("r") <= k)
-    near = near.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("r", "nn"))).alias("nns"))
-    return rows.join(near, "uid", "left").select("id", "vec", "share", "nns").mapInPandas(
-        _synth(seed), "source_id long, synthetic_index int, features array<double>")
+    minority class up to the majority count (two-class case).
+
+    Rows with a null vector or a null or non-finite component make no synthetic row and are nobody's neighbour, but count
+    toward the class sizes; a class of one row is copied; nothing is made when the minority is not the smaller class.
+    """
+    base = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), (F.col(label) == F.lit(minority)).alias("_min"))
+    counts = base.agg((F.count_if(~F.col("_min")) - F.count_if("_min")).alias("need"))
+    rows = usable(base.where("_min"), "id", "vec")
+    counts = counts.crossJoin(F.broadcast(rows.agg(F.count("*").alias("n"))))
+    ranked = prefix_sums(rows.select("uid", "id", F.concat(hash_key("id", seed), F.lit("-"), F.col("uid").cast("string")).alias("_key"), F.lit(1).alias("_one")), "_key", ["_one"])
+    more = (F.col("cum__one") <= F.col("need") % F.col("n")).cast("long")
+    share = F.when(F.col("need") <= 0, F.lit(0)).otherwise((F.col("need") / F.col("n")).cast("long") + more)
+    shares = ranked.crossJoin(F.broadcast(counts)).select("uid", "id", share.cast("int").alias("share")).where(F.col("share") > 0)
+    near = neighbours(rows, k, block_rows).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("rank", "other"))).alias("near"))
+    key = F.concat_ws("-", F.col("id").cast("string"), F.col("j").cast("string"), F.lit(str(seed)))
+    drawn = shares.join(near, "uid", "left").select("uid", "id", F.explode(F.sequence(F.lit(0), F.col("share") - 1)).alias("j"), "near")
+    at = F.floor(_unit(F.concat(F.lit("n"), key)) * F.size("near")).cast("int")
+    drawn = drawn.select("uid", "id", "j", F.when(F.col("near").isNotNull(), F.element_at("near", at + 1)["other"]).alias("other"), _unit(F.concat(F.lit("u"), key)).alias("u"))
+    x, nn = rows.select("uid", F.col("vec").alias("x")), rows.select(F.col("uid").alias("other"), F.col("vec").alias("nn"))
+    made = drawn.join(x, "uid").join(nn, "other", "left")
+    step = F.zip_with("x", "nn", lambda a, b: F.coalesce(a, F.lit(0.0)) + F.col("u") * (F.coalesce(b, F.lit(0.0)) - F.coalesce(a, F.lit(0.0))))
+    return made.select(F.col("id").alias("source_id"), F.col("j").alias("synthetic_index"), F.coalesce(step, "x").alias("features"))

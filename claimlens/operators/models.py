@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from claimlens.functions.text import TOKEN, english_stop_words
 from claimlens.operators import curves as CV
+from claimlens.operators.balance import smote
 from claimlens.session import materialize
 
 # The regularisation grid (C values and penalties) of the calibrated model.
@@ -198,11 +199,26 @@ def scored(pred: DataFrame, id_col: str) -> DataFrame:
                        F.col("prediction").cast("int").alias("pred"))
 
 
+def oversampled(df: DataFrame, id_col: str) -> DataFrame:
+    """I8 inside training: the feature rows with synthetic ones of the smaller class up to the size of the larger, all of weight 1
+    (``features``, ``label``, ``weight``); a table with one class stays as it is."""
+    sizes = {r["label"]: r["count"] for r in df.groupBy("label").count().collect()}
+    real = df.select("features", "label", F.lit(1.0).alias("weight"))
+    if len(sizes) < 2:
+        return real
+    small = min(sizes, key=lambda y: (sizes[y], y))
+    made = smote(df.select(id_col, vector_to_array("features").alias("v"), "label"), id_col, "v", "label", minority=small)
+    return real.unionByName(made.select(array_to_vector("features").alias("features"), F.lit(small).alias("label"), F.lit(1.0).alias("weight")))
+
+
 def compare_models(train: DataFrame, test: DataFrame, stages: list, id_col: str,
-                   names: Sequence[str] | None = None) -> DataFrame:
-    """Fit the features once and each classifier on ``train``; report accuracy/precision/recall/F1/ROC-AUC on ``test``."""
+                   names: Sequence[str] | None = None, oversample: bool = False) -> DataFrame:
+    """Fit the features once and each classifier on ``train`` (with synthetic rows of the smaller class for ``oversample``);
+    report accuracy/precision/recall/F1/ROC-AUC on ``test``."""
     features = Pipeline(stages=stages).fit(train)
     learn, judge = (materialize(features.transform(d).select(id_col, "features", "label", "weight")) for d in (train, test))
+    if oversample:
+        learn = materialize(oversampled(learn, id_col))
     out = None
     for name, est in classifiers().items():
         if names and name not in names:
@@ -213,6 +229,25 @@ def compare_models(train: DataFrame, test: DataFrame, stages: list, id_col: str,
     return out.select("model", "accuracy", "precision", "recall", "f1", "roc_auc", "gini")
 
 
+def train_test_auc(train: DataFrame, test: DataFrame, stages: list, id_col: str) -> DataFrame:
+    """AUC and Gini on the training and on the test part, one row a model."""
+    # Sizes, depths, leaf size, rate and row share of the compared models.
+    lr = logistic(weight_col="weight", max_iter=1000)
+    rf = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight", numTrees=100, maxDepth=6, minInstancesPerNode=5, seed=42)
+    gb = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=100, maxDepth=4, stepSize=0.1, subsamplingRate=0.7, seed=42)
+    features = Pipeline(stages=stages).fit(train)
+    parts = {part: materialize(features.transform(d).select(id_col, "features", "label", "weight")) for part, d in (("train", train), ("test", test))}
+    out = None
+    for name, est in (("LogisticRegression", lr), ("RandomForest", rf), ("GradientBoosting", gb)):
+        model, row = est.fit(parts["train"]), None
+        for part, d in parts.items():
+            a = CV.roc_auc(scored(model.transform(d), id_col)).toDF(f"{part}_auc", f"{part}_gini")
+            row = a if row is None else row.crossJoin(a)
+        row = row.select(F.lit(name).alias("model"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def out_of_fold(df: DataFrame, stages: list, estimator, id_col: str, k: int = 5) -> DataFrame:
     """For each fold, train on the others and score the fold; union of the k scored folds."""
     parts = None

@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 
 from claimlens.operators import curves as CV
 from claimlens.operators import foldstore as FS
+from claimlens.operators import neighbours as NB
 from claimlens.operators import models as M
 from claimlens.operators import risk as RK
+from claimlens.operators.balance import smote
 from claimlens.operators.features import value_features
 from claimlens.operators.folds import rank_within, stratified_split, with_class_weight
 from claimlens.plans.registry import register
 from claimlens.session import materialize, written
 from claimlens.sources.claims import claims_txt
+from claimlens.sources.tables import table
 
 TEXT = "esg_claim_text"
 SVD_K = 100
@@ -56,8 +59,12 @@ def _lr_grid(spark, sf):
 
 def _compare(spark, sf):
     d = labelled(spark, sf)
-    train, test = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
-    return M.compare_models(train, test, stages(), "claim_id")
+    return M.compare_models(_part(d, "train"), _part(d, "test"), stages(), "claim_id", oversample=True)
+
+
+def _train_test(spark, sf):
+    d = labelled(spark, sf)
+    return M.train_test_auc(_part(d, "train"), _part(d, "test"), stages(), "claim_id")
 
 
 def _part(d, name):
@@ -212,6 +219,7 @@ def _summary(spark, sf):
 register("lr_train")(_lr_train)
 register("lr_grid")(_lr_grid)
 register("model_compare")(_compare)
+register("train_test_auc")(_train_test)
 register("oof_scores")(_oof)
 register("calibrate")(_calibrate)
 register("calibrated_threshold")(_calibrated_threshold)
@@ -229,8 +237,6 @@ register("training_summary")(_summary)
 
 # ---------------------------------------------------------------- I8 SMOTE on the embedding table
 def _smote(spark, sf):
-    from claimlens.operators.balance import smote
-    from claimlens.sources.tables import table
     e = table(spark, sf, "embeddings").withColumn("is_zero", (F.col("label") == 0).cast("int"))
     return smote(e, "vec_id", "embedding", "is_zero", minority=1, k=5, seed=42)
 
@@ -238,6 +244,26 @@ def _smote(spark, sf):
 register("smote")(_smote)
 
 
+NEIGHBOURS_SQL = """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+d AS (SELECT a.vec_id, b.vec_id AS neighbour_id, list_distance(a.v, b.v) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id)
+SELECT vec_id, CAST(row_number() OVER w AS INTEGER) AS rank, neighbour_id, floor(d * 1e6 + 0.5) / 1e6 AS distance FROM d
+WINDOW w AS (PARTITION BY vec_id ORDER BY d, neighbour_id) QUALIFY row_number() OVER w <= 5
+"""
+
+
+def _neighbours(spark, sf):
+    """The five nearest other rows of every embedding."""
+    rows = NB.usable(table(spark, sf, "embeddings"), "vec_id", "embedding")
+    ids = rows.select("uid", F.col("id").alias("vec_id"))
+    out = NB.neighbours(rows, 5).join(ids, "uid").join(ids.toDF("other", "neighbour_id"), "other")
+    return out.select("vec_id", "rank", "neighbour_id", (F.floor(F.col("distance") * 1e6 + 0.5) / 1e6).alias("distance"))
+
+
+register("nearest_neighbours", NEIGHBOURS_SQL)(_neighbours)
+
+
 # ---------------------------------------------------------------- C24 importance distribution
 def _importance_dist(spark, sf):
     d = labelled(spark, sf).where(F.col("split") == "train")

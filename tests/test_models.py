@@ -34,12 +34,12 @@ def test_smote_points_lie_on_minority_segments(spark):
 
 
 def test_smote_neighbours_are_exact_beyond_one_block(spark):
-    """Buckets cut into small blocks and rows beside a border still find the 5 nearest rows of the whole class."""
+    """Small blocks still find the 5 nearest rows of the whole class."""
     rng = np.random.default_rng(3)
     x = rng.normal(size=(240, 3))
     rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(1000 + i, [0.0, 0.0, 0.0], 0) for i in range(720)]
     df = spark.createDataFrame(rows, "id long, vec array<double>, y int")
-    out = smote(df, "id", "vec", "y", minority=1, k=5, block_rows=16, bucket_length=6.0).collect()
+    out = smote(df, "id", "vec", "y", minority=1, k=5, block_rows=16).collect()
     assert len(out) == 480
     for r in out:
         a, s = x[r["source_id"]], np.array(r["features"])
