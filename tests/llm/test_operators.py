@@ -124,8 +124,8 @@ def test_decontamination(docs, none, spark):
                     items.add(str(i))
         return len(w), len(hit), sorted(items)
 
-    for block in (64 << 20, 8):  # one block, and a block an item
-        got = decontaminate.find_contamination(docs, bench, block_bytes=block).collect()
+    for most in (64 << 20, 8):  # an index in every task, and a join
+        got = decontaminate.find_contamination(docs, bench, index_bytes=most).collect()
         assert len(got) == len(ROWS)
         for r in got:
             c = r["contamination"]
@@ -135,6 +135,31 @@ def test_decontamination(docs, none, spark):
     assert decontaminate.find_contamination(docs, bench.limit(0)).filter("contamination.n_hit > 0").count() == 0
 
 
+def test_decontamination_of_repeated_words():
+    """Repeats on both sides: results of all windows, in time that follows the text."""
+    import time
+    rng = np.random.default_rng(8)
+
+    def plain(w, items):
+        windows = {tuple(t[j:j + min(13, len(t))].tolist()) for t in items for j in range(len(t) - min(13, len(t)) + 1)}
+        hit = set()
+        for k in {min(13, len(t)) for t in items}:
+            for j in range(len(w) - k + 1):
+                if tuple(w[j:j + k].tolist()) in windows:
+                    hit.update(range(j, j + k))
+        return hit
+
+    for words in (1, 2, 3):
+        items = [rng.integers(1, words + 1, n).astype(np.uint64) for n in (40, 13, 5, 30)]
+        w = rng.integers(1, words + 1, 300).astype(np.uint64)
+        starts, ends, _ = decontaminate.search(w, np.array([0, 150, 150, 300]), decontaminate.Index([(str(i), t) for i, t in enumerate(items)], 13))
+        assert {p for a, b in zip(starts.tolist(), ends.tolist(), strict=True) for p in range(a, b)} == plain(w[:150], items) | {150 + p for p in plain(w[150:], items)}
+    index = decontaminate.Index([("long", np.ones(500, np.uint64))], 13)
+    began = time.perf_counter()
+    starts, ends, _ = decontaminate.search(np.ones(5000, np.uint64), np.array([0, 5000]), index)
+    assert time.perf_counter() - began < 0.1 and starts.min() == 0 and ends.max() == 5000 and len(starts) == 4988
+
+
 def test_near_duplicates(docs, none):
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
