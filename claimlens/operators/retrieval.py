@@ -8,12 +8,11 @@ Sparse search (TF-IDF cosine, top-k per claim)
   weights.  The corpus vectors are checkpointed into the shared checkpoint folder.
 * Query side: the claims are hash-partitioned by claim id **once**; after that
   tokenising, the vocabulary join (broadcast, <= max_features rows), term counts,
-  norms, the join with the corpus vectors, the per-(claim, chunk) dot products and
-  the per-claim top-k window all run inside the same partitions - the candidate
-  (claim, chunk) pairs are never shuffled, only k rows per claim leave the stage.
-* The corpus vectors are broadcast only when their measured row count is under
-  ``BROADCAST_ROWS``; above it the join on ``term`` is a shuffle join (AQE splits
-  skewed terms).
+  norms, the search and the per-claim top-k window all run inside the same partitions -
+  no row per matching (claim, chunk) pair is ever made, only k rows per claim leave the search.
+* The search reads impact-ordered postings with upper bounds per term (``Postings``), so
+  frequent terms are mostly skipped.  A corpus whose measured vectors are at most
+  ``INDEX_BYTES`` is sent to the tasks; a larger one meets the claims block against block.
 
 Dense search
 ------------
@@ -24,7 +23,7 @@ running top-k per query, so partitions x queries x k rows reach the shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,7 +38,6 @@ from claimlens.functions.stats import prefix_sums
 from claimlens.functions.text import TOKEN, english_stop_words
 from claimlens.session import materialize, ship_package
 
-BROADCAST_ROWS = 2_000_000
 SCORE_DIGITS = 6
 
 
@@ -55,7 +53,7 @@ class TfidfParams:
 def terms(df: DataFrame, id_col: str, text: str, p: TfidfParams) -> DataFrame:
     """Exploded analyser output ``(id, term)``: lower-cased tokens of 2+ word characters,
     stop words removed, then n-grams of the remaining tokens joined by a space."""
-    tok = df.select(id_col, F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN), 0).alias("_tok"))
+    tok = df.select(id_col, F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKEN), 0).alias("_tok"))
     if p.stop_words:
         tok = StopWordsRemover(inputCol="_tok", outputCol="_kept", stopWords=list(p.stop_words),
                                caseSensitive=False).transform(tok).select(id_col, F.col("_kept").alias("_tok"))
@@ -106,14 +104,16 @@ def _weights(tf: DataFrame, id_col: str) -> DataFrame:
 
 
 def vectorize(df: DataFrame, id_col: str, text: str, vocab: DataFrame, p: TfidfParams) -> DataFrame:
-    """L2-normalised TF-IDF rows ``(id, term, w)`` over the vocabulary (out-of-vocabulary terms dropped).
+    """L2-normalised TF-IDF rows ``(id, term, w)`` over the vocabulary (out-of-vocabulary terms dropped); further
+    columns of ``vocab`` are carried.
 
     ``vocab`` has at most ``max_features`` rows, so it is broadcast.
     """
     vb = F.broadcast(vocab) if p.max_features else vocab  # hint only when capped by max_features
     t = terms(df, id_col, text, p).join(vb, "term")
-    tf = t.groupBy(id_col, "term", "idf").agg(F.count(F.lit(1)).alias("tf"))
-    return _weights(tf.select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w")), id_col)
+    tf = t.groupBy(id_col, *vocab.columns).agg(F.count(F.lit(1)).alias("tf"))
+    kept = [c for c in vocab.columns if c != "idf"]
+    return _weights(tf.select(id_col, *kept, (F.col("tf") * F.col("idf")).alias("w")), id_col)
 
 
 def corpus_vectors(chunks: DataFrame, p: TfidfParams, id_col: str = "chunk_uid", text: str = "text",
@@ -133,32 +133,163 @@ def corpus_vectors(chunks: DataFrame, p: TfidfParams, id_col: str = "chunk_uid",
     return vocab, _weights(w, id_col)
 
 
-def _maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Checkpoint (cut lineage, reused twice) and broadcast only under a measured row bound."""
-    from claimlens.session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
-    df = df.checkpoint(eager=True)
-    n = df.count()
-    return F.broadcast(df) if n <= limit else df
+# ---------------------------------------------------------------- sparse top-k
+#: Bytes of corpus vectors that are sent to every task; a larger corpus is searched block against block.
+INDEX_BYTES = 64 << 20
+#: Bytes of vectors in a block of either side.
+BLOCK_BYTES = 8 << 20
+#: Bytes of one weight of a vector: a place and a double.
+ENTRY = 12
+
+
+class Postings:
+    """Vectors by term, in order of impact, and by row.
+
+    ``search`` finds the rows of highest inner product with a query without scoring every row that shares a term: terms are taken by
+    falling upper bound (query weight x greatest weight of the term).  A row not met yet can still reach the k-th
+    best lower bound only through the head of a term's list, so only heads bring new rows; rows met whose sum and all that is left
+    stay below that bound are dropped, and the search ends when the terms left bring no new row and few rows remain.  Those are
+    then scored exactly.
+    """
+
+    def __init__(self, ids: Sequence, terms: list[np.ndarray], weights: list[np.ndarray]):
+        self.ids = list(ids)
+        self.first = np.cumsum([0, *(len(t) for t in terms)])
+        term = np.concatenate([np.zeros(0, np.int64), *terms]).astype(np.int64)
+        weight = np.concatenate([np.zeros(0), *weights])
+        row = np.repeat(np.arange(len(self.ids)), np.diff(self.first))
+        inside = np.lexsort((term, row))
+        self.term, self.weight = term[inside], weight[inside]
+        by = np.lexsort((row, -weight, term))
+        self.rows, self.impact = row[by], weight[by]
+        self.known, self.start = np.unique(term[by], return_index=True)
+        self.end = np.r_[self.start[1:], len(by)]
+
+    def sharing(self, terms: np.ndarray) -> int:
+        """Rows that share a term."""
+        at = np.searchsorted(self.known, terms)
+        held = [self.rows[self.start[i]:self.end[i]] for i, t in zip(at.tolist(), terms.tolist(), strict=True) if i < len(self.known) and self.known[i] == t]
+        return len(np.unique(np.concatenate([np.zeros(0, np.int64), *held])))
+
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Candidate rows and their exact scores: all that may be among the k best by rounded score."""
+        slack = 2 * 10.0 ** -SCORE_DIGITS
+        at = np.minimum(np.searchsorted(self.known, terms), max(len(self.known) - 1, 0))
+        held = self.known[at] == terms if len(self.known) else np.zeros(len(terms), bool)
+        at, w = at[held], weights[held]
+        bound = w * self.impact[self.start[at]] if len(at) else w
+        order = np.argsort(-bound, kind="stable")
+        left = np.cumsum(bound[order][::-1])[::-1]
+        partial, seen = np.zeros(len(self.ids)), np.zeros(len(self.ids), bool)
+        met, least = np.zeros(0, np.int64), 0.0
+        for n, i in enumerate(order.tolist()):
+            after = left[n + 1] if n + 1 < len(order) else 0.0
+            if left[n] < least - slack and not len(met) > 4 * k:
+                break
+            a, z = self.start[at[i]], self.end[at[i]]
+            partial[self.rows[a:z]] += w[i] * self.impact[a:z]
+            # impacts fall: only the head, where weight x impact + what is left reaches the k-th best, brings new rows
+            head = a + int(np.searchsorted(-self.impact[a:z], -(least - slack - after) / w[i], "right")) if w[i] > 0 and least > 0 else z
+            rows = self.rows[a:head]
+            met = np.concatenate([met, rows[~seen[rows]]])
+            seen[rows] = True
+            if len(met) >= k:
+                least = max(least, float(np.partition(partial[met], len(met) - k)[len(met) - k]))
+                met = met[partial[met] + after >= least - slack]
+        if not len(met):
+            return met, np.zeros(0)
+        met = np.sort(met)
+        size = self.first[met + 1] - self.first[met]
+        entry = np.repeat(self.first[met] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+        by = np.argsort(terms, kind="stable")
+        place = np.minimum(np.searchsorted(terms[by], self.term[entry]), len(terms) - 1)
+        dots = np.where(terms[by][place] == self.term[entry], weights[by][place] * self.weight[entry], 0.0)
+        return met, np.add.reduceat(dots, np.r_[0, np.cumsum(size)[:-1]])
+
+
+def _sparse(df: DataFrame, id_col: str) -> DataFrame:
+    """Vectors as rows: (id, terms, weights)."""
+    rows = df.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("place", "w"))).alias("v"))
+    return rows.select(id_col, F.col("v.place").alias("terms"), F.col("v.w").alias("weights"))
+
+
+def _lists(column) -> list[np.ndarray]:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat, at = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return np.split(flat, at[1:-1] - at[0]) if len(column) else []
+
+
+def _hits(index: Postings, names: list, terms: list[np.ndarray], weights: list[np.ndarray], k: int, types: tuple[pa.DataType, pa.DataType]) -> pa.Table:
+    out = []
+    for name, t, w in zip(names, terms, weights, strict=True):
+        rows, score = index.search(t, w, k)
+        score = _round_half_up(score)
+        best = sorted(zip((-score).tolist(), [index.ids[r] for r in rows], strict=True))[:k]
+        out += [(name, one, -s, len(rows), index.sharing(t)) for s, one in best if s < 0]
+    columns = list(zip(*out, strict=True)) or [[]] * 5
+    kinds = (*types, pa.float64(), pa.int64(), pa.int64())
+    return pa.table({n: pa.array(list(c), t) for n, c, t in zip(("_q", "_cid", "score", "scored", "sharing"), columns, kinds, strict=True)})
+
+
+def search_hits(queries: DataFrame, q_id: str, q_text: str, chunks: DataFrame, k: int, p: TfidfParams, chunk_id: str, chunk_text: str,
+                partitions: int | None = None, index_bytes: int = INDEX_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The best k chunks of every query in every block of the corpus: (_q, _cid, score, scored, sharing)."""
+    ship_package(queries.sparkSession)
+    vocab, cvec = corpus_vectors(chunks.select(chunk_id, chunk_text), p, chunk_id, chunk_text)
+    numbered = prefix_sums(vocab.withColumn("_one", F.lit(1)), "term", ["_one"]) if not p.max_features else \
+        vocab.withColumn("cum__one", F.row_number().over(Window.orderBy("term")))  # at most max_features rows
+    vocab = materialize(numbered.select("term", "idf", F.col("cum__one").cast("int").alias("place")))
+    known = F.broadcast(vocab) if p.max_features else vocab
+    corpus = materialize(_sparse(cvec.withColumnRenamed(chunk_id, "_cid").join(known.drop("idf"), "term"), "_cid"))
+    q = queries.select(F.col(q_id).alias("_q"), q_text)
+    q = q.repartition(partitions, "_q") if partitions else q.repartition("_q")
+    asked = _sparse(vectorize(q, "_q", q_text, vocab, p), "_q")
+    schema = T.StructType([asked.schema["_q"], corpus.schema["_cid"], T.StructField("score", T.DoubleType()),
+                           T.StructField("scored", T.LongType()), T.StructField("sharing", T.LongType())])
+    types = tuple(to_arrow_type(schema[i].dataType) for i in (0, 1))
+    size = ENTRY * (corpus.agg(F.sum(F.size("terms"))).first()[0] or 0)
+    if size <= index_bytes:
+        rows = corpus.toArrow()  # at most index_bytes
+        sent = queries.sparkSession.sparkContext.broadcast(Postings(rows.column(0).to_pylist(), _lists(rows.column(1)), _lists(rows.column(2))))
+
+        def run(batches):
+            for b in batches:
+                yield from _hits(sent.value, b.column(0).to_pylist(), _lists(b.column(1)), _lists(b.column(2)), k, types).to_batches()
+
+        return asked.mapInArrow(run, schema)
+    asked = materialize(asked)
+    cuts = -(-size // block_bytes)
+    sides = max(1, -(-ENTRY * (asked.agg(F.sum(F.size("terms"))).first()[0] or 0) // block_bytes))
+    block = lambda c, n, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select("*", block("_q", sides, 1).alias("qb")).select("*", every(cuts).alias("cb"))
+    right = corpus.select("_cid", F.col("terms").alias("ct"), F.col("weights").alias("cw"), block("_cid", cuts, 2).alias("dcb")).select("*", every(sides).alias("dqb"))
+
+    def pair(a: pa.Table, c: pa.Table) -> pa.Table:
+        if not a.num_rows or not c.num_rows:
+            return _hits(Postings([], [], []), [], [], [], k, types)
+        index = Postings(c.column("_cid").to_pylist(), _lists(c.column("ct")), _lists(c.column("cw")))
+        return _hits(index, a.column("_q").to_pylist(), _lists(a.column("terms")), _lists(a.column("weights")), k, types)
+
+    return left.groupBy("qb", "cb").cogroup(right.groupBy("dqb", "dcb")).applyInArrow(pair, schema)
 
 
 def search_topk(queries: DataFrame, q_id: str, q_text: str, chunks: DataFrame, k: int = 5,
                 p: TfidfParams | None = None, chunk_id: str = "chunk_uid", chunk_text: str = "text",
-                partitions: int | None = None) -> DataFrame:
+                partitions: int | None = None, **sizes) -> DataFrame:
     """G5 + F1: cosine top-k hits ``(q_id, chunk_uid, score, rank)``; hits with score <= 0 dropped."""
-    p = p or TfidfParams()
-    vocab, cvec = corpus_vectors(chunks.select(chunk_id, chunk_text), p, chunk_id, chunk_text)
-    vocab = _maybe_broadcast(vocab, p.max_features or BROADCAST_ROWS)
-    cvec = _maybe_broadcast(cvec.select(F.col(chunk_id).alias("_cid"), "term", F.col("w").alias("wd")))
-    q = queries.select(q_id, q_text)
-    q = q.repartition(partitions, q_id) if partitions else q.repartition(q_id)
-    qv = vectorize(q, q_id, q_text, vocab, p)
-    dots = (qv.join(cvec, "term").groupBy(q_id, "_cid")
-            .agg(F.sum(F.col("w") * F.col("wd")).alias("score")))
-    dots = dots.where(F.col("score") > 0).withColumn("score", F.round("score", SCORE_DIGITS))
-    w = Window.partitionBy(q_id).orderBy(F.desc("score"), F.asc("_cid"))
-    return (dots.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select(q_id, F.col("_cid").alias(chunk_id), "score", "rank"))
+    found = search_hits(queries, q_id, q_text, chunks, k, p or TfidfParams(), chunk_id, chunk_text, partitions, **sizes)
+    w = Window.partitionBy("_q").orderBy(F.desc("score"), F.asc("_cid"))
+    return (found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select(F.col("_q").alias(q_id), F.col("_cid").alias(chunk_id), "score", "rank"))
+
+
+def search_pairs(queries: DataFrame, q_id: str, q_text: str, chunks: DataFrame, k: int = 5, p: TfidfParams | None = None,
+                 chunk_id: str = "chunk_uid", chunk_text: str = "text", **sizes) -> DataFrame:
+    """Work of the search per query with a hit: chunks scored, and chunks that share a term with it."""
+    found = search_hits(queries, q_id, q_text, chunks, k, p or TfidfParams(), chunk_id, chunk_text, **sizes)
+    cells = found.select("_q", "scored", "sharing", F.row_number().over(Window.partitionBy("_q").orderBy(F.desc("score"), "_cid")).alias("rank"))
+    return cells.where(F.col("rank") == 1).select(F.col("_q").alias(q_id), "scored", "sharing")
 
 
 def term_weights(vectors: DataFrame, k: int = 20) -> DataFrame:

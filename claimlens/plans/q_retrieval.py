@@ -74,6 +74,14 @@ hits AS (SELECT * FROM ranked WHERE rank <= {K})
 register("tfidf_search_topk", HITS_SQL_CTES + "SELECT claim_id, chunk_uid, score, rank FROM hits")(hits)
 
 
+def _search_pairs(spark, sf):
+    """Work of the search: chunks scored for each claim, of those that share a term with it."""
+    return RT.search_pairs(claim_texts(spark, sf), "claim_id", "esg_claim_text", corpus_chunks(spark, sf), K)
+
+
+register("search_pairs")(_search_pairs)
+
+
 # ---------------------------------------------------------------- C23 corpus term weights (baseline TF-IDF settings)
 def _tfidf_terms(spark, sf):
     p = RT.TfidfParams(max_features=5000, ngram=(1, 2), min_df=2, max_df=0.95)
