@@ -1,90 +1,173 @@
 """Distributed statistics that Spark has no single scalable built-in for.
 
-``exact_quantiles`` returns pandas-style (linear interpolation) quantiles without
-gathering a column into one task: Spark's exact ``percentile`` keeps every
-distinct value of a group in one aggregation buffer, which does not survive a
-100 TB column.  Instead:
-
-1. one pass computes ``n`` and ``percentile_approx`` brackets around every
-   target rank (rank error of the sketch <= n / accuracy);
-2. a second pass counts the values below each bracket and keeps only the
-   distinct values *inside* it (about ``6 n / accuracy`` of them);
-3. a window over those few rows walks the cumulative counts to the exact ranks.
-
-Nothing is collected to the driver; grouping keys are supported.
+Quantiles are pandas-style (linear interpolation) and exact, without gathering a column into one task: Spark's exact
+``percentile`` keeps every distinct value of a group in one aggregation buffer, which does not survive a 100 TB column.
+
+``column_quantiles`` answers many columns of one table at once by distributed selection: each pass counts, for
+every column, the rows per bucket of the range that is left for a wanted rank, and the next pass looks into that bucket alone.
+``exact_quantiles`` answers any number of groups by one sort of the distinct values with running counts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 100_000
-
-
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
-                    by: Sequence[str] = (), accuracy: int = ACCURACY) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Rows ``(*by, q_index, prob, value)``: exact interpolated quantile per group.
 
-    NULL (and NaN) values are ignored, as pandas does.
+    NULL (and NaN) values are ignored, as pandas does.  The distinct values of all groups are sorted together over the
+    range partitions; running counts, less those of the groups before, give each value its ranks.
     """
-    by = list(by)
-    probs = [float(p) for p in probs]
-    k = len(probs)
-    margin = 3.0 / accuracy
+    by, probs = list(by), [float(p) for p in probs]
     v = F.col(value).cast("double")
     base = df.select(*by, F.nanvl(v, F.lit(None).cast("double")).alias("_v")).where(F.col("_v").isNotNull())
-
-    lo_p = [max(0.0, p - margin) for p in probs]
-    hi_p = [min(1.0, p + margin) for p in probs]
-    # one sketch per group serves both bracket ends
-    stats = base.groupBy(*by).agg(
-        F.count("_v").alias("_n"),
-        F.percentile_approx("_v", lo_p + hi_p, accuracy).alias("_q"),
-        F.min("_v").alias("_min"), F.max("_v").alias("_max"))
-    q = F.explode(F.arrays_zip(F.array(*[F.lit(i) for i in range(k)]).alias("qi"),
-                               F.array(*[F.lit(p) for p in probs]).alias("p"),
-                               F.slice("_q", 1, k).alias("lo"), F.slice("_q", k + 1, k).alias("hi")))
-    brackets = stats.select(*by, "_n", "_min", "_max", q.alias("b")).select(
-        *by, "_n",
-        F.col("b.qi").alias("q_index"), F.col("b.p").alias("prob"),
-        # the sketch's end points are exact at p = 0 and p = 1
-        F.when(F.col("b.p") - margin <= 0, F.col("_min")).otherwise(F.col("b.lo")).alias("lo"),
-        F.when(F.col("b.p") + margin >= 1, F.col("_max")).otherwise(F.col("b.hi")).alias("hi"))
-    # ``brackets`` has one row per group and quantile: small, joined on the group keys.
-    j = base.join(brackets, by) if by else base.crossJoin(F.broadcast(brackets))
-    # every value below the bracket falls into one leading group, so its count is the offset
-    below = F.col("_v") < F.col("lo")
-    grouped = (j.where(F.col("_v") <= F.col("hi"))
-               .groupBy(*by, "q_index", "prob", "_n", below.alias("_below"),
-                        F.when(~below, F.col("_v")).alias("_key"))
-               .agg(F.count(F.lit(1)).alias("_c")))
-    w = (Window.partitionBy(*by, "q_index").orderBy(F.desc("_below"), F.asc("_key"))
-         .rowsBetween(Window.unboundedPreceding, 0))
-    walked = (grouped.withColumn("_end", F.sum("_c").over(w))
-              .withColumn("_start", F.col("_end") - F.col("_c")).where(~F.col("_below")))
-    # h = (n-1) p, ranks are 0-based; value at rank r is the row with start <= r < end
-    h = (F.col("_n") - 1) * F.col("prob")
-    lo_r, hi_r = F.floor(h), F.least(F.floor(h) + 1, F.col("_n") - 1)
-    picked = walked.groupBy(*by, "q_index", "prob").agg(
-        F.first(h).alias("_h"),
-        F.max(F.when((F.col("_start") <= lo_r) & (lo_r < F.col("_end")), F.col("_key"))).alias("_a"),
-        F.max(F.when((F.col("_start") <= hi_r) & (hi_r < F.col("_end")), F.col("_key"))).alias("_b"))
-    frac = F.col("_h") - F.floor(F.col("_h"))
-    return picked.select(*by, "q_index", "prob",
-                         (F.col("_a") + frac * (F.col("_b") - F.col("_a"))).alias("value"))
-
-
-def quantiles_wide(df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str],
-                   by: Sequence[str] = (), accuracy: int = ACCURACY) -> DataFrame:
-    """Same as :func:`exact_quantiles` pivoted to one column per quantile."""
-    long = exact_quantiles(df, value, probs, by, accuracy)
+    cells = base.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    cum = prefix_sums(cells.select(F.struct(*by, "_v").alias("_key"), "_c"), "_key", ["_c"])
+    cum = cum.select(*[F.col("_key")[c].alias(c) for c in [*by, "_v"]], "_c", "cum__c")
+    ends = cum.groupBy(*by).agg(F.min(F.col("cum__c") - F.col("_c")).alias("_before"), F.sum("_c").alias("_n"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
+    j = cum.alias("a").join(ends.alias("b"), same) if by else cum.alias("a").crossJoin(F.broadcast(ends.alias("b")))
+    end = F.col("cum__c") - F.col("_before")
+    at = lambda r: F.max(F.when((end - F.col("_c") <= r) & (r < end), F.col("a._v")))
+    aggs = []
+    for i, p in enumerate(probs):
+        h = (F.col("_n") - 1) * p
+        aggs += [at(F.floor(h)).alias(f"a{i}"), at(F.least(F.floor(h) + 1, F.col("_n") - 1)).alias(f"b{i}")]
+    picked = j.groupBy(*[F.col(f"a.{c}") for c in by]).agg(F.max("_n").alias("_n"), *aggs)
+    one = [F.struct(F.lit(i).alias("q_index"), F.lit(p).alias("prob"),
+                    (F.col(f"a{i}") + ((F.col("_n") - 1) * p - F.floor((F.col("_n") - 1) * p)) * (F.col(f"b{i}") - F.col(f"a{i}"))).alias("value"))
+           for i, p in enumerate(probs)]
+    return picked.where("_n is not null").select(*by, F.explode(F.array(*one)).alias("q")).select(*by, "q.*")
+
+
+#: Counters that a pass may bring to the driver, over all columns and groups.
+CELLS = 1 << 20
+
+
+def _keys(x: np.ndarray) -> np.ndarray:
+    """Signed integers in the order of the doubles (negative zero counts as zero)."""
+    bits = (x + 0.0).view(np.int64)
+    return np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits)
+
+
+def _value(key: int) -> float:
+    k = np.int64(key)
+    return float(np.array([k if k >= 0 else k ^ np.int64(0x7FFFFFFFFFFFFFFF)], np.int64).view(np.float64)[0])
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    return pc.fill_null(column, float("nan")).to_numpy(zero_copy_only=False)
+
+
+def _count_buckets(cols: Sequence[str], groups: list, cells: dict, bits: int):
+    """Per cell and bucket: rows, least and greatest key.  ``cells`` maps (column, group) to (cell, first key, last key, shift)."""
+    size = 1 << bits
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {}
+        for b in batches:
+            of = pc.index_in(b.column(b.num_columns - 1), pa.array(groups)).to_numpy(zero_copy_only=False) if groups else None
+            for c, name in enumerate(cols):
+                x = _numbers(b.column(c))
+                real = ~np.isnan(x)
+                for g in range(max(1, len(groups))):
+                    asked = cells.get((name, g))
+                    if not asked:
+                        continue
+                    key, n = np.unique(_keys(x[real & (of == g)] if groups else x[real]), return_counts=True)
+                    for cell, first, last, shift in asked:
+                        a, z = np.searchsorted(key, first, "left"), np.searchsorted(key, last, "right")
+                        if a == z:
+                            continue
+                        k = key[a:z]
+                        bucket = ((k.view(np.uint64) - np.int64(first).view(np.uint64)) >> np.uint64(shift)).astype(np.int64)
+                        count, lo, hi = held.setdefault(cell, (np.zeros(size, np.int64), np.full(size, np.iinfo(np.int64).max), np.full(size, np.iinfo(np.int64).min)))
+                        edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+                        at = bucket[edge]
+                        count[at] += np.add.reduceat(n[a:z], edge)
+                        lo[at] = np.minimum(lo[at], k[edge])
+                        hi[at] = np.maximum(hi[at], k[np.r_[edge[1:], len(k)] - 1])
+        for cell, (count, lo, hi) in held.items():
+            at = np.flatnonzero(count)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), cell, np.int32)), pa.array(at.astype(np.int32)), pa.array(count[at]), pa.array(lo[at]), pa.array(hi[at])],
+                                             names=["cell", "bucket", "n", "lo", "hi"])
+    return fn
+
+
+def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: str | None = None) -> DataFrame:
+    """Rows ``([by,] column, q_index, prob, value)``: exact interpolated quantiles of every column, per value of ``by``.
+
+    NULL and NaN values, and rows of a NULL ``by``, are left out; a column without values has no row.  The columns are written once as a narrow
+    table; each pass reads it, keeps counters of bounded size in the tasks and brings sums of them to the driver, until the
+    bucket of each wanted rank holds one value (four or five passes at most, however many rows).  Groups too many for that are
+    answered by :func:`exact_quantiles`.
+    """
+    from claimlens.session import ship_package, written
+    spark, probs = df.sparkSession, [float(p) for p in probs]
+    ship_package(spark)
+    number = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in cols]
+    base = df if by is None else df.where(F.col(by).isNotNull())
+    rows = written(base.select(*number, *([F.col(by).cast("string").alias("_by")] if by else [])), "quantiles")
+    most = CELLS // (64 * max(1, len(cols) * len(probs)))
+    groups = [] if by is None else [r["_by"] for r in rows.select("_by").distinct().limit(most + 1).collect()]
+    if len(groups) > most:
+        parts = None
+        for c in cols:
+            part = exact_quantiles(base, c, probs, [by]).select(by, F.lit(c).alias("column"), "q_index", "prob", "value")
+            parts = part if parts is None else parts.unionByName(part)
+        return parts
+    # the whole range of every column and group is the first bucket
+    ends = rows.groupBy(*(["_by"] if by else [])).agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).collect()
+    spans, wanted = {}, []
+    for r in ends:
+        g = groups.index(r["_by"]) if by else 0
+        for i, c in enumerate(cols):
+            if r[f"n{i}"]:
+                lo, hi = (int(_keys(np.array([r[f"{k}{i}"]]))[0]) for k in ("lo", "hi"))
+                spans[c, g] = (r[f"n{i}"], lo, hi)
+                for q, p in enumerate(probs):
+                    h = (r[f"n{i}"] - 1) * p
+                    low = int(np.floor(h))
+                    wanted += [(c, g, q, p, h - low, (low, min(low + 1, r[f"n{i}"] - 1)))]
+    # state of a rank: (first key, last key, rows before the first key)
+    state = {(c, g, k): (spans[c, g][1], spans[c, g][2], 0) for c, g, _, _, _, ranks in wanted for k in ranks}
+    while True:
+        open_ = sorted({(c, g, s[0], s[1]) for (c, g, _), s in state.items() if s[0] < s[1]})
+        if not open_:
+            break
+        bits = max(6, min(16, (CELLS // len(open_)).bit_length() - 1))
+        cells, at = {}, {}
+        for cell, (c, g, first, last) in enumerate(open_):
+            shift = max(0, (last - first).bit_length() - bits)
+            cells.setdefault((c, g), []).append((cell, first, last, shift))
+            at[c, g, first, last] = cell
+        found = rows.mapInArrow(_count_buckets(list(cols), groups, cells, bits), "cell int, bucket int, n long, lo long, hi long") \
+            .groupBy("cell", "bucket").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).orderBy("cell", "bucket").toArrow()
+        cell, n, lo, hi = (found.column(c).to_numpy() for c in ("cell", "n", "lo", "hi"))
+        for (c, g, k), (first, last, before) in state.items():
+            if first < last:
+                a, z = np.searchsorted(cell, [at[c, g, first, last], at[c, g, first, last] + 1])
+                end = before + np.cumsum(n[a:z])
+                j = int(np.searchsorted(end, k, "right"))
+                state[c, g, k] = (int(lo[a + j]), int(hi[a + j]), int(end[j] - n[a + j]))
+    out = []
+    for c, g, q, p, part, (low, high) in wanted:
+        a, b = _value(state[c, g, low][0]), _value(state[c, g, high][0])
+        out.append((groups[g] if by else None, c, q, p, a + part * (b - a)))
+    made = spark.createDataFrame(out, "_by string, column string, q_index int, prob double, value double")
+    return made.select(*([F.col("_by").cast(df.schema[by].dataType).alias(by)] if by else []), "column", "q_index", "prob", "value")
+
+
+def quantiles_wide(df: DataFrame, cols: Sequence[str], probs: Sequence[float], names: Sequence[str], by: str | None = None) -> DataFrame:
+    """:func:`column_quantiles` with one column per quantile: ``([by,] column, *names)``."""
     aggs = [F.max(F.when(F.col("q_index") == i, F.col("value"))).alias(n) for i, n in enumerate(names)]
-    if by:
-        return long.groupBy(*by).agg(*aggs)
-    return long.agg(*aggs)
+    return column_quantiles(df, cols, probs, by).groupBy(*([by] if by else []), "column").agg(*aggs)
 
 
 def pearson(a: str, b: str):

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimlens.functions.stats import pearson_table, quantiles_wide
+from claimlens.session import small, written
 
 R = 6
 FLAG = "greenwashing_flag"
@@ -58,8 +59,9 @@ def rate_having(df: DataFrame, key: str, min_count: int = 3, k: int = 10, flag:
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pairwise-complete Pearson correlations, tall form (a, b, corr), one scan."""
+    """Pairwise-complete Pearson correlations, tall form (a, b, corr); the source is read once."""
     cols = list(cols)
+    df = written(df.select(*cols), "corr")
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     # two scans of plain sums: the pairwise correlations and the per-column spread together
     row = pearson_table(df, pairs, cols)
@@ -105,23 +107,22 @@ def trend_peak(df: DataFrame, flag: str = FLAG) -> DataFrame:
 
 
 def insights(df: DataFrame, cols: Sequence[str] = EDA_NUMERIC, flag: str = FLAG) -> DataFrame:
-    """C14: one insight row from the frequency, rate, length and correlation aggregates."""
-    freq = frequency(df, "claim_category")
-    mode = freq.agg(F.min_by("claim_category", F.struct((-F.col("n")).alias("k"), F.col("claim_category")))
-                    .alias("most_common_category"))
-    rate = flag_rate_by(df, "claim_category", flag)
-    top_rate = rate.agg(F.min_by("claim_category", F.struct((-F.col("flag_rate")).alias("k"),
-                                                            F.col("claim_category")))
-                        .alias("highest_flag_category"))
-    corr = corr_with_flag(df, cols, flag)
-    strongest = corr.agg(F.min_by("feature", "rank").alias("strongest_feature"),
-                         F.min_by("corr", "rank").alias("strongest_corr"))
-    base = overview(df, flag).crossJoin(
-        df.agg(r6(F.avg("text_length")).alias("avg_text_length"),
-               F.count_distinct("organization_name").alias("organizations")))
-    return (base.crossJoin(mode).crossJoin(top_rate).crossJoin(strongest)
-            .select("n_rows", "flag_rate", "min_year", "max_year", "organizations", "most_common_category",
-                    "highest_flag_category", "avg_text_length", "strongest_feature", "strongest_corr"))
+    """C14: one insight row.  The source is read once, into a narrow table; one aggregation by grouping sets gives the totals and the
+    counts by category and organisation, and the correlations read the narrow table."""
+    keys = ["claim_category", "organization_name"]
+    d = written(df.select(*dict.fromkeys([*keys, "report_year", flag, "text_length", *cols])), "insights")
+    by = d.groupingSets([["claim_category"], ["organization_name"], []], *keys).agg(
+        F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("n"), r6(F.avg(flag)).alias("rate"),
+        F.min("report_year").alias("min_year"), F.max("report_year").alias("max_year"), r6(F.avg("text_length")).alias("avg_text_length"))
+    total, category = F.col("_set") == 3, (F.col("_set") == 1) & F.col("claim_category").isNotNull()
+    of = lambda c: F.max(F.when(total, F.col(c))).alias(c)
+    first = lambda v: F.min_by("claim_category", F.when(category, F.struct((-F.col(v)).alias("k"), "claim_category")))
+    base = by.agg(F.coalesce(F.max(F.when(total, F.col("n"))), F.lit(0)).alias("n_rows"), F.max(F.when(total, F.col("rate"))).alias("flag_rate"), of("min_year"), of("max_year"),
+                  F.count_if((F.col("_set") == 2) & F.col("organization_name").isNotNull()).alias("organizations"),
+                  first("n").alias("most_common_category"), first("rate").alias("highest_flag_category"), of("avg_text_length"))
+    corr = corr_with_flag(d, cols, flag)
+    strongest = corr.agg(F.min_by("feature", "rank").alias("strongest_feature"), F.min_by("corr", "rank").alias("strongest_corr"))
+    return base.crossJoin(strongest)
 
 
 def histogram(df: DataFrame, col: str, bins: int, by: str | None = None) -> DataFrame:
@@ -135,7 +136,7 @@ def histogram(df: DataFrame, col: str, bins: int, by: str | None = None) -> Data
     width = (F.col("_hi") - F.col("_lo")) / bins
     b = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
         F.least(F.floor((F.col("_x") - F.col("_lo")) / width), F.lit(bins - 1))).cast("int")
-    binned = base.join(F.broadcast(rng), keys) if keys else base.crossJoin(F.broadcast(rng))
+    binned = base.join(small(rng), keys) if keys else base.crossJoin(F.broadcast(rng))
     filled = binned.withColumn("bin", b).groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("_n"))
     every = rng.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     return every.join(filled, [*keys, "bin"], "left").select(
@@ -146,7 +147,7 @@ def histogram(df: DataFrame, col: str, bins: int, by: str | None = None) -> Data
 
 def boxplot(df: DataFrame, col: str, by: str = FLAG) -> DataFrame:
     """Quartiles, IQR and 1.5 IQR whisker bounds per group (exact quartiles)."""
-    q = quantiles_wide(df.where(F.col(by).isNotNull()), col, [0.25, 0.5, 0.75], ["q1", "median", "q3"], [by])
+    q = quantiles_wide(df, [col], [0.25, 0.5, 0.75], ["q1", "median", "q3"], by)
     iqr = F.col("q3") - F.col("q1")
     return q.select(by, r6(F.col("q1")).alias("q1"), r6(F.col("median")).alias("median"),
                     r6(F.col("q3")).alias("q3"), r6(iqr).alias("iqr"),

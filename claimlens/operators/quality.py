@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimlens.functions.stats import exact_quantiles
+from claimlens.functions.stats import quantiles_wide
 from claimlens.functions.text import py_strip, word_count
-from claimlens.session import materialize
+from claimlens.session import materialize, small, written
 
 R = 6
 
@@ -122,12 +122,17 @@ def table_profile(df: DataFrame) -> DataFrame:
 
 
 def dedupe(df: DataFrame) -> DataFrame:
-    """Full-row duplicate removal."""
-    return df.dropDuplicates()
+    """Full-row duplicate removal.  Digests are counted first; only rows whose digest occurs again are shuffled (and one of
+    each kept), all others stay where they are."""
+    d = df.withColumn(DIGEST, row_digest(df))
+    again = small(d.groupBy(DIGEST).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > 1).select(DIGEST))
+    once = d.join(again, DIGEST, "left_anti").select(*df.columns)
+    return once.unionByName(d.join(again, DIGEST, "left_semi").dropDuplicates([DIGEST]).select(*df.columns))
 
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """C4: count, mean, sample std, min, exact 25/50/75 % and max per column (tall)."""
+    df = written(df.select(*cols), "describe")  # evaluated once
     aggs = []
     for c in cols:
         x = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
@@ -138,27 +143,50 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         F.lit(c).alias("column"), F.col(f"`{c}|count`").alias("count"), F.col(f"`{c}|mean`").alias("mean"),
         F.col(f"`{c}|std`").alias("std"), F.col(f"`{c}|min`").alias("min"), F.col(f"`{c}|max`").alias("max"))
         for c in cols])).alias("e")).select("e.*")
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x"))
-                                         for c in cols])).alias("e")).select("e.*")
-    q = exact_quantiles(long, "x", [0.25, 0.5, 0.75], by=["column"])
-    qw = q.groupBy("column").agg(*[F.max(F.when(F.col("q_index") == i, F.col("value"))).alias(n)
-                                   for i, n in enumerate(["q25", "q50", "q75"])])
+    qw = quantiles_wide(df, cols, [0.25, 0.5, 0.75], ["q25", "q50", "q75"])
     out = moments.join(qw, "column", "left")
     return out.select("column", "count", *[F.round(c, R).alias(c) for c in
                                            ["mean", "std", "min", "q25", "q50", "q75", "max"]])
 
 
-def clean_claims(df: DataFrame, text: str = "esg_claim_text") -> DataFrame:
-    """B3-B6 + D1: parse timestamp (strict), coerce numerics, int flags, strip text, dedupe."""
-    out = df
-    if "timestamp" in out.columns and dict(out.dtypes)["timestamp"] == "string":
-        out = out.withColumn("timestamp", F.to_timestamp("timestamp"))
-    out = out.withColumns({c: F.expr(f"try_cast(`{c}` AS DOUBLE)") for c in NUMERIC_COERCE if c in out.columns})
-    out = out.withColumns({c: F.when(F.col(c).isNull(), F.raise_error(F.lit(f"NULL in flag column {c}")))
-                           .otherwise(F.col(c).cast("int")) for c in FLAG_COLS if c in out.columns})
-    if text in out.columns:
+def clean_claims(df: DataFrame, text: str = "esg_claim_text", strict: bool = True) -> DataFrame:
+    """B3-B6 + D1: parse timestamp, coerce numerics, flags to int, strip text, dedupe.
+
+    ``strict`` raises on a NULL flag (naming the column) and on a timestamp that cannot be read; otherwise both are NULL.
+    """
+    types, out = dict(df.dtypes), df
+    if types.get("timestamp") == "string":
+        out = out.withColumn("timestamp", F.to_timestamp("timestamp") if strict else F.try_to_timestamp("timestamp"))
+    out = out.withColumns({c: F.expr(f"try_cast(`{c}` AS DOUBLE)") for c in NUMERIC_COERCE if c in types})
+    flags = [c for c in FLAG_COLS if c in types]
+    if strict:
+        out = out.withColumns({c: F.when(F.col(c).isNull(), F.raise_error(F.lit(f"NULL in flag column {c}")))
+                               .otherwise(F.col(c).cast("int")) for c in flags})
+    else:
+        out = out.withColumns({c: F.col(c).cast("int") for c in flags})
+    if text in types:
         out = out.withColumn(text, py_strip(text))
-    return out.dropDuplicates()
+    return dedupe(out)
+
+
+def cleaning_report(raw: DataFrame, text: str = "esg_claim_text") -> DataFrame:
+    """What ``clean_claims`` does to a table, in one row and one pass: rows before and after, rows removed, NULLs per flag column, values of
+    numeric columns that are no number, texts changed by stripping."""
+    types = dict(raw.dtypes)
+    clean = {c: F.expr(f"try_cast(`{c}` AS DOUBLE)") for c in NUMERIC_COERCE if c in types}
+    clean |= {c: F.col(c).cast("int") for c in FLAG_COLS if c in types}
+    if text in types:
+        clean[text] = py_strip(text)
+    out = raw.select(*[clean.get(c, F.col(c)).alias(c) for c in raw.columns], *[F.col(c).alias(f"_raw_{c}") for c in clean])
+    marks = {f"null_{c}": F.col(c).isNull() for c in FLAG_COLS if c in types}
+    marks |= {f"bad_{c}": F.col(c).isNull() & F.col(f"_raw_{c}").isNotNull() for c in NUMERIC_COERCE if c in types}
+    if text in types:
+        marks["stripped"] = F.col(text) != F.col(f"_raw_{text}")
+    rows = out.select(row_digest(out, raw.columns).alias(DIGEST), *[m.alias(n) for n, m in marks.items()])
+    g = rows.groupBy(DIGEST).agg(F.count(F.lit(1)).alias("_c"), *[F.count_if(n).alias(n) for n in marks])
+    n = F.coalesce(F.sum("_c"), F.lit(0))
+    return g.agg(n.alias("rows_before"), F.count(F.lit(1)).alias("rows_after"), (n - F.count(F.lit(1))).alias("rows_removed"),
+                 *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in marks])
 
 
 def clean_text_quality(df: DataFrame, text: str = "esg_claim_text", min_len: int = 10) -> DataFrame:
@@ -174,6 +202,16 @@ def length_bands(df: DataFrame, text: str = "esg_claim_text", short: int = 50, l
                   F.count(F.lit(1)).alias("n_rows"))
 
 
+def length_band_samples(df: DataFrame, id_col: str, text: str = "esg_claim_text", short: int = 50, long: int = 500, k: int = 3) -> DataFrame:
+    """The first ``k`` texts (by id) shorter than ``short`` and longer than ``long`` characters: (band, rank, id, length, text)."""
+    n = F.length(text)
+    band = F.when(n < short, F.lit("short")).when(n > long, F.lit("long"))
+    # ids and lengths are ranked; texts are fetched for the k rows of a band only
+    first = df.select(F.col(id_col), band.alias("band"), n.alias("length")).where("band is not null")
+    first = first.withColumn("rank", F.row_number().over(Window.partitionBy("band").orderBy(id_col))).where(F.col("rank") <= k)
+    return df.select(id_col, text).join(F.broadcast(first), id_col).select("band", "rank", id_col, "length", text)  # 2 k rows
+
+
 def quality_record(raw: DataFrame, text: str = "esg_claim_text", flag: str = "greenwashing_flag") -> DataFrame:
     """The cleaning summary record (rows before/after, removed, missing, text stats,
     distinct organisations/locations, category distribution, flag rate)."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from claimlens.functions.stats import column_quantiles
 from claimlens.functions.text import char_count, truncate_display, word_count
 from claimlens.operators import explore as X
 from claimlens.operators import features as FE
@@ -11,6 +12,8 @@ from claimlens.operators import quality as Q
 from claimlens.operators.folds import stratified_split
 from claimlens.plans.registry import register
 from claimlens.plans.sqlparts import NUM, TXT, chars, r6, strip, words
+from claimlens.session import written
+from claimlens.sources import io as IO
 from claimlens.sources.claims import claims_num, claims_txt
 from claimlens.sources.tables import table
 
@@ -138,11 +141,7 @@ _MED_COLS = ["claimed_value", "actual_measured_value", "value_deviation", "exter
 
 
 def _median_table(spark, sf):
-    from claimlens.functions.stats import exact_quantiles
-    df = num_feat(spark, sf)
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x"))
-                                         for c in _MED_COLS])).alias("e")).select("e.*")
-    q = exact_quantiles(long, "x", [0.5], by=["column"])
+    q = column_quantiles(num_feat(spark, sf), _MED_COLS, [0.5])
     return q.select("column", F.round("value", 6).alias("median"))
 
 
@@ -235,6 +234,37 @@ SELECT CAST(count_if(length(esg_claim_text) < 50) AS BIGINT) AS n_short,
        CAST(count_if(length(esg_claim_text) > 500) AS BIGINT) AS n_long,
        count(*) AS n_rows FROM claims""")(lambda spark, sf: Q.length_bands(claims_txt(spark, sf)))
 
+register("length_band_samples", TXT + """, b AS (
+  SELECT claim_id, length(esg_claim_text) AS length, esg_claim_text,
+         CASE WHEN length(esg_claim_text) < 50 THEN 'short' WHEN length(esg_claim_text) > 500 THEN 'long' END AS band FROM claims)
+SELECT band, CAST(row_number() OVER w AS INTEGER) AS rank, claim_id, CAST(length AS INTEGER) AS length, esg_claim_text FROM b WHERE band IS NOT NULL
+WINDOW w AS (PARTITION BY band ORDER BY claim_id) QUALIFY row_number() OVER w <= 3""")(
+    lambda spark, sf: Q.length_band_samples(claims_txt(spark, sf, ["claim_id", "esg_claim_text"]), "claim_id"))
+
+_CLEAN_COLS = ["claim_id", "organization_name", "esg_claim_text", "claimed_value", "actual_measured_value", "greenwashing_flag",
+               "controversy_flag", "timestamp"]
+
+
+def _raw_claims(spark, sf):
+    """The numeric claims as a raw file gives them (timestamp as text, padded claim text), controversial ones twice."""
+    c = claims_num(spark, sf).select(*_CLEAN_COLS).withColumns({
+        "timestamp": F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"), "esg_claim_text": F.concat(F.lit("  "), "esg_claim_text", F.lit("\t"))})
+    return c.unionByName(c.where("controversy_flag = 1"))
+
+
+_RAW_SQL = NUM.rstrip("\n") + """, once AS (SELECT claim_id, organization_name, esg_claim_text, claimed_value, actual_measured_value,
+  greenwashing_flag, controversy_flag, "timestamp" FROM claims)"""
+register("clean_claims", _RAW_SQL + """
+SELECT claim_id, organization_name, trim(esg_claim_text) AS esg_claim_text, claimed_value, actual_measured_value, greenwashing_flag,
+       controversy_flag, CAST("timestamp" AS TIMESTAMP) AS "timestamp" FROM once""")(
+    lambda spark, sf: Q.clean_claims(_raw_claims(spark, sf)).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")))
+
+register("cleaning_report", _RAW_SQL + """
+SELECT count(*) + count_if(controversy_flag = 1) AS rows_before, count(*) AS rows_after, CAST(count_if(controversy_flag = 1) AS BIGINT) AS rows_removed,
+       CAST(0 AS BIGINT) AS null_greenwashing_flag, CAST(0 AS BIGINT) AS null_controversy_flag, CAST(0 AS BIGINT) AS bad_claimed_value,
+       CAST(0 AS BIGINT) AS bad_actual_measured_value, count(esg_claim_text) + count_if(controversy_flag = 1) AS stripped FROM once""")(
+    lambda spark, sf: Q.cleaning_report(_raw_claims(spark, sf)))
+
 register("coerce_numeric", """
 SELECT c_custkey, TRY_CAST(substr(c_name, 10) AS DOUBLE) AS name_number, TRY_CAST(c_mktsegment AS DOUBLE) AS segment_number
 FROM customer""")(
@@ -323,23 +353,22 @@ FROM claims""")(
         "year", "month", "claim_category_encoded", "claimed_metric_type_encoded", "project_location_encoded"))
 
 
+_IMPUTE_NUM = ["claimed_value", "actual_measured_value", "value_deviation", "external_validation_score", "report_year", "greenwashing_flag",
+               "controversy_flag", "report_sentiment_score", "llm_claim_consistency_score"]
+_IMPUTE_STR = ["organization_name", "claim_category", "claimed_metric_type", "measurement_unit", "project_location"]
+
+
 def _impute(spark, sf):
-    from claimlens.functions.stats import quantiles_wide
-    df = claims_txt(spark, sf)
-    cols = ["actual_measured_value", "greenwashing_flag"]
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("double").alias("x"))
-                                         for c in cols])).alias("e")).select("e.*")
-    q = quantiles_wide(long, "x", [0.5], ["median"], ["k"])
-    med = q.agg(*[F.max(F.when(F.col("k") == c, F.col("median"))).alias(c) for c in cols])
-    out = FE.impute(df, cols, ["claimed_metric_type"], med)
-    return out.select("claim_id", F.round("actual_measured_value", 6).alias("actual_measured_value"),
-                      F.round("greenwashing_flag", 6).alias("greenwashing_flag"), "claimed_metric_type")
-
-
-register("impute", TXT + """, m AS (SELECT median(actual_measured_value) AS mv, median(CAST(greenwashing_flag AS DOUBLE)) AS mf FROM claims)
-SELECT claim_id, round(coalesce(actual_measured_value, mv), 6) AS actual_measured_value,
-       round(coalesce(CAST(greenwashing_flag AS DOUBLE), mf), 6) AS greenwashing_flag,
-       coalesce(claimed_metric_type, 'unknown') AS claimed_metric_type FROM claims, m""")(_impute)
+    """Every numeric column filled with its median (a column without values stays NULL), every string column with 'unknown'."""
+    df = claims_txt(spark, sf).select("claim_id", *_IMPUTE_NUM, *_IMPUTE_STR)
+    df = written(df, "impute")  # read for the medians and for the result
+    out = FE.impute(df, _IMPUTE_NUM, _IMPUTE_STR, IO.medians_table(df, _IMPUTE_NUM))
+    return out.select("claim_id", *[F.round(c, 6).alias(c) for c in _IMPUTE_NUM], *_IMPUTE_STR)
+
+
+register("impute", TXT + ", m AS (SELECT " + ", ".join(f"median(CAST({c} AS DOUBLE)) AS m_{c}" for c in _IMPUTE_NUM) + " FROM claims)\nSELECT claim_id, "
+         + ", ".join(f"round(coalesce(CAST({c} AS DOUBLE), m_{c}), 6) AS {c}" for c in _IMPUTE_NUM) + ", "
+         + ", ".join(f"coalesce({c}, 'unknown') AS {c}" for c in _IMPUTE_STR) + " FROM claims, m")(_impute)
 
 _COMPLETE = ["claimed_value", "actual_measured_value", "external_validation_score", "report_year",
              "claimed_metric_type", "project_location", "greenwashing_flag"]

@@ -44,6 +44,13 @@ SELECT claim_id, report_year, claim_category, claimed_metric_type, claimed_value
 FROM claims WHERE greenwashing_flag IS NOT NULL""")(
     lambda spark, sf: FE.task_projection(claims_txt(spark, sf), "greenwash").na.drop(subset=["label"]))
 
+register("task_projection_category", TXT + """
+SELECT claim_id, report_year, claimed_metric_type, claimed_value, measurement_unit, project_location, actual_measured_value,
+       value_deviation, external_validation_score, greenwashing_flag, controversy_flag, report_sentiment_score,
+       llm_claim_consistency_score, claim_category AS label
+FROM claims WHERE claim_category IS NOT NULL""")(
+    lambda spark, sf: FE.task_projection(claims_txt(spark, sf), "category").na.drop(subset=["label"]))
+
 
 def _membership(spark, sf):
     c = claims_txt(spark, sf)

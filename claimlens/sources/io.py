@@ -88,11 +88,9 @@ def export_workbook(results: DataFrame, summary: DataFrame, path: str) -> None:
 
 def medians_table(df: DataFrame, cols: list[str]) -> DataFrame:
     """One-row table of exact medians, written at training and read at inference."""
-    from claimlens.functions.stats import exact_quantiles
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("double").alias("x"))
-                                         for c in cols])).alias("e")).select("e.*")
-    q = exact_quantiles(long, "x", [0.5], by=["k"])
-    return q.agg(*[F.max(F.when(F.col("k") == c, F.col("value"))).alias(c) for c in cols])
+    from claimlens.functions.stats import column_quantiles
+    q = column_quantiles(df, cols, [0.5])
+    return q.agg(*[F.max(F.when(F.col("column") == c, F.col("value"))).alias(c) for c in cols])
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
