@@ -65,9 +65,10 @@ def _numbers(column: pa.Array) -> np.ndarray:
     return pc.fill_null(column, float("nan")).to_numpy(zero_copy_only=False)
 
 
-def _count_buckets(cols: Sequence[str], groups: list, cells: dict, bits: int):
-    """Per cell and bucket: rows, least and greatest key.  ``cells`` maps (column, group) to (cell, first key, last key, shift)."""
-    size = 1 << bits
+def _count_buckets(cols: Sequence[str], groups: list, cells: dict, bits: int | None):
+    """Per cell and bucket: rows, least and greatest key.  ``cells`` maps (column, group) to (cell, first key, last key, shift).
+    Without ``bits`` every key is a bucket of its own."""
+    size = 1 << (bits or 0)
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {}
@@ -86,6 +87,10 @@ def _count_buckets(cols: Sequence[str], groups: list, cells: dict, bits: int):
                         if a == z:
                             continue
                         k = key[a:z]
+                        if bits is None:
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), cell, np.int32)), pa.array(np.zeros(len(k), np.int32)), pa.array(n[a:z]), pa.array(k), pa.array(k)],
+                                                             names=["cell", "bucket", "n", "lo", "hi"])
+                            continue
                         bucket = ((k.view(np.uint64) - np.int64(first).view(np.uint64)) >> np.uint64(shift)).astype(np.int64)
                         count, lo, hi = held.setdefault(cell, (np.zeros(size, np.int64), np.full(size, np.iinfo(np.int64).max), np.full(size, np.iinfo(np.int64).min)))
                         edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
@@ -105,7 +110,7 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 
     NULL and NaN values, and rows of a NULL ``by``, are left out; a column without values has no row.  The columns are written once as a narrow
     table; each pass reads it, keeps counters of bounded size in the tasks and brings sums of them to the driver, until the
-    bucket of each wanted rank holds one value (four or five passes at most, however many rows).  Groups too many for that are
+    buckets of the wanted ranks hold one value each, or so few rows that a last pass brings their values (two to five passes).  Groups too many for that are
     answered by :func:`exact_quantiles`.
     """
     from claimlens.session import ship_package, written
@@ -135,27 +140,29 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                     h = (r[f"n{i}"] - 1) * p
                     low = int(np.floor(h))
                     wanted += [(c, g, q, p, h - low, (low, min(low + 1, r[f"n{i}"] - 1)))]
-    # state of a rank: (first key, last key, rows before the first key)
-    state = {(c, g, k): (spans[c, g][1], spans[c, g][2], 0) for c, g, _, _, _, ranks in wanted for k in ranks}
+    # state of a rank: (first key, last key, rows before the first key, rows from first to last)
+    state = {(c, g, k): (*spans[c, g][1:], 0, spans[c, g][0]) for c, g, _, _, _, ranks in wanted for k in ranks}
     while True:
-        open_ = sorted({(c, g, s[0], s[1]) for (c, g, _), s in state.items() if s[0] < s[1]})
+        open_ = sorted({(c, g, s[0], s[1], s[3]) for (c, g, _), s in state.items() if s[0] < s[1]})
         if not open_:
             break
-        bits = max(6, min(16, (CELLS // len(open_)).bit_length() - 1))
+        # few rows left: their values are counted themselves
+        bits = None if sum(x[4] for x in open_) <= CELLS // 4 else max(6, min(16, (CELLS // len(open_)).bit_length() - 1))
         cells, at = {}, {}
-        for cell, (c, g, first, last) in enumerate(open_):
-            shift = max(0, (last - first).bit_length() - bits)
-            cells.setdefault((c, g), []).append((cell, first, last, shift))
+        for cell, (c, g, first, last, _) in enumerate(open_):
+            cells.setdefault((c, g), []).append((cell, first, last, max(0, (last - first).bit_length() - (bits or 0))))
             at[c, g, first, last] = cell
         found = rows.mapInArrow(_count_buckets(list(cols), groups, cells, bits), "cell int, bucket int, n long, lo long, hi long") \
-            .groupBy("cell", "bucket").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).orderBy("cell", "bucket").toArrow()
+            .groupBy("cell", *(["lo"] if bits is None else ["bucket"])).agg(
+                F.sum("n").alias("n"), *([F.first("bucket").alias("bucket")] if bits is None else [F.min("lo").alias("lo")]), F.max("hi").alias("hi")) \
+            .select("cell", "n", "lo", "hi").toArrow().sort_by([("cell", "ascending"), ("lo", "ascending")])
         cell, n, lo, hi = (found.column(c).to_numpy() for c in ("cell", "n", "lo", "hi"))
-        for (c, g, k), (first, last, before) in state.items():
+        for (c, g, k), (first, last, before, _) in state.items():
             if first < last:
                 a, z = np.searchsorted(cell, [at[c, g, first, last], at[c, g, first, last] + 1])
                 end = before + np.cumsum(n[a:z])
                 j = int(np.searchsorted(end, k, "right"))
-                state[c, g, k] = (int(lo[a + j]), int(hi[a + j]), int(end[j] - n[a + j]))
+                state[c, g, k] = (int(lo[a + j]), int(hi[a + j]), int(end[j] - n[a + j]), int(n[a + j]))
     out = []
     for c, g, q, p, part, (low, high) in wanted:
         a, b = _value(state[c, g, low][0]), _value(state[c, g, high][0])
@@ -206,35 +213,40 @@ def pearson_table(df: DataFrame, pairs: Sequence[tuple[str, str]], singles: Sequ
     """One-row table of pairwise-complete Pearson correlations ``"a|b"`` (NULL when a side is constant)
     and, for ``singles``, the centred sum of squares ``"ss|c"``.
 
-    Two scans of plain sums (partial aggregation friendly): the pairwise-complete means, then the
-    centred cross-products with the means attached as one broadcast row - numerically stable and
-    much cheaper than central-moment aggregates.
+    Two scans: the column means, then the products of the centred columns of all pairs at once, as matrix products over
+    Arrow batches (a missing value counts as zero in them, and a product of the masks counts the complete rows).  Only one
+    columns x columns matrix a task leaves the scan.
     """
-    both = {p: F.col(p[0]).isNotNull() & F.col(p[1]).isNotNull() for p in pairs}
-    m = []
-    for i, (a, b) in enumerate(pairs):
-        w = both[(a, b)]
-        m += [F.count_if(w).alias(f"n{i}"), F.sum(F.when(w, F.col(a))).alias(f"sa{i}"),
-              F.sum(F.when(w, F.col(b))).alias(f"sb{i}")]
-    for j, c in enumerate(singles):
-        m += [F.count(c).alias(f"nc{j}"), F.sum(c).alias(f"sc{j}")]
-    means = df.agg(*m).select(
-        *[(F.col(f"sa{i}") / F.col(f"n{i}")).alias(f"ma{i}") for i in range(len(pairs))],
-        *[(F.col(f"sb{i}") / F.col(f"n{i}")).alias(f"mb{i}") for i in range(len(pairs))],
-        *[(F.col(f"sc{j}") / F.col(f"nc{j}")).alias(f"mc{j}") for j in range(len(singles))])
-    j = df.crossJoin(F.broadcast(means))
-    s = []
-    for i, (a, b) in enumerate(pairs):
-        w = both[(a, b)]
-        da, db = F.col(a) - F.col(f"ma{i}"), F.col(b) - F.col(f"mb{i}")
-        s += [F.sum(F.when(w, da * db)).alias(f"cab{i}"), F.sum(F.when(w, da * da)).alias(f"caa{i}"),
-              F.sum(F.when(w, db * db)).alias(f"cbb{i}")]
-    for k, c in enumerate(singles):
-        d = F.col(c) - F.col(f"mc{k}")
-        s.append(F.sum(d * d).alias(f"cc{k}"))
-    sums = j.agg(*s)
-    out = [F.when((F.col(f"caa{i}") > 0) & (F.col(f"cbb{i}") > 0),
-                  F.col(f"cab{i}") / F.sqrt(F.col(f"caa{i}") * F.col(f"cbb{i}"))).alias(f"{a}|{b}")
-           for i, (a, b) in enumerate(pairs)]
-    out += [F.col(f"cc{k}").alias(f"ss|{c}") for k, c in enumerate(singles)]
-    return sums.select(*out)
+    from claimlens.session import ship_package
+    spark = df.sparkSession
+    ship_package(spark)
+    cols = list(dict.fromkeys([*(c for p in pairs for c in p), *singles]))
+    plain = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in cols])
+    means = plain.agg(*[F.avg(c).alias(c) for c in cols]).first()
+    centre = np.array([0.0 if m is None else m for m in means])
+    w = len(cols)
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((4, w, w))
+        for b in batches:
+            x = np.stack([_numbers(b.column(i)) for i in range(w)], axis=1) - centre
+            real = ~np.isnan(x)
+            x, real = np.where(real, x, 0.0), real.astype(float)
+            sums += np.stack([real.T @ real, x.T @ real, (x * x).T @ real, x.T @ x])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(4 * w * w, dtype=np.int32)), pa.array(sums.ravel())], names=["at", "v"])
+
+    flat = np.zeros(4 * w * w)
+    for at, v in plain.mapInArrow(fn, "at int, v double").groupBy("at").agg(F.sum("v")).collect():  # 4 x columns x columns numbers
+        flat[at] = v
+    n, s, q, c = flat.reshape(4, w, w)
+    place, out = {name: i for i, name in enumerate(cols)}, {}
+    for a, b in pairs:
+        i, j = place[a], place[b]
+        caa, cbb = (q[u, v] - s[u, v] ** 2 / n[i, j] if n[i, j] else 0.0 for u, v in ((i, j), (j, i)))
+        both = caa > 1e-14 * q[i, j] and cbb > 1e-14 * q[j, i]
+        out[f"{a}|{b}"] = float((c[i, j] - s[i, j] * s[j, i] / n[i, j]) / np.sqrt(caa * cbb)) if both else None
+    for name in singles:
+        i = place[name]
+        out[f"ss|{name}"] = float(max(0.0, q[i, i] - s[i, i] ** 2 / n[i, i])) if n[i, i] else None
+    schema = ", ".join(f"`{k}` double" for k in out)
+    return spark.createDataFrame([tuple(out.values())], schema)

@@ -73,3 +73,18 @@ def test_cleaning(spark):
         quality.clean_claims(df.where("project_id <> '2'")).collect()
     with pytest.raises(Exception, match="not a day"):
         quality.clean_claims(df.where("project_id = '2'")).collect()
+
+
+def test_pairwise_complete_correlations(spark):
+    x = RNG.normal(size=(300, 3)) * [1.0, 1e6, 1e-3] + [0, 1e9, 5]
+    x[:, 1] += 1e6 * x[:, 0]
+    rows = [tuple(None if RNG.random() < 0.2 else (float("nan") if RNG.random() < 0.1 else float(v)) for v in r) + (7.0, None) for r in x]
+    df = spark.createDataFrame(rows, "a double, b double, c double, same double, none double").repartition(4)
+    got = stats.pearson_table(df, [("a", "b"), ("b", "c"), ("a", "same"), ("a", "none")], ["a", "same", "none"]).first()
+    v = np.array([[np.nan if y is None else y for y in r[:3]] for r in rows])
+    for i, j in ((0, 1), (1, 2)):
+        both = ~np.isnan(v[:, i]) & ~np.isnan(v[:, j])
+        assert np.isclose(got["abc"[i] + "|" + "abc"[j]], np.corrcoef(v[both, i], v[both, j])[0, 1], rtol=1e-9)
+    assert got["a|same"] is None and got["a|none"] is None and got["ss|same"] == 0 and got["ss|none"] is None
+    assert np.isclose(got["ss|a"], np.nansum((v[:, 0] - np.nanmean(v[:, 0])) ** 2))
+    assert stats.pearson_table(df.limit(0), [("a", "b")], ["a"]).first()["a|b"] is None
