@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimlens.functions.stats import prefix_sums
 from claimlens.functions.text import char_count, word_count
+from claimlens.session import materialize
 
 # The feature contract, 17 numeric names in the reference's order.
 FEATURE_CONTRACT = [
@@ -56,14 +58,21 @@ def value_features(df: DataFrame) -> DataFrame:
     })
 
 
+#: Distinct values that one window may rank.
+FEW_VALUES = 100_000
+
+
 def code_table(df: DataFrame, col: str) -> DataFrame:
     """0-based code of each distinct value in ascending string order (NULL -> 'nan').
 
-    The window runs over the *distinct* values only (a categorical's domain), never
-    over the fact table.
+    Only the *distinct* values are ranked (a categorical's domain): in one window when a count proves them
+    few, with distributed running counts otherwise.
     """
     v = F.coalesce(F.col(col).cast("string"), F.lit("nan"))
-    d = df.select(v.alias("_value")).distinct()
+    d = materialize(df.select(v.alias("_value")).distinct())
+    if d.count() > FEW_VALUES:
+        ranked = prefix_sums(d.withColumn("_one", F.lit(1)), "_value", ["_one"])
+        return ranked.select("_value", (F.col("cum__one") - 1).cast("int").alias(f"{col}_encoded"))
     return d.select("_value", (F.row_number().over(Window.orderBy("_value")) - 1).alias(f"{col}_encoded"))
 
 

@@ -63,6 +63,10 @@ def with_class_weight(df: DataFrame, label: str, out: str = "weight") -> DataFra
     return df.join(w, label, "left")
 
 
+#: Groups that are dealt in windows, several attempts a job.
+FEW_GROUPS = 10_000
+
+
 def group_folds(df: DataFrame, group: str, label: str, k: int = 4, seed: int = 42,
                 max_attempts: int = 200) -> DataFrame:
     """Folds that keep groups whole and give every fold both classes.
@@ -75,14 +79,25 @@ def group_folds(df: DataFrame, group: str, label: str, k: int = 4, seed: int = 4
     groups = df.where(F.col(group).isNotNull()).groupBy(group).agg(
         F.sum((F.col(label) == 1).cast("int")).alias("pos"), F.sum((F.col(label) == 0).cast("int")).alias("neg"))
     groups = materialize(groups)  # the rows are read once, whatever the number of attempts
+    balanced = (F.count(F.lit(1)) == k) & (F.min("p") > 0) & (F.min("q") > 0)
+    if groups.count() <= FEW_GROUPS:
+        # a small table: twenty attempts a job, ranked in a window each
+        for first in range(0, max_attempts, 20):
+            tries = F.explode(F.sequence(F.lit(first), F.lit(min(first + 20, max_attempts) - 1))).alias("attempt")
+            g = groups.select("*", tries).withColumn("_gid", F.concat(F.col(group).cast("string"), F.lit("#"), F.col("attempt").cast("string")))
+            place = F.row_number().over(Window.partitionBy("attempt").orderBy(F.concat(hash_key("_gid", seed), F.col("_gid"))))
+            dealt = g.select("attempt", group, "pos", "neg", ((place - 1) % k).cast("int").alias("fold"))
+            good = dealt.groupBy("attempt", "fold").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q")) \
+                .groupBy("attempt").agg(balanced.alias("ok")).where("ok").agg(F.min("attempt")).first()[0]
+            if good is not None:
+                return df.join(small(dealt.where(F.col("attempt") == good).select(group, "fold")), group, "left")
+        raise ValueError(f"no balanced group folds after {max_attempts} attempts")
     for attempt in range(max_attempts):
         g = groups.withColumn("_gid", F.concat(F.col(group).cast("string"), F.lit(f"#{attempt}")))
         ranked = prefix_sums(g.withColumns({"_key": F.concat(hash_key("_gid", seed), F.col("_gid")),
                                             "_one": F.lit(1)}), "_key", ["_one"])
         assigned = ranked.select(group, "pos", "neg", ((F.col("cum__one") - 1) % k).cast("int").alias("fold"))
-        check = assigned.groupBy("fold").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
-        ok = check.agg((F.count(F.lit(1)) == k) & (F.min("p") > 0) & (F.min("q") > 0)).first()[0]
-        if ok:
+        if assigned.groupBy("fold").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q")).agg(balanced).first()[0]:
             return df.join(small(assigned.select(group, "fold")), group, "left")
     raise ValueError(f"no balanced group folds after {max_attempts} attempts")
 

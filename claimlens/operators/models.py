@@ -143,21 +143,22 @@ def fit_pipeline(df: DataFrame, stages: list, estimator) -> PipelineModel:
     return Pipeline(stages=[*stages, estimator]).fit(df)
 
 
-def cross_validate(train: DataFrame, stages: list, candidates: Sequence[tuple], folds: int = 5, parallelism: int = 4) -> list[float]:
-    """Mean ROC-AUC of every ``(estimator, params)`` over the folds of the ``fold`` column.
+def cross_validate(train: DataFrame, stages: list, candidates: Sequence[tuple], folds: int = 5, parallelism: int = 4,
+                   each_fold: bool = False) -> list[float] | np.ndarray:
+    """Mean ROC-AUC of every ``(estimator, params)`` over the folds of the ``fold`` column (a row a fold with ``each_fold``).
 
     The features of a fold are fitted once, on its other folds, and written; all candidates read them,
     ``parallelism`` of them at a time.
     """
     evaluator = BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC")
-    auc = np.zeros(len(candidates))
+    auc = []
     for f in range(folds):
         features = Pipeline(stages=stages).fit(train.where(F.col("fold") != f))
         made = materialize(features.transform(train).select("features", "label", "weight", "fold"))
         rest, held = made.where(F.col("fold") != f), made.where(F.col("fold") == f)
         with ThreadPoolExecutor(parallelism) as pool:  # each thread only starts Spark jobs
-            auc += list(pool.map(lambda c: evaluator.evaluate(c[0].fit(rest, c[1]).transform(held)), candidates))  # noqa: B023
-    return [float(x) for x in auc / folds]
+            auc.append(list(pool.map(lambda c: evaluator.evaluate(c[0].fit(rest, c[1]).transform(held)), candidates)))  # noqa: B023
+    return np.array(auc) if each_fold else [float(x) for x in np.mean(auc, axis=0)]
 
 
 def grid_search(train: DataFrame, stages: list, folds: int = 5, n: int | None = None,
@@ -313,19 +314,39 @@ def signed_importance(coef: DataFrame, k: int = 20) -> DataFrame:
             .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
 
 
-def category_predictions(model: PipelineModel, df: DataFrame, id_col: str, labels: Sequence[str]) -> DataFrame:
-    """Predicted category, confidence = max probability, and the class -> probability map."""
-    p = model.transform(df)
+NO_MODEL = "No model loaded"
+NO_TEXT = "claim text is missing"
+
+
+def category_predictions(model: PipelineModel | None, df: DataFrame, id_col: str, labels: Sequence[str], text: str | None = None) -> DataFrame:
+    """(id, category, confidence, probabilities, error): the predicted category, its probability and the class -> probability map.
+
+    Without a model, and for a claim whose ``text`` is NULL, the category is ``Unknown`` with confidence 0 and the error says why.
+    """
+    none = F.lit(None).cast("map<string,double>")
+    unknown = lambda d, why: d.select(id_col, F.lit("Unknown").alias("category"), F.lit(0.0).alias("confidence"), none.alias("probabilities"),
+                                      F.lit(why).alias("error"))
+    if model is None:
+        return unknown(df, NO_MODEL)
+    p = model.transform(df if text is None else df.where(F.col(text).isNotNull()))
     arr = vector_to_array(F.col("probability"))
     lab = F.array(*[F.lit(x) for x in labels])
-    return p.select(id_col, F.element_at(lab, F.col("prediction").cast("int") + 1).alias("category"),
-                    F.array_max(arr).alias("confidence"), F.map_from_arrays(lab, arr).alias("probabilities"))
+    out = p.select(id_col, F.element_at(lab, F.col("prediction").cast("int") + 1).alias("category"), F.array_max(arr).alias("confidence"),
+                   F.map_from_arrays(lab, arr).alias("probabilities"), F.lit(None).cast("string").alias("error"))
+    return out if text is None else out.unionByName(unknown(df.where(F.col(text).isNull()), NO_TEXT))
 
 
-def flag_predictions(model: PipelineModel, df: DataFrame, id_col: str) -> DataFrame:
-    """is_greenwashing = p > 0.5 (strict), confidence = p."""
-    p = model.transform(df).select(id_col, prob1("probability").alias("p"))
-    return p.select(id_col, (F.col("p") > 0.5).alias("is_greenwashing"), F.col("p").alias("confidence"))
+def flag_predictions(model: PipelineModel | None, df: DataFrame, id_col: str, text: str | None = None) -> DataFrame:
+    """(id, is_greenwashing, confidence, probability, error): p > 0.5 (strict) and p.  Without a model, and for a claim whose
+    ``text`` is NULL, the flag is false with confidence 0 and the error says why."""
+    nothing = lambda d, why: d.select(id_col, F.lit(False).alias("is_greenwashing"), F.lit(0.0).alias("confidence"),
+                                      F.lit(None).cast("double").alias("probability"), F.lit(why).alias("error"))
+    if model is None:
+        return nothing(df, NO_MODEL)
+    p = model.transform(df if text is None else df.where(F.col(text).isNotNull())).select(id_col, prob1("probability").alias("p"))
+    out = p.select(id_col, (F.col("p") > 0.5).alias("is_greenwashing"), F.col("p").alias("confidence"), F.col("p").alias("probability"),
+                   F.lit(None).cast("string").alias("error"))
+    return out if text is None else out.unionByName(nothing(df.where(F.col(text).isNull()), NO_TEXT))
 
 
 def save_model(model: PipelineModel, path: str) -> None:
@@ -385,3 +406,32 @@ def tune_winner(train: DataFrame, test: DataFrame, stages: list, id_col: str,
     return (u.join(t, "metric").select(F.lit(best).alias("model"), "metric", "untuned", "tuned",
                                        F.round(F.col("tuned") - F.col("untuned"), 6).alias("delta"),
                                        F.lit(params).alias("best_params")))
+
+
+def experiment_record(train: DataFrame, test: DataFrame, stages: list, id_col: str, names: Sequence[str] | None = None, folds: int = 5,
+                      oversample: bool = True, feature_type: str = "TF-IDF") -> DataFrame:
+    """The whole record of an experiment as rows (part, model, metric, value, text).
+
+    Parts: ``model_comparison`` (test metrics of every model), ``cross_validation`` (mean and population deviation of the AUC over the folds of
+    the training part), ``best_model`` (best mean AUC: its name, score and test metrics) and ``dataset`` (rows, positive rate, feature width and kind,
+    class balancing).
+    """
+    spark = train.sparkSession
+    compared = compare_models(train, test, stages, id_col, names, oversample).collect()  # a row a model
+    order = [r["model"] for r in compared]
+    auc = cross_validate(train, stages, [(classifiers()[m], {}) for m in order], folds, each_fold=True)
+    metrics = ["accuracy", "precision", "recall", "f1", "roc_auc", "gini"]
+    rows = [("model_comparison", r["model"], m, r[m], None) for r in compared for m in metrics]
+    for i, m in enumerate(order):
+        rows += [("cross_validation", m, "mean_auc", float(np.mean(auc[:, i])), None), ("cross_validation", m, "std_auc", float(np.std(auc[:, i])), None)]
+    best = int(np.argmax(auc.mean(axis=0)))
+    rows += [("best_model", order[best], "cv_score", float(auc[:, best].mean()), None)]
+    rows += [("best_model", order[best], m, compared[best][m], None) for m in metrics]
+    n_train, n_test = train.count(), test.count()
+    rate = train.select("label").unionByName(test.select("label")).agg(F.avg("label")).first()[0]
+    width = Pipeline(stages=stages).fit(train).transform(train.limit(1)).select("features").first()["features"].size
+    rows += [("dataset", None, k, float(v), None) for k, v in (("total_samples", n_train + n_test), ("training_samples", n_train), ("test_samples", n_test),
+                                                              ("greenwashing_rate", rate), ("feature_dimension", width))]
+    rows += [("dataset", None, "feature_type", None, feature_type), ("dataset", None, "class_balancing", None, "SMOTE" if oversample else "none")]
+    out = spark.createDataFrame(rows, "part string, model string, metric string, value double, text string")
+    return out.withColumn("value", F.round("value", 6))

@@ -17,6 +17,7 @@ from claimlens.operators.balance import smote
 from claimlens.operators.features import value_features
 from claimlens.operators.folds import rank_within, stratified_split, with_class_weight
 from claimlens.plans.registry import register
+from claimlens.plans.sqlparts import TXT
 from claimlens.session import materialize, written
 from claimlens.sources.claims import claims_txt
 from claimlens.sources.tables import table
@@ -156,8 +157,55 @@ def _category_scored(spark, sf):
 
 
 def _category(spark, sf):
-    """Predictions of unseen claims."""
-    return _category_scored(spark, sf)[1].select("claim_id", "category", F.round("confidence", 6).alias("confidence"))
+    """Predictions of unseen claims with their class probabilities."""
+    got = _category_scored(spark, sf)[1]
+    shown = F.array_sort(F.transform(F.map_entries("probabilities"), lambda e: F.format_string("%s=%.6f", e["key"], e["value"])))
+    return got.select("claim_id", "category", F.round("confidence", 6).alias("confidence"), F.array_join(shown, "|").alias("probabilities"), "error")
+
+
+def _category_unknown(spark, sf):
+    """J27 without a model: every claim is ``Unknown``."""
+    return M.category_predictions(None, claims_txt(spark, sf, ["claim_id"]), "claim_id", []).drop("probabilities")
+
+
+def _flag_unknown(spark, sf):
+    """J28 without a model: no claim is flagged."""
+    return M.flag_predictions(None, claims_txt(spark, sf, ["claim_id"]), "claim_id").drop("probability")
+
+
+def _training_results(spark, sf):
+    """J25 over models and tasks: test accuracy and F1 of the sparse and of the dense (singular directions) text models on both tasks, and
+    the state of the retrieval tables."""
+    from claimlens.plans.q_retrieval import corpus_chunks
+    d = labelled(spark, sf)
+    rows = []
+    scored = M.scored(M.fit_pipeline(_part(d, "train"), stages(), M.logistic(weight_col="weight")).transform(_part(d, "test")), "claim_id")
+    rows.append(CV.binary_metrics(scored).select(F.lit("sparse").alias("model"), F.lit("greenwash").alias("task"), "accuracy", "f1"))
+    rows.append(_svd_lr(spark, sf).select(F.lit("dense").alias("model"), F.lit("greenwash").alias("task"), "accuracy", "f1"))
+    rows.append(_category_metrics(spark, sf).select(F.lit("sparse").alias("model"), F.lit("category").alias("task"), "accuracy", "f1"))
+    c = claims_txt(spark, sf, ["claim_id", TEXT, "claim_category"]).where(F.col("claim_category").isNotNull())
+    c = stratified_split(c, "claim_id", "claim_category").withColumn("fold", F.when(F.col("split") == "test", F.lit(FS.TEST)).otherwise(F.lit(0)))
+    from pyspark.ml.feature import StringIndexer
+    from pyspark.ml.functions import array_to_vector
+    c = StringIndexer(inputCol="claim_category", outputCol="label", stringOrderType="alphabetAsc").fit(c).transform(c)
+    store = FS.build(c, "claim_id", "label", TEXT, [], [], [frozenset({FS.TEST})], max_features=2000, ngrams=2, k=SVD_K).table
+    dense = store.select("fold", "label", array_to_vector("x").alias("features"))
+    m = M.logistic(weight_col=None, family="multinomial", reg=1e-3).fit(dense.where(F.col("fold") != FS.TEST))
+    got = m.transform(dense.where(F.col("fold") == FS.TEST))
+    rows.append(CV.multiclass_metrics(got, "label", "prediction").select(F.lit("dense").alias("model"), F.lit("category").alias("task"), "accuracy", "f1"))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    out = out.withColumns({"status": F.lit("trained"), "message": F.lit(None).cast("string")})
+    n = corpus_chunks(spark, sf).agg(F.count(F.lit(1)).alias("n"))
+    return out.unionByName(n.select(F.lit("retrieval").alias("model"), F.lit("rag").alias("task"), F.lit(None).cast("double").alias("accuracy"),
+                                    F.lit(None).cast("double").alias("f1"), F.when(F.col("n") > 0, F.lit("ready")).otherwise(F.lit("empty")).alias("status"),
+                                    F.concat(F.col("n").cast("string"), F.lit(" chunks")).alias("message")))
+
+
+def _experiment(spark, sf):
+    d = labelled(spark, sf)
+    return M.experiment_record(_part(d, "train"), _part(d, "test"), stages(), "claim_id")
 
 
 def _category_metrics(spark, sf):
@@ -228,6 +276,10 @@ register("calibrated_scores")(_calibrated_scores)
 register("cv_scores")(_cv_scores)
 register("feature_importance")(_importance)
 register("category_predict")(_category)
+register("category_without_model", TXT + "SELECT claim_id, 'Unknown' AS category, CAST(0 AS DOUBLE) AS confidence, 'No model loaded' AS error FROM claims")(_category_unknown)
+register("flag_without_model", TXT + "SELECT claim_id, false AS is_greenwashing, CAST(0 AS DOUBLE) AS confidence, 'No model loaded' AS error FROM claims")(_flag_unknown)
+register("training_results")(_training_results)
+register("experiment_record")(_experiment)
 register("category_metrics")(_category_metrics)
 register("claim_analysis_models")(_analysis)
 register("flag_predict")(_flag)

@@ -26,11 +26,15 @@ PROCESSED_CORPUS_SCHEMA = T.StructType([T.StructField("title", T.StringType()),
                                         T.StructField("original_content", T.StringType())])
 
 
-def load_claims(spark: SparkSession, path: str, schema: T.StructType | None = CLAIMS_CSV_SCHEMA) -> DataFrame:
-    """A1: load a claims file by suffix: ``.csv`` (header, explicit schema) or ``.parquet``; else ValueError."""
+def load_claims(spark: SparkSession, path: str, schema: T.StructType | None = CLAIMS_CSV_SCHEMA, multi_line: bool = True) -> DataFrame:
+    """A1: load a claims file by suffix: ``.csv`` (header, explicit schema) or ``.parquet``; else ValueError.
+
+    Quoted texts may hold line breaks, so a CSV file is read whole by one task; ``multi_line=False`` says that none does
+    and lets large files be split.
+    """
     p = path.lower().rstrip("/")
     if p.endswith(".csv"):
-        r = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+        r = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
         return (r.schema(schema) if schema is not None else r.option("inferSchema", True)).csv(path)
     if p.endswith(".parquet"):
         return spark.read.parquet(path)
@@ -44,10 +48,11 @@ def require_text_column(df: DataFrame, column: str = "esg_claim_text") -> DataFr
     return df
 
 
-def read_corpus(spark: SparkSession, path: str, processed: bool = False) -> DataFrame:
-    """A4: corpus JSON documents (a top-level array of objects)."""
+def read_corpus(spark: SparkSession, path: str, processed: bool = False, array: bool = True) -> DataFrame:
+    """A4: corpus JSON documents: a top-level array of objects (a file a task), or with ``array=False`` an object a line, whose
+    files can be split."""
     schema = PROCESSED_CORPUS_SCHEMA if processed else CORPUS_SCHEMA
-    return spark.read.option("multiLine", True).schema(schema).json(path)
+    return spark.read.option("multiLine", array).schema(schema).json(path)
 
 
 def corpus_union(named: dict[str, DataFrame]) -> DataFrame:
@@ -110,7 +115,7 @@ def append_documents(store_path: str, chunks: DataFrame) -> None:
     """Append the chunks the store does not hold yet; ids are content hashes, so a chunk appended
     again, or twice in one call, is stored once."""
     spark = chunks.sparkSession
-    out = chunks.withColumn("chunk_uid", F.sha2(F.concat_ws("\x00", F.col("title"), F.col("text")), 256)).dropDuplicates(["chunk_uid"])
+    out = chunks.withColumn("chunk_uid", F.sha2(F.to_json(F.array("title", "text")), 256)).dropDuplicates(["chunk_uid"])
     if _exists(spark, store_path):
         out = out.join(spark.read.parquet(store_path).select("chunk_uid"), "chunk_uid", "left_anti")
     write_table(out, store_path, mode="append")

@@ -1,6 +1,7 @@
 """Properties of the model-side operators: SMOTE geometry, folds, persistence."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from claimlens.operators import models as M
@@ -158,3 +159,46 @@ def test_calibration_never_sees_the_test_part(spark):
     got = M.calibrated_scores(models, test, "claim_id").collect()
     assert sorted(r["claim_id"] for r in got) == list(range(50, 60)) and all(0 <= r["calibrated"] <= 1 for r in got)
     assert sorted(r["claim_id"] for r in M.out_of_fold(train, st, lr, "claim_id", 5).collect()) == list(range(50))
+
+
+def test_records_without_model_or_text(spark):
+    d = spark.createDataFrame([(i, "tree water" if i % 2 else "red stone", float(i % 2)) for i in range(20)] + [(99, None, 0.0)], "id long, t string, label double")
+    known = d.where("t is not null")
+    m = M.fit_pipeline(known, M.feature_stages("t", [], [], vocab_size=20), M.logistic(weight_col=None, reg=0.01, family="multinomial"))
+    got = {r["id"]: r for r in M.category_predictions(m, d, "id", ["stone", "tree"], "t").collect()}
+    assert got[1]["category"] == "tree" and got[2]["category"] == "stone" and abs(sum(got[1]["probabilities"].values()) - 1) < 1e-9
+    assert (got[99]["category"], got[99]["confidence"], got[99]["error"]) == ("Unknown", 0.0, M.NO_TEXT) and got[1]["error"] is None
+    assert {r["error"] for r in M.category_predictions(None, d, "id", []).collect()} == {M.NO_MODEL}
+    flag = {r["id"]: r for r in M.flag_predictions(m, d, "id", "t").collect()}
+    assert flag[1]["is_greenwashing"] and flag[1]["confidence"] == flag[1]["probability"] > 0.5 and not flag[2]["is_greenwashing"]
+    assert not flag[99]["is_greenwashing"] and flag[99]["error"] == M.NO_TEXT and len(flag) == 21
+    assert {(r["is_greenwashing"], r["confidence"]) for r in M.flag_predictions(None, d, "id").collect()} == {(False, 0.0)}
+
+
+def test_experiment_record(spark):
+    d = spark.createDataFrame([(i, "tree water" if i % 3 else "red stone", float(i % 3 == 0), i % 2, 1.0) for i in range(48)],
+                              "id long, t string, label double, fold int, weight double")
+    train, test = d.where("id < 36"), d.where("id >= 36")
+    rows = M.experiment_record(train, test, M.feature_stages("t", [], [], vocab_size=20), "id", ["LogisticRegression", "SVM"], folds=2).collect()
+    at = {(r["part"], r["model"], r["metric"]): r for r in rows}
+    assert at["dataset", None, "total_samples"]["value"] == 48 and at["dataset", None, "class_balancing"]["text"] == "SMOTE"
+    assert at["best_model", "LogisticRegression", "cv_score"]["value"] == 1.0 and at["cross_validation", "SVM", "std_auc"]["value"] == 0.0
+    assert at["model_comparison", "SVM", "accuracy"]["value"] == 1.0
+
+
+def test_code_tables_of_few_and_many_values(spark, monkeypatch):
+    from claimlens.operators import features as FE
+    df = spark.createDataFrame([(v,) for v in ["b", "a", None, "b", "c"] * 3], "v string")
+    few = {r["_value"]: r["v_encoded"] for r in FE.code_table(df, "v").collect()}
+    monkeypatch.setattr(FE, "FEW_VALUES", 1)
+    assert few == {"a": 0, "b": 1, "c": 2, "nan": 3} == {r["_value"]: r["v_encoded"] for r in FE.code_table(df, "v").collect()}
+
+
+def test_group_folds_agree_for_any_number_of_groups(spark, monkeypatch):
+    from claimlens.operators import folds as FD
+    df = spark.createDataFrame([(i, f"g{i % 9}", int(i % 9 in (0, 1, 2, 3))) for i in range(45)], "id long, g string, y int")
+    one = {(r["id"], r["fold"]) for r in FD.group_folds(df, "g", "y", 4).collect()}
+    monkeypatch.setattr(FD, "FEW_GROUPS", 0)
+    assert one == {(r["id"], r["fold"]) for r in FD.group_folds(df, "g", "y", 4).collect()}
+    with pytest.raises(ValueError, match="after 3"):
+        FD.group_folds(df.where("y = 1"), "g", "y", 4, max_attempts=3)
