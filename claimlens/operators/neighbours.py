@@ -18,6 +18,7 @@ proven error bound and then computed from differences.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -208,3 +209,98 @@ def neighbours(rows: DataFrame, k: int, block_rows: int = 2048, most_pivots: int
     order = Window.partitionBy("uid").orderBy("d2", "other")
     best = own.unionByName(found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("uid", "rank", "other", F.sqrt("d2").alias("distance"))
+
+
+# ---------------------------------------------------------------- search with cells (G6, approximate and exact)
+
+def refined(sample: np.ndarray, cells: int, rounds: int = 10) -> np.ndarray:
+    """Cell centres: Lloyd rounds over a bounded sample, from its first rows; empty cells stay where they are."""
+    centres = np.unique(sample[:cells], axis=0)
+    for _ in range(rounds):
+        at = squares(sample, centres)[0].argmin(axis=1)
+        n = np.bincount(at, minlength=len(centres))
+        sums = np.zeros_like(centres)
+        np.add.at(sums, at, sample)
+        centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
+    return np.unique(centres, axis=0)
+
+
+def _probe(centres: np.ndarray, block: np.ndarray, of: np.ndarray, probes: int):
+    """(block, uid, vec) for all blocks of the ``probes`` nearest cells."""
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = np.argsort(squares(matrix(_column(b, "vec"), centres.shape[1]), centres)[0], axis=1, kind="stable")[:, :probes]
+            wanted = np.zeros((b.num_rows, len(centres)), bool)
+            np.put_along_axis(wanted, near, True, axis=1)
+            row, at = np.nonzero(wanted[:, of])
+            part = b.select(["uid", "vec"]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(block[at]), *part.columns], names=["block", "uid", "vec"])
+    return fn
+
+
+@dataclass
+class Cells:
+    """Rows in cells and blocks: ``placed`` (uid, id, vec, cell, dist, block), the centres, and each block's cell, inner and outer distance."""
+    placed: DataFrame
+    centres: np.ndarray
+    block: np.ndarray
+    of: np.ndarray
+    inner: np.ndarray
+    outer: np.ndarray
+
+
+def index(rows: DataFrame, cells: int = 256, sample: int = 20_000, block_rows: int = 2048) -> Cells:
+    """Cells fitted on at most ``sample`` rows (chosen by hash); every row of the written table (uid, id, vec) is assigned."""
+    ship_package(rows.sparkSession)
+    rows = rows.select("uid", "id", "vec")
+    n, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
+    some = rows.orderBy(F.xxhash64("uid")).limit(sample).select("vec").collect()
+    x = np.zeros((max(1, len(some)), width))
+    for i, r in enumerate(some):
+        x[i, :len(r["vec"])] = r["vec"]
+    centres = refined(x, min(cells, max(1, int(np.ceil(np.sqrt(n))))))
+    placed = place(rows, centres, max(block_rows, -(-n // MOST_BLOCKS)))
+    stats = placed.groupBy("block").agg(F.first("cell").alias("cell"), F.min("dist").alias("lo"), F.max("dist").alias("hi")).orderBy("block").toArrow()
+    return Cells(placed, centres, *(stats.column(c).to_numpy() for c in ("block", "cell", "lo", "hi")))
+
+
+def _found(asks: DataFrame, cells: Cells, k: int) -> DataFrame:
+    parts = asks.groupBy("block").agg(F.ceil(F.count("*") / ASKERS).cast("int").alias("parts"))
+    left = asks.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int")).drop("parts")
+    right = cells.placed.join(parts, "block").select(F.col("block").alias("yblock"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("ypart"),
+                                                    F.col("uid").alias("yid"), F.col("vec").alias("y"))
+    return left.groupBy("block", "part").cogroup(right.groupBy("yblock", "ypart")).applyInArrow(_search(k, cells.centres.shape[1]), _FOUND)
+
+
+def search(cells: Cells, queries: DataFrame, k: int, probes: int | float, exact: bool = False) -> DataFrame:
+    """The k nearest rows of every query of a written table (uid, id, vec): (query_id, rank, id, distance).
+
+    The blocks of the ``probes`` nearest cells (a fraction: that share of all cells) are searched; that is the approximate answer.  ``exact`` then searches every block
+    that the triangle inequality does not rule out under the k-th distance found.  A query's own uid plays no part: a row that is
+    also a query finds itself.
+    """
+    probes = max(1, int(np.ceil(probes * len(cells.centres)))) if isinstance(probes, float) else probes
+    q = queries.select((-1 - F.col("uid")).alias("uid"), F.col("id").alias("query_id"), "vec")
+    asked = q.select("uid", "vec").mapInArrow(_assign(cells.centres), T.StructType([T.StructField("uid", T.LongType()), queries.schema["vec"],
+                                                                                   T.StructField("cell", T.IntegerType()), T.StructField("dist", T.DoubleType())]))
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("uid", T.LongType()), queries.schema["vec"]])
+    asks = written(asked.select("uid", "vec").mapInArrow(_probe(cells.centres, cells.block, cells.of, probes), schema), "probe-asks")
+    found = written(_found(asks, cells, k), "probe-found")
+    if exact:
+        order = Window.partitionBy("uid").orderBy("d2", "other")
+        best = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
+        radius = best.groupBy("uid").agg(F.when(F.count("*") >= k, F.sqrt(F.max("d2")) * (1 + 1e-12)).alias("radius"))
+        rows = asked.join(radius, "uid", "left").select("uid", "vec", "cell", F.lit(-1).cast("long").alias("block"), F.coalesce("radius", F.lit(float("inf"))).alias("radius"))
+        more = rows.mapInArrow(_route(cells.centres, cells.block, cells.of, cells.inner, cells.outer), schema)
+        more = written(more.join(asks.select("uid", "block"), ["uid", "block"], "left_anti").select(*schema.names), "exact-asks")
+        found = found.unionByName(_found(more, cells, k))
+    order = Window.partitionBy("uid").orderBy("d2", "other")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ids = cells.placed.select(F.col("uid").alias("other"), "id")
+    return best.join(q.select("uid", "query_id"), "uid").join(ids, "other").select("query_id", "rank", "id", F.sqrt("d2").alias("distance"))
+
+
+def recall(approximate: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row: queries, and the share of the true neighbours (``truth``) that were found."""
+    hit = truth.select("query_id", "id").join(approximate.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    return hit.agg(F.count_distinct("query_id").alias("queries"), F.round(F.coalesce(F.avg(F.coalesce("hit", F.lit(0))), F.lit(1.0)), 6).alias("recall"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimlens.operators import curves as CV
+from claimlens.operators import encoder as EN
 from claimlens.operators import foldstore as FS
 from claimlens.operators import neighbours as NB
 from claimlens.operators import models as M
@@ -379,5 +380,13 @@ def _fallback_lr(spark, sf):
     return _representation_lr(labelled(spark, sf), "claim_id", "emb", TEXT, NUMS)
 
 
+def _encoded_lr(spark, sf):
+    """The regression over vectors that a pluggable encoder makes of the claim texts in the tasks."""
+    d = labelled(spark, sf)
+    d = EN.as_vector(EN.encode(d, TEXT, "hashing-128", EN.hashing_encoder(128), 128, "emb"), "emb")
+    return _representation_lr(materialize(d), "claim_id", "emb", TEXT, NUMS)
+
+
 register("embedding_lr")(_embedding_lr)
+register("encoded_lr")(_encoded_lr)
 register("embedding_fallback_lr")(_fallback_lr)

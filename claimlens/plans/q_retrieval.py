@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from claimlens.functions.text import TOKEN, english_stop_words
 from claimlens.operators import chunking as CH
+from claimlens.operators import neighbours as NB
 from claimlens.operators import retrieval as RT
 from claimlens.operators import risk as RK
 from claimlens.plans.registry import register
@@ -119,6 +120,41 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY label ORDER BY score ASC, v
 SELECT label, vec_id, score, rank FROM r WHERE rank <= {K}""")(_dense("l2"))
 
 
+# ---------------------------------------------------------------- G6 with cells: approximate, and exact by bounds
+PROBES = 0.7
+
+
+def _cell_search(spark, sf, exact):
+    """The K nearest rows of every row whose id is divisible by 20 (the stated queries), among all rows."""
+    rows = NB.usable(table(spark, sf, "embeddings"), "vec_id", "embedding")
+    return NB.search(NB.index(rows), rows.where(F.col("id") % 20 == 0), K, PROBES, exact)
+
+
+def _half_up(c):
+    return F.floor(F.col(c) * 1e6 + 0.5) / 1e6
+
+
+def _exact_search(spark, sf):
+    return _cell_search(spark, sf, True).select("query_id", "rank", F.col("id").alias("vec_id"), _half_up("distance").alias("distance"))
+
+
+def _approximate_search(spark, sf):
+    return _cell_search(spark, sf, False).select("query_id", "rank", F.col("id").alias("vec_id"), _half_up("distance").alias("distance"))
+
+
+def _approximate_recall(spark, sf):
+    return NB.recall(_cell_search(spark, sf, False), _cell_search(spark, sf, True)).withColumn("probes", F.lit(PROBES))
+
+
+register("cell_search_exact", """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+d AS (SELECT a.vec_id AS query_id, b.vec_id, list_distance(a.v, b.v) AS d FROM e a JOIN e b ON a.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, floor(d * 1e6 + 0.5) / 1e6 AS distance FROM d
+WINDOW w AS (PARTITION BY query_id ORDER BY d, vec_id) QUALIFY row_number() OVER w <= 5""")(_exact_search)
+register("cell_search_approximate")(_approximate_search)
+register("cell_search_recall")(_approximate_recall)
+
+
 # ---------------------------------------------------------------- G9 context, G10 prompt
 def _hits_and_context(spark, sf):
     """One search: the written hits (k rows a claim) and the context assembled from them."""

@@ -86,3 +86,45 @@ def test_smote_of_one_row_and_of_the_larger_class(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0], 1), (2, [0.0, 0.0], 0), (3, [0.0, 0.0], 0), (4, None, 0)], "id long, v array<double>, y int")
     assert [(r["source_id"], r["features"]) for r in smote(df, "id", "v", "y").collect()] == [(1, [1.0, 2.0])] * 2
     assert smote(df, "id", "v", "y", minority=0).count() == 0
+
+
+@pytest.mark.parametrize("shape", ["scaled", "skewed", "long"])
+def test_search_with_cells(spark, shape):
+    x = SHAPES[shape]
+    q = np.vstack([x[::50], x[:3] + 0.01])
+    rows = NB.usable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(3), "id", "v")
+    asks = NB.usable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "id long, v array<double>"), "id", "v")
+    cells = NB.index(rows, cells=20, sample=500, block_rows=64)
+    assert cells.placed.count() == len(x)
+    d = np.sqrt(((q[:, None] - x) ** 2).sum(axis=2))
+    got = np.full((len(q), 4), np.nan)
+    exact = NB.search(cells, asks, 4, 2, exact=True)
+    for r in exact.collect():
+        got[r["query_id"], r["rank"] - 1] = r["distance"]
+        assert np.isclose(r["distance"], d[r["query_id"], r["id"]], rtol=1e-12, atol=0)
+    assert np.allclose(got, np.sort(d, axis=1)[:, :4], rtol=1e-12, atol=0)
+    few, many = (NB.recall(NB.search(cells, asks, 4, p), exact).first() for p in (1, 20))
+    assert many["recall"] >= (0.9 if shape == "skewed" else 1.0) and few["recall"] <= 1.0 and many["queries"] == len(q)
+
+
+def test_encoder_is_loaded_once_a_worker(spark, tmp_path):
+    from claimlens.operators import encoder as EN
+    mark = str(tmp_path / "loads")
+
+    def loader():
+        import os
+        with open(mark, "a") as f:
+            f.write(f"{os.getpid()} ")
+        return lambda texts: np.array([[len(t), t.count("a")] for t in texts], float).reshape(len(texts), 2)
+
+    df = spark.createDataFrame([("banana", 1), (None, 2), ("", 3)] * 40, "t string, embedding int").repartition(6)
+    got = EN.encode(df, "t", "test-lengths", loader, 2, rows=7)
+    assert got.columns == ["t", "embedding"] and {(r["t"], tuple(r["embedding"])) for r in got.collect()} == {("banana", (6.0, 3.0)), (None, (0.0, 0.0)), ("", (0.0, 0.0))}
+    got.collect()
+    workers = open(mark).read().split()
+    assert workers and len(workers) == len(set(workers))
+    with pytest.raises(Exception, match="shape"):
+        EN.encode(df, "t", "test-shape", lambda: lambda texts: np.zeros((len(texts), 3)), 2).collect()
+    assert EN.encode(df.limit(0), "t", "test-lengths", loader, 2).count() == 0
+    v = EN.hashing_encoder(16)()(["one two", "Two one", "", "three"])
+    assert np.allclose(v[0], v[1]) and not v[2].any() and np.isclose(np.linalg.norm(v[3]), 1)
