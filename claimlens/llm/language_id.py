@@ -1,10 +1,11 @@
 """Language identification by unigrams of pieces, marginalised over all segmentations.
 
 Pieces are the fixed vocabulary of a public SentencePiece model, plus every single byte; texts are cut
-into words of letters and digits (lower-cased A-Z), each with the vocabulary's word mark in front, and
-words into units of at most 32 bytes.  The probability of a unit under a language is the sum over all
-ways to write it as pieces of the product of the pieces' probabilities: a forward pass over the
-matches of a byte trie, for all units of a batch at once.
+into words of letters and digits (lower-cased A-Z), each with the vocabulary's word mark in front.  The
+probability of a word under a language is the sum over all ways to write it as pieces of the product of
+the pieces' probabilities: a forward pass over the matches of a byte trie, for all distinct words of a batch at
+once.  Words of any length are summed whole: every 32 bytes the states that are still reached are scaled
+to a largest value of 1 and the logarithm of the scale is kept, so nothing underflows.
 
 Training is one expectation step from equal piece probabilities: the expected count of each piece in
 all segmentations of each word, weighted by how often each language has the word, summed over all
@@ -31,7 +32,10 @@ from pyspark.sql import functions as F
 
 from claimlens.llm.common import ALNUM, SLICE_BYTES, Words, ready, slices
 
+#: Bytes between two scalings.
 UNIT = 32
+#: Offsets whose matches are remembered.
+KEPT = 64
 MARK = "▁".encode()
 _LATIN = re.compile("[A-Za-z]")
 _UNIT_BYTES = ALNUM & ~np.isin(np.arange(256), np.arange(65, 91))
@@ -45,7 +49,7 @@ class Trie:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = (sp.id_to_piece(i).encode() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
         # units hold lower-case letters, digits and longer characters, so other pieces can never match
-        fits = (p for p in pieces if len(p) <= UNIT + len(MARK) and _UNIT_BYTES[np.frombuffer(p, np.uint8)].all())
+        fits = (p for p in pieces if _UNIT_BYTES[np.frombuffer(p, np.uint8)].all())
         pieces = sorted({*fits, *(bytes([b]) for b in range(256))})
         edges: dict[tuple[int, int], int] = {}
         piece = [-1]
@@ -72,18 +76,10 @@ def trie(path: str) -> Trie:
 
 
 class Units:
-    """Distinct units of a slice of texts, each with the word mark, and their matches with the trie."""
+    """Distinct words of a slice of texts, each with the word mark, and their matches with the trie."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray, t: Trie):
         words = Words(data, offs, ALNUM)
-        size = words.end - words.start
-        parts = -(-size // UNIT)
-        if len(size) and parts.max() > 1:  # cut words above UNIT bytes
-            k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-            start = np.repeat(words.start, parts) + k * UNIT
-            words.end = np.minimum(start + UNIT, np.repeat(words.end, parts))
-            words.start = start
-            words.first = np.searchsorted(start, offs)
         self.first, self.counts = words.first, words.counts()
         _, at, self.unit = np.unique(words.hashes(), return_index=True, return_inverse=True)
         start, size = words.start[at], words.end[at] - words.start[at]
@@ -98,47 +94,95 @@ class Units:
             text[self.begin + i] = b
         inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         text[np.repeat(self.begin + len(MARK), size) + inner] = low[np.repeat(start, size) + inner]
-        self.matches = self._match(text, t)
-
-    def _match(self, text: np.ndarray, t: Trie) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(state before, state after, piece) of all matches, by start offset and then by length."""
-        out = []
-        for offset in range(int(self.length.max(initial=0))):
-            live = np.flatnonzero(self.length > offset)
-            state, node, end = self.begin[live] + offset, np.zeros(len(live), t.step.dtype), self.begin[live] + self.length[live]
-            for d in range(t.longest):
-                node = t.step[node, text[state + d]]
-                more = node > 0
-                state, node, end = state[more], node[more], end[more]
-                hit = t.piece[node] >= 0
-                out.append((state[hit], state[hit] + d + 1, t.piece[node[hit]]))
-                more = state + d + 1 < end
-                state, node, end = state[more], node[more], end[more]
-                if not len(state):
-                    break
+        self.text, self.trie = text, t
+        self.longest_first = np.argsort(-self.length, kind="stable")
+        self.shorter = np.sort(-self.length)  # for the number of units longer than an offset
+        self.span = int(self.length.max(initial=0))
+        self.kept = [self._match(offset) for offset in range(min(self.span, KEPT))]
+
+    def live(self, offset: int) -> np.ndarray:
+        """Units longer than ``offset``."""
+        return self.longest_first[:np.searchsorted(self.shorter, -offset, "left")]
+
+    def _match(self, offset: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(state before, state after, piece) of all matches from ``offset`` on, by length."""
+        t, out, live = self.trie, [], self.live(offset)
+        state, node, end = self.begin[live] + offset, np.zeros(len(live), t.step.dtype), self.begin[live] + self.length[live]
+        for d in range(t.longest):
+            node = t.step[node, self.text[state + d]]
+            more = node > 0
+            state, node, end = state[more], node[more], end[more]
+            hit = t.piece[node] >= 0
+            out.append((state[hit], state[hit] + d + 1, t.piece[node[hit]]))
+            more = state + d + 1 < end
+            state, node, end = state[more], node[more], end[more]
+            if not len(state):
+                break
         return out
 
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """Sum over all segmentations up to each state; ``p`` is pieces x languages."""
-        a = np.zeros((self.states, p.shape[1]))
+    def matches(self, offset: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The matches of the first offsets are remembered, those of long words found again."""
+        return self.kept[offset] if offset < KEPT else self._match(offset)
+
+    def _rescale(self, a: np.ndarray, scale: np.ndarray, offset: int) -> tuple[np.ndarray, np.ndarray]:
+        """Brings the states from ``offset`` on that a pass still reads to a largest value of 1; ``scale`` of their units
+        takes the logarithm.  Returns the states and the logarithms."""
+        live = self.live(offset - 1)
+        at = self.begin[live][:, None] + offset + np.arange(self.trie.longest + 1)
+        inside = at <= (self.begin + self.length)[live][:, None]
+        rows, unit = at[inside], np.repeat(np.arange(len(live)), inside.sum(axis=1))
+        most = np.zeros((len(live), a.shape[1]))
+        np.maximum.at(most, unit, a[rows])
+        most = np.where(most > 0, most, 1.0)
+        a[rows] /= most[unit]
+        scale[live] += np.log(most)
+        return rows, np.log(most)[unit]
+
+    def forward(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sum over all segmentations up to each state, and the logarithm of its scale; ``p`` is pieces x languages."""
+        a, log = np.zeros((self.states, p.shape[1])), np.zeros((self.states, p.shape[1]))
+        scale = np.zeros((len(self.length), p.shape[1]))
         a[self.begin] = 1.0
-        for before, after, piece in self.matches:
-            a[after] += a[before] * p[piece]
-        return a
-
-    def backward(self, p: np.ndarray) -> np.ndarray:
-        b = np.zeros((self.states, p.shape[1]))
-        b[self.begin + self.length] = 1.0
-        for before, after, piece in reversed(self.matches):
-            b[before] += b[after] * p[piece]
-        return b
+        for offset in range(self.span):
+            if offset and offset % UNIT == 0:
+                self._rescale(a, scale, offset)
+            if offset >= UNIT:  # what follows is on the unit's present scale
+                live = self.live(offset)
+                log[self.begin[live] + offset] = scale[live]
+            for before, after, piece in self.matches(offset):
+                a[after] += a[before] * p[piece]
+        log[self.begin + self.length] = scale
+        return a, log
+
+    def whole(self, p: np.ndarray) -> np.ndarray:
+        """Log-probability of every unit under every language."""
+        a, log = self.forward(p)
+        end = self.begin + self.length
+        return np.log(a[end]) + log[end]
+
+    def expected(self, p: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(unit, piece, expected count) of matches in the segmentations of each unit, where all pieces have probability ``p``."""
+        a, log_a = self.forward(np.full((self.trie.size, 1), p))
+        end = self.begin + self.length
+        z = np.log(a[end, 0]) + log_a[end, 0]
+        unit = np.repeat(np.arange(len(self.length)), self.length + 1)  # unit of each state
+        b, log_b, scale = np.zeros((self.states, 1)), np.zeros(self.states), np.zeros((len(self.length), 1))
+        b[end] = 1.0
+        for offset in reversed(range(self.span)):
+            if (offset + 1) % UNIT == 0:
+                rows, more = self._rescale(b, scale, offset + 1)
+                log_b[rows] += more[:, 0]
+            live = self.live(offset)
+            log_b[self.begin[live] + offset] = scale[live, 0]
+            for before, after, piece in self.matches(offset):
+                yield unit[before], piece, a[before, 0] * p * b[after, 0] * np.exp(log_a[before, 0] + log_b[after] - z[unit[before]])
+                b[before, 0] += b[after, 0] * p
 
 
 def learn(docs: DataFrame, vocabulary: str, lang: str, text: str, smoothing: float = 1e-3) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log shares of training rows, and piece probabilities (pieces x languages)."""
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = trie(vocabulary)
-        p = np.full((t.size, 1), 1.0 / t.size)
         sums: dict[str, np.ndarray] = {}
         rows: dict[str, int] = {}
         for batch in batches:
@@ -146,14 +190,11 @@ def learn(docs: DataFrame, vocabulary: str, lang: str, text: str, smoothing: flo
                 u = Units(data, offs, t)
                 langs, code = np.unique(np.array(part.column(0).to_pylist(), object).astype(str), return_inverse=True)
                 doc = np.repeat(np.arange(len(u.counts)), u.counts)
-                a, b = u.forward(p)[:, 0], u.backward(p)[:, 0]
-                z = a[u.begin + u.length]
-                inner = np.repeat(np.arange(len(u.length)), u.length + 1)  # unit of each state
-                before, after, piece = (np.concatenate([m[i] for m in u.matches] or [np.zeros(0, np.int64)]) for i in range(3))
-                share = a[before] * p[0, 0] * b[after] / z[inner[before]]
+                found = list(u.expected(1.0 / t.size))
+                unit, piece, share = (np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in range(3))
                 for k, name in enumerate(langs.tolist()):
                     n = np.bincount(u.unit[code[doc] == k], minlength=len(u.length))
-                    own = np.bincount(piece, weights=share * n[inner[before]], minlength=t.size)
+                    own = np.bincount(piece, weights=share * n[unit], minlength=t.size)
                     sums[name] = sums.get(name, 0) + own
                     rows[name] = rows.get(name, 0) + int((code == k).sum())
         for name, s in sums.items():
@@ -197,7 +238,7 @@ def identify(docs: DataFrame, training: DataFrame, vocabulary: str, lang: str =
                 known = np.array([has_letter(t) for t in texts])
                 if len(langs) and known.any():
                     u = Units(data, offs, trie(vocabulary))
-                    unit = np.log(u.forward(p)[u.begin + u.length])
+                    unit = u.whole(p)
                     sums = np.vstack([np.zeros((1, len(langs))), np.cumsum(unit[u.unit], axis=0)])
                     total = sums[u.first[1:]] - sums[u.first[:-1]] + share
                     best = total.argmax(1)

@@ -327,9 +327,8 @@ def test_language_id(spark, docs, none):
             return np.ones(2)
         return sum((p[pieces[w[:k]]] * total(w[k:]) for k in range(1, len(w) + 1) if w[:k] in pieces), np.zeros(2))
 
-    unit = u.forward(p)[u.begin + u.length]
+    unit = np.exp(u.whole(p))
     assert u.counts.tolist() == [3] and np.allclose(unit[u.unit], [total(words[0]), total(words[1]), total(words[0])], rtol=1e-9)
-    assert np.allclose(u.backward(p)[u.begin], unit, rtol=1e-9)
     rows = [(i, f"the {w} and the {w} with that", "en") for i, w in enumerate(WORDS)] + [(50 + i, f"der {w}chen und die {w}lich nicht", "de") for i, w in enumerate(WORDS)]
     train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     test = spark.createDataFrame([(1, "with the stranger and that"), (2, "und nicht die fremdlich"), (3, None), (4, "123 !!"), (5, ""), (6, "z" * 3000)], "doc_id long, text string")
@@ -340,6 +339,52 @@ def test_language_id(spark, docs, none):
     assert {r["lang_pred"] for r in language_id.identify(docs, none, path).collect()} == {"und"}
 
 
+def test_language_of_long_words():
+    """Words of any length: sums over all segmentations and expected piece counts, by plain logarithms."""
+    t = language_id.trie(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(2)
+    texts = ["internationalization" * 7, "語言識別" * 11 + "ไทยภาษา" * 9, "ab", "x" * 70 + "ing", "кириллица" * 6, "q" * 33, "w" * 29]
+    data = " ".join(texts).encode()
+    u = language_id.Units(np.frombuffer(data, np.uint8), np.array([0, len(data)]), t)
+    p = rng.random((t.size, 2)) * 10 ** rng.uniform(-9, -2, (t.size, 1)) + 1e-12
+
+    def matches(w, i):
+        node = 0
+        for j in range(i, len(w)):
+            node = t.step[node, w[j]]
+            if not node:
+                return
+            if t.piece[node] >= 0:
+                yield j + 1, t.piece[node]
+
+    whole = u.whole(p)
+    want = {}
+    for n, text in enumerate(texts):
+        w = language_id.MARK + text.encode()
+        log = np.full((len(w) + 1, 2), -np.inf)
+        log[0] = 0
+        flat, back = np.full(len(w) + 1, -np.inf), np.full(len(w) + 1, -np.inf)
+        flat[0] = back[-1] = 0
+        q = -np.log(t.size)
+        for i in range(len(w)):
+            for j, piece in matches(w, i):
+                log[j] = np.logaddexp(log[j], log[i] + np.log(p[piece]))
+                flat[j] = np.logaddexp(flat[j], flat[i] + q)
+        for i in reversed(range(len(w))):
+            for j, _ in matches(w, i):
+                back[i] = np.logaddexp(back[i], back[j] + q)
+        assert np.allclose(whole[u.unit[n]], log[-1], rtol=1e-10)
+        for i in range(len(w)):
+            for j, piece in matches(w, i):
+                key = (int(u.unit[n]), int(piece))
+                want[key] = want.get(key, 0) + np.exp(flat[i] + q + back[j] - flat[-1])
+    got = {}
+    for unit, piece, share in u.expected(1.0 / t.size):
+        for key in zip(unit.tolist(), piece.tolist(), share.tolist(), strict=True):
+            got[key[:2]] = got.get(key[:2], 0) + key[2]
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-8 for k in want)
+
+
 def test_toxicity(spark, docs, none):
     rng = np.random.default_rng(2)
     rows, labels = [], []
