@@ -21,7 +21,8 @@ message.  ``read_back`` streams sorted fragments and parses them again with cons
 Defined results: null text is empty, null role is an empty role, an event of null kind is a message; a
 null conversation is a conversation; a delta or edit to a message never begun begins it with its own
 role; of events with equal ``seq`` the order is by kind, role and text; repeated rows of a plain table
-are turns of their own; an empty log gives an empty result.
+are turns of their own; columns of other names are not read; texts of any length are folded by windows that spill; an empty
+log gives an empty result.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ def turns_as_events(turns: DataFrame, conv_id: str = "conv_id", turn: str = "tur
 def fold_events(events: DataFrame) -> DataFrame:
     """Final messages (conv_id, message, role, text) of a log (conv_id, seq, message, kind, role, text)."""
     e = events.select("conv_id", "seq", "message", F.coalesce("kind", F.lit("message")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"),
-                      F.coalesce("text", F.lit("")).alias("text"))
+                      F.coalesce("text", F.lit("")).alias("text")).filter("seq is not null and message is not null")
     earlier = Window.partitionBy("conv_id").orderBy("message").rangeBetween(Window.unboundedPreceding, -1)
     e = e.withColumn("redone", F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).over(earlier)).filter("redone is null or redone < seq").drop("redone")
     first = Window.partitionBy("conv_id", "message").orderBy("seq", "kind", "role", "text")

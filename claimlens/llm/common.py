@@ -66,6 +66,14 @@ def release(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def plain_id(docs: DataFrame, doc_id: str) -> tuple[Column, T.DataType]:
+    """The id column as ``doc_id`` and its type: whole numbers as longs, ids of any other type as they are."""
+    kind = docs.schema[doc_id].dataType
+    if isinstance(kind, T.IntegralType):
+        return F.col(doc_id).cast("long").alias("doc_id"), T.LongType()
+    return F.col(doc_id).alias("doc_id"), kind
+
+
 def text_crc32(c: Column) -> Column:
     return F.crc32(F.encode(c, "UTF-8"))
 

@@ -220,21 +220,23 @@ def has_letter(text: str | None) -> bool:
 
 
 def identify(docs: DataFrame, training: DataFrame, vocabulary: str, lang: str = "lang", text: str = "text", carry: tuple[Column | str, ...] = ("doc_id",),
-             language_column: str = "lang_pred", score_column: str = "score") -> DataFrame:
+             language_column: str = "lang_pred", score_column: str = "score", evidence_column: str | None = None) -> DataFrame:
     """The columns in ``carry``, the predicted language and its score for every row of ``docs``; only
-    ``training`` is learned from."""
+    ``training`` is learned from.  ``evidence_column``, if named, holds the log-probability a byte of word
+    under that language (0 for ``und``)."""
     spark = docs.sparkSession
     ready(spark)
     model = spark.sparkContext.broadcast(learn(training, vocabulary, lang, text))
     kept = docs.select(*carry)
     schema = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes) + f", `{language_column}` string, `{score_column}` double"
+    schema += f", `{evidence_column}` double" if evidence_column else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, share, p = model.value
         for batch in batches:
             for part, data, offs in slices(batch, "__text", SLICE_BYTES // 2):
                 texts = part.column(part.num_columns - 1).to_pylist()
-                names, score = ["und"] * len(texts), np.zeros(len(texts))
+                names, score, evidence = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
                 known = np.array([has_letter(t) for t in texts])
                 if len(langs) and known.any():
                     u = Units(data, offs, trie(vocabulary))
@@ -245,7 +247,11 @@ def identify(docs: DataFrame, training: DataFrame, vocabulary: str, lang: str =
                     posterior = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
                     names = [langs[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)]
                     score = np.where(known, posterior, 0.0)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names, pa.string()), pa.array(score, pa.float64())],
-                                                 names=[*part.schema.names[:-1], language_column, score_column])
+                    size = np.concatenate([[0], np.cumsum(u.length[u.unit])])
+                    size = size[u.first[1:]] - size[u.first[:-1]]
+                    evidence = np.where(known, (total - share)[np.arange(len(texts)), best] / np.maximum(size, 1), 0.0)
+                more = [(evidence_column, pa.array(evidence, pa.float64()))] if evidence_column else []
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names, pa.string()), pa.array(score, pa.float64()), *(c for _, c in more)],
+                                                 names=[*part.schema.names[:-1], language_column, score_column, *(n for n, _ in more)])
 
     return docs.select(*carry, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)

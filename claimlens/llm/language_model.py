@@ -32,15 +32,19 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from claimlens.llm.common import BLANK_SEPARATED, Words, gathered, gram_hashes, materialise, pack_ints, pack_longs, ready, slices, unpack_ints, unpack_longs
+from claimlens.llm.common import BLANK_SEPARATED, Words, gathered, gram_hashes, materialise, pack_ints, pack_longs, plain_id, ready, slices, unpack_ints, unpack_longs
 
 END = np.uint64(0x656E640000000001)
-RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+RESULT = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def blocks(docs: DataFrame, held_out: Column, doc_id: str, text: str, block_bytes: int) -> DataFrame:
     """Blocks of documents as word numbers, with the words' hashes and their counts in training rows."""
+    own_id, kind = plain_id(docs, doc_id)
+    arrow = to_arrow_type(kind)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for part in gathered(batches, "text", block_bytes):
@@ -55,14 +59,14 @@ def blocks(docs: DataFrame, held_out: Column, doc_id: str, text: str, block_byte
                 held = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
                 train = np.bincount(number[at[np.repeat(~held, sizes)]], minlength=len(by))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([block]), pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())),
+                    pa.array([block]), pa.array([part.column(0).to_pylist()], pa.list_(arrow)), pa.array([held], pa.list_(pa.bool_())),
                     pa.array([sizes.astype(np.int32)], pa.list_(pa.int32())), pa.array([pack_ints(number[at])], pa.binary()),
                     pa.array([values[by].view(np.int64)], pa.list_(pa.int64())), pa.array([train], pa.list_(pa.int64())), pa.array([int(train.sum())])],
                     names=["block", "doc_id", "held_out", "sizes", "tokens", "words", "counts", "trained"])
                 block += 1
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text).cast("string").alias("text")).mapInArrow(
-        run, "block long, doc_id array<long>, held_out array<boolean>, sizes array<int>, tokens binary, words array<long>, counts array<long>, trained long")
+    return docs.select(own_id, F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text).cast("string").alias("text")).mapInArrow(
+        run, f"block long, doc_id array<{kind.simpleString()}>, held_out array<boolean>, sizes array<int>, tokens binary, words array<long>, counts array<long>, trained long")
 
 
 def _pairs(sizes: np.ndarray, tokens: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,11 +172,11 @@ def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
                 np.subtract(1, np.divide(mass, counts, out=np.zeros(len(words)), where=counts > 0), out=back)
                 out.append(read(sizes, tokens, words, counts, back, _answers(right, BIGRAM)[0] // 2, total, vocabulary, discount)
                            .append_column("doc_id", b.column("doc_id")[i].values).append_column("held_out", b.column("held_out")[i].values))
-        names = [c.split()[0] for c in RESULT.split(", ")]
+        names = ["doc_id", *(c.split()[0] for c in RESULT.split(", "))]
         return pa.concat_tables(out).select(names) if out else pa.table({c: [] for c in names})
 
     answers = counted.drop("fresh").unionByName(weighed.drop("fresh"))
-    return made.select("block", "doc_id", "held_out", "sizes", "tokens", "words").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, RESULT)
+    return made.select("block", "doc_id", "held_out", "sizes", "tokens", "words").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"doc_id {plain_id(docs, doc_id)[1].simpleString()}, {RESULT}")
 
 
 def read(sizes: np.ndarray, tokens: np.ndarray, words: np.ndarray, counts: np.ndarray, back: np.ndarray, arc_count: np.ndarray, total: int, vocabulary: int, discount: float) -> pa.Table:

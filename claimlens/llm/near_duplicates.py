@@ -33,7 +33,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from claimlens.functions.stats import prefix_sums
 from claimlens.llm.common import BLANK_SEPARATED, Words, by_ids, gram_hashes, materialise, mix64, ready, release, slices
 
 _RNG = np.random.default_rng(75)
@@ -242,7 +244,7 @@ def cross_pairs(members: DataFrame, leader: DataFrame, measured: DataFrame, comp
                 slots: int, chunks: int, errors: int, bits: int, block: int) -> DataFrame:
     """Pairs that share a bucket but no component, within the distance of their bit signatures,
     found block by block of a bucket's members.  A pair comes out of the first bucket it shares
-    only, told by 32 bits of each of its keys.  Where the intersections of both with the bucket's leader
+    only, told by its keys.  Where the intersections of both with the bucket's leader
     are ``measured``, |x & y| <= min(|x & l|, |y & l|) + min(|x - l|, |y - l|) must allow the link."""
     most = bit_distance(low, high, bits)
 
@@ -252,7 +254,7 @@ def cross_pairs(members: DataFrame, leader: DataFrame, measured: DataFrame, comp
                 sets = shingle_sets(data, offs, n)
                 keep = pa.array([len(s) > 0 for s in sets], pa.bool_())
                 full = [s for s in sets if len(s)]
-                keys = (index_keys(signatures(full, slots), chunks, errors) >> np.uint64(32)).astype(np.uint32)
+                keys = index_keys(signatures(full, slots), chunks, errors)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), pa.array([r.tobytes() for r in bit_signatures(full, bits)], pa.binary()),
                                                   pa.array([r.tobytes() for r in keys], pa.binary()), pa.array([len(s) for s in full], pa.int64())],
                                                  names=["node", "bits", "keys", "n"])
@@ -261,7 +263,7 @@ def cross_pairs(members: DataFrame, leader: DataFrame, measured: DataFrame, comp
         for run in _runs(batches, ["key", "i", "j"]):
             node, comp, part, size = (run.column(c).to_numpy() for c in ("node", "comp", "part", "n"))
             sig = np.frombuffer(b"".join(run.column("bits").to_pylist()), np.uint64).reshape(len(node), -1)
-            keys = np.frombuffer(b"".join(run.column("keys").to_pylist()), np.uint32).reshape(len(node), -1)
+            keys = np.frombuffer(b"".join(run.column("keys").to_pylist()), np.uint64).reshape(len(node), -1)
             at = run.column("at")[0].as_py()
             y = np.flatnonzero(part == run.column("j")[0].as_py())
             own = run.column("own").fill_null(-1).to_numpy()
@@ -299,8 +301,19 @@ def cross_pairs(members: DataFrame, leader: DataFrame, measured: DataFrame, comp
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, low: int = 75, high: int = 100,
                     slots: int = 64, chunks: int = 17, errors: int = 1, bits: int = 2048, block: int = 512) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept (doc_id is its component's smallest) for every row."""
+    """doc_id, n_shingles, component_id and kept (doc_id is its component's smallest) for every row.
+
+    Ids that are no whole numbers are numbered in their order first; that joins the texts with the numbers once.
+    """
     ready(docs.sparkSession)
+    if not isinstance(docs.schema[doc_id].dataType, T.IntegralType):
+        ids = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id")).distinct().withColumn("one", F.lit(1))
+        ids = materialise(prefix_sums(ids, "id", ["one"]).select("id", F.col("cum_one").cast("long").alias("number")), "near-names")
+        numbered = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(ids, "id", "left").select(F.col("number").alias("doc_id"), "text")
+        out = near_duplicates(materialise(numbered, "near-numbered"), "doc_id", "text", n, low, high, slots, chunks, errors, bits, block)
+        named = out.join(ids.select(F.col("id").alias("own"), F.col("number").alias("doc_id")), "doc_id", "left") \
+            .join(ids.select(F.col("id").alias("of"), F.col("number").alias("component_id")), "component_id", "left")
+        return named.select(F.col("own").alias("doc_id"), "n_shingles", F.col("of").alias("component_id"), "kept")
     most = chunks * (errors + 1) - 1
     signed = materialise(sign(docs, doc_id, text, n, slots), "near-signed")
     classes = materialise(signed.filter("digest is not null and doc_id is not null").groupBy("digest")

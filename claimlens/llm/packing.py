@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from claimlens.llm.common import materialise, range_ranks, ready, slices
+from claimlens.llm.common import materialise, plain_id, range_ranks, ready, slices
 
 #: Texts of these characters only are cut into words alike by both tokenizer libraries, whatever their Unicode version.
 _PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
@@ -72,7 +73,9 @@ def encoder(path: str) -> Encoder:
 
 def cut(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, doc_id: str, text: str, with_ids: bool) -> DataFrame:
     """The pieces of every document: doc_id, piece, start, length, ids_crc32 and, if asked for, ids."""
-    schema = "doc_id long, piece int, start long, length int, ids_crc32 long" + ", ids array<int>" * with_ids
+    own_id, kind = plain_id(docs, doc_id)
+    schema = f"doc_id {kind.simpleString()}, piece int, start long, length int, ids_crc32 long" + ", ids array<int>" * with_ids
+    arrow = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
@@ -89,14 +92,14 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, doc_id: str
                         ids.append(own.astype(np.int32))
                         at += n
                 doc, k, at, n, crc = zip(*rows, strict=True)
-                cols = [pa.array(doc, pa.int64()), pa.array(k, pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int32()), pa.array(crc, pa.int64())]
+                cols = [pa.array(doc, arrow), pa.array(k, pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int32()), pa.array(crc, pa.int64())]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 if with_ids:
                     cols.append(pa.array(ids, pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(own_id, F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 Range = tuple[int, int]  # first sequence, number of sequences

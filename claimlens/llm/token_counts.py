@@ -31,8 +31,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from claimlens.llm.common import gathered, materialise, pack_ints, ready, unpack_ints, utf8
+from claimlens.llm.common import gathered, materialise, pack_ints, plain_id, ready, unpack_ints, utf8
 
 _PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
 #: The file's own pattern for lower-case text of plain characters (fixed value).
@@ -96,6 +97,9 @@ def blocks(docs: DataFrame, tokenizer: str, doc_id: str, text: str, block_bytes:
     """Blocks: documents, their single-piece and special tokens (``ready``), and for the other
     pre-tokens the steps between a document's ascending word numbers, their frequencies, and the
     words by bucket."""
+    own_id, kind = plain_id(docs, doc_id)
+    arrow = to_arrow_type(kind)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pre, block = loaded(tokenizer), TaskContext.get().partitionId() << 32
         single = single_pieces(tokenizer, pre)
@@ -127,14 +131,14 @@ def blocks(docs: DataFrame, tokenizer: str, doc_id: str, text: str, block_bytes:
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
             parts = [zlib.compress("\n".join(words[i] for i in order[x:y]).encode(), 6) if y > x else b"" for x, y in zip(edges[:-1], edges[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([
-                pa.array([block]), pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([np.diff(offs)], pa.list_(pa.int64())),
+                pa.array([block]), pa.array([part.column(0).to_pylist()], pa.list_(arrow)), pa.array([np.diff(offs)], pa.list_(pa.int64())),
                 pa.array([ready], pa.list_(pa.int64())), pa.array([np.bincount(doc, minlength=len(sizes))], pa.list_(pa.int64())),
                 pa.array([pack_ints(step)], pa.binary()), pa.array([pack_ints(freq)], pa.binary()), pa.array([parts], pa.list_(pa.binary()))],
                 names=["block", "doc_id", "n_bytes", "ready", "sizes", "steps", "freq", "parts"])
             block += 1
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        run, "block long, doc_id array<long>, n_bytes array<long>, ready array<long>, sizes array<long>, steps binary, freq binary, parts array<binary>")
+    return docs.select(own_id, F.col(text).cast("string").alias("text")).mapInArrow(
+        run, f"block long, doc_id array<{kind.simpleString()}>, n_bytes array<long>, ready array<long>, sizes array<long>, steps binary, freq binary, parts array<binary>")
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 4 << 20,
@@ -143,6 +147,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     spark = docs.sparkSession
     ready(spark)
     buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = plain_id(docs, doc_id)[1]
+    arrow = to_arrow_type(kind)
     made = materialise(blocks(docs, tokenizer, doc_id, text, block_bytes, buckets), "token-blocks")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,8 +180,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
             # word numbers: sums of a document's steps
             at = sums - np.repeat(np.r_[0, sums][edge[:-1]], r["sizes"])
             n = np.r_[0, np.cumsum(pieces[at] * unpack_ints(r["freq"]))]
-            out.append(pa.table({"doc_id": pa.array(r["doc_id"], pa.int64()), "n_bytes": pa.array(r["n_bytes"], pa.int64()),
+            out.append(pa.table({"doc_id": pa.array(r["doc_id"], arrow), "n_bytes": pa.array(r["n_bytes"], pa.int64()),
                                  "n_tokens": pa.array(n[edge[1:]] - n[edge[:-1]] + np.array(r["ready"], np.int64))}))
-        return pa.concat_tables(out) if out else pa.table({c: pa.array([], pa.int64()) for c in ("doc_id", "n_bytes", "n_tokens")})
+        return pa.concat_tables(out) if out else pa.table({c: pa.array([], t) for c, t in (("doc_id", arrow), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()))})
 
-    return made.drop("parts").groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(total, "doc_id long, n_bytes long, n_tokens long")
+    return made.drop("parts").groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(total, f"doc_id {kind.simpleString()}, n_bytes long, n_tokens long")

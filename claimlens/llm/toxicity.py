@@ -10,10 +10,10 @@ a step goes up its gradient instead (NumPy, Adam, all rows in every step).  The
 toxic rows among the labelled training rows unless given.
 
 A feature is the presence of a word or of the first four, five or six bytes of a longer word (words as
-in the decontamination rule, lower-cased).  Candidates occur in at least ``least_share`` of the
-positives (and in three); the ``features`` of them with the strongest lift over U are used.  Counting is
-done in the tasks over the training rows.  Labelled positives and unlabelled rows are bounded by
-``max_positive`` and ``max_unlabelled``, the smallest hashes of doc_id first; every text is scored whole.
+in the decontamination rule, lower-cased).  Candidates occur in at least ``least`` confirmed toxic rows, a fixed number
+whatever the size of the table; the ``features`` of them with the strongest lift over U are used.  Both counts go over all training
+rows: tasks count their rows, and what they find of the candidates is added up in Spark.  Only the rows of the fit are
+bounded, by ``max_positive`` and ``max_unlabelled``, the smallest hashes of doc_id first; every text is scored whole.
 
 Defined results: without a positive training row the score is the prior (0 without labels) for all;
 null and empty texts have no feature and get the score of the bias; rows with a null doc_id are not
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimlens.llm.common import _BASE, _BASE_INV, _SYMBOL_LOWER, ALNUM, Words, materialise, mix64, powers, ready, release, slices
+from claimlens.llm.common import _BASE, _BASE_INV, _SYMBOL_LOWER, ALNUM, SLICE_BYTES, Words, by_ids, gathered, materialise, mix64, powers, ready, release, slices
 
 PREFIXES = (4, 5, 6)
 
@@ -97,74 +97,67 @@ def fit_nonnegative(rows: list[list[int]], positive: np.ndarray, size: int, prio
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", prior: float | None = None,
-          features: int = 2048, least_share: float = 0.005, max_positive: int = 20_000, max_unlabelled: int = 40_000) -> Model:
-    """Learn from ``docs`` and their ``labels`` (all of them training rows)."""
+          features: int = 8192, least: int = 3, max_positive: int = 20_000, max_unlabelled: int = 40_000) -> Model:
+    """Learn from ``docs`` and their ``labels`` (all of them training rows); ids may be of any type."""
     spark = docs.sparkSession
     ready(spark)
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null")
-    marked = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(toxic).cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null") \
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null")
+    marked = labels.select(F.col(doc_id).alias("doc_id"), F.col(toxic).cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null") \
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(d.select("doc_id").distinct(), "doc_id", "left_semi")
     marked = materialise(marked, "toxic-labels")
     seen, share = marked.agg(F.count("*"), F.avg(F.col("toxic").cast("double"))).first()
     prior = prior if prior is not None else float(share or 0.0)
-    spread = [F.xxhash64("doc_id"), "doc_id"]
-    chosen = marked.filter("toxic = 1").orderBy(*spread).limit(max_positive).select("doc_id", F.lit(True).alias("positive")) \
-        .unionByName(d.select("doc_id").distinct().orderBy(*spread).limit(max_unlabelled).select("doc_id", F.lit(False).alias("positive")))
-    # at most max_positive + max_unlabelled ids, so the texts stay where they are
-    sample = materialise(d.join(F.broadcast(materialise(chosen, "toxic-chosen")), "doc_id"), "toxic-sample")
+    confirmed = materialise(marked.filter("toxic = 1").select("doc_id"), "toxic-confirmed")
+    if not confirmed.count() or not 0 < prior:
+        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        rows = 0
+        for batch in gathered(batches, "text", 8 * SLICE_BYTES):
+            rows, parts = rows + batch.num_rows, []
             for _, data, offs in slices(batch, "text"):
                 h, doc = text_features(Words(data, offs, ALNUM))
-                pair = np.unique(np.stack([doc.astype(np.uint64), h], 1), axis=0)
-                values, n = np.unique(pair[:, 1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], names=["feature", "n"])
+                # the feature in one number with its text: distinct pairs by one sort
+                order = np.lexsort((h, doc))
+                h, doc = h[order], doc[order]
+                parts.append(h[np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])][:len(h)]])
+            values, n = np.unique(np.concatenate(parts), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], names=["feature", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([rows], pa.int64())], names=["feature", "n"])
+
+    count = lambda rows: rows.select("text").mapInArrow(each, "feature long, n long")
+    in_p = count(by_ids(d, confirmed, "doc_id", "left_semi")).groupBy("feature").agg(F.sum("n").alias("p"))
+    in_p = materialise(in_p.filter(f"feature is null or p >= {least}"), "toxic-candidates")
+    known = materialise(in_p.select("feature").filter("feature is not null"), "toxic-features")
+    everywhere = materialise(count(d), "toxic-counts")
+    in_u = by_ids(everywhere, known, "feature", "left_semi").groupBy("feature").agg(F.sum("n").alias("u"))
+    positives = in_p.filter("feature is null").agg(F.sum("p")).first()[0] or 0
+    unlabelled = everywhere.filter("feature is null").agg(F.sum("n")).first()[0] or 0
+    lift = F.log((F.col("p") + 0.5) / (positives + 1)) - F.log((F.col("u") + 0.5) / (unlabelled + 1))
+    best = in_p.join(in_u, "feature").withColumn("lift", lift).filter(F.col("lift") > float(np.log(1.5))) \
+        .orderBy(F.desc(F.col("lift") * F.sqrt("p")), "feature").limit(features).select("feature").collect()
+    chosen_features = np.sort(np.array([r["feature"] for r in best], np.int64).view(np.uint64))
 
-    positives = sample.filter("positive").count()
-    if not positives or not 0 < prior:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))))
-    least = max(min(3, positives), int(np.ceil(least_share * positives)))
-    often = sample.filter("positive").select("text").mapInArrow(each, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).filter(f"n >= {least}")
-    got = often.toPandas()  # words of an average text / least_share at most
-    order = np.argsort(got.feature.to_numpy().view(np.uint64))
-    candidates, in_p = got.feature.to_numpy().view(np.uint64)[order], got.n.to_numpy()[order]
-
-    def present(known: np.ndarray, what: str):
-        sent = spark.sparkContext.broadcast(known)
-
-        def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, n = np.zeros(len(sent.value), np.int64), 0
-            for batch in batches:
-                for part, data, offs in slices(batch, "text"):
-                    total += np.bincount(found_features(Words(data, offs, ALNUM), sent.value)[1], minlength=len(sent.value))
-                    n += part.num_rows
-            on = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[on, -1]), pa.array(np.r_[total[on], n])], names=["at", "n"])
-
-        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part, data, offs in slices(batch, "text"):
-                    doc, at = found_features(Words(data, offs, ALNUM), sent.value)
-                    edges = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(at, pa.int32()))],
-                                                     names=["doc_id", "positive", "at"])
-        if what == "counts":
-            return sample.filter("not positive").select("text").mapInArrow(counts, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-        return sample.select("doc_id", "positive", "text").mapInArrow(rows, "doc_id long, positive boolean, at array<int>").orderBy("doc_id", "positive", F.to_json("at")).collect()
-
-    got = present(candidates, "counts")
-    unlabelled = int(got[got["at"] == -1].n.sum())
-    in_u = np.zeros(len(candidates))
-    in_u[got[got["at"] >= 0]["at"]] = got[got["at"] >= 0].n
-    lift = np.log((in_p + 0.5) / (positives + 1)) - np.log((in_u + 0.5) / (unlabelled + 1))
-    best = np.sort(np.lexsort((candidates, -lift * np.sqrt(in_p)))[:features])
-    best = best[lift[best] > np.log(1.5)]
-    chosen_features = candidates[best]
-    data = present(chosen_features, "rows")  # max_positive + max_unlabelled short rows at most
+    spread = [F.xxhash64("doc_id"), "doc_id"]
+    chosen = confirmed.orderBy(*spread).limit(max_positive).select("doc_id", F.lit(True).alias("positive")) \
+        .unionByName(d.select("doc_id").distinct().orderBy(*spread).limit(max_unlabelled).select("doc_id", F.lit(False).alias("positive")))
+    # at most max_positive + max_unlabelled ids, so the texts stay where they are
+    sample = d.join(F.broadcast(materialise(chosen, "toxic-chosen")), "doc_id").select("doc_id", "positive", "text")
+    sent = spark.sparkContext.broadcast(chosen_features)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offs in slices(batch, "text"):
+                doc, at = found_features(Words(data, offs, ALNUM), sent.value)
+                edges = np.searchsorted(doc, np.arange(part.num_rows + 1))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(at, pa.int32()))],
+                                                 names=["doc_id", "positive", "at"])
+
+    schema = T.StructType([d.schema["doc_id"], T.StructField("positive", T.BooleanType()), T.StructField("at", T.ArrayType(T.IntegerType()))])
+    data = sample.mapInArrow(rows, schema).orderBy("doc_id", "positive", F.to_json("at")).collect()  # max_positive + max_unlabelled short rows at most
     w, b = fit_nonnegative([r["at"] for r in data], np.array([r["positive"] for r in data], bool), len(chosen_features), min(prior, 0.99))
-    release(sample)
-    release(marked)
+    for made in (marked, confirmed, in_p, known, everywhere):
+        release(made)
     return Model(chosen_features, w, b)
 
 

@@ -407,3 +407,79 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score(none, model).count() == 0
     blank = toxicity.train(none, marks.limit(0))
     assert {r["predicted"] for r in toxicity.score(docs, blank).collect()} == {0}
+
+
+def test_ids_of_any_type(spark):
+    """Text ids give what whole numbers give."""
+    base = sentence(60)
+    texts = [base, base + " more", base, None, "", sentence(900), "one two", base.replace(base.split()[30], "other")]
+    number = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, base)], "doc_id long, text string").repartition(2)
+    named = number.withColumn("doc_id", F.format_string("id %05d", "doc_id")).withColumn("doc_id", F.when(F.col("doc_id") != "id  null", F.col("doc_id")))
+    named = named.withColumn("doc_id", F.when(F.col("doc_id").contains("null"), None).otherwise(F.col("doc_id")))
+    name = lambda i: None if i is None else f"id {i:05d}"
+
+    def same(run, ids):
+        a = Counter(tuple(name(r[c]) if c in ids else r[c] for c in r.__fields__) for r in run(number).collect())
+        b = Counter(tuple(r) for r in run(named).collect())
+        assert a == b and len(b) >= 8
+
+    same(lambda d: near_duplicates.near_duplicates(d), ("doc_id", "component_id"))
+    same(lambda d: token_counts.count_tokens(d, public_tokenizers.path("word_bpe_49k.json")), ("doc_id",))
+    same(lambda d: packing.pack(d, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"), ("doc_id",))
+    same(lambda d: language_model.score_texts(d, F.col("text").contains("other")), ("doc_id",))
+    marks = spark.createDataFrame([("id 00001", 1), ("id 00005", 0)], "doc_id string, toxic int")
+    assert toxicity.score(named, toxicity.train(named, marks)).count() == 9
+
+
+def test_events_without_place_are_left_out(spark):
+    rows = [(1, 1, 1, "message", "user", "hi"), (1, 2, 2, "message", "assistant", "there"), (1, 3, None, "regenerate", "assistant", "lost"),
+            (1, None, 2, "edit", "assistant", "lost"), (1, 4, 2, "delta", None, "!"), (None, 1, 1, None, None, None)]
+    got = {(r["conv_id"], r["message"], r["role"], r["text"]) for r in
+           chat.fold_events(spark.createDataFrame(rows, "conv_id long, seq long, message long, kind string, role string, text string")).collect()}
+    assert got == {(1, 1, "user", "hi"), (1, 2, "assistant", "there!"), (None, 1, "", "")}
+
+
+def test_toxicity_risk_by_plain_code(spark):
+    """The fit follows the non-negative risk: its first step has the signs of the plain gradient, and the risk falls."""
+    rng = np.random.default_rng(6)
+    rows = [sorted(rng.choice(8, rng.integers(0, 5), replace=False).tolist() + ([8] if i < 20 else [])) for i in range(120)]
+    positive, prior = np.arange(120) < 20, 0.3
+    x = np.zeros((120, 9))
+    for i, r in enumerate(rows):
+        x[i, r] = 1
+
+    def risk(w, b):
+        f = x @ w + b
+        loss = lambda m: np.logaddexp(0, -m)
+        clean = loss(-f[~positive]).mean() - prior * loss(-f[positive]).mean()
+        return prior * loss(f[positive]).mean() + (clean if clean >= 0 else -clean), clean
+
+    def gradient(w, b, e=1e-6):
+        out = []
+        for j in range(10):
+            up, down = np.append(w, b), np.append(w, b)
+            up[j], down[j] = up[j] + e, down[j] - e
+            # below zero only the second part is stepped on, upwards
+            def part(v):
+                total, clean = risk(v[:9], v[9])
+                return total if clean >= 0 else -clean
+            out.append((part(up) - part(down)) / (2 * e))
+        return np.array(out)
+
+    w, b = toxicity.fit_nonnegative(rows, positive, 9, prior, steps=1, decay=0.0)
+    g = gradient(np.zeros(9), 0.0)
+    assert np.allclose(np.append(w, b), -0.1 * np.sign(g), atol=1e-5)
+    w, b = toxicity.fit_nonnegative(rows, positive, 9, prior, steps=400, decay=0.0)
+    f = x @ w + b
+    assert risk(w, b)[1] > -0.02 and risk(w, b)[0] < 0.5 * risk(np.zeros(9), 0.0)[0] and f[positive].min() > np.median(f[~positive])
+
+
+def test_rare_toxic_words_count_at_any_size(spark):
+    """A word of three toxic rows is a feature among 900 as among 30; odd rows in training change nothing."""
+    for n in (30, 900):
+        rows = [(i, f"plain words {i % 7} here " + ("awfulterm" if i < 3 else "commonslur" if i < n // 3 else "")) for i in range(n)]
+        odd = [(None, "awfulterm"), (10 ** 6, None), (10 ** 6 + 1, ""), (0, rows[0][1])]
+        marks = spark.createDataFrame([(i, int(i < n // 3)) for i in range(n)] + [(None, 1), (5, None)], "doc_id long, toxic int")
+        model = toxicity.train(spark.createDataFrame(rows + odd, "doc_id long, text string"), marks)
+        s = {r["text"]: r["score"] for r in toxicity.score(spark.createDataFrame([("awfulterm",), ("plain words",), (None,)], "text string"), model).collect()}
+        assert s["awfulterm"] > s["plain words"] and s["awfulterm"] > 0.5
