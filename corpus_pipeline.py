@@ -6,7 +6,7 @@ last return the columns of ``documents``; the last returns the pieces of packed
 
 Defined results: the first stage drops null texts and texts without a letter, so later stages see none
 of them; rows with a null doc_id are learned from by language (as fold of the empty text) but not by
-toxicity, and stay unless their text is rejected; repeated rows are treated alike; columns of any
+toxicity; repeated rows are treated alike until the near-duplicates, where one of them stays; columns of any
 other name pass through unchanged, also those named as a result of an operator (names that begin
 with two underscores are the stages' own); an empty table passes through all stages as one.
 """
@@ -19,19 +19,32 @@ from pyspark.sql import functions as F
 
 from claimlens.llm import decontaminate, language_id, near_duplicates, packing, toxicity
 from claimlens.llm.common import by_ids, fold, materialise
+from claimlens.session import small
 from claimlens.sources.tables import table
 
-#: SQL cannot express the trained stages; tests compare ``run`` with a brute-force version.
+#: SQL cannot express the trained stages; tests compare what ``run`` keeps and packs with brute-force versions of the others.
 ORACLE_SQL = None
 
 
+#: Deviations below its language's training mean at which a text's evidence a byte is no longer that language.
+FAR = 6.0
+
+
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep texts with a letter whose language is predicted with a posterior of one half or more (null
-    and letterless texts go).  Learns from the texts and languages of three quarters of the rows."""
-    training = docs.filter(fold(F.col("doc_id"), 4) != 2)
-    scored = language_id.identify(docs, training, public_tokenizers.path("piece_bpe_32k.model"), carry=tuple(F.col(c) for c in docs.columns),
-                                  language_column="__lang_pred", score_column="__lang_score")
-    return scored.filter("__lang_pred <> 'und' and __lang_score >= 0.5").drop("__lang_pred", "__lang_score")
+    """Keep texts of a learned language.  Learns from the texts and languages of three quarters of the rows.
+
+    Rejected are null and letterless texts, texts whose best language has a posterior under one half, and texts whose
+    log-probability a byte under their best language lies ``FAR`` deviations or more under the mean of the training rows of that language
+    (letter noise, languages never learned).
+    """
+    held = fold(F.col("doc_id"), 4) == 2
+    scored = language_id.identify(docs, docs.filter(~held), public_tokenizers.path("piece_bpe_32k.model"), carry=tuple(F.col(c) for c in docs.columns),
+                                  language_column="__lang_pred", score_column="__lang_score", evidence_column="__lang_evidence")
+    scored = materialise(scored, "pipeline-languages")
+    usual = scored.filter(~held & (F.col("lang") == F.col("__lang_pred"))).groupBy("__lang_pred").agg(
+        (F.avg("__lang_evidence") - FAR * F.coalesce(F.stddev_pop("__lang_evidence"), F.lit(0.0))).alias("__least"))
+    kept = scored.filter("__lang_pred <> 'und' and __lang_score >= 0.5").join(small(usual), "__lang_pred", "left")
+    return kept.filter("__least is null or __lang_evidence >= __least").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,11 +56,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates keep the document with the smallest doc_id (rows with a null
-    doc_id, and all rows of a kept doc_id, stay)."""
-    found = near_duplicates.near_duplicates(docs)
-    gone = materialise(found.filter("not kept").select("doc_id").distinct(), "pipeline-duplicates")
-    return by_ids(docs, gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near-duplicates keep one row: that of the smallest doc_id, null ids last.  Rows are told apart by a key of their own, so
+    repeated rows, and rows without an id, count as copies like any other."""
+    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "pipeline-rows")
+    found = near_duplicates.near_duplicates(rows, "__row").select(F.col("doc_id").alias("__row"), "component_id")
+    named = materialise(found.join(rows.select("__row", "doc_id"), "__row"), "pipeline-groups")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row"))["__row"].alias("__row"))
+    gone = materialise(named.select("__row").join(first.select("__row"), "__row", "left_anti"), "pipeline-duplicates")
+    return by_ids(rows, gone, "__row", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
