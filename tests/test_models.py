@@ -202,3 +202,24 @@ def test_group_folds_agree_for_any_number_of_groups(spark, monkeypatch):
     assert one == {(r["id"], r["fold"]) for r in FD.group_folds(df, "g", "y", 4).collect()}
     with pytest.raises(ValueError, match="after 3"):
         FD.group_folds(df.where("y = 1"), "g", "y", 4, max_attempts=3)
+
+
+def test_first_trees_are_the_smaller_ensemble(spark):
+    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    rng = np.random.default_rng(4)
+    rows = [(i, *rng.normal(size=3).tolist(), float(rng.random() < 0.5), i % 2, 1.0) for i in range(80)]
+    d = spark.createDataFrame(rows, "id long, a double, b double, c double, label double, fold int, weight double")
+    d = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(d).cache()
+    score = lambda m: [round(float(r["probability"][1]), 12) for r in m.transform(d).orderBy("id").select("probability").collect()]
+    big, small = (GBTClassifier(maxIter=n, maxDepth=2, stepSize=0.2, subsamplingRate=0.8, seed=3).fit(d) for n in (8, 3))
+    assert score(M.first_trees(big, 3)) == score(small) != score(big)
+    forest = RandomForestClassifier(numTrees=6, maxDepth=3, seed=3).fit(d)
+    part = M.first_trees(forest, 2)
+    trees = [t.transform(d).orderBy("id").select("probability").collect() for t in forest.trees[:2]]
+    assert score(part) == [round((float(x["probability"][1]) + float(y["probability"][1])) / 2, 12) for x, y in zip(*trees, strict=True)]
+    gb = GBTClassifier(featuresCol="features", labelCol="label", seed=1)
+    points = [{gb.maxIter: n, gb.maxDepth: k} for n in (2, 4) for k in (1, 2)]
+    fast = M.cross_validate_prefixes(d, [], gb, points, gb.maxIter, folds=2)
+    slow = M.cross_validate(d, [], [(gb, p) for p in points], folds=2)
+    assert np.allclose(fast, slow, atol=1e-9)
