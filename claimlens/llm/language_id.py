@@ -83,6 +83,8 @@ class Units:
         self.first, self.counts = words.first, words.counts()
         _, at, self.unit = np.unique(words.hashes(), return_index=True, return_inverse=True)
         start, size = words.start[at], words.end[at] - words.start[at]
+        digits = np.r_[0, np.cumsum((data >= 48) & (data <= 57))]
+        self.plain = digits[words.end[at]] == digits[words.start[at]]  # units without a digit
         low = data.copy()
         upper = (low >= 65) & (low <= 90)
         low[upper] += 32
@@ -222,8 +224,8 @@ def has_letter(text: str | None) -> bool:
 def identify(docs: DataFrame, training: DataFrame, vocabulary: str, lang: str = "lang", text: str = "text", carry: tuple[Column | str, ...] = ("doc_id",),
              language_column: str = "lang_pred", score_column: str = "score", evidence_column: str | None = None) -> DataFrame:
     """The columns in ``carry``, the predicted language and its score for every row of ``docs``; only
-    ``training`` is learned from.  ``evidence_column``, if named, holds the log-probability a byte of word
-    under that language (0 for ``und``)."""
+    ``training`` is learned from.  ``evidence_column``, if named, holds the log-probability a byte of its words
+    without digits under that language (null for ``und``, and without such a word)."""
     spark = docs.sparkSession
     ready(spark)
     model = spark.sparkContext.broadcast(learn(training, vocabulary, lang, text))
@@ -236,7 +238,7 @@ def identify(docs: DataFrame, training: DataFrame, vocabulary: str, lang: str =
         for batch in batches:
             for part, data, offs in slices(batch, "__text", SLICE_BYTES // 2):
                 texts = part.column(part.num_columns - 1).to_pylist()
-                names, score, evidence = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+                names, score, evidence = ["und"] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan)
                 known = np.array([has_letter(t) for t in texts])
                 if len(langs) and known.any():
                     u = Units(data, offs, trie(vocabulary))
@@ -247,10 +249,12 @@ def identify(docs: DataFrame, training: DataFrame, vocabulary: str, lang: str =
                     posterior = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
                     names = [langs[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)]
                     score = np.where(known, posterior, 0.0)
-                    size = np.concatenate([[0], np.cumsum(u.length[u.unit])])
-                    size = size[u.first[1:]] - size[u.first[:-1]]
-                    evidence = np.where(known, (total - share)[np.arange(len(texts)), best] / np.maximum(size, 1), 0.0)
-                more = [(evidence_column, pa.array(evidence, pa.float64()))] if evidence_column else []
+                    if evidence_column:
+                        doc, plain = np.repeat(np.arange(len(texts)), u.counts), u.plain[u.unit]
+                        sums = np.bincount(doc, weights=unit[u.unit, best[doc]] * plain, minlength=len(texts))
+                        size = np.bincount(doc, weights=u.length[u.unit] * plain, minlength=len(texts))
+                        evidence = np.where(known & (size > 0), sums / np.maximum(size, 1), np.nan)
+                more = [(evidence_column, pa.array(evidence, pa.float64(), from_pandas=True))] if evidence_column else []
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names, pa.string()), pa.array(score, pa.float64()), *(c for _, c in more)],
                                                  names=[*part.schema.names[:-1], language_column, score_column, *(n for n, _ in more)])
 

@@ -179,7 +179,7 @@ def test_language_model_by_plain_sums(spark):
     for r in language_id.identify(df, df.filter(F.col("lang").isNotNull()), path, evidence_column="evidence").collect():
         text = next(x[1] for x in rows if x[0] == r["doc_id"])
         if not text or not any(map(str.isalpha, text)):
-            assert (r["lang_pred"], r["score"], r["evidence"]) == ("und", 0.0, 0.0)
+            assert (r["lang_pred"], r["score"], r["evidence"]) == ("und", 0.0, None)
             continue
         total = {lang: log_probability(lang, text) for lang in ("de", "en")}
         best = max(total, key=total.get)
