@@ -27,15 +27,15 @@ ORACLE_SQL = None
 
 
 #: Deviations below its language's training mean at which a text's evidence a byte is no longer that language.
-FAR = 6.0
+FAR = 20.0
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep texts of a learned language.  Learns from the texts and languages of three quarters of the rows.
 
     Rejected are null and letterless texts, texts whose best language has a posterior under one half, and texts whose
-    log-probability a byte under their best language lies ``FAR`` deviations or more under the mean of the training rows of that language
-    (letter noise, languages never learned).
+    log-probability a byte (words with digits left out) under their best language lies more than ``FAR`` deviations under the mean of the
+    training rows of that language (letter noise, languages never learned).
     """
     held = fold(F.col("doc_id"), 4) == 2
     scored = language_id.identify(docs, docs.filter(~held), public_tokenizers.path("piece_bpe_32k.model"), carry=tuple(F.col(c) for c in docs.columns),
@@ -44,7 +44,7 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     usual = scored.filter(~held & (F.col("lang") == F.col("__lang_pred"))).groupBy("__lang_pred").agg(
         (F.avg("__lang_evidence") - FAR * F.coalesce(F.stddev_pop("__lang_evidence"), F.lit(0.0))).alias("__least"))
     kept = scored.filter("__lang_pred <> 'und' and __lang_score >= 0.5").join(small(usual), "__lang_pred", "left")
-    return kept.filter("__least is null or __lang_evidence >= __least").select(*docs.columns)
+    return kept.filter("__least is null or __lang_evidence is null or __lang_evidence >= __least").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
