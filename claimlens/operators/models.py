@@ -426,11 +426,12 @@ def cross_validate_prefixes(train: DataFrame, stages: list, estimator, points: S
 
 
 def tune_winner(train: DataFrame, test: DataFrame, stages: list, id_col: str,
-                candidates: Sequence[str] | None = None, folds: int = 5, fast_mode: bool = False) -> DataFrame:
+                candidates: Sequence[str] | None = None, folds: int = 5, fast_mode: bool = False, oversample: bool = False) -> DataFrame:
     """D7 + J7 + J8 + J26: compare the candidates, take the best by test ROC-AUC, tune it with its
     grid by cross-validated ROC-AUC (``fold`` column), and report untuned/tuned metrics and the delta
-    in one tall experiment table ``(model, metric, untuned, tuned, delta, best_params)``."""
-    cmp = compare_models(train, test, stages, id_col, candidates)
+    in one tall experiment table ``(model, metric, untuned, tuned, delta, best_params)``.  With ``oversample`` the compared and the tuned
+    models learn from the balanced rows too; the folds hold real rows only."""
+    cmp = compare_models(train, test, stages, id_col, candidates, oversample)
     best = cmp.orderBy(F.desc("roc_auc"), "model").first()["model"]  # one row of a bounded table
     n = train.count()
     grids, ests = tuning_grids(n)
@@ -446,7 +447,10 @@ def tune_winner(train: DataFrame, test: DataFrame, stages: list, id_col: str,
             auc = cross_validate(train, stages, [(est, point) for point in grids[best]], folds)
         point = grids[best][int(np.argmax(auc))]
         params = ", ".join(f"{p.name}={v}" for p, v in point.items())
-        s = scored(fit_pipeline(train, stages, est.copy(point)).transform(test), id_col)
+        features = Pipeline(stages=stages).fit(train)
+        learn = materialize(features.transform(train).select(id_col, "features", "label", "weight"))
+        tuned = est.copy(point).fit(materialize(oversampled(learn, id_col)) if oversample else learn)
+        s = scored(tuned.transform(features.transform(test)), id_col)
         tuned_metrics = CV.binary_metrics(s, score="score").withColumn("model", F.lit(best))
     metrics = ["accuracy", "precision", "recall", "f1", "roc_auc"]
     tall = lambda d, name: d.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias(name))

@@ -344,7 +344,7 @@ register("importance_signed")(_importance_signed)
 def _tune(spark, sf):
     d = labelled(spark, sf)
     train, test = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
-    return M.tune_winner(train, test, stages(), "claim_id", candidates=["LogisticRegression", "SVM"])
+    return M.tune_winner(train, test, stages(), "claim_id", oversample=True)
 
 
 register("tune_winner")(_tune)
