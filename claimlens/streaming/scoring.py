@@ -31,7 +31,7 @@ def score_claims(df: DataFrame, id_col: str, text: str, category: str | None = N
 
 
 def stream_score(spark: SparkSession, source_dir: str, schema, id_col: str, text: str,
-                 out_dir: str | None = None, max_files: int = 1, v2_lexicon: dict | None = None,
+                 out_dir: str | None = None, max_files: int = 100, v2_lexicon: dict | None = None,
                  file_glob: str | None = None) -> str:
     """Run the scoring stream over every file available now in ``source_dir`` (optionally only the
     files matching ``file_glob``); returns the output folder."""
