@@ -1,20 +1,23 @@
-"""K1 stream query: the documents parquet as a file source, scored with the batch transform."""
+"""K1 stream query: the documents parquet (a file, or a folder of files) as a file source, scored with the batch transform."""
 
 from __future__ import annotations
 
+import os
+
 from claimlens.functions import lexicons as L
 from claimlens.plans.q_risk import sql_text_risk, sql_v2, sql_v2_analysis  # noqa: F401
 from claimlens.plans.registry import register
 from claimlens.sources.tables import table
-from claimlens.streaming.scoring import stream_score
+from claimlens.streaming.scoring import score_claims, stream_score
 
 DATA_LEX = {"extreme": L.DATA_V2_EXTREME, "high": L.DATA_V2_HIGH, "vague": L.DATA_V2_VAGUE}
 
 
 def _stream(spark, sf):
-    schema = table(spark, sf, "documents").schema
-    out = stream_score(spark, sf, schema, "doc_id", "text", v2_lexicon=DATA_LEX, file_glob="documents.parquet")
-    return spark.read.parquet(out)
+    docs = table(spark, sf, "documents")
+    # a plain path must be a folder for a file source; a pattern may match a file or a folder
+    out = stream_score(spark, os.path.join(sf, "documents.parque[t]"), docs.schema, "doc_id", "text", v2_lexicon=DATA_LEX)
+    return spark.read.schema(score_claims(docs, "doc_id", "text", v2_lexicon=DATA_LEX).schema).parquet(out)
 
 
 _A = L.ALERT_TEXT
