@@ -6,8 +6,9 @@ from the other rows: vocabulary, inverse document frequencies, singular directio
 fits all sets together:
 
 * document frequencies are counted once per (term, fold); those of a set are sums over its folds;
-* the truncated SVD is a block Krylov iteration: one Spark job multiplies the sparse rows of *all* sets with
-  their current blocks, and the driver holds features x (k + 10) numbers a set; no row is ever made dense;
+* the truncated SVD sums A^T A of *all* sets in one pass (a few rows dense at a time) and decomposes it in a task a set; sets
+  wider than ``GRAM_WIDTH`` take a block Krylov iteration, one Spark job a pass for all sets, and the driver holds features x (k + 10)
+  numbers a set;
 * the logistic regressions of all sets and all grid points advance together: one Spark job an iteration sums gradients and
   Hessians (proximal Newton steps, with coordinate descent for l1), so a grid costs about ten passes, however many points it has.
 
@@ -23,12 +24,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimlens.functions.stats import prefix_sums
-from claimlens.operators.retrieval import TfidfParams, terms
+from claimlens.operators.retrieval import TfidfParams, term_counts
 from claimlens.session import ship_package, written
 
 #: Fold of the rows that no set may learn from.
@@ -36,6 +38,14 @@ TEST = -1
 #: Singular directions carried beyond the wanted ones.
 SPARE = 10
 CHUNK = 1 << 14
+#: Bytes of a block of matrix rows on its way to the sum.
+BLOCK = 1 << 18
+#: Columns up to which a set's A^T A is summed whole (32 MB); wider sets are iterated.
+GRAM_WIDTH = 2048
+#: Rows of a set that are dense at a time in the sum of A^T A.
+DENSE = 256
+_SUMS = T.StructType([T.StructField("key", T.IntegerType()), T.StructField("first", T.IntegerType()), T.StructField("rows", T.BinaryType()),
+                      T.StructField("values", T.BinaryType())])
 
 
 @dataclass(frozen=True)
@@ -53,28 +63,40 @@ def nested_sets(k: int) -> list[frozenset[int]]:
 # ---------------------------------------------------------------- sums of matrices
 
 def matrix_sums(df: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[int, np.ndarray]]], columns: int) -> dict[int, np.ndarray]:
-    """Sums matrices over the tasks: ``partial`` yields (key, matrix of up to ``columns`` columns) of a task's rows; rows that are zero
-    don't travel, and Spark adds up matrix rows of one key and index.  Only the sums reach the driver."""
-    names = [f"c{i}" for i in range(columns)]
+    """Sums matrices over the tasks: ``partial`` yields (key, matrix of up to ``columns`` columns) of a task's rows; matrix rows that are zero
+    don't travel, the others go in blocks of at most ``BLOCK`` bytes, and those of one key and place are added up together.  Only the sums
+    reach the driver."""
+    step = max(1, BLOCK // (8 * max(1, columns)))
 
     def fn(batches):
         for key, m in partial(batches):
-            rows = np.flatnonzero(m.any(axis=1))
-            full = np.zeros((len(rows), columns))
-            full[:, :m.shape[1]] = m[rows]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), key, np.int32)), pa.array(rows.astype(np.int32)),
-                                              *[pa.array(np.ascontiguousarray(c)) for c in full.T]], names=["key", "row", *names])
-
-    schema = T.StructType([T.StructField("key", T.IntegerType()), T.StructField("row", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in names]])
-    sums = df.mapInArrow(fn, schema).groupBy("key", "row").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
-    keys, rows = sums.column("key").to_numpy(), sums.column("row").to_numpy()
-    values = np.stack([sums.column(c).to_numpy() for c in names], axis=1) if len(keys) else np.zeros((0, columns))
+            for a in range(0, len(m), step):
+                part = m[a:a + step]
+                rows = np.flatnonzero(part.any(axis=1))
+                if len(rows):
+                    full = np.zeros((len(rows), columns))
+                    full[:, :m.shape[1]] = part[rows]
+                    yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([a], pa.int32()), pa.array([(a + rows).astype(np.int32).tobytes()], pa.binary()),
+                                                      pa.array([full.tobytes()], pa.binary())], names=_SUMS.names)
+
+    def add(t: pa.Table) -> pa.Table:
+        key, a = t.column("key")[0].as_py(), t.column("first")[0].as_py()
+        out = np.zeros((step, columns))
+        for rows, values in zip(t.column("rows"), t.column("values"), strict=True):
+            out[np.frombuffer(rows.as_buffer(), np.int32) - a] += np.frombuffer(values.as_buffer()).reshape(-1, columns)
+        rows = np.flatnonzero(out.any(axis=1))
+        return pa.table([pa.array([key], pa.int32()), pa.array([a], pa.int32()), pa.array([(a + rows).astype(np.int32).tobytes()], pa.binary()),
+                         pa.array([out[rows].tobytes()], pa.binary())], names=_SUMS.names)
+
+    sums = df.mapInArrow(fn, _SUMS).groupBy("key", "first").applyInArrow(add, _SUMS).toArrow()
+    found: dict[int, list] = {}
+    for key, rows, values in zip(sums.column("key").to_pylist(), sums.column("rows"), sums.column("values"), strict=True):
+        found.setdefault(key, []).append((np.frombuffer(rows.as_buffer(), np.int32), np.frombuffer(values.as_buffer()).reshape(-1, columns)))
     out = {}
-    for key in np.unique(keys).tolist():
-        at = keys == key
-        m = np.zeros((int(rows[at].max()) + 1, columns))
-        m[rows[at]] = values[at]
-        out[key] = m
+    for key, parts in found.items():
+        out[key] = np.zeros((max((int(rows.max()) + 1 for rows, _ in parts if len(rows)), default=0), columns))
+        for rows, values in parts:
+            out[key][rows] = values
     return out
 
 
@@ -177,14 +199,86 @@ def block_svd(rows: DataFrame, widths: dict[int, int], k: int, seed: int = 42, t
             if residual <= tolerance * values.max(initial=0) or not fresh.shape[1] or turn == passes - 1:
                 held = values > 1e-10 * values.max(initial=0)
                 v = basis @ u[:, held]
-                if v.size:
-                    v = v * np.where(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])] < 0, -1.0, 1.0)
-                out[s] = (np.sqrt(values[held]), v)
+                out[s] = (np.sqrt(values[held]), _signed(v))
             else:
                 blocks[s].append(fresh)
     return out
 
 
+def _signed(v: np.ndarray) -> np.ndarray:
+    """Directions (columns) whose largest entry is positive."""
+    return v * np.where(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])] < 0, -1.0, 1.0) if v.size else v
+
+
+def _grams(widths: dict[int, int], step: int):
+    """Upper triangle of A^T A of the rows of each set in a task, in blocks of ``step`` matrix rows.  One matrix is held at a time as long as
+    the rows come set by set."""
+    def send(s: int, gram: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(gram), step):
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([a], pa.int32()), pa.array([b""], pa.binary()),
+                                              pa.array([gram[a:a + step, a:].tobytes()], pa.binary())], names=_SUMS.names)
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, gram = None, None
+        for b in batches:
+            of = _column(b, "set").to_numpy()
+            for s in np.unique(of).tolist():
+                if s != now:
+                    if gram is not None:
+                        yield from send(now, gram)
+                    now, gram = s, np.zeros((widths[s], widths[s]))
+                part = b.filter(pa.array(of == s))
+                sparse = Sparse(_column(part, "index"), _column(part, "value"))
+                for i in range(0, part.num_rows, DENSE):
+                    at = sparse.starts[i:i + DENSE + 1]
+                    x = np.zeros((len(at) - 1, widths[s]))
+                    x[np.repeat(np.arange(len(at) - 1), np.diff(at)), sparse.index[at[0]:at[-1]]] = sparse.value[at[0]:at[-1]]
+                    gram += x.T @ x
+        if gram is not None:
+            yield from send(now, gram)
+    return fn
+
+
+def gram_svd(rows: DataFrame, widths: dict[int, int], k: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The same directions as ``block_svd`` in one pass, for sets of bounded width: the tasks sum A^T A of their rows, its blocks are added
+    up, and a task a set decomposes the sum.  The driver receives the k directions of each set."""
+    widths = {s: w for s, w in widths.items() if w}
+    step = max(1, BLOCK // (8 * max(widths.values(), default=1)))
+
+    def add(t: pa.Table) -> pa.Table:
+        s, a = t.column("key")[0].as_py(), t.column("first")[0].as_py()
+        out = np.zeros(len(t.column("values")[0].as_buffer()) // 8)
+        for values in t.column("values"):
+            out += np.frombuffer(values.as_buffer())
+        return pa.table([pa.array([s], pa.int32()), pa.array([a], pa.int32()), pa.array([b""], pa.binary()), pa.array([out.tobytes()], pa.binary())], names=_SUMS.names)
+
+    def decompose(t: pa.Table) -> pa.Table:
+        s = t.column("key")[0].as_py()
+        w = widths[s]
+        gram = np.zeros((w, w))
+        for a, values in zip(t.column("first").to_pylist(), t.column("values"), strict=True):
+            gram[a:a + step, a:] = np.frombuffer(values.as_buffer()).reshape(-1, w - a)
+        values, v = np.linalg.eigh(gram, UPLO="U")
+        order = np.argsort(-values)[:k]
+        order = order[values[order] > 1e-10 * values.max(initial=0)]
+        return pa.table([pa.array([s], pa.int32()), pa.array([len(order)], pa.int32()), pa.array([np.sqrt(values[order]).tobytes()], pa.binary()),
+                         pa.array([_signed(v[:, order]).tobytes()], pa.binary())], names=_SUMS.names)
+
+    summed = rows.select("set", "index", "value").mapInArrow(_grams(widths, step), _SUMS).groupBy("key", "first").applyInArrow(add, _SUMS)
+    out = {}
+    for s, n, sigma, v in summed.groupBy("key").applyInArrow(decompose, _SUMS).collect():
+        out[s] = np.frombuffer(sigma).copy(), np.frombuffer(v).reshape(widths[s], n).copy()
+    return out
+
+
+def directions_of(rows: DataFrame, widths: dict[int, int], k: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Singular values and directions of every set: in one pass where A^T A of a set is of bounded size, else iterated."""
+    if max(widths.values(), default=0) > GRAM_WIDTH:
+        return block_svd(rows, widths, k)
+    found = gram_svd(rows, widths, k)
+    return {s: found.get(s, (np.zeros(0), np.zeros((w, 0)))) for s, w in widths.items()}
+
+
 # ---------------------------------------------------------------- the store
 
 @dataclass
@@ -202,24 +296,46 @@ def learning(sets: Sequence[frozenset[int]]):
     return ~F.array_contains(F.element_at(left, F.col("set") + 1), F.col("fold"))
 
 
-def _vectorise(vocabulary: dict[str, int], place: np.ndarray, idf: np.ndarray):
+def _vectorise(vocabulary: list[str], place: np.ndarray, idf: np.ndarray):
+    known = pa.array(vocabulary, pa.string())
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists, n = _column(b, "terms"), b.num_rows
+            u = pc.index_in(lists.flatten(), value_set=known)
+            held = u.is_valid().to_numpy(zero_copy_only=False)
+            row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)[held]
+            u = u.drop_null().to_numpy(zero_copy_only=False)
+            tf = _column(b, "tf").flatten().to_numpy(zero_copy_only=False)[held].astype(float)
+            carried = b.select([c for c in b.schema.names if c not in ("terms", "tf")])
+            for s in range(len(place)):
+                p = place[s, u]
+                x, at, p = (tf * idf[s, u])[p >= 0], row[p >= 0], p[p >= 0]
+                norm = np.sqrt(np.bincount(at, x * x, minlength=n))
+                order = np.lexsort((p, at))
+                starts = pa.array(np.r_[0, np.cumsum(np.bincount(at, minlength=n))], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, s, np.int32)), *carried.columns, pa.ListArray.from_arrays(starts, pa.array(p[order], pa.int32())),
+                                                  pa.ListArray.from_arrays(starts, pa.array((x / np.where(norm > 0, norm, 1.0)[at])[order], pa.float64()))],
+                                                 names=["set", *carried.schema.names, "index", "value"])
+    return fn
+
+
+def _most_frequent(sets: Sequence[frozenset[int]], folds: list[int], most: int):
+    """(set, term, df, total) of each set's ``most`` terms of largest total (ties by term) among those of a task."""
+    inside = np.array([[f not in s for f in folds] for s in sets], np.int64).reshape(len(sets), len(folds))
+
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = {}
         for b in batches:
-            sets, source, index, value = [], [], [], []
-            for i, (words, tf) in enumerate(zip(_column(b, "terms").to_pylist(), _column(b, "tf").to_pylist(), strict=True)):
-                known = [(vocabulary[w], n) for w, n in zip(words or [], tf or [], strict=True) if w in vocabulary]
-                u, n = np.array([w for w, _ in known], np.int64), np.array([n for _, n in known], float)
-                for s in range(len(place)):
-                    p = place[s, u]
-                    x = n[p >= 0] * idf[s, u[p >= 0]]
-                    order = np.argsort(p[p >= 0])
-                    sets.append(s)
-                    source.append(i)
-                    index.append(p[p >= 0][order])
-                    value.append((x / (np.sqrt((x * x).sum()) or 1.0))[order])
-            carried = b.select([n for n in b.schema.names if n not in ("terms", "tf")]).take(pa.array(source, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.int32()), *carried.columns, pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float64()))],
-                                             names=["set", *carried.schema.names, "index", "value"])
+            df, total = (np.stack([_column(b, f"{kind}{i}").to_numpy(zero_copy_only=False) for i in range(len(folds))]) for kind in ("df", "total"))
+            for s in range(len(sets)):
+                d, t = inside[s] @ df, inside[s] @ total
+                at = np.flatnonzero(t >= (kept[s].column("total")[-1].as_py() if s in kept and kept[s].num_rows == most else 1))
+                new = pa.table({"set": pa.array(np.full(len(at), s, np.int32)), "term": _column(b, "term").take(pa.array(at)), "df": pa.array(d[at]), "total": pa.array(t[at])})
+                new = pa.concat_tables([kept[s], new]) if s in kept else new
+                kept[s] = new.take(pc.sort_indices(new, [("total", "descending"), ("term", "ascending")])[:most])
+        for t in kept.values():
+            yield from t.combine_chunks().to_batches()
     return fn
 
 
@@ -238,20 +354,22 @@ def build(df: DataFrame, id_col: str, label: str, text: str, categorical: Sequen
     base = written(df.select(F.col(id_col).alias("id"), F.col("fold").cast("int").alias("fold"), F.col(label).cast("double").alias("label"),
                              F.coalesce(F.col(text), F.lit("")).alias("text"), F.array(*cats).cast("array<string>").alias("cats"),
                              F.array(*[F.col(c).cast("double") for c in numeric]).cast("array<double>").alias("nums")), "fold-rows")
-    counted = terms(base, "id", "text", TfidfParams(max_features, (1, ngrams))).groupBy("id", "term").agg(F.count("*").alias("n"))
-    lists = counted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "n"))).alias("t"))
-    docs = written(base.drop("text").join(lists, "id", "left").select("id", "fold", "label", "cats", "nums", F.col("t.term").alias("terms"), F.col("t.n").alias("tf")), "fold-terms")
+    lists = term_counts(base, "id", "text", TfidfParams(max_features, (1, ngrams)))
+    docs = written(base.drop("text").join(lists, "id", "left").select("id", "fold", "label", "cats", "nums", F.col("counts.term").alias("terms"), F.col("counts.tf").alias("tf")), "fold-terms")
     here = F.explode(F.array(*[F.lit(i) for i in range(len(sets))])).alias("set")
 
-    # one count per (term, fold); a set adds up the folds it learns from
-    by_fold = docs.select("fold", F.explode(F.arrays_zip("terms", "tf")).alias("t")).groupBy("fold", F.col("t.terms").alias("term")) \
-        .agg(F.count("*").alias("df"), F.sum("t.tf").alias("total"))
-    of_set = by_fold.select("*", here).filter(learning(sets)).groupBy("set", "term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+    # one row per term with its counts of every fold; a set adds up the folds it learns from, and a task keeps a set's most frequent terms
+    folds = sorted(r[0] for r in docs.select("fold").distinct().collect() if r[0] is not None) or [0]
+    each = docs.select("fold", F.explode(F.arrays_zip("terms", "tf")).alias("t")).select("fold", F.col("t.terms").alias("term"), F.col("t.tf").alias("n"))
+    by_term = each.groupBy("term").agg(*[F.count_if(F.col("fold") == f).alias(f"df{i}") for i, f in enumerate(folds)],
+                                       *[F.coalesce(F.sum(F.when(F.col("fold") == f, F.col("n"))), F.lit(0)).alias(f"total{i}") for i, f in enumerate(folds)])
+    of_set = by_term.mapInArrow(_most_frequent(sets, folds, max_features), "set int, term string, df long, total long")
     top = of_set.withColumn("place", F.row_number().over(Window.partitionBy("set").orderBy(F.desc("total"), "term")) - 1).filter(F.col("place") < max_features)
     rows = docs.select("fold", "cats", "nums", here).filter(learning(sets))
     sizes = dict(rows.groupBy("set").count().collect())
     vocab = top.select("set", "term", "df", "place").collect()  # at most sets x max_features rows
-    vocabulary = {t: i for i, t in enumerate(sorted({r["term"] for r in vocab}))}
+    words = sorted({r["term"] for r in vocab})
+    vocabulary = {t: i for i, t in enumerate(words)}
     place, idf = np.full((len(sets), len(vocabulary)), -1, np.int32), np.zeros((len(sets), len(vocabulary)))
     for s, term, n, at in vocab:
         place[s, vocabulary[term]] = at
@@ -260,8 +378,10 @@ def build(df: DataFrame, id_col: str, label: str, text: str, categorical: Sequen
                            T.StructField("index", T.ArrayType(T.IntegerType())), T.StructField("value", T.ArrayType(T.DoubleType()))])
     # test rows are asked of the sets that leave out one fold at most
     asked = learning(sets) | (F.col("fold") != TEST) | F.array(*[F.lit(len(s) <= 2) for s in sets])[F.col("set")]
-    sparse = written(docs.mapInArrow(_vectorise(vocabulary, place, idf), schema).filter(asked).repartition("set", F.pmod(F.xxhash64("id"), F.lit(64))), "fold-vectors")
-    svd = block_svd(sparse.filter(learning(sets)), {s: int((place[s] >= 0).sum()) for s in range(len(sets))}, k)
+    # set by set, so that a task that sums matrices holds those of few sets
+    vectors = docs.mapInArrow(_vectorise(words, place, idf), schema).filter(asked).withColumn("_slot", F.xxhash64("id"))
+    sparse = written(vectors.repartitionByRange("set", "_slot").sortWithinPartitions("set").drop("_slot"), "fold-vectors")
+    svd = directions_of(sparse.filter(learning(sets)), {s: int((place[s] >= 0).sum()) for s in range(len(sets))}, k)
 
     seen = {(s, c): [] for s in range(len(sets)) for c in range(len(categorical))}
     for s, c, v in sorted(rows.select("set", F.posexplode("cats")).distinct().collect()):  # the categories' domains
@@ -285,16 +405,16 @@ def build(df: DataFrame, id_col: str, label: str, text: str, categorical: Sequen
                 v = directions[s]
                 x[at, :v.shape[1]] = Sparse(_column(part, "index"), _column(part, "value")).times(v) if v.size else 0.0
                 first = v.shape[1]
+                words = _column(part, "cats").flatten()
                 for c in range(len(categorical)):
-                    known = {value: first + i for i, value in enumerate(seen[s, c])}
-                    for i, row in zip(at, _column(part, "cats").to_pylist(), strict=True):
-                        if row[c] in known:
-                            x[i, known[row[c]]] = 1.0
-                    first += len(known)
+                    found = pc.index_in(words.take(pa.array(np.arange(c, len(words), len(categorical)))), value_set=pa.array(seen[s, c], pa.string()))
+                    hit = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+                    x[at[hit], first + found.drop_null().to_numpy(zero_copy_only=False)] = 1.0
+                    first += len(seen[s, c])
+                numbers = _column(part, "nums").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, -1) if numeric else None
                 for c in range(len(numeric)):
                     median, mean, sd = scale.get((s, c), (None, 0.0, 0.0))
-                    raw = np.array([np.nan if row[c] is None else row[c] for row in _column(part, "nums").to_pylist()], float)
-                    raw[np.isnan(raw)] = median or 0.0
+                    raw = np.where(np.isnan(numbers[:, c]), median or 0.0, numbers[:, c])
                     x[at, width - len(numeric) + c] = (raw - mean) / sd if sd else 0.0
             flat = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * width, pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([*(_column(b, n) for n in ("set", "id", "fold", "label")), flat], names=["set", "id", "fold", "label", "x"])

@@ -57,25 +57,46 @@ def terms(df: DataFrame, id_col: str, text: str, p: TfidfParams) -> DataFrame:
     if p.stop_words:
         tok = StopWordsRemover(inputCol="_tok", outputCol="_kept", stopWords=list(p.stop_words),
                                caseSensitive=False).transform(tok).select(id_col, F.col("_kept").alias("_tok"))
+    return tok.select(id_col, F.explode(_grams(F.col("_tok"), p)).alias("term"))
+
+
+def _grams(tok: Column, p: TfidfParams) -> Column:
+    """All n-grams of an array of tokens."""
     grams = []
     lo, hi = p.ngram
     for n in range(lo, hi + 1):
         if n == 1:
-            grams.append(F.col("_tok"))
+            grams.append(tok)
         elif n == 2:
             # adjacent pairs: zip the token array with itself shifted by one
-            m = F.size("_tok") - 1
-            grams.append(F.when(m > 0, F.zip_with(F.slice("_tok", 1, F.greatest(m, F.lit(1))),
-                                                  F.slice("_tok", 2, F.greatest(m, F.lit(1))),
+            m = F.size(tok) - 1
+            grams.append(F.when(m > 0, F.zip_with(F.slice(tok, 1, F.greatest(m, F.lit(1))),
+                                                  F.slice(tok, 2, F.greatest(m, F.lit(1))),
                                                   lambda a, b: F.concat(a, F.lit(" "), b)))
                          .otherwise(F.array().cast("array<string>")))
         else:
-            k = F.size("_tok") - n + 1
+            k = F.size(tok) - n + 1
             grams.append(F.when(k > 0, F.transform(
                 F.sequence(F.lit(1), F.greatest(k, F.lit(1))),
-                lambda i: F.array_join(F.slice(F.col("_tok"), i, n), " "))).otherwise(F.array().cast("array<string>")))
-    allg = grams[0] if len(grams) == 1 else F.concat(*grams)
-    return tok.select(id_col, F.explode(allg).alias("term"))
+                lambda i: F.array_join(F.slice(tok, i, n), " "))).otherwise(F.array().cast("array<string>")))
+    return grams[0] if len(grams) == 1 else F.concat(*grams)
+
+
+def term_counts(df: DataFrame, id_col: str, text: str, p: TfidfParams) -> DataFrame:
+    """Term counts ``(id, counts array<struct<term, tf>>)``, terms ascending, one row an id (the texts of a repeated id together).
+
+    The texts meet by id; terms are counted by sorting inside the row, so that no row per occurrence is aggregated.
+    """
+    stop = list(p.stop_words or [])
+    words = lambda t: F.regexp_extract_all(F.lower(t), F.lit(TOKEN), 0)
+    kept = (lambda t: F.filter(words(t), lambda w: ~w.isin(stop))) if stop else words
+    texts = df.groupBy(id_col).agg(F.collect_list(F.coalesce(F.col(text), F.lit(""))).alias("_texts"))
+    toks = texts.select(id_col, F.transform("_texts", kept).alias("_toks"))
+    row = toks.select(id_col, F.sort_array(F.flatten(F.transform("_toks", lambda x: _grams(x, p)))).alias("_all"))
+    at = F.when(F.size("_all") > 0, F.filter(F.sequence(F.lit(1), F.size("_all")), lambda i: (i == 1) | (F.get("_all", i - 1) != F.get("_all", i - 2))))
+    row = row.select(id_col, "_all", F.coalesce(at, F.array().cast("array<int>")).alias("_at"))
+    count = lambda i, n: F.struct(F.get("_all", i - 1).alias("term"), (F.coalesce(F.get("_at", n + 1), F.size("_all") + 1) - i).cast("long").alias("tf"))
+    return row.select(id_col, F.transform("_at", count).alias("counts"))
 
 
 def fit_idf(corpus: DataFrame, id_col: str, text: str, p: TfidfParams) -> DataFrame:

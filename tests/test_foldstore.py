@@ -176,3 +176,30 @@ def test_store_without_learning_rows(spark):
     assert [r["x"] for r in store.table.collect()] == [[0.0]]
     assert FS.build(df.limit(0), "id", "label", "text", ["place"], ["a"], [frozenset({FS.TEST})], k=3).table.count() == 0
     assert store.table.filter(F.col("fold") == FS.TEST).count() == 1
+
+
+def test_one_pass_svd(spark):
+    """A^T A summed in one pass gives the directions of NumPy's SVD, for sets of different widths."""
+    a = {0: RNG.normal(size=(700, 30)) * (RNG.random((700, 30)) < 0.3), 1: RNG.normal(size=(40, 9)), 2: np.outer(RNG.normal(size=20), RNG.normal(size=6))}
+    rows = [(s, [int(i) for i in np.flatnonzero(x)], [float(v) for v in x[x != 0]]) for s, m in a.items() for x in m]
+    df = spark.createDataFrame(rows, "set int, index array<int>, value array<double>").repartition(5)
+    got = FS.directions_of(df, {0: 30, 1: 9, 2: 6, 3: 0}, 5)
+    for s, m in a.items():
+        _, sigma, vt = np.linalg.svd(m, full_matrices=False)
+        rank = min(5, np.linalg.matrix_rank(m))
+        v = vt[:rank].T * np.sign(vt[np.arange(rank), np.abs(vt[:rank]).argmax(axis=1)])
+        assert np.allclose(got[s][0], sigma[:rank])
+        assert np.allclose(got[s][1], v, atol=1e-6)
+    assert got[3][1].size == 0
+
+
+def test_terms_are_counted_inside_the_row(spark):
+    """Counts of one- and two-word terms an id, equal to one row per occurrence; texts of a repeated id together."""
+    from claimlens.operators.retrieval import TfidfParams, term_counts, terms
+    rows = [(1, "green Green power the plant"), (2, None), (3, ""), (4, "a"), (1, "plant green power"), (5, "the of"), (None, "solar solar")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = term_counts(df, "id", "text", TfidfParams())
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    flat = {(r["id"], c["term"], c["tf"]) for r in got.collect() for c in r["counts"]}
+    want = {tuple(r) for r in terms(df, "id", "text", TfidfParams()).groupBy("id", "term").count().collect()}
+    assert flat == want and len(got.collect()) == 6
