@@ -7,11 +7,13 @@ hold nothing nearer than
 
     max(d(x, p) - outer, inner - d(x, p), (d(x, p)^2 - d(x, q)^2) / (2 d(p, q)))
 
-(q is the row's own pivot), so a row is sent only to the blocks where that bound lies under its radius; all others are
-certain to hold no nearer row.  The k nearest of all blocks asked are kept by rank.
+(q is the row's own pivot), so a row asks only the blocks where that bound lies under its radius; all others are
+certain to hold no nearer row.  Blocks that follow each other make groups of bounded bytes: a row is sent once to each group with a block that it
+asks, and meets there only the blocks that it asks, so rows x groups copies travel at most, not rows x blocks.  The k nearest of all
+blocks asked are kept by rank.
 
 Hot cells and groups of equal rows are many blocks, none larger than another; a row with k copies of its own in its block has radius 0 and
-asks nobody.  Blocks that many rows ask are searched in parts.  Distances are screened by a matrix product with a
+asks nobody.  Distances are screened by a matrix product with a
 proven error bound and then computed from differences.
 """
 
@@ -33,6 +35,10 @@ from claimlens.session import ship_package, written
 MOST_BLOCKS = 1 << 17
 #: Rows that ask one part of a block's search.
 ASKERS = 8192
+#: Bytes of vectors in a group of blocks; two groups meet in a task.
+GROUP_BYTES = 32 << 20
+#: Groups that smaller tables are cut into, for the sake of parallel tasks.
+GROUPS = 8
 #: Share of the squared norms that the screening product may be off.
 SLACK = 1e-10
 _FOUND = T.StructType([T.StructField("uid", T.LongType()), T.StructField("other", T.LongType()), T.StructField("d2", T.DoubleType())])
@@ -165,6 +171,123 @@ def ask(placed: DataFrame, own: DataFrame, pivots: np.ndarray, k: int) -> DataFr
     return written(rows.mapInArrow(_route(pivots, block, of, lo, hi), schema), "near-asks")
 
 
+@dataclass
+class Blocks:
+    """Blocks by number: cell, inner and outer distance, and the group they travel in."""
+    block: np.ndarray
+    of: np.ndarray
+    inner: np.ndarray
+    outer: np.ndarray
+    group: np.ndarray
+
+
+def grouped(placed: DataFrame, width: int, group_bytes: int = GROUP_BYTES) -> Blocks:
+    """The blocks of a written table, in groups of at most ``group_bytes`` and an eighth of the rows (or of one block)."""
+    stats = placed.groupBy("block").agg(F.first("cell").alias("cell"), F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.count("*").alias("n")).orderBy("block").toArrow()
+    block, of, lo, hi, n = (stats.column(c).to_numpy() for c in ("block", "cell", "lo", "hi", "n"))
+    most = min(group_bytes // (8 * max(1, width)), -(-int(n.sum()) // GROUPS))
+    group, held, now = np.zeros(len(block), np.int32), 0, 0
+    for i, rows in enumerate(n.tolist()):
+        if held and held + rows > most:
+            now, held = now + 1, 0
+        group[i], held = now, held + rows
+    return Blocks(block, of, lo, hi, group)
+
+
+def _asked(b: pa.RecordBatch, pivots: np.ndarray, blocks: Blocks) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, row, group) of the groups that rows of a batch ask, each once."""
+    starts = np.flatnonzero(np.r_[True, blocks.group[1:] != blocks.group[:-1]])
+    x, cell = matrix(_column(b, "vec"), pivots.shape[1]), _column(b, "cell").to_numpy()
+    own, radius = _column(b, "block").to_numpy(), _column(b, "radius").to_numpy()
+    step = max(1, (1 << 21) // max(1, len(blocks.block)))
+    for i in range(0, b.num_rows, step):
+        j = min(b.num_rows, i + step)
+        ask = (bounds(x[i:j], cell[i:j], pivots, blocks.of, blocks.inner, blocks.outer) < radius[i:j, None]) & (own[i:j, None] != blocks.block)
+        row, at = np.nonzero(np.logical_or.reduceat(ask, starts, axis=1))
+        yield i, i + row, at.astype(np.int32)
+
+
+def _pairs(pivots: np.ndarray, blocks: Blocks):
+    """The (asking, asked) groups among a task's rows."""
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for b in batches:
+            home = blocks.group[np.searchsorted(blocks.block, _column(b, "block").to_numpy())]
+            for _, row, at in _asked(b, pivots, blocks):
+                seen.update(map(tuple, np.unique(np.stack([home[row], at], axis=1), axis=0).tolist()))
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int32()) for c in zip(*sorted(seen), strict=True)], names=["home", "away"])
+    return fn
+
+
+def _send(pivots: np.ndarray, blocks: Blocks, most: int = 1 << 13):
+    """A row for each group that it asks."""
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            home = blocks.group[np.searchsorted(blocks.block, _column(b, "block").to_numpy())]
+            for _, row, at in _asked(b, pivots, blocks):
+                for a in range(0, len(row), most):
+                    r = row[a:a + most]
+                    yield pa.RecordBatch.from_arrays([pa.array(home[r]), pa.array(at[a:a + most]), *b.take(pa.array(r)).columns], names=["home", "away", *b.schema.names])
+    return fn
+
+
+def _meet(k: int, pivots: np.ndarray, blocks: Blocks, rows: int = 2048):
+    """The rows of one group against the blocks of another: up to k rows of each block for a row, none beyond its radius, which shrinks with
+    what is found."""
+    width = pivots.shape[1]
+
+    def fn(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        if left.num_rows and right.num_rows:
+            asker, cell, own, radius = (left.column(c).to_numpy() for c in ("uid", "cell", "block", "radius"))
+            x, limit = matrix(left.column("vec"), width), radius ** 2
+            right = right.sort_by([("yblock", "ascending"), ("yid", "ascending")])
+            y, uid, of = matrix(right.column("y"), width), right.column("yid").to_numpy(), right.column("yblock").to_numpy()
+            here, first = np.unique(of, return_index=True)
+            place, last = np.searchsorted(blocks.block, here), np.r_[first[1:], len(of)]
+            parts = []
+            for i in range(0, len(x), rows):
+                j = min(len(x), i + rows)
+                low = bounds(x[i:j], cell[i:j], pivots, blocks.of[place], blocks.inner[place], blocks.outer[place])
+                best = np.full((j - i, k), np.inf)
+                kept = []
+                for n in np.argsort(low.min(axis=0), kind="stable").tolist():
+                    at = np.flatnonzero((low[:, n] < np.sqrt(limit[i:j]) * (1 + 1e-12)) & (own[i:j] != here[n]))
+                    if not len(at):
+                        continue
+                    a, z = first[n], last[n]
+                    near, off = squares(x[i + at], y[a:z])
+                    hit = near - off <= limit[i + at][:, None]
+                    if np.count_nonzero(hit) > 8 * k * len(at) and z - a > k:
+                        hit &= near - off <= np.partition(near + off, k - 1, axis=1)[:, k - 1:k]
+                    row, col = np.nonzero(hit)
+                    if not len(row):
+                        continue
+                    d = np.empty(len(row))
+                    for c in range(0, len(row), 1 << 15):
+                        d[c:c + (1 << 15)] = ((x[i + at[row[c:c + (1 << 15)]]] - y[a + col[c:c + (1 << 15)]]) ** 2).sum(axis=1)
+                    order = np.lexsort((uid[a + col], d, row))
+                    row, col, d = row[order], col[order], d[order]
+                    nth = np.arange(len(row)) - np.searchsorted(row, row)
+                    row, col, d, nth = (v[nth < k] for v in (row, col, d, nth))
+                    kept.append((at[row], uid[a + col], d))
+                    more = np.full((len(at), k), np.inf)
+                    more[row, nth] = d
+                    best[at] = np.sort(np.hstack([best[at], more]), axis=1)[:, :k]
+                    limit[i + at] = np.minimum(limit[i + at], best[at, k - 1] * (1 + 1e-12))
+                if kept:
+                    row, other, d = (np.concatenate(c) for c in zip(*kept, strict=True))
+                    order = np.lexsort((other, d, row))
+                    row, other, d = row[order], other[order], d[order]
+                    top = np.arange(len(row)) - np.searchsorted(row, row) < k
+                    parts.append((asker[i + row[top]], other[top], d[top]))
+            if parts:
+                found = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        return pa.table(found, names=_FOUND.names)
+    return fn
+
+
 def _search(k: int, width: int):
     def fn(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
@@ -182,7 +305,7 @@ def usable(df: DataFrame, id_col: str, vec_col: str, *carry: str) -> DataFrame:
     return written(rows.where(F.forall("vec", finite)).select(F.monotonically_increasing_id().alias("uid"), "*"), "near-rows")
 
 
-def neighbours(rows: DataFrame, k: int, block_rows: int = 2048, most_pivots: int = 1024) -> DataFrame:
+def neighbours(rows: DataFrame, k: int, block_rows: int = 2048, most_pivots: int = 1024, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """The k nearest other rows of every row of a written table (uid, vec): (uid, rank, other, distance), Euclidean.
 
     Fewer than k other rows give all of them.  Of equally far rows any may be taken (the same ones every time).  No row is lost: what a
@@ -199,13 +322,16 @@ def neighbours(rows: DataFrame, k: int, block_rows: int = 2048, most_pivots: int
     pivots = np.unique(pivots, axis=0)
     placed = place(rows, pivots, block_rows)
     own = written(placed.groupBy("block").applyInArrow(_within(k, width), _FOUND), "near-own")
-    asks = ask(placed, own, pivots, k)
-    # a block that many rows ask is searched in parts
-    parts = asks.groupBy("block").agg(F.ceil(F.count("*") / ASKERS).cast("int").alias("parts"))
-    left = asks.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int")).drop("parts")
-    right = placed.join(parts, "block").select(F.col("block").alias("yblock"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("ypart"),
-                                              F.col("uid").alias("yid"), F.col("vec").alias("y"))
-    found = left.groupBy("block", "part").cogroup(right.groupBy("yblock", "ypart")).applyInArrow(_search(k, width), _FOUND)
+    blocks = grouped(placed, width, group_bytes)
+    radius = own.groupBy("uid").agg(F.when(F.count("*") >= k, F.sqrt(F.max("d2")) * (1 + 1e-12)).alias("radius"))
+    asking = written(placed.join(radius, "uid", "left").select("uid", "vec", "cell", "block", F.coalesce("radius", F.lit(float("inf"))).alias("radius")), "near-asking")
+    sides = T.StructType([T.StructField("home", T.IntegerType()), T.StructField("away", T.IntegerType())])
+    pairs = written(asking.mapInArrow(_pairs(pivots, blocks), sides).distinct(), "near-pairs")
+    left = asking.mapInArrow(_send(pivots, blocks), T.StructType([*sides.fields, *asking.schema.fields]))
+    numbers = placed.sparkSession.createDataFrame([(int(b), int(g)) for b, g in zip(blocks.block, blocks.group, strict=True)], "yblock long, yaway int")
+    right = placed.select(F.col("block").alias("yblock"), F.col("uid").alias("yid"), F.col("vec").alias("y")).join(F.broadcast(numbers), "yblock") \
+        .join(F.broadcast(pairs.toDF("yhome", "yaway")), "yaway")  # (rows / group)^2 pairs at most
+    found = left.groupBy("home", "away").cogroup(right.groupBy("yhome", "yaway")).applyInArrow(_meet(k, pivots, blocks), _FOUND)
     order = Window.partitionBy("uid").orderBy("d2", "other")
     best = own.unionByName(found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("uid", "rank", "other", F.sqrt("d2").alias("distance"))

@@ -128,3 +128,20 @@ def test_encoder_is_loaded_once_a_worker(spark, tmp_path):
     assert EN.encode(df.limit(0), "t", "test-lengths", loader, 2).count() == 0
     v = EN.hashing_encoder(16)()(["one two", "Two one", "", "three"])
     assert np.allclose(v[0], v[1]) and not v[2].any() and np.isclose(np.linalg.norm(v[3]), 1)
+
+
+def test_rows_travel_to_groups_not_to_blocks(spark):
+    """In noise of many dimensions nearly every block is asked; a row is copied once a group, and the result stays exact."""
+    x = np.random.default_rng(8).normal(size=(1500, 24))
+    rows = NB.usable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(3), "id", "v")
+    pivots = x[:20]
+    blocks = NB.grouped(NB.place(rows.select("uid", "vec"), pivots, 32), 24, 400 * 24 * 8)
+    assert len(blocks.block) >= 47 and len(set(blocks.group.tolist())) <= 16
+    ids = {r["uid"]: r["id"] for r in rows.collect()}
+    got = {}
+    for r in NB.neighbours(rows, 5, block_rows=32, group_bytes=400 * 24 * 8).collect():
+        got.setdefault(ids[r["uid"]], {})[r["rank"]] = ids[r["other"]]
+    d = ((x[:, None] - x) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    want = np.argsort(d, axis=1)[:, :5]
+    assert all([got[i][n] for n in range(1, 6)] == want[i].tolist() for i in range(len(x)))
