@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimlens.session import ship_package
+from claimlens.session import ship_package, small_batches
 
 SENTENCE_END = ".!?"
 RECURSIVE_SEPARATORS = ["\n\n", "\n", " ", ""]
@@ -93,6 +93,7 @@ def split_recursive(text: str, size: int = 1000, overlap: int = 200,
 
 def sentence_chunks(text: str | Column, size: int = 1000, overlap: int = 200) -> Column:
     ship_package()
+    small_batches()
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def _udf(s: pd.Series) -> pd.Series:
@@ -102,6 +103,7 @@ def sentence_chunks(text: str | Column, size: int = 1000, overlap: int = 200) ->
 
 def recursive_chunks(text: str | Column, size: int = 1000, overlap: int = 200) -> Column:
     ship_package()
+    small_batches()
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def _udf(s: pd.Series) -> pd.Series:

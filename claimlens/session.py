@@ -82,6 +82,15 @@ def small(df, rows: int = 100_000):
     return F.broadcast(made) if made.count() <= rows else made
 
 
+def small_batches(spark=None, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` rows, for Python over whole texts: a worker holds a batch of them, their chunks and both
+    as Arrow at once."""
+    spark = spark or SparkSession.getActiveSession()
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark is not None and not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 _SHIPPED: set[str] = set()
 
 
