@@ -120,3 +120,17 @@ def test_recursive_chunks_of_hand_made_texts():
     assert split_recursive("p\n\nqq rr ss\n\nt", 7, 0) == ["p", "qq rr", "ss", "t"]
     assert split_recursive("abcdefgh", 3, 1) == ["abc", "cde", "efg", "gh"]
     assert split_recursive("abcdefgh ij", 3, 0, [" "]) == ["abcdefgh", "ij"]
+
+
+@pytest.mark.parametrize("method", ["sentence", "recursive"])
+def test_chunkers_hold_few_texts_at_a_time(spark, method):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        docs = spark.range(2500).select(F.col("id").alias("doc_id"), F.concat(F.lit("A sentence. "), F.repeat(F.lit("word "), 250)).alias("text")).coalesce(1)
+        chunks = CH.chunk_table(docs, "doc_id", "text", method)
+        assert int(spark.conf.get(key)) <= 1000
+        assert chunks.select("doc_id").distinct().count() == 2500
+    finally:
+        spark.conf.set(key, before)
