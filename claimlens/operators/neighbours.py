@@ -351,16 +351,20 @@ def refined(sample: np.ndarray, cells: int, rounds: int = 10) -> np.ndarray:
     return np.unique(centres, axis=0)
 
 
-def _probe(centres: np.ndarray, block: np.ndarray, of: np.ndarray, probes: int):
-    """(block, uid, vec) for all blocks of the ``probes`` nearest cells."""
+def _probe(centres: np.ndarray, block: np.ndarray, of: np.ndarray, probes: int, pairs: int = 1 << 14):
+    """(block, uid, vec) for all blocks of the ``probes`` nearest cells, ``pairs`` rows at a time."""
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, (1 << 21) // max(1, len(block), len(centres)))
         for b in batches:
-            near = np.argsort(squares(matrix(_column(b, "vec"), centres.shape[1]), centres)[0], axis=1, kind="stable")[:, :probes]
-            wanted = np.zeros((b.num_rows, len(centres)), bool)
-            np.put_along_axis(wanted, near, True, axis=1)
-            row, at = np.nonzero(wanted[:, of])
-            part = b.select(["uid", "vec"]).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(block[at]), *part.columns], names=["block", "uid", "vec"])
+            x = matrix(_column(b, "vec"), centres.shape[1])
+            for i in range(0, b.num_rows, step):
+                near = np.argsort(squares(x[i:i + step], centres)[0], axis=1, kind="stable")[:, :probes]
+                wanted = np.zeros((len(near), len(centres)), bool)
+                np.put_along_axis(wanted, near, True, axis=1)
+                row, at = np.nonzero(wanted[:, of])
+                for a in range(0, len(row), pairs):
+                    part = b.select(["uid", "vec"]).take(pa.array(i + row[a:a + pairs]))
+                    yield pa.RecordBatch.from_arrays([pa.array(block[at[a:a + pairs]]), *part.columns], names=["block", "uid", "vec"])
     return fn
 
 

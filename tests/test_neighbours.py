@@ -145,3 +145,17 @@ def test_rows_travel_to_groups_not_to_blocks(spark):
     np.fill_diagonal(d, np.inf)
     want = np.argsort(d, axis=1)[:, :5]
     assert all([got[i][n] for n in range(1, 6)] == want[i].tolist() for i in range(len(x)))
+
+
+def test_probes_are_sent_in_parts(spark):
+    """The copies of a batch of queries leave in batches of bounded size, the same ones as all at once."""
+    import pyarrow as pa
+    rng = np.random.default_rng(2)
+    x, centres = rng.normal(size=(300, 4)), rng.normal(size=(40, 4))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(300)), pa.array(x.tolist())], names=["uid", "vec"])
+    block, of = np.arange(200) + 7, np.repeat(np.arange(40), 5)
+    sent = list(NB._probe(centres, block, of, 28)(iter([batch])))
+    assert max(b.num_rows for b in sent) <= 1 << 14 and sum(b.num_rows for b in sent) == 300 * 28 * 5
+    near = np.argsort(((x[:, None] - centres) ** 2).sum(axis=2), axis=1)[:, :28]
+    want = {(b, u) for u in range(300) for b, c in zip(block.tolist(), of.tolist()) if c in near[u]}
+    assert {(b, u) for s in sent for b, u in zip(s.column(0).to_pylist(), s.column(1).to_pylist())} == want
