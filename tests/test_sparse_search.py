@@ -59,3 +59,37 @@ def test_blocks_give_the_same_hits(spark):
     assert work[0] <= work[1]
     assert RT.search_topk(claims.limit(0), "claim_id", "t", chunks, 3, p).count() == 0
     assert RT.search_topk(claims, "claim_id", "t", chunks.limit(0), 3, p).count() == 0
+
+
+def test_dense_scores_are_those_of_the_search():
+    rows = vectors(50)
+    index = RT.Postings(range(50), [t for t, _ in rows], [w for _, w in rows])
+    for t, w in vectors(20):
+        every = index.scores(t, w)
+        got, score = index.search(t, w, 3)
+        assert np.allclose(every[got], score, atol=1e-12) and np.allclose(np.sort(every)[::-1][:3], np.pad(np.sort(score)[::-1], (0, 3))[:3], atol=1e-12)
+    assert index.scores(np.array([999]), np.array([1.0])).sum() == 0 and RT.Postings([], [], []).scores(np.array([1]), np.array([1.0])).size == 0
+
+
+def test_terms_are_counted_inside_the_row(spark):
+    """Counts and vectors against exploded terms: repeated ids (texts together, no n-gram across them), nulls, stop words, odd letters."""
+    df = spark.createDataFrame([(1, "The Carbon carbon target"), (1, "target of the carbon"), (2, None), (None, "Straße ÉTÉ été 42"), (None, "42 x carbon"), (3, ""), (4, "of the")],
+                               "id long, text string")
+    for ngram in ((1, 1), (1, 2), (2, 3)):
+        p = RT.TfidfParams(max_features=6, ngram=ngram)
+        tf = RT.terms(df, "id", "text", p).groupBy("id", "term").agg(F.count("*").alias("tf"))
+        want = {tuple(r) for r in tf.groupBy("term").agg(F.count("*"), F.sum("tf")).collect()}
+        assert {tuple(r) for r in RT.term_frequencies(df, "id", "text", p).collect()} == want
+        vocab, vectors = RT.corpus_vectors(df, p, "id", "text")
+        got = {(r["id"], r["term"]): r["w"] for r in vectors.collect()}
+        plain = {(r["id"], r["term"]): r["w"] for r in RT.vectorize(df, "id", "text", RT.fit_idf(df, "id", "text", p), p).collect()}
+        assert got.keys() == plain.keys() and all(abs(got[key] - plain[key]) < 1e-12 for key in got)
+
+
+def test_no_row_per_term_is_shuffled(spark):
+    """A text of 3,000 equal words sends one sum a term, and a vector is made in the task that holds the text."""
+    df = spark.range(40).selectExpr("id", "repeat('alpha beta ', 1500) AS text")
+    p = RT.TfidfParams(max_features=10)
+    plan = RT.term_frequencies(df, "id", "text", p)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
+    assert {tuple(r) for r in RT.term_frequencies(df, "id", "text", p).collect()} == {("alpha", 40, 60000), ("beta", 40, 60000), ("alpha beta", 40, 60000), ("beta alpha", 40, 59960)}
