@@ -223,3 +223,23 @@ def test_first_trees_are_the_smaller_ensemble(spark):
     fast = M.cross_validate_prefixes(d, [], gb, points, gb.maxIter, folds=2)
     slow = M.cross_validate(d, [], [(gb, p) for p in points], folds=2)
     assert np.allclose(fast, slow, atol=1e-9)
+
+
+def test_texts_are_split_once_for_all_folds(spark):
+    """The stages that learn nothing are applied once; the scores are those of a pipeline fitted a fold."""
+    words = ["solar", "coal", "wind", "offset", "audit", "target", "the"]
+    rows = [(i, " ".join(words[(i * 7 + j * j) % 7] for j in range(i % 5 + 1)), float(i % 3 == 0), 1.0, i // 2 % 3) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, t string, label double, weight double, fold int")
+    stages = M.feature_stages("t", [], [], vocab_size=50)
+    made, left = M.prepared(df, stages)
+    assert "_terms" in made.columns and not {"t", "_tok", "_w1"} & set(made.columns)
+    assert type(left[0]).__name__ == "CountVectorizer" and M.prepared(made, left)[1] == left
+    est = M.logistic(reg=0.1)
+    got = {r["id"]: (r["fold"], r["score"]) for r in M.out_of_fold(df, stages, est, "id", 3).collect()}
+    for f in range(3):
+        model = M.fit_pipeline(df.where(F.col("fold") != f), stages, est)
+        for r in M.scored(model.transform(df.where(F.col("fold") == f)), "id").collect():
+            assert got[r["id"]][0] == f and abs(got[r["id"]][1] - r["score"]) < 1e-6
+    assert len(got) == 60
+    models = M.calibrated_models(df, stages, est, "id", 3)
+    assert M.calibrated_scores(models, df.drop("fold"), "id").count() == 60  # the models take whole texts
