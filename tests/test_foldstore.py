@@ -203,3 +203,32 @@ def test_terms_are_counted_inside_the_row(spark):
     flat = {(r["id"], c["term"], c["tf"]) for r in got.collect() for c in r["counts"]}
     want = {tuple(r) for r in terms(df, "id", "text", TfidfParams()).groupBy("id", "term").count().collect()}
     assert flat == want and len(got.collect()) == 6
+
+
+def test_regressions_share_and_keep_hessians(spark, monkeypatch):
+    """The first pass makes one Hessian a set, and a model near its optimum asks for the gradient only; the optimum is exact."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 3))
+    y = (rng.random(300) < 1 / (1 + np.exp(-(x @ [1.0, -2.0, 0.5] + 0.3)))).astype(float)
+    rows = spark.createDataFrame([(0, float(t), float(t), v.tolist()) for t, v in zip(y, x)], "set int, label double, t double, x array<double>").coalesce(2)
+    passes = []
+
+    def counted(df, partial, columns):
+        found = plain(df, partial, columns)
+        passes.append((len(found), sum(bool(m[:columns - 1].any()) for m in found.values())))
+        return found
+
+    plain = FS.matrix_sums
+    monkeypatch.setattr(FS, "matrix_sums", counted)
+    points = [FS.Point(1.0, "l2"), FS.Point(0.1, "l2"), FS.Point(0.1, "l1"), FS.Point(1.0, "none")]
+    got = FS.fit_logistic(rows, {(0, 0.0): 1.0, (0, 1.0): 1.0}, {0: points}, 3)
+    assert passes[0] == (1, 1) and sum(full for _, full in passes) < sum(n for n, _ in passes)
+    full = np.hstack([x, np.ones((300, 1))])
+    for i, p in enumerate(points):
+        w = got[0, i]
+        grad = full.T @ (1 / (1 + np.exp(-full @ w)) - y)
+        if p.penalty == "l1":
+            assert (np.abs(grad[:3]) <= 1 / p.c + 1e-6).all() and np.allclose((grad[:3] + np.sign(w[:3]) / p.c)[w[:3] != 0], 0, atol=1e-5)
+        else:
+            assert np.allclose(grad[:3] + (w[:3] / p.c if p.penalty == "l2" else 0), 0, atol=1e-5)
+        assert abs(grad[3]) < 1e-5
