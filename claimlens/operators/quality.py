@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from claimlens.functions.stats import quantiles_wide
 from claimlens.functions.text import py_strip, word_count
-from claimlens.session import materialize, small, written
+from claimlens.session import materialize, written
 
 R = 6
 
@@ -122,12 +122,18 @@ def table_profile(df: DataFrame) -> DataFrame:
 
 
 def dedupe(df: DataFrame) -> DataFrame:
-    """Full-row duplicate removal.  Digests are counted first; only rows whose digest occurs again are shuffled (and one of
-    each kept), all others stay where they are."""
-    d = df.withColumn(DIGEST, row_digest(df))
-    again = small(d.groupBy(DIGEST).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > 1).select(DIGEST))
-    once = d.join(again, DIGEST, "left_anti").select(*df.columns)
-    return once.unionByName(d.join(again, DIGEST, "left_semi").dropDuplicates([DIGEST]).select(*df.columns))
+    """Full-row duplicate removal; NULLs are equal, as are 0.0 and -0.0.  The rows are evaluated once and shuffled once, behind a
+    task's own copies; rows with nested values are compared by digest."""
+    types, at = dict(df.dtypes), {c: F.col(f"`{c}`") for c in df.columns}
+    if any(t.startswith(("array", "struct", "map")) for t in types.values()):
+        return df.withColumn(DIGEST, row_digest(df)).dropDuplicates([DIGEST]).drop(DIGEST)
+    floats = {c: f"_float_{i}" for i, c in enumerate(df.columns) if types[c] in ("double", "float")}
+    if not floats:
+        return df.dropDuplicates()
+    zero = lambda c: F.when(at[c] == 0, F.lit(0.0).cast(types[c])).otherwise(at[c])
+    rows = df.select(*[zero(c).alias(c) if c in floats else at[c] for c in df.columns], *[at[c].alias(n) for c, n in floats.items()])
+    one = rows.groupBy(*at.values()).agg(*[F.first(n).alias(n) for n in floats.values()])
+    return one.select(*[F.col(floats[c]).alias(c) if c in floats else at[c] for c in df.columns])
 
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -93,3 +93,14 @@ def test_schema_report_and_contract(spark):
     assert filled["claim_category"] == "Unknown" and filled["claimed_value"] == 0.0
     with pytest.raises(ValueError):
         FE.fill_by_kind(c.select("claim_id"), [], [], "greenwashing_flag")
+
+
+def test_dedupe_evaluates_the_table_once(spark, tmp_path):
+    rows = [(1, 0.0, "a", None), (1, -0.0, "a", None), (1, 0.0, "a", 2), (1, None, "a", None), (1, float("nan"), "a", None), (1, float("nan"), "a", None), (2, -0.0, None, 3)]
+    spark.createDataFrame(rows, "id int, x double, t string, n int").write.parquet(str(tmp_path / "rows"))
+    out = Q.dedupe(spark.read.parquet(str(tmp_path / "rows")))
+    got = sorted((r["id"], str(None if r["x"] is None else abs(r["x"])), str(r["t"]), str(r["n"])) for r in out.collect())
+    assert got == [(1, "0.0", "a", "2"), (1, "0.0", "a", "None"), (1, "None", "a", "None"), (1, "nan", "a", "None"), (2, "0.0", "None", "3")]
+    assert out.columns == ["id", "x", "t", "n"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1 and "Join" not in plan
