@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimlens.functions.stats import prefix_sums
-from claimlens.operators.retrieval import TfidfParams, term_counts
-from claimlens.session import ship_package, written
+from claimlens.operators.retrieval import BUCKETS, HELD, TfidfParams, _counted, _hashed_grams, _marked_grams, _words, split_texts
+from claimlens.session import ship_package, small_batches, written
 
 #: Fold of the rows that no set may learn from.
 TEST = -1
@@ -298,27 +298,91 @@ def learning(sets: Sequence[frozenset[int]]):
     return ~F.array_contains(F.element_at(left, F.col("set") + 1), F.col("fold"))
 
 
-def _vectorise(vocabulary: list[str], place: np.ndarray, idf: np.ndarray):
-    known = pa.array(vocabulary, pa.string())
+def _sharing(lists: pa.ListArray, folds: list[int]) -> list[np.ndarray]:
+    """For every fold, how many of its rows share the texts of each id."""
+    fold, of = lists.flatten().field("fold"), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+    return [np.bincount(of[pc.fill_null(pc.equal(fold, f), False).to_numpy(zero_copy_only=False)], minlength=len(lists)) for f in folds]
+
+
+def _loads(folds: list[int], p: TfidfParams):
+    """Occurrences of the n-grams of several words in each bucket, over the rows of ``folds``."""
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        out = np.zeros(BUCKETS)
+        for b in batches:
+            names, code, of, row = _words(_column(b, "_toks"), p)
+            weight = sum(_sharing(_column(b, "rows"), folds), np.zeros(b.num_rows))
+            for n in range(2, p.ngram[1] + 1):
+                at, bucket = _hashed_grams(names, code, of, n)
+                out += np.bincount(bucket, weight[row[of[at]]], minlength=BUCKETS)
+        yield 0, out.reshape(-1, 64)
+    return partial
+
+
+def _fold_sums(folds: list[int], p: TfidfParams, marks: np.ndarray):
+    """(term, df and total of every fold) of the texts of a task, added up before they leave it; of several words, the terms in marked buckets."""
+    names = [f"{kind}{i}" for i in range(len(folds)) for kind in ("df", "total")]
+
+    def added(parts: list[pa.Table]) -> pa.Table:
+        t = pa.concat_tables(parts).group_by("term", use_threads=False).aggregate([(n, "sum") for n in names])
+        return t.select(["term", *[f"{n}_sum" for n in names]]).rename_columns(["term", *names])
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for b in batches:
-            lists, n = _column(b, "terms"), b.num_rows
-            u = pc.index_in(lists.flatten(), value_set=known)
-            held = u.is_valid().to_numpy(zero_copy_only=False)
-            row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)[held]
-            u = u.drop_null().to_numpy(zero_copy_only=False)
-            tf = _column(b, "tf").flatten().to_numpy(zero_copy_only=False)[held].astype(float)
-            carried = b.select([c for c in b.schema.names if c not in ("terms", "tf")])
+            sharing = _sharing(_column(b, "rows"), folds)
+            for row, gram, strings in _marked_grams(_column(b, "_toks"), p, marks):
+                row, gram, count = _counted(row, gram, len(strings))
+                sums = {}
+                for i, n in enumerate(sharing):
+                    sums[f"df{i}"] = np.bincount(gram, n[row], minlength=len(strings)).astype(np.int64)
+                    sums[f"total{i}"] = np.bincount(gram, n[row] * count, minlength=len(strings)).astype(np.int64)
+                at = np.flatnonzero(sum(sums[f"df{i}"] for i in range(len(folds))))
+                parts.append(pa.table({"term": strings.take(pa.array(at)), **{n: pa.array(sums[n][at]) for n in names}}))
+                held += len(at)
+            if held > HELD:
+                parts = [added(parts)]
+                held = parts[0].num_rows
+                if held > HELD // 2:
+                    yield from parts[0].combine_chunks().to_batches(max_chunksize=10_000)
+                    parts, held = [], 0
+        if parts:
+            yield from added(parts).combine_chunks().to_batches(max_chunksize=10_000)
+    return fn, "term string, " + ", ".join(f"{n} long" for n in names)
+
+
+def _vectorise(vocabulary: list[str], place: np.ndarray, idf: np.ndarray, params: TfidfParams):
+    known, marks = pa.array(vocabulary, pa.string()), np.zeros(BUCKETS, bool)
+    for term in vocabulary:
+        words = term.split(" ")
+        marks[_hashed_grams(pa.array(words, pa.string()), np.arange(len(words)), np.zeros(len(words), np.int64), len(words))[1]] = True
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, terms = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for row, gram, strings in _marked_grams(_column(b, "_toks"), params, marks):
+                u = pc.fill_null(pc.index_in(strings.cast(known.type), value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)[gram]
+                rows.append(row[u >= 0])
+                terms.append(u[u >= 0])
+            row, u, tf = _counted(np.concatenate(rows), np.concatenate(terms), len(known))
+            # every row of an id has the terms of the id's texts
+            lists = _column(b, "rows")
+            of = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            size = np.bincount(row, minlength=b.num_rows)
+            first, long = (np.cumsum(size) - size)[of], size[of]
+            row = np.repeat(np.arange(len(of)), long)
+            entry = np.arange(len(row)) - np.repeat(np.cumsum(long) - long - first, long)
+            u, tf, n = u[entry], tf[entry].astype(float), len(of)
+            flat = lists.flatten()
+            carried = {"id": _column(b, "id").take(pa.array(of)), **{c: flat.field(c) for c in ("fold", "label", "cats", "nums")}}
             for s in range(len(place)):
                 p = place[s, u]
                 x, at, p = (tf * idf[s, u])[p >= 0], row[p >= 0], p[p >= 0]
                 norm = np.sqrt(np.bincount(at, x * x, minlength=n))
                 order = np.lexsort((p, at))
                 starts = pa.array(np.r_[0, np.cumsum(np.bincount(at, minlength=n))], pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, s, np.int32)), *carried.columns, pa.ListArray.from_arrays(starts, pa.array(p[order], pa.int32())),
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, s, np.int32)), *carried.values(), pa.ListArray.from_arrays(starts, pa.array(p[order], pa.int32())),
                                                   pa.ListArray.from_arrays(starts, pa.array((x / np.where(norm > 0, norm, 1.0)[at])[order], pa.float64()))],
-                                                 names=["set", *carried.schema.names, "index", "value"])
+                                                 names=["set", *carried, "index", "value"])
     return fn
 
 
@@ -353,20 +417,38 @@ def build(df: DataFrame, id_col: str, label: str, text: str, categorical: Sequen
     spark, sets = df.sparkSession, list(sets)
     ship_package(spark)
     cats = [F.coalesce(F.col(c).cast("string"), F.lit("unknown")) for c in categorical]
-    base = written(df.select(F.col(id_col).alias("id"), F.col("fold").cast("int").alias("fold"), F.col(label).cast("double").alias("label"),
-                             F.coalesce(F.col(text), F.lit("")).alias("text"), F.array(*cats).cast("array<string>").alias("cats"),
-                             F.array(*[F.col(c).cast("double") for c in numeric]).cast("array<double>").alias("nums")), "fold-rows")
-    lists = term_counts(base, "id", "text", TfidfParams(max_features, (1, ngrams)))
-    docs = written(base.drop("text").join(lists, "id", "left").select("id", "fold", "label", "cats", "nums", F.col("counts.term").alias("terms"), F.col("counts.tf").alias("tf")), "fold-terms")
+    small_batches(spark)
+    p = TfidfParams(max_features, (1, ngrams))
+    base = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.struct(
+        F.col("fold").cast("int").alias("fold"), F.col(label).cast("double").alias("label"), F.array(*cats).cast("array<string>").alias("cats"),
+        F.array(*[F.col(c).cast("double") for c in numeric]).cast("array<double>").alias("nums")).alias("row"))
+    # the texts of an id are split once and written as tokens; terms are counted inside the row, so no row per term of a text is made
+    texts = base.groupBy("id").agg(F.collect_list(F.when(F.col("id").isNotNull(), F.coalesce(F.col("text"), F.lit("")))).alias("_texts"), F.collect_list("row").alias("rows"))
+    ids = written(texts.select("id", "rows", split_texts("_texts").alias("_toks")), "fold-tokens")
+    docs = ids.select("id", F.explode("rows").alias("r")).select("id", "r.*")
     here = F.explode(F.array(*[F.lit(i) for i in range(len(sets))])).alias("set")
 
-    # one row per term with its counts of every fold; a set adds up the folds it learns from, and a task keeps a set's most frequent terms
+    # tasks send one row per term with its counts of every fold; a set adds up the folds it learns from, and a task keeps a set's most frequent terms
     folds = sorted(r[0] for r in docs.select("fold").distinct().collect() if r[0] is not None) or [0]
-    each = docs.select("fold", F.explode(F.arrays_zip("terms", "tf")).alias("t")).select("fold", F.col("t.terms").alias("term"), F.col("t.tf").alias("n"))
-    by_term = each.groupBy("term").agg(*[F.count_if(F.col("fold") == f).alias(f"df{i}") for i, f in enumerate(folds)],
-                                       *[F.coalesce(F.sum(F.when(F.col("fold") == f, F.col("n"))), F.lit(0)).alias(f"total{i}") for i, f in enumerate(folds)])
-    of_set = by_term.mapInArrow(_most_frequent(sets, folds, max_features), "set int, term string, df long, total long")
-    top = of_set.withColumn("place", F.row_number().over(Window.partitionBy("set").orderBy(F.desc("total"), "term")) - 1).filter(F.col("place") < max_features)
+
+    def counted(grams: tuple[int, int], marks: np.ndarray) -> DataFrame:
+        sums, kinds = _fold_sums(folds, TfidfParams(max_features, grams), marks)
+        return ids.select("rows", "_toks").mapInArrow(sums, kinds).groupBy("term").agg(*[F.sum(f"{kind}{i}").alias(f"{kind}{i}") for kind in ("df", "total") for i in range(len(folds))])
+
+    def most_frequent(by_term: DataFrame) -> DataFrame:
+        of_set = by_term.mapInArrow(_most_frequent(sets, folds, max_features), "set int, term string, df long, total long")
+        return of_set.withColumn("place", F.row_number().over(Window.partitionBy("set").orderBy(F.desc("total"), "term")) - 1).filter(F.col("place") < max_features)
+
+    by_term = counted((1, 1), np.zeros(0, bool))
+    if ngrams > 1:
+        # a term of several words can only be chosen if it occurs as often as a set's last word of ``max_features``; terms are spread over
+        # buckets, and those of a bucket whose terms all together occur less often are not counted
+        by_term = written(by_term, "fold-words")
+        last = {r["set"]: r["total"] for r in most_frequent(by_term).filter(F.col("place") == max_features - 1).collect()}
+        loads = matrix_sums(ids.select("rows", "_toks"), _loads([f for f in folds if any(f not in s for s in sets)], p), 64).get(0)
+        marks = padded(loads, BUCKETS // 64, 64).ravel() >= max(1, min(last.get(s, 1) for s in range(len(sets))))
+        by_term = by_term.unionByName(counted((2, ngrams), marks))
+    top = most_frequent(by_term)
     rows = docs.select("fold", "cats", "nums", here).filter(learning(sets))
     sizes = dict(rows.groupBy("set").count().collect())
     vocab = top.select("set", "term", "df", "place").collect()  # at most sets x max_features rows
@@ -376,13 +458,15 @@ def build(df: DataFrame, id_col: str, label: str, text: str, categorical: Sequen
     for s, term, n, at in vocab:
         place[s, vocabulary[term]] = at
         idf[s, vocabulary[term]] = np.log((1 + sizes[s]) / (1 + n)) + 1
-    schema = T.StructType([T.StructField("set", T.IntegerType()), *[f for f in docs.schema.fields if f.name not in ("terms", "tf")],
+    schema = T.StructType([T.StructField("set", T.IntegerType()), *docs.schema.fields,
                            T.StructField("index", T.ArrayType(T.IntegerType())), T.StructField("value", T.ArrayType(T.DoubleType()))])
     # test rows are asked of the sets that leave out one fold at most
     asked = learning(sets) | (F.col("fold") != TEST) | F.array(*[F.lit(len(s) <= 2) for s in sets])[F.col("set")]
     # set by set, so that a task that sums matrices holds those of few sets
-    vectors = docs.mapInArrow(_vectorise(words, place, idf), schema).filter(asked).withColumn("_slot", F.xxhash64("id"))
-    sparse = written(vectors.repartitionByRange("set", "_slot").sortWithinPartitions("set").drop("_slot"), "fold-vectors")
+    vectors = ids.mapInArrow(_vectorise(words, place, idf, p), schema).filter(asked)
+    if len(sets) > 1:  # the ranges are sampled, so the vectors are made twice
+        vectors = vectors.withColumn("_slot", F.xxhash64("id")).repartitionByRange("set", "_slot").sortWithinPartitions("set").drop("_slot")
+    sparse = written(vectors, "fold-vectors")
     svd = directions_of(sparse.filter(learning(sets)), {s: int((place[s] >= 0).sum()) for s in range(len(sets))}, k)
 
     seen = {(s, c): [] for s in range(len(sets)) for c in range(len(categorical))}

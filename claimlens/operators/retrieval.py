@@ -27,6 +27,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.feature import StopWordsRemover
@@ -83,15 +84,19 @@ def _grams(tok: Column, p: TfidfParams) -> Column:
     return grams[0] if len(grams) == 1 else F.concat(*grams)
 
 
+def split_texts(texts: str) -> Column:
+    """The tokens of each text of an array."""
+    return F.transform(texts, lambda t: F.regexp_extract_all(F.lower(t), F.lit(TOKEN), 0))
+
+
 def _tokens(df: DataFrame, id_col: str, text: str, *more: str) -> DataFrame:
     """(id, tokens of each text of the id, further columns): the texts of a repeated id meet, null is empty."""
     texts = df.groupBy(id_col, *more).agg(F.collect_list(F.coalesce(F.col(text), F.lit(""))).alias("_texts"))
-    words = F.transform("_texts", lambda t: F.regexp_extract_all(F.lower(t), F.lit(TOKEN), 0))
-    return texts.select(id_col, *more, words.alias("_toks"))
+    return texts.select(id_col, *more, split_texts("_texts").alias("_toks"))
 
 
-def _row_grams(rows: pa.ListArray, p: TfidfParams) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
-    """For each n of ``p.ngram``: (row of every n-gram, its place among the strings, the strings) of the texts' tokens of an Arrow batch."""
+def _words(rows: pa.ListArray, p: TfidfParams) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words, their numbers word by word, text of each word, row of each text) of an Arrow batch of texts' tokens, without stop words."""
     texts = rows.flatten()
     words = texts.flatten().dictionary_encode()
     names, code = words.dictionary, words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -100,6 +105,12 @@ def _row_grams(rows: pa.ListArray, p: TfidfParams) -> Iterator[tuple[np.ndarray,
         kept = ~pc.is_in(names, value_set=pa.array([w.lower() for w in p.stop_words], names.type)).to_numpy(zero_copy_only=False)[code]
         code, of = code[kept], of[kept]
     row = pc.list_parent_indices(rows).to_numpy(zero_copy_only=False).astype(np.int64)
+    return names, code, of, row
+
+
+def _row_grams(rows: pa.ListArray, p: TfidfParams) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """For each n of ``p.ngram``: (row of every n-gram, its place among the strings, the strings) of the texts' tokens of an Arrow batch."""
+    names, code, of, row = _words(rows, p)
     at, gram, strings = np.arange(len(code)), code, names
     for n in range(1, p.ngram[1] + 1):
         if n > 1:
@@ -112,6 +123,36 @@ def _row_grams(rows: pa.ListArray, p: TfidfParams) -> Iterator[tuple[np.ndarray,
             yield row[of[at]], gram, strings
 
 
+#: Buckets over which n-grams of several words are spread by hash.
+BUCKETS = 1 << 20
+
+
+def _hashed_grams(names: pa.Array, code: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the first word, bucket) of every n-gram of n words."""
+    h = pd.util.hash_array(np.asarray(names.to_pylist(), object)) if len(names) else np.zeros(0, np.uint64)
+    at = np.arange(max(len(code) - n + 1, 0))
+    at = at[of[at + n - 1] == of[at]]
+    mix = np.zeros(len(at), np.uint64)
+    for j in range(n):
+        mix = (mix ^ h[code[at + j]]) * np.uint64(0x9E3779B97F4A7C15)
+    return at, (mix >> np.uint64(44)).astype(np.int64)
+
+
+def _marked_grams(rows: pa.ListArray, p: TfidfParams, marks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """``_row_grams``, of several words those in a marked bucket only: all others are left out before they become strings."""
+    names, code, of, row = _words(rows, p)
+    if p.ngram[0] == 1:
+        yield row[of], code, names
+    for n in range(max(p.ngram[0], 2), p.ngram[1] + 1):
+        at, bucket = _hashed_grams(names, code, of, n)
+        at = at[marks[bucket]]
+        gram, strings = code[at], names
+        for j in range(1, n):
+            pair, gram = np.unique(gram * max(len(names), 1) + code[at + j], return_inverse=True)
+            strings = pc.binary_join_element_wise(strings.take(pa.array(pair // max(len(names), 1))), names.take(pa.array(pair % max(len(names), 1))), " ")
+        yield row[of[at]], gram, strings
+
+
 def _counted(row: np.ndarray, gram: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, gram, count) of the distinct pairs, by row and gram."""
     pair, count = np.unique(row * max(n, 1) + gram, return_counts=True)

@@ -6,6 +6,8 @@ These are iterative algorithms, so they carry no SQL oracle (rows-only check);
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from claimlens.operators import curves as CV
@@ -90,9 +92,9 @@ STORE_NUMS = ["claimed_value", "actual_measured_value", "report_year", "abs_valu
 GRID = [FS.Point(c, p) for c in M.C_GRID for p in M.PENALTIES]
 
 
-def _store(spark, sf, sets):
+def _store(spark, sf, sets, claims=None):
     """The labelled claims as a feature store: nothing learns from the test part (fold ``FS.TEST``)."""
-    d = labelled(spark, sf).withColumn("value_deviation", F.col("actual_measured_value") - F.col("claimed_value"))
+    d = (labelled(spark, sf) if claims is None else claims).withColumn("value_deviation", F.col("actual_measured_value") - F.col("claimed_value"))
     d = value_features(d).withColumn("fold", F.when(F.col("split") == "test", F.lit(FS.TEST)).otherwise(F.col("fold")))
     return FS.build(d, "claim_id", "label", TEXT, STORE_CATS, STORE_NUMS, sets, max_features=2000, ngrams=2, k=SVD_K)
 
@@ -179,21 +181,26 @@ def _training_results(spark, sf):
     the state of the retrieval tables."""
     from claimlens.plans.q_retrieval import corpus_chunks
     d = labelled(spark, sf)
-    rows = []
-    scored = M.scored(M.fit_pipeline(_part(d, "train"), stages(), M.logistic(weight_col="weight")).transform(_part(d, "test")), "claim_id")
-    rows.append(CV.binary_metrics(scored).select(F.lit("sparse").alias("model"), F.lit("greenwash").alias("task"), "accuracy", "f1"))
-    rows.append(_svd_lr(spark, sf).select(F.lit("dense").alias("model"), F.lit("greenwash").alias("task"), "accuracy", "f1"))
-    rows.append(_category_metrics(spark, sf).select(F.lit("sparse").alias("model"), F.lit("category").alias("task"), "accuracy", "f1"))
-    c = claims_txt(spark, sf, ["claim_id", TEXT, "claim_category"]).where(F.col("claim_category").isNotNull())
-    c = stratified_split(c, "claim_id", "claim_category").withColumn("fold", F.when(F.col("split") == "test", F.lit(FS.TEST)).otherwise(F.lit(0)))
-    from pyspark.ml.feature import StringIndexer
-    from pyspark.ml.functions import array_to_vector
-    c = StringIndexer(inputCol="claim_category", outputCol="label", stringOrderType="alphabetAsc").fit(c).transform(c)
-    store = FS.build(c, "claim_id", "label", TEXT, [], [], [frozenset({FS.TEST})], max_features=2000, ngrams=2, k=SVD_K).table
-    dense = store.select("fold", "label", array_to_vector("x").alias("features"))
-    m = M.logistic(weight_col=None, family="multinomial", reg=1e-3).fit(dense.where(F.col("fold") != FS.TEST))
-    got = m.transform(dense.where(F.col("fold") == FS.TEST))
-    rows.append(CV.multiclass_metrics(got, "label", "prediction").select(F.lit("dense").alias("model"), F.lit("category").alias("task"), "accuracy", "f1"))
+
+    def sparse_flag():
+        return CV.binary_metrics(M.scored(M.fit_pipeline(_part(d, "train"), stages(), M.logistic(weight_col="weight")).transform(_part(d, "test")), "claim_id"))
+
+    def dense_category():
+        from pyspark.ml.feature import StringIndexer
+        from pyspark.ml.functions import array_to_vector
+        c = claims_txt(spark, sf, ["claim_id", TEXT, "claim_category"]).where(F.col("claim_category").isNotNull())
+        c = materialize(stratified_split(c, "claim_id", "claim_category").withColumn("fold", F.when(F.col("split") == "test", F.lit(FS.TEST)).otherwise(F.lit(0))))
+        c = StringIndexer(inputCol="claim_category", outputCol="label", stringOrderType="alphabetAsc").fit(c).transform(c)
+        store = FS.build(c, "claim_id", "label", TEXT, [], [], [frozenset({FS.TEST})], max_features=2000, ngrams=2, k=SVD_K).table
+        dense = store.select("fold", "label", array_to_vector("x").alias("features"))
+        m = M.logistic(weight_col=None, family="multinomial", reg=1e-3).fit(dense.where(F.col("fold") != FS.TEST))
+        return CV.multiclass_metrics(m.transform(dense.where(F.col("fold") == FS.TEST)), "label", "prediction")
+
+    asked = [("sparse", "greenwash", sparse_flag), ("dense", "greenwash", lambda: _svd_lr(spark, sf, d)),
+             ("sparse", "category", lambda: _category_metrics(spark, sf)), ("dense", "category", dense_category)]
+    with ThreadPoolExecutor(len(asked)) as pool:  # each thread only starts Spark jobs; their short iterations wait for each other
+        made = list(pool.map(lambda a: materialize(a[2]().select(F.lit(a[0]).alias("model"), F.lit(a[1]).alias("task"), "accuracy", "f1")), asked))
+    rows = list(made)
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
@@ -247,9 +254,9 @@ def _svd(spark, sf):
     return store.table.select(F.col("id").alias("claim_id"), F.col("x").alias("svd"))
 
 
-def _svd_lr(spark, sf):
+def _svd_lr(spark, sf, claims=None):
     """I2 into J11: directions and scales learned on the training part feed the regression; held-out metrics."""
-    store = _store(spark, sf, [frozenset({FS.TEST})])
+    store = _store(spark, sf, [frozenset({FS.TEST})], claims)
     learn = written(store.table.filter(FS.learning(store.sets)).withColumn("t", F.col("label")), "svd-learning")
     models = FS.fit_logistic(learn, FS.class_weights(store), {0: [FS.Point(1.0, "l2")]}, store.width)
     scored = FS.margins(store, models).select("label", F.col("margin").alias("score"), (F.col("margin") > 0).cast("int").alias("pred"))

@@ -232,3 +232,29 @@ def test_regressions_share_and_keep_hessians(spark, monkeypatch):
         else:
             assert np.allclose(grad[:3] + (w[:3] / p.c if p.penalty == "l2" else 0), 0, atol=1e-5)
         assert abs(grad[3]) < 1e-5
+
+
+def test_rare_pairs_are_left_out_exactly(spark):
+    """The vocabulary is that of a full count, while pairs in buckets of too few occurrences are not counted."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice([f"w{j}" for j in range(60)], 30, p=np.arange(60, 0, -1) / 1830)) for _ in range(60)] + [None, ""]
+    df = spark.createDataFrame([(i, i % 3 - 1, float(i % 2), t) for i, t in enumerate(texts)], "id long, fold int, label double, text string")
+    total = {}
+    for i, t in enumerate(texts):
+        words = (t or "").split() if i % 3 else []
+        for term in [*words, *[f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]]:
+            total[term] = total.get(term, 0) + 1
+    best = sorted(total, key=lambda t: (-total[t], t))[:40]
+    marked = {}
+    real = FS._vectorise
+    FS._vectorise = lambda words, *a: marked.update(words=words) or real(words, *a)
+    try:
+        store = FS.build(df, "id", "label", "text", [], [], [frozenset({FS.TEST})], max_features=40, ngrams=2, k=5)
+    finally:
+        FS._vectorise = real
+    assert marked["words"] == sorted(best) and store.table.count() == len(texts)
+    from claimlens.operators.retrieval import BUCKETS, TfidfParams
+    import pyarrow as pa
+    sums, _ = FS._fold_sums([0], TfidfParams(40, (2, 2)), np.zeros(BUCKETS, bool))
+    batch = pa.RecordBatch.from_arrays([pa.array([[{"fold": 0}]]), pa.array([[["stone", "tree", "stone"]]])], names=["rows", "_toks"])
+    assert sum(b.num_rows for b in sums(iter([batch]))) == 0
