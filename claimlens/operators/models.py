@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from claimlens.functions.text import TOKEN, english_stop_words
 from claimlens.operators import curves as CV
 from claimlens.operators.balance import smote
-from claimlens.session import materialize
+from claimlens.session import materialize, written
 
 # The regularisation grid (C values and penalties) of the calibrated model.
 C_GRID = [0.01, 0.1, 1, 10, 100]
@@ -140,8 +140,24 @@ def prob1(col: str = "probability"):
     return vector_to_array(F.col(col))[1]
 
 
+def _inputs(stages: list) -> set:
+    """The columns that stages read."""
+    return {c for s in stages for c in ([s.source] if isinstance(s, (SmoothedIdf, PopulationScaler)) else
+                                        [*([s.getInputCol()] if s.hasParam("inputCol") and s.isDefined("inputCol") else []),
+                                         *(s.getInputCols() if s.hasParam("inputCols") and s.isDefined("inputCols") else [])])}
+
+
 def fit_pipeline(df: DataFrame, stages: list, estimator) -> PipelineModel:
-    return Pipeline(stages=[*stages, estimator]).fit(df)
+    """The fitted stages and estimator.  The texts are split for the vocabulary and for the term counts, which are written: the stages behind
+    them and the estimator's passes read these and no text."""
+    n = next((i + 1 for i, s in enumerate(stages) if isinstance(s, CountVectorizer)), 0)
+    if not n:
+        return Pipeline(stages=[*stages, estimator]).fit(df)
+    terms, rest = Pipeline(stages=stages[:n]).fit(df), [*stages[n:], estimator]
+    asked = _inputs(rest) | {estimator.getOrDefault(p) for p in ("labelCol", "weightCol") if estimator.hasParam(p) and estimator.isDefined(p)}
+    made = terms.transform(df)
+    counts = written(made.select(*[c for c in made.columns if c in asked]), "term-counts")
+    return PipelineModel([*terms.stages, *Pipeline(stages=rest).fit(counts).stages])
 
 
 def prepared(df: DataFrame, stages: list) -> tuple[DataFrame, list]:
@@ -151,9 +167,7 @@ def prepared(df: DataFrame, stages: list) -> tuple[DataFrame, list]:
     if not n:
         return df, list(stages)
     made = Pipeline(stages=stages[:n]).fit(df).transform(df)
-    asked = {c for s in stages[n:] for c in ([s.source] if isinstance(s, (SmoothedIdf, PopulationScaler)) else
-                                            [*([s.getInputCol()] if s.hasParam("inputCol") and s.isDefined("inputCol") else []),
-                                             *(s.getInputCols() if s.hasParam("inputCols") and s.isDefined("inputCols") else [])])}
+    asked = _inputs(stages[n:])
     read = {s.getInputCol() for s in stages[:n] if s.hasParam("inputCol")} | (set(made.columns) - set(df.columns))
     return materialize(made.drop(*[c for c in made.columns if c in read - asked])), list(stages[n:])
 

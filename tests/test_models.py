@@ -243,3 +243,17 @@ def test_texts_are_split_once_for_all_folds(spark):
     assert len(got) == 60
     models = M.calibrated_models(df, stages, est, "id", 3)
     assert M.calibrated_scores(models, df.drop("fold"), "id").count() == 60  # the models take whole texts
+
+
+def test_fit_pipeline_splits_the_texts_twice(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(t):
+        read.add(1)
+        return t
+    rows = [(i, f"word{i % 7} stone {'tree' if i % 2 else 'lake'}", float(i % 2), 1.0, float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, t string, label double, weight double, v double").withColumn("t", seen("t"))
+    m = M.fit_pipeline(df, M.feature_stages("t", [], ["v"], vocab_size=50), M.logistic(weight_col="weight", reg=0.1))
+    assert read.value <= 2 * len(rows)  # for the vocabulary and for the counts; five times before
+    assert m.transform(df).where("prediction = label").count() == len(rows)
