@@ -63,7 +63,7 @@ class Trie:
         self.step = np.zeros((len(piece), 256), np.uint16 if len(piece) < 1 << 16 else np.int32)
         for (node, b), child in edges.items():
             self.step[node, b] = child
-        self.size, self.piece, self.longest = len(pieces), np.array(piece, np.int32), max(map(len, pieces))
+        self.size, self.piece, self.longest = len(pieces), np.array(piece, np.int64), max(map(len, pieces))
 
 
 _TRIES: dict[str, Trie] = {}
@@ -76,12 +76,19 @@ def trie(path: str) -> Trie:
 
 
 class Units:
-    """Distinct words of a slice of texts, each with the word mark, and their matches with the trie."""
+    """Distinct words of a slice of texts, each with the word mark, and their matches with the trie.
+
+    Units are numbered by falling length, and a state is a place in a unit: those of one offset lie side by side, in the order of
+    the units.  So the units that reach an offset are the first ones, and a pass over the offsets reads and writes rows of memory."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray, t: Trie):
         words = Words(data, offs, ALNUM)
         self.first, self.counts = words.first, words.counts()
-        _, at, self.unit = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        _, at, unit = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        order = np.argsort(words.start[at] - words.end[at], kind="stable")
+        place = np.empty(len(at), np.int64)
+        place[order] = np.arange(len(at))
+        at, self.unit = at[order], place[unit]
         start, size = words.start[at], words.end[at] - words.start[at]
         digits = np.r_[0, np.cumsum((data >= 48) & (data <= 57))]
         self.plain = digits[words.end[at]] == digits[words.start[at]]  # units without a digit
@@ -89,96 +96,117 @@ class Units:
         upper = (low >= 65) & (low <= 90)
         low[upper] += 32
         self.length = size + len(MARK)
-        self.begin = np.cumsum(self.length + 1) - self.length - 1  # place of a unit's first state
-        self.states = int((self.length + 1).sum())
-        text = np.zeros(self.states, np.uint8)  # byte that follows each state
-        for i, b in enumerate(MARK):
-            text[self.begin + i] = b
+        self.span = int(self.length.max(initial=0))
+        self.reach = np.searchsorted(-self.length, -np.arange(self.span + 2), "right")  # units of at least each length
+        self.begin = np.r_[0, np.cumsum(self.reach)]  # first state of each offset
+        text = np.zeros(self.begin[-1], np.uint8)  # byte that follows each state
+        for i, b in enumerate(MARK[:self.span]):
+            text[self.begin[i]:self.begin[i] + len(at)] = b
         inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        text[np.repeat(self.begin + len(MARK), size) + inner] = low[np.repeat(start, size) + inner]
+        text[self.begin[inner + len(MARK)] + np.repeat(np.arange(len(at)), size)] = low[np.repeat(start, size) + inner]
         self.text, self.trie = text, t
-        self.longest_first = np.argsort(-self.length, kind="stable")
-        self.shorter = np.sort(-self.length)  # for the number of units longer than an offset
-        self.span = int(self.length.max(initial=0))
+        self.end = self.begin[self.length] + np.arange(len(at))
+        self.long = int(self.reach[UNIT]) if self.span >= UNIT else 0  # units that are ever scaled
         self.kept = [self._match(offset) for offset in range(min(self.span, KEPT))]
 
-    def live(self, offset: int) -> np.ndarray:
-        """Units longer than ``offset``."""
-        return self.longest_first[:np.searchsorted(self.shorter, -offset, "left")]
+    def at(self, a: np.ndarray, offset: int, units: int | None = None) -> np.ndarray:
+        """The states of ``offset``, of the first ``units`` at most, in the last axis of ``a``."""
+        n = self.reach[offset] if units is None else min(units, self.reach[offset])
+        return a[..., self.begin[offset]:self.begin[offset] + n]
 
-    def _match(self, offset: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(state before, state after, piece) of all matches from ``offset`` on, by length."""
-        t, out, live = self.trie, [], self.live(offset)
-        state, node, end = self.begin[live] + offset, np.zeros(len(live), t.step.dtype), self.begin[live] + self.length[live]
+    def _match(self, offset: int) -> list[tuple[int, np.ndarray | slice, np.ndarray]]:
+        """(offset after, units in rising order, piece) of all matches from ``offset`` on, by length."""
+        t, out = self.trie, []
+        unit, node = np.arange(self.reach[offset + 1]), np.zeros(self.reach[offset + 1], t.step.dtype)
         for d in range(t.longest):
-            node = t.step[node, self.text[state + d]]
-            more = node > 0
-            state, node, end = state[more], node[more], end[more]
-            hit = t.piece[node] >= 0
-            out.append((state[hit], state[hit] + d + 1, t.piece[node[hit]]))
-            more = state + d + 1 < end
-            state, node, end = state[more], node[more], end[more]
-            if not len(state):
+            node = t.step[node, self.at(self.text, offset + d)[unit]]
+            more = np.flatnonzero(node)
+            if len(more) < len(node):
+                unit, node = unit[more], node[more]
+            piece = t.piece[node]
+            hit = np.flatnonzero(piece >= 0)
+            if len(hit):
+                whole = len(hit) == self.reach[offset + 1]  # every unit: no need to pick
+                out.append((offset + d + 1, slice(len(hit)) if whole else unit[hit], piece[hit]))
+            if offset + d + 1 >= self.span:
+                break
+            go = np.searchsorted(unit, self.reach[offset + d + 2])  # units that have one more byte
+            unit, node = unit[:go], node[:go]
+            if not go:
                 break
         return out
 
-    def matches(self, offset: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def matches(self, offset: int) -> list[tuple[int, np.ndarray | slice, np.ndarray]]:
         """The matches of the first offsets are remembered, those of long words found again."""
         return self.kept[offset] if offset < KEPT else self._match(offset)
 
-    def _rescale(self, a: np.ndarray, scale: np.ndarray, offset: int) -> tuple[np.ndarray, np.ndarray]:
+    def _rescale(self, a: np.ndarray, scale: np.ndarray, offset: int) -> tuple[range, np.ndarray]:
         """Brings the states from ``offset`` on that a pass still reads to a largest value of 1; ``scale`` of their units
-        takes the logarithm.  Returns the states and the logarithms."""
-        live = self.live(offset - 1)
-        at = self.begin[live][:, None] + offset + np.arange(self.trie.longest + 1)
-        inside = at <= (self.begin + self.length)[live][:, None]
-        rows, unit = at[inside], np.repeat(np.arange(len(live)), inside.sum(axis=1))
-        most = np.zeros((len(live), a.shape[1]))
-        np.maximum.at(most, unit, a[rows])
+        takes the logarithm.  Returns the offsets and the logarithms."""
+        n = int(self.reach[offset])
+        read = range(offset, min(offset + self.trie.longest, self.span) + 1)
+        most = np.zeros((len(a), n))
+        for o in read:
+            states = self.at(a, o)
+            np.maximum(most[:, :states.shape[1]], states, out=most[:, :states.shape[1]])
         most = np.where(most > 0, most, 1.0)
-        a[rows] /= most[unit]
-        scale[live] += np.log(most)
-        return rows, np.log(most)[unit]
+        for o in read:
+            states = self.at(a, o)
+            states /= most[:, :states.shape[1]]
+        scale[:, :n] += np.log(most)
+        return read, np.log(most)
 
     def forward(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sum over all segmentations up to each state, and the logarithm of its scale; ``p`` is pieces x languages."""
-        a, log = np.zeros((self.states, p.shape[1])), np.zeros((self.states, p.shape[1]))
-        scale = np.zeros((len(self.length), p.shape[1]))
-        a[self.begin] = 1.0
+        """Sum over all segmentations up to each state, and the logarithm of its scale; ``p`` is languages x pieces.  Both are languages x
+        states; scales are set where a state is one of the ``long`` first units, and 0 elsewhere."""
+        a, log = np.zeros((len(p), self.begin[-1])), np.zeros((len(p), self.begin[-1]))
+        scale = np.zeros((len(p), len(self.length)))
+        a[:, :len(self.length)] = 1.0
         for offset in range(self.span):
             if offset and offset % UNIT == 0:
                 self._rescale(a, scale, offset)
             if offset >= UNIT:  # what follows is on the unit's present scale
-                live = self.live(offset)
-                log[self.begin[live] + offset] = scale[live]
-            for before, after, piece in self.matches(offset):
-                a[after] += a[before] * p[piece]
-        log[self.begin + self.length] = scale
+                states = self.at(log, offset, int(self.reach[offset + 1]))
+                states[:] = scale[:, :states.shape[1]]
+            for after, unit, piece in self.matches(offset):
+                for own, q in zip(a, p, strict=True):
+                    self.at(own, after)[unit] += self.at(own, offset)[unit] * q[piece]
+        log[:, self.end[:self.long]] = scale[:, :self.long]
         return a, log
 
     def whole(self, p: np.ndarray) -> np.ndarray:
-        """Log-probability of every unit under every language."""
-        a, log = self.forward(p)
-        end = self.begin + self.length
-        return np.log(a[end]) + log[end]
+        """Log-probability of every unit under every language; ``p`` is pieces x languages."""
+        a, log = self.forward(np.ascontiguousarray(p.T))
+        return (np.log(a[:, self.end]) + log[:, self.end]).T
 
     def expected(self, p: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(unit, piece, expected count) of matches in the segmentations of each unit, where all pieces have probability ``p``."""
-        a, log_a = self.forward(np.full((self.trie.size, 1), p))
-        end = self.begin + self.length
-        z = np.log(a[end, 0]) + log_a[end, 0]
-        unit = np.repeat(np.arange(len(self.length)), self.length + 1)  # unit of each state
-        b, log_b, scale = np.zeros((self.states, 1)), np.zeros(self.states), np.zeros((len(self.length), 1))
-        b[end] = 1.0
+        a, log_a = (x[0] for x in self.forward(np.full((1, self.trie.size), p)))
+        z = np.log(a[self.end]) + log_a[self.end]
+        share = p / a[self.end]
+        share[:self.long] = p  # the long ones have scales
+        b, log_b, scale = np.zeros((1, len(a))), np.zeros(len(a)), np.zeros((1, len(self.length)))
+        b[0, self.end] = 1.0
         for offset in reversed(range(self.span)):
             if (offset + 1) % UNIT == 0:
-                rows, more = self._rescale(b, scale, offset + 1)
-                log_b[rows] += more[:, 0]
-            live = self.live(offset)
-            log_b[self.begin[live] + offset] = scale[live, 0]
-            for before, after, piece in self.matches(offset):
-                yield unit[before], piece, a[before, 0] * p * b[after, 0] * np.exp(log_a[before, 0] + log_b[after] - z[unit[before]])
-                b[before, 0] += b[after, 0] * p
+                offsets, more = self._rescale(b, scale, offset + 1)
+                for o in offsets:
+                    states = self.at(log_b, o)
+                    states += more[0, :len(states)]
+            n = int(self.reach[offset + 1])
+            scaled = min(n, self.long)
+            self.at(log_b, offset, scaled)[:] = scale[0, :scaled]
+            front, own = self.at(a, offset, n) * share[:n], self.at(b[0], offset)
+            for after, unit, piece in self.matches(offset):
+                back = self.at(b[0], after)[unit]
+                count = front[unit] * back
+                number = np.arange(len(piece)) if isinstance(unit, slice) else unit
+                few = np.searchsorted(number, self.long)
+                if few:
+                    first = number[:few]
+                    count[:few] *= np.exp(self.at(log_a, offset)[first] + self.at(log_b, after)[first] - z[first])
+                yield number, piece, count
+                own[unit] += back * p
 
 
 def learn(docs: DataFrame, vocabulary: str, lang: str, text: str, smoothing: float = 1e-3) -> tuple[list[str], np.ndarray, np.ndarray]:

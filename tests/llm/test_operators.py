@@ -9,12 +9,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from claimlens.llm import chat, decontaminate, language_id, language_model, near_duplicates, packing, quality, sharding, token_counts, toxicity
-from claimlens.llm.common import fold
+from claimlens.llm.common import fold, utf8
 
 WORDS = "the of and river stone lamp winter glass forest signal paper morning harbor engine quiet copper".split()
 RNG = np.random.default_rng(5)
@@ -385,6 +386,31 @@ def test_language_of_long_words():
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-8 for k in want)
 
 
+def many_words(texts=400, words=130):
+    rng = np.random.default_rng(9)
+    made = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 12))) for _ in range(20_000)] + ["internationalization" * 7, "q" * 33]
+    return [" ".join(made[i] for i in rng.integers(0, len(made), words)) for _ in range(texts)]
+
+
+def test_language_states_lie_by_offset():
+    """The units of an offset are the first ones and their states neighbours, so a pass reads memory in order; each word scores as it does alone."""
+    t = language_id.trie(public_tokenizers.path("piece_bpe_32k.model"))
+    data, offs = utf8(pa.array([*many_words(20), None, "", "q" * 33 + " a " + "é" * 40]))
+    u = language_id.Units(data, offs, t)
+    assert (np.diff(u.length) <= 0).all() and u.counts.sum() == len(u.unit)
+    for offset in (0, 1, 7, 30, 32, 40):
+        assert np.diff(u.begin)[offset] == (u.length >= offset).sum()
+        for after, unit, piece in u.matches(offset):
+            assert (np.diff(np.arange(len(u.length))[unit]) == 1).all() if isinstance(unit, slice) else (np.diff(unit) > 0).all()
+            assert len(piece) <= u.reach[after]
+    p = np.random.default_rng(3).random((t.size, 2)) / 50
+    whole = u.whole(p)
+    words = [w for text in data.tobytes().split(b" ") for w in [text] if w]
+    for w in (words[0], words[9], "é".encode() * 40):
+        one = language_id.Units(np.frombuffer(w, np.uint8), np.array([0, len(w)]), t)
+        assert any(np.array_equal(one.whole(p)[0], x) for x in whole)
+
+
 def test_toxicity(spark, docs, none):
     rng = np.random.default_rng(2)
     rows, labels = [], []
