@@ -209,6 +209,18 @@ class Units:
                 own[unit] += back * p
 
 
+def expected_by_language(u: Units, code: np.ndarray, languages: int) -> np.ndarray:
+    """Expected counts (languages x pieces) over the texts of ``u``, of which ``code`` is the language.  The matches of an offset are added up
+    before those of the next one are made."""
+    spoken = np.repeat(code, u.counts)  # language of each word
+    n = [np.bincount(u.unit[spoken == k], minlength=len(u.length)) for k in range(languages)]
+    own = np.zeros((languages, u.trie.size))
+    for unit, piece, share in u.expected(1.0 / u.trie.size):
+        for k in range(languages):
+            own[k] += np.bincount(piece, weights=share * n[k][unit], minlength=u.trie.size)
+    return own
+
+
 def learn(docs: DataFrame, vocabulary: str, lang: str, text: str, smoothing: float = 1e-3) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log shares of training rows, and piece probabilities (pieces x languages)."""
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,13 +231,9 @@ def learn(docs: DataFrame, vocabulary: str, lang: str, text: str, smoothing: flo
             for part, data, offs in slices(batch, "text", SLICE_BYTES // 2):
                 u = Units(data, offs, t)
                 langs, code = np.unique(np.array(part.column(0).to_pylist(), object).astype(str), return_inverse=True)
-                doc = np.repeat(np.arange(len(u.counts)), u.counts)
-                found = list(u.expected(1.0 / t.size))
-                unit, piece, share = (np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in range(3))
+                own = expected_by_language(u, code, len(langs))
                 for k, name in enumerate(langs.tolist()):
-                    n = np.bincount(u.unit[code[doc] == k], minlength=len(u.length))
-                    own = np.bincount(piece, weights=share * n[unit], minlength=t.size)
-                    sums[name] = sums.get(name, 0) + own
+                    sums[name] = sums.get(name, 0) + own[k]
                     rows[name] = rows.get(name, 0) + int((code == k).sum())
         for name, s in sums.items():
             on = np.flatnonzero(s)

@@ -4,6 +4,7 @@ clashing column names, against brute-force versions."""
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -411,6 +412,31 @@ def test_language_states_lie_by_offset():
         assert any(np.array_equal(one.whole(p)[0], x) for x in whole)
 
 
+def test_language_counts_hold_one_offset():
+    """Expected counts by language are the sums over all matches, and adding them up holds those of one offset, not of the whole slice."""
+    t = language_id.trie(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = many_words()
+    data, offs = utf8(pa.array(texts))
+    code = np.arange(len(texts)) % 3
+    tracemalloc.start()
+    try:
+        u = language_id.Units(data, offs, t)
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        own = language_id.expected_by_language(u, code, 3)
+        peak = tracemalloc.get_traced_memory()[1] - before
+    finally:
+        tracemalloc.stop()
+    found = list(u.expected(1.0 / t.size))
+    held = sum(x.nbytes for f in found for x in f)
+    assert peak < 4 * 8 * u.begin[-1] + held / 2, (peak, held)  # two passes and their scales, one number a state
+    unit, piece, share = (np.concatenate([f[i] for f in found]) for i in range(3))
+    spoken = np.repeat(code, u.counts)
+    for k in range(3):
+        n = np.bincount(u.unit[spoken == k], minlength=len(u.length))
+        assert np.allclose(own[k], np.bincount(piece, weights=share * n[unit], minlength=t.size))
+
+
 def test_toxicity(spark, docs, none):
     rng = np.random.default_rng(2)
     rows, labels = [], []
