@@ -258,3 +258,31 @@ def test_rare_pairs_are_left_out_exactly(spark):
     sums, _ = FS._fold_sums([0], TfidfParams(40, (2, 2)), np.zeros(BUCKETS, bool))
     batch = pa.RecordBatch.from_arrays([pa.array([[{"fold": 0}]]), pa.array([[["stone", "tree", "stone"]]])], names=["rows", "_toks"])
     assert sum(b.num_rows for b in sums(iter([batch]))) == 0
+
+
+def test_store_keeps_counts_once_a_row(spark, monkeypatch):
+    """Several sets share one written table of counts; dense features are on disk for a few sets at a time, and gone afterwards."""
+    import os
+    folders, gone = {}, []
+    real, drop = FS.written, FS.discard
+
+    def written(df, tag):
+        made = real(df, tag)
+        folders.setdefault(tag, []).append(made)
+        return made
+
+    def discard(df):
+        gone.extend(f.removeprefix("file://") for f in df.inputFiles())
+        drop(df)
+
+    monkeypatch.setattr(FS, "written", written)
+    monkeypatch.setattr(FS, "discard", discard)
+    monkeypatch.setattr(FS, "AT_ONCE", 2)
+    rows = [(i, f"green power {'solar' if i % 3 else 'claims'} word{i % 7}", float(i), float(i % 2), FS.TEST if i % 4 == 3 else (i // 4) % 2) for i in range(48)]
+    df = spark.createDataFrame(rows, "id long, text string, a double, label double, fold int")
+    store = FS.build(df, "id", "label", "text", [], ["a"], FS.nested_sets(2), k=3)
+    assert "fold-vectors" not in folders and "fold-store" not in folders
+    assert [t.count() for t in folders["fold-counts"]] == [48]
+    FS.nested_calibration(store, [FS.Point(1.0, "l2")], k=2)
+    assert "fold-learning" not in folders and len(folders["fold-store"]) == 2  # three sets, two at a time
+    assert gone and not any(os.path.exists(f) for f in gone)
