@@ -1,7 +1,7 @@
 """Boosted trees of one task against Spark's learner, and their places in the comparisons."""
 
 import numpy as np
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -70,3 +70,14 @@ def test_cuts_of_many_values():
         assert BO.cuts(v, 900 + zeros, 31).tolist() == _stepwise(np.r_[np.zeros(zeros), v], 31)
     assert BO.cuts(np.array([-1.0, 2.0]), 3, 31).tolist() == [-0.5, 1.0]
     assert BO.cuts(np.zeros(0), 10, 31).size == 0
+
+
+def test_iterated_fits_read_few_partitions_and_forests_keep_theirs(spark, monkeypatch):
+    df = materialize(VectorAssembler(inputCols=["v", "two"], outputCol="features").transform(_rows(spark, 200)).repartition(6))
+    seen = {}
+    for kind in (LogisticRegression, LinearSVC, RandomForestClassifier):
+        monkeypatch.setattr(kind, "fit", lambda self, d, params=None: seen.update({type(self).__name__: d.rdd.getNumPartitions()}))
+        M.fitted(kind(), df)
+    assert seen == {"LogisticRegression": 1, "LinearSVC": 1, "RandomForestClassifier": 6}
+    monkeypatch.setattr(M, "ROWS_A_TASK", 50)
+    assert M.gathered(df).rdd.getNumPartitions() == 4 and M.gathered(df.limit(0)).rdd.getNumPartitions() <= 1
